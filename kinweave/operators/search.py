@@ -33,14 +33,18 @@ def occurrences(tokens: Column, phrase: Sequence[str]) -> Column:
     if last == 0:
         return F.size(F.filter(tokens, lambda t: t.startswith(F.lit(phrase[0]))))
 
-    def here(i: Column) -> Column:
-        on = F.get(tokens, i + last).startswith(F.lit(phrase[last]))
-        for k in range(last):
-            on = on & (F.get(tokens, i + k) == phrase[k])
-        return F.coalesce(on, F.lit(False))
-
-    places = F.when(F.size(tokens) > last, F.sequence(F.lit(0), F.size(tokens) - 1 - last)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, here))
+    def count(held: Column) -> Column:
+        def here(i: Column) -> Column:
+            on = F.get(held, i + last).startswith(F.lit(phrase[last]))
+            for k in range(last):
+                on = on & (F.get(held, i + k) == phrase[k])
+            return F.coalesce(on, F.lit(False))
+
+        places = F.when(F.size(held) > last, F.sequence(F.lit(0), F.size(held) - 1 - last)).otherwise(F.array().cast("array<int>"))
+        return F.size(F.filter(places, here))
+
+    # The array is bound to a variable: inlined into the lambda, it would be cut anew for each place.
+    return F.get(F.transform(F.array(tokens), count), F.lit(0))
 
 
 def ranked(corpus: DataFrame, phrases: Sequence[Sequence[str]], columns: Sequence[str], allowed: Sequence[str] | None = None, any_of: bool = False, key: str = "id") -> DataFrame:

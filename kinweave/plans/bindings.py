@@ -1,3 +1,448 @@
-"""Queries bound to tables."""
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries of the operators over the given tables, each with the SQL that must give the same rows.
+
+A contact network is laid over the tables: customers are contacts, orders are needs (open or resolved) and offers, events
+are notes, order priorities are tags, orders that follow each other connect customers. Both sides share these views' text;
+what is done with the views is written twice, once with the operators and once in SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import dates as D
+from ..functions import text as X
+from ..operators import contacts as C
+from ..operators import mapping, matching, mutations, resolve, search
+from ..schemas import STAGES, validate
+from ..sources.tabular import is_header_column
+from ..streaming import rates
+
+_STAGE = "case c_custkey % 5 " + " ".join(f"when {k} then '{s}'" for k, s in enumerate(STAGES)) + " end"
+VIEWS = {
+    "contacts": f"""select c_custkey as id, c_name as name,
+        case c_mktsegment when 'MACHINERY' then 'archived' when 'FURNITURE' then 'imported' else 'active' end as status,
+        {_STAGE} as stage, case c_custkey % 4 when 0 then 'founder' when 1 then 'investor' when 2 then 'operator' end as role,
+        case when c_custkey % 6 > 0 then c_mktsegment end as company, cast(null as string) as title,
+        case when c_custkey % 7 = 0 then null when c_custkey % 3 = 0 then lower(n_name) else n_name end as city,
+        cast(null as string) as country, concat(lower(c_name), '@example.org') as email, cast(null as string) as phone,
+        concat('https://example.org/p/', cast(c_custkey as string)) as linkedin_url, cast(null as string) as birthday,
+        case when c_custkey % 10 = 0 then 'summer fair' end as how_we_met, cast(c_custkey % 5 + 1 as int) as closeness,
+        'csv' as source, cast(null as string) as last_contact_at, '2024-01-01' as created_at, '2024-01-01' as updated_at
+        from {{customer}} join {{nation}} on c_nationkey = n_nationkey""",
+    "needs": """select o_orderkey as id, o_custkey as contact_id, o_orderpriority as text, cast(cast(o_orderdate as date) as string) as created_at,
+        case when o_orderstatus = 'F' then cast(cast(o_orderdate as date) as string) end as resolved_at from {orders} where o_orderstatus in ('O', 'F')""",
+    "offers": """select o_orderkey as id, o_custkey as contact_id, o_orderpriority as text, cast(cast(o_orderdate as date) as string) as created_at,
+        cast(null as string) as resolved_at from {orders} where o_orderstatus = 'P'""",
+    "notes": "select event_id as id, user_id as contact_id, event_type as body, cast(cast(ts as date) as string) as occurred_on, cast(cast(ts as date) as string) as created_at from {events}",
+    "tags": "select distinct cast(substring(o_orderpriority, 1, 1) as bigint) as id, lower(replace(o_orderpriority, ' ', '-')) as name from {orders}",
+    "contact_tags": "select distinct o_custkey as contact_id, cast(substring(o_orderpriority, 1, 1) as bigint) as tag_id from {orders}",
+    "connections": """select a.o_orderkey as id, least(a.o_custkey, b.o_custkey) as contact_a_id, greatest(a.o_custkey, b.o_custkey) as contact_b_id, a.o_orderpriority as note,
+        '2024-01-01' as created_at from {orders} a join {orders} b on b.o_orderkey = a.o_orderkey + 1 where a.o_custkey <> b.o_custkey""",
+}
+_TABLES = ("customer", "nation", "orders", "events")
+
+
+def network(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    files = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES}
+    return [spark.sql(VIEWS[n], **{t: df for t, df in files.items() if f"{{{t}}}" in VIEWS[n].replace("{{", "{").replace("}}", "}")}) for n in names]
+
+
+def _with(*names: str) -> str:
+    views = ", ".join(f"{n} as ({VIEWS[n]})" for n in names)
+    for t in _TABLES:
+        views = views.replace(f"{{{t}}}", t)
+    return f"with {views}"
+
+
+VIEWS["contacts"] = VIEWS["contacts"].replace("{{", "{").replace("}}", "}")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_OPEN = "(select count(*) from needs n where n.contact_id = c.id and n.resolved_at is null)"
+
+
+@_query(f"""{_with("contacts", "needs")} select id, name, city, {_OPEN}::bigint as open_needs_count from contacts c
+    where status = 'active' and exists (select 1 from needs n where n.contact_id = c.id and n.resolved_at is null)""")
+def q_list_open_counts(spark, sf_dir):
+    contacts, needs = network(spark, sf_dir, "contacts", "needs")
+    return C.with_open_count(C.filtered(contacts, needs, None, None, status="active", has_open_needs=True), needs).select("id", "name", "city", "open_needs_count")
+
+
+@_query(f"""{_with("contacts")} select id, name, count(*) over ()::bigint as total_matches, row_number() over (order by name, id)::int as position
+    from contacts where status <> 'archived' order by name, id limit 50""")
+def q_list_default(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    return C.listed(C.filtered(contacts, None, None, None), 50).select("id", "name", "total_matches", "position")
+
+
+@_query(f"""{_with("contacts", "needs")} select id, stage, role from contacts c where status <> 'archived' and stage = 'close' and role = 'founder'
+    and not exists (select 1 from needs n where n.contact_id = c.id and n.resolved_at is null and n.created_at >= '1998-01-01')""")
+def q_no_open_items(spark, sf_dir):
+    contacts, needs = network(spark, sf_dir, "contacts", "needs")
+    return C.filtered(contacts, needs.where("created_at >= '1998-01-01'"), None, None, stage="close", role="founder", has_open_needs=False).select("id", "stage", "role")
+
+
+@_query(f"""{_with("contacts", "tags", "contact_tags")} select id from contacts c where status <> 'archived'
+    and exists (select 1 from contact_tags l join tags t on l.tag_id = t.id where l.contact_id = c.id and t.name = '1-urgent')""")
+def q_tag_semi(spark, sf_dir):
+    contacts, tags, links = network(spark, sf_dir, "contacts", "tags", "contact_tags")
+    return C.filtered(contacts, None, links, tags, tag=" 1-Urgent ").select("id")
+
+
+@_query(f"{_with('contacts')} select id, city from contacts where status <> 'archived' and lower(strip_accents(city)) = 'nation_3'")
+def q_city_fold(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    return C.filtered(contacts, None, None, None, city=" Nàtion_3 ").select("id", "city")
+
+
+@_query(f"{_with('tags')} select id, name from tags where starts_with(name, '4-n')")
+def q_prefix_escape(spark, sf_dir):
+    (tags,) = network(spark, sf_dir, "tags")
+    return C.search_tags(tags, "4-N")
+
+
+def _sorted(by: str, descending: bool, order: str, column: str):
+    @_query(f"{_with('contacts', 'needs')} select id, row_number() over (order by {order})::int as position from (select c.*, {_OPEN} as open_needs_count from contacts c) order by {order} limit 50")
+    def run(spark, sf_dir):
+        contacts, needs = network(spark, sf_dir, "contacts", "needs")
+        return C.listed(C.with_open_count(contacts, needs), 50, by, descending).select("id", "position")
+
+    name = f"q_sort_{column}"
+    QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
+
+
+_sorted("name", True, "name desc, id", "name_desc")
+_sorted("city", False, "translate(city, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') asc nulls last, name, id", "nulls_last")
+_sorted("company", True, "lower(company) desc nulls last, name, id", "company_desc")
+_sorted("open_needs_count", True, "open_needs_count desc, name, id", "open_count_desc")
+_sorted("stage", False, "list_position(['new', 'reached_out', 'in_touch', 'close', 'dormant'], stage), name, id", "stage_domain")
+
+
+@_query(f"{_with('tags', 'contact_tags')} select contact_id, string_agg(name, ',' order by name) as tags from contact_tags join tags on tag_id = id group by contact_id")
+def q_tags_collected(spark, sf_dir):
+    tags, links = network(spark, sf_dir, "tags", "contact_tags")
+    return C.tag_lists(links, tags).select("contact_id", F.array_join("tags", ",").alias("tags"))
+
+
+@_query(f"{_with('needs')} select contact_id, arg_min(text, (created_at, id)) as top_open_need from needs where resolved_at is null group by contact_id")
+def q_oldest_open(spark, sf_dir):
+    return C.oldest_open(*network(spark, sf_dir, "needs"))
+
+
+@_query(f"{_with('contacts')} select v.status, count(c.id)::bigint as n from (values ('imported'), ('active'), ('archived')) v(status) left join contacts c on c.status = v.status and c.id % 2 = 3 group by 1")
+def q_count_by_status_zero_filled(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    return C.counts_by(contacts.where("id % 2 = 3"), "status")
+
+
+@_query(f"{_with('contacts')} select v.stage, count(c.id)::bigint as n from (values ('new'), ('reached_out'), ('in_touch'), ('close'), ('dormant')) v(stage) left join contacts c on c.stage = v.stage group by 1")
+def q_count_by_stage(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    return C.counts_by(contacts, "stage")
+
+
+@_query(f"{_with('contacts')} select lower(strip_accents(city)) as key, min(city) as city from contacts where city is not null group by 1")
+def q_distinct_folded(spark, sf_dir):
+    return C.distinct_cities(*network(spark, sf_dir, "contacts"))
+
+
+@_query(f"""{_with("contacts", "needs")}, first as (select contact_id, arg_min(text, (created_at, id)) as top_open_need from needs where resolved_at is null group by contact_id)
+    select stage, id, name, top_open_need, row_number() over (partition by stage order by name, id)::int as position from contacts left join first on contact_id = id where status = 'active'""")
+def q_board(spark, sf_dir):
+    contacts, needs = network(spark, sf_dir, "contacts", "needs")
+    return C.board(contacts, needs).select("stage", "id", "name", "top_open_need", "position")
+
+
+@_query(f"{_with('contacts', 'needs')} select c.id, string_agg(n.text, ' ' order by n.id) as needs_text from contacts c left join needs n on n.contact_id = c.id group by c.id")
+def q_group_concat(spark, sf_dir):
+    contacts, needs, offers = network(spark, sf_dir, "contacts", "needs", "offers")
+    return search.indexed_text(contacts, needs, offers).select("id", "needs_text")
+
+
+@_query(f"""{_with("contacts", "needs", "offers", "tags", "contact_tags", "notes")} select c.id,
+    (select string_agg(text, '|' order by resolved_at is not null, created_at, n.id) from needs n where n.contact_id = c.id) as needs,
+    (select count(*) from offers o where o.contact_id = c.id)::bigint as n_offers,
+    (select string_agg(t.name, '|' order by t.name) from contact_tags l join tags t on l.tag_id = t.id where l.contact_id = c.id) as tags,
+    (select count(*) from notes n where n.contact_id = c.id)::bigint as n_notes from contacts c""")
+def q_detail_nested(spark, sf_dir):
+    detail = C.detail(*network(spark, sf_dir, "contacts", "needs", "offers", "contact_tags", "tags", "notes"))
+    count = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long").alias(f"n_{c}")
+    return detail.select("id", F.array_join(F.transform("needs", lambda x: x["text"]), "|").alias("needs"), count("offers"), F.array_join("tags", "|").alias("tags"), count("notes"))
+
+
+@_query(f"""{_with("connections")} select contact_id, count(*)::bigint as n, count(distinct other_id)::bigint as others from (
+    select contact_a_id as contact_id, contact_b_id as other_id from connections union all select contact_b_id, contact_a_id from connections) group by 1""")
+def q_connections_incident(spark, sf_dir):
+    both = C.incident(*network(spark, sf_dir, "connections"))
+    return both.groupBy("contact_id").agg(F.count("*").alias("n"), F.countDistinct("other_id").alias("others"))
+
+
+@_query("""select contact_a_id, contact_b_id, max(note) as note from (select least(o_custkey, o_orderkey % 1000) as contact_a_id, greatest(o_custkey, o_orderkey % 1000) as contact_b_id, o_orderpriority as note
+    from orders where o_custkey <> o_orderkey % 1000) group by 1, 2""")
+def q_connection_normalise(spark, sf_dir):
+    pairs = _table(spark, sf_dir, "orders").selectExpr("o_custkey a", "o_orderkey % 1000 b", "o_orderpriority note").where("a <> b")
+    return pairs.select(F.least("a", "b").alias("contact_a_id"), F.greatest("a", "b").alias("contact_b_id"), "note").groupBy("contact_a_id", "contact_b_id").agg(F.max("note").alias("note"))
+
+
+_TOKENS = r"""docs as (select doc_id as id, lang, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') as t from documents)"""
+
+
+def _bm25(phrases: list[str], need: str, tail: str) -> str:
+    counts = ", ".join(f"len(list_filter(t, lambda x: starts_with(x, '{p}'))) as f{k}" for k, p in enumerate(phrases))
+    stats = ", ".join(f"count(*) filter (f{k} > 0) as n{k}" for k in range(len(phrases)))
+    score = " + ".join(f"(case when ln((n - n{k} + 0.5) / (n{k} + 0.5)) > 0 then ln((n - n{k} + 0.5) / (n{k} + 0.5)) else 1e-6 end) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * l / m))" for k in range(len(phrases)))
+    return f"with {_TOKENS}, f as (select id, len(t) as l, {counts} from docs), s as (select count(*) as n, avg(l) as m, {stats} from f) select id, round(-({score}), 6) as rank from f, s where {need} {tail}"
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("rank", 6).alias("rank"))
+
+
+@_query(_bm25(["the", "on"], "f0 > 0 and f1 > 0", ""))
+def q_fts_and(spark, sf_dir):
+    return _rounded(search.ranked(_documents(spark, sf_dir), search.prefix_query("the on"), ["text"]))
+
+
+@_query(_bm25(["eron", "der", "que"], "f0 + f1 + f2 > 0", ""))
+def q_fts_or(spark, sf_dir):
+    return _rounded(search.ranked(_documents(spark, sf_dir), [["eron"], ["der"], ["que"]], ["text"], any_of=True))
+
+
+@_query(_bm25(["the", "in"], "f0 > 0 and f1 > 0", "order by rank, id limit 50"))
+def q_bm25_topk(spark, sf_dir):
+    return _rounded(search.ranked(_documents(spark, sf_dir), search.prefix_query("The IN"), ["text"])).orderBy("rank", "id").limit(50)
+
+
+@_query(f"with {_TOKENS} select id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' and starts_with(t[i + 1], 'th')))::bigint as n from docs where len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' and starts_with(t[i + 1], 'th'))) > 0")
+def q_fts_phrase(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("id", search.occurrences(X.tokens(F.col("text")), ["the", "th"]).cast("long").alias("n"))
+    return rows.where("n > 0")
+
+
+@_query(r"""with w as (select turn, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') as t, role from conversations)
+    select turn, role, sum(len(t))::bigint as tokens, count(*) filter (len(list_filter(t, lambda x: starts_with(x, 'la'))) > 0)::bigint as hits from w group by turn, role""")
+def q_fts_columns(spark, sf_dir):
+    t = X.tokens(F.col("text"))
+    rows = _table(spark, sf_dir, "conversations").select("turn", "role", F.size(t).alias("n"), search.occurrences(t, ["la"]).alias("f"))
+    return rows.groupBy("turn", "role").agg(F.sum("n").alias("tokens"), F.count_if(F.col("f") > 0).alias("hits"))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted(matching.STOP_WORDS))
+_TERM_ROWS = rf"""words as (select item_id, unnest(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) as term, generate_subscripts(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), 1) as pos from benchmark),
+    firsts as (select item_id, term, min(pos) as pos from words where len(term) >= 3 and term not in ({_STOPS}) group by 1, 2),
+    terms as (select item_id, term, place from (select *, row_number() over (partition by item_id order by pos) as place from firsts) where place <= 24)"""
+
+
+@_query(f"with {_TERM_ROWS} select item_id, string_agg(term, ' ' order by place) as terms from terms group by item_id")
+def q_extract_terms(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(matching.terms_of(F.col("text")), " ").alias("terms")).where("terms <> ''")
+
+
+@_query(f"""with {_TERM_ROWS}, {_TOKENS}, counts as (select id, lang, len(t) as l, unnest(t) as token from docs), posts as (select id, lang, l, token, count(*) as f from counts group by all),
+    vocab as (select distinct token from posts), asked as (select distinct term from terms), reach as (select term, token from vocab join asked on starts_with(token, term)),
+    hits as (select term, id, lang, l, sum(f) as f from posts join reach using (token) group by all),
+    s as (select count(*) as n, avg(len(t)) as m from docs), idf as (select term, case when ln((n - k + 0.5) / (k + 0.5)) > 0 then ln((n - k + 0.5) / (k + 0.5)) else 1e-6 end as idf, m from (select term, count(*) as k from hits group by term), s),
+    scored as (select item_id as source_id, id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / m))), 6) as rank, count(*)::bigint as n_terms, arg_min(term, place) as first_term
+      from terms join hits using (term) join idf using (term) where lang <> 'de' group by 1, 2)
+    select * from (select *, row_number() over (partition by source_id order by rank, id)::int as place from scored) where place <= 10""")
+def q_match_batch(spark, sf_dir):
+    sources = _table(spark, sf_dir, "benchmark").selectExpr("item_id source_id", "text")
+    return matching.match_batch(sources, _documents(spark, sf_dir).select("id", "text", (F.col("lang") != "de").alias("active")))
+
+
+@_query(None)
+def q_match_one(spark, sf_dir):
+    return matching.find_matches(*network(spark, sf_dir, "contacts", "needs", "offers", "contact_tags", "tags"), contact_id=7, query="urgent fair").select("place", "id", "name", F.to_json("matched_on").alias("matched_on"))
+
+
+@_query(f"{_with('tags')}, terms(term) as (values ('1-urgent'), ('2-h'), ('lo'), ('3-')) select name, string_agg(term, ',' order by term) as hits from tags join terms on name = term or (len(term) >= 3 and starts_with(name, term)) group by name")
+def q_tag_term_match(spark, sf_dir):
+    (tags,) = network(spark, sf_dir, "tags")
+    hits = matching.tag_hits(F.col("name"), ["1-urgent", "2-h", "3-", "lo"])
+    return tags.select("name", F.array_join(F.array_sort(hits), ",").alias("hits")).where("hits <> ''")
+
+
+@_query(r"""select c_custkey, trim(regexp_replace(lower(concat(' Dr. ', c_name, ' ')), '[^\p{L}\p{N}]+', ' ', 'g')) as name,
+    regexp_replace(lower(trim(concat(c_mktsegment, '  tag '))), '\s+', '-', 'g') as tag, lower(regexp_replace(concat(' ', c_name, ' @ Example.org'), '\s+', '', 'g')) as email,
+    c_custkey % 2 = 0 as looks, upper(concat(substring(c_mktsegment, 1, 1), substring(c_name, 1, 1))) as initials, concat_ws(' · ', case when c_custkey % 2 = 0 then c_mktsegment end, c_name) as subtitle from customer""")
+def q_norm_strings(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer")
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    return rows.select(
+        "c_custkey", X.person_name(F.concat(F.lit(" Dr. "), name, F.lit(" "))).alias("name"), X.tag_name(F.concat(segment, F.lit("  tag "))).alias("tag"),
+        X.email(F.concat(F.lit(" "), name, F.lit(" @ Example.org"))).alias("email"), X.looks_like_email(F.when(F.col("c_custkey") % 2 == 0, "a@b").otherwise("a@b@c")).alias("looks"),
+        X.initials(F.concat(segment, F.lit(" x "), name)).alias("initials"), X.subtitle(F.when(F.col("c_custkey") % 2 == 0, segment), name).alias("subtitle"),
+    )
+
+
+@_query(r"""select page_id, concat(lower(regexp_extract(url, '^([a-z]+)://', 1)), '://', lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')) as url from pages""")
+def q_canonical_url(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", X.canonical_url(F.col("url")).alias("url"))
+
+
+@_query("""select o_orderkey, case when o_orderkey % 5 = 4 then null else strftime(o_orderdate, '%Y-%m-%d') end as day from orders""")
+def q_parse_dates(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    at = F.col("o_orderdate")
+    text = F.when(k == 0, F.date_format(at, "yyyy/M/d")).when(k == 1, F.date_format(at, "d.M.yyyy")).when(k == 2, F.date_format(at, "d MMM yyyy")).when(k == 3, F.date_format(at, "MMMM d, yyyy")).otherwise(F.date_format(at, "d/M/yyyy"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", D.parse_day(text).alias("day"))
+
+
+@_query("""select o_orderkey, case when d < 7 then 'day' when d < 30 then 'week' when d < 365 then 'month' else 'year' end as unit,
+    (case when d < 7 then d when d < 30 then d // 7 when d < 365 then d // 30 else d // 365 end)::int as n from (select o_orderkey, abs(date_diff('day', o_orderdate::date, date '1998-08-01')) as d from orders)""")
+def q_relative(spark, sf_dir):
+    age = D.age(F.col("o_orderdate").cast("date"), F.lit("1998-08-01").cast("date"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", age["unit"].alias("unit"), age["n"].alias("n"))
+
+
+@_query("""select p_partkey, p_partkey % 3 = 0 as header from part""")
+def q_header_heuristic(spark, sf_dir):
+    k, name = F.col("p_partkey") % 3, F.col("p_name")
+    cells = F.when(k == 0, F.array(F.lit("First " + "Column"), name, F.lit(""))).when(k == 1, F.array(name, F.lit("12.5"))).otherwise(F.array(name, F.lit(None)))
+    return _table(spark, sf_dir, "part").select("p_partkey", is_header_column(cells).alias("header"))
+
+
+def _foreign(spark, sf_dir) -> DataFrame:
+    """Customers as a foreign table with faults."""
+    mail = F.when(F.col("c_custkey") % 4 == 0, "n/a").otherwise(F.concat("c_name", F.lit("@Example.ORG ")))
+    day = F.when(F.col("c_custkey") % 5 == 0, "1/2/2024").otherwise("3. März 2021")
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_number"), F.col("c_mktsegment").alias("Vorname"), F.col("c_name").alias("Nachname"), mail.alias("E-Mail"), day.alias("Connected On"))
+
+
+@_query("""select c_custkey as row_number, concat(c_mktsegment, ' ', c_name) as name, case when c_custkey % 4 <> 0 then lower(concat(c_name, '@example.org')) end as email,
+    case when c_custkey % 5 <> 0 then '2021-03-03' end as created_at, ((c_custkey % 4 = 0)::int + (c_custkey % 5 = 0)::int)::int as n_dropped from customer""")
+def q_map_row(spark, sf_dir):
+    rows = _foreign(spark, sf_dir)
+    return mapping.map_rows(rows, mapping.suggest(rows.columns[1:]).mapping).select("row_number", "name", "email", "created_at", F.size("dropped").alias("n_dropped"))
+
+
+@_query("""select field, 'unreadable' as reason, count(*)::bigint as n, min(value) as example from (select 'email' as field, 'n/a' as value from customer where c_custkey % 4 = 0
+    union all select 'created_at', '1/2/2024' from customer where c_custkey % 5 = 0) group by field""")
+def q_dropped_histogram(spark, sf_dir):
+    rows = _foreign(spark, sf_dir)
+    return mapping.dropped_histogram(mapping.map_rows(rows, mapping.suggest(rows.columns[1:]).mapping))
+
+
+def _people(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Customers as known contacts; suppliers and later customers as incoming rows."""
+    base = _table(spark, sf_dir, "customer")
+    site = F.concat(F.lit("example.org/p/"), F.col("c_custkey").cast("string"))
+    known = base.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Person "), F.col("c_nationkey").cast("string")).alias("name"), F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("@example.org"))).alias("email"), F.when(F.col("c_custkey") % 3 == 0, site).alias("linkedin_url"))
+    new = base.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("row_number"), F.concat(F.lit("PERSON-"), F.col("c_nationkey").cast("string")).alias("name"), F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit("@Example.org"))).alias("email"), F.when(F.col("c_custkey") % 6 == 0, F.concat(F.lit("http://"), site, F.lit("/"))).alias("linkedin_url"))
+    return known, new
+
+
+_PEOPLE = """known as (select c_custkey as id, concat('person ', c_nationkey) as name, case when c_custkey % 4 = 0 then lower(concat(c_name, '@example.org')) end as email, case when c_custkey % 3 = 0 then concat('p/', c_custkey) end as url from customer where c_custkey % 2 = 0),
+    new as (select c_custkey as row_number, concat('person ', c_nationkey) as name, case when c_custkey % 5 = 0 then lower(concat(c_name, '@example.org')) end as email, case when c_custkey % 6 = 0 then concat('p/', c_custkey) end as url from customer where c_custkey % 3 = 0)"""
+#: http and https addresses differ, so no address matches: those rows go on to e-mail and name.
+_MATCHED = f"""with {_PEOPLE}, m as (select n.row_number,
+      (select min(id) from known k where k.email = n.email) as by_email,
+      (select min(id) from known k where k.name = n.name and not coalesce(n.url is not null and k.url is not null, false) and not coalesce(k.email <> n.email, false)) as by_name from new n)
+    select row_number, coalesce(by_email, by_name) as contact_id, case when by_email is not null then 'email' when by_name is not null then 'name' end as matched_by from m"""
+
+
+@_query(_MATCHED)
+def q_dedupe_match(spark, sf_dir):
+    return resolve.match(*_people(spark, sf_dir)).select("row_number", "contact_id", "matched_by")
+
+
+@_query(None)
+def q_dedupe_replay(spark, sf_dir):
+    return resolve.replay(*_people(spark, sf_dir))
+
+
+@_query(f"""with o as ({_MATCHED}) select count(*)::bigint as total, count(*) filter (contact_id is null)::bigint as created, 0::bigint as enriched, count(contact_id)::bigint as skipped, 0::bigint as errors, count(contact_id)::bigint as matched, 0 as exit_code from o""")
+def q_import_summary(spark, sf_dir):
+    found = resolve.match(*_people(spark, sf_dir))
+    return resolve.summary(found.withColumn("outcome", F.when(F.col("contact_id").isNull(), "created").otherwise("skipped")))
+
+
+@_query(f"""with o as ({_MATCHED}) select matched_by, count(*)::bigint as n, min(row_number) as first_row from o where matched_by is not null group by 1""")
+def q_matched_histogram(spark, sf_dir):
+    return resolve.histogram(resolve.match(*_people(spark, sf_dir)), "matched_by")
+
+
+@_query(f"""{_with("contacts")} select id, coalesce(nullif(company, ''), 'Acme') as company, coalesce(title, concat('T', id % 3)) as title, case when title is null or company is null then '2025-01-01' else updated_at end as updated_at,
+    company is null or title is null as enriched from contacts where id % 2 = 0 union all select id, company, title, updated_at, false from contacts where id % 2 = 1""")
+def q_enrich(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    values = contacts.where("id % 2 = 0").selectExpr("id", "'Acme' company", "concat('T', id % 3) title")
+    return mutations.enrich(contacts, values, "2025-01-01").select("id", "company", "title", "updated_at", "enriched")
+
+
+@_query(f"""{_with("contacts")} select id, case when id % 3 = 0 then null else city end as city, case when id % 3 = 0 and status = 'imported' then 'active' else status end as status,
+    case when id % 3 = 0 then '2025-01-01' else updated_at end as updated_at from contacts""")
+def q_update_patch(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    patches = contacts.where("id % 3 = 0").selectExpr("id", "named_struct('value', cast(null as string)) city")
+    return mutations.update_contacts(contacts, patches, "2025-01-01").select("id", "city", "status", "updated_at")
+
+
+@_query(f"""{_with("contacts", "needs", "contact_tags", "connections")} select (select count(*) from contacts where id % 4 <> 0)::bigint as contacts, (select count(*) from needs where contact_id % 4 <> 0)::bigint as needs,
+    (select count(*) from contact_tags where contact_id % 4 <> 0)::bigint as contact_tags, (select count(*) from connections where contact_a_id % 4 <> 0 and contact_b_id % 4 <> 0)::bigint as connections""")
+def q_delete_cascade(spark, sf_dir):
+    names = ["contacts", "needs", "contact_tags", "connections"]
+    tables = dict(zip(names, network(spark, sf_dir, *names), strict=True))
+    left = mutations.delete_contacts(tables, tables["contacts"].where("id % 4 = 0").select("id"))
+    counts = [left[n].agg(F.count("*").alias(n)) for n in names]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2])).join(F.broadcast(counts[3]))  # one row each
+
+
+@_query(f"{_with('contacts', 'notes')} select c.id, max(n.occurred_on) as last_contact_at from contacts c left join notes n on n.contact_id = c.id group by c.id")
+def q_last_contact_bump(spark, sf_dir):
+    return mutations.bump_last_contact(*network(spark, sf_dir, "contacts", "notes")).select("id", "last_contact_at")
+
+
+@_query("""select user_id as code, user_id as position, count(e.event_id)::bigint as referrals, greatest(1, user_id - 10 * count(e.event_id))::bigint as effective
+    from (select distinct user_id from events) u left join (select event_id, user_id from events where event_type = 'signup' and value > 10) e using (user_id) group by user_id""")
+def q_waitlist_position(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return mutations.waitlist_positions(events.selectExpr("user_id code", "user_id position").distinct(), events.where("event_type = 'signup' and value > 10").selectExpr("user_id code"))
+
+
+@_query("""select event_id, user_id % 5 = 0 or row_number() over (partition by user_id order by event_id) > 1 as duplicate from events""")
+def q_upsert_first_wins(spark, sf_dir):
+    new = _table(spark, sf_dir, "events").selectExpr("event_id", "user_id contact", "event_id at")
+    return mutations.waitlist_upsert(new.where("contact % 5 = 0").select("contact"), new).select("event_id", "duplicate")
+
+
+@_query(None)
+def q_rate_limit(spark, sf_dir):
+    hits = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return rates.limited(hits, "user_id", "ts", "event_id", window=86_400).select("event_id", "user_id", "accepted")
+
+
+@_query("""select event_id, (props->>'$.k')::bigint as k, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' as json from events""")
+def q_json_props(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    kind = T.StructType([T.StructField("k", T.LongType())])
+    return events.select("event_id", F.from_json("props", kind)["k"].alias("k"), F.to_json(F.struct("event_id", "event_type", F.lit(None).cast("string").alias("gone"))).alias("json"))
+
+
+@_query("""select c_custkey as id, case when c_custkey % 3 = 0 then 'name: required' when c_custkey % 3 = 1 then 'stage: unknown value' else '' end as errors from customer""")
+def q_validate(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey id", "if(c_custkey % 3 = 0, ' ', c_name) name", "if(c_custkey % 3 = 1, 'x', 'new') stage", "'active' status")
+    return validate(rows).select("id", F.array_join("errors", ";").alias("errors"))
