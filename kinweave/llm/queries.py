@@ -58,11 +58,11 @@ QUERIES = {f.__name__: f for f in (op1_token_records, op2_language_id, op3_toxic
 
 _OP5 = r"""
 with recursive words as (
-  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') w
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
   from documents),
 sets as (
   select doc_id, case when w is null or len(w) = 0 then [] when len(w) < 4 then [w]
-    else list_distinct(list_transform(range(1, len(w) - 2), i -> w[i:i+3])) end s from words),
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i+3])) end s from words),
 shingles as (select doc_id, len(s) n, unnest(s) g from sets),
 coded as (select doc_id, n, hash(g) g from shingles),
 common as (
@@ -78,10 +78,10 @@ from sets s left join reach r on r.a = s.doc_id group by s.doc_id, s.s
 
 _OP10 = """
 with recursive v as (
-  select vec_id, list_transform(embedding, x -> x::double) e from embeddings),
+  select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
 good as (
-  select vec_id, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) u from v
-  where len(e) > 0 and list_aggregate(list_transform(e, x -> coalesce(isfinite(x), false)::int), 'min') = 1 and list_dot_product(e, e) > 0),
+  select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) u from v
+  where len(e) > 0 and list_aggregate(list_transform(e, lambda x: coalesce(isfinite(x), false)::int), 'min') = 1 and list_dot_product(e, e) > 0),
 links as (
   select a.vec_id a, b.vec_id b from good a join good b on a.vec_id < b.vec_id and len(a.u) = len(b.u)
   where list_dot_product(a.u, b.u) >= 0.9),
