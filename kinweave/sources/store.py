@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    """The tables of the current snapshot; a folder without a pointer holds them itself."""
-    pointer = spark.read.format("binaryFile").option("pathGlobFilter", "CURRENT*").option("recursiveFileLookup", "true").load(folder).select(F.col("content").cast("string").alias("at"), "modificationTime", "path")
-    latest = pointer.orderBy(F.desc("modificationTime"), F.desc("path")).first()
-    at = f"{folder}/{latest['at'].strip()}" if latest else folder
-    return {n: spark.read.parquet(f"{at}/{n}.parquet") for n in names}
+    """The tables of the latest snapshot."""
+    latest = spark.read.parquet(f"{folder}/pointers").orderBy(F.desc("saved_at"), F.desc("snapshot")).first()
+    return {n: spark.read.parquet(f"{folder}/{latest.snapshot}/{n}.parquet") for n in names}
 
 
 def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> str:
@@ -21,7 +19,7 @@ def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> str:
     name = f"snapshot-{uuid.uuid4().hex}"
     for table, df in tables.items():
         df.write.parquet(f"{folder}/{name}/{table}.parquet")
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{folder}/pointers/CURRENT-{name}")
+    spark.range(1).select(F.lit(name).alias("snapshot"), F.current_timestamp().alias("saved_at")).coalesce(1).write.mode("append").parquet(f"{folder}/pointers")
     return name
 
 
