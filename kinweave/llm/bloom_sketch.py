@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("n_chars", n.cast("long"))
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("area", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edit"), paragraphs(F.col("next_text")).alias("next"))
+    rows = rows.select("area", "place", "doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edit"), paragraphs(F.col("next_text")).alias("next"))
     keys = ["area", "place", "doc_id", "n_chars", "edited_sha256", "n_own", "n_edit", "n_next"]
     rows = rows.withColumns({f"n_{x}": F.size(x).cast("long") for x in ("own", "edit", "next")})
 
@@ -149,4 +149,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         union = F.col("n_own") + F.col(f"only_b{p}")
         return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
 
-    return total.select("doc_id", "n_chars", "edited_sha256", F.col("print2").alias("fingerprint"), F.col("print3").alias("edited_fingerprint"), likeness(0).alias("near_edited"), likeness(1).alias("near_next"))
+    return total.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("print2").alias("fingerprint"), F.col("print3").alias("edited_fingerprint"), likeness(0).alias("near_edited"), likeness(1).alias("near_next"))
