@@ -1,39 +1,37 @@
-"""Language model scores from a hierarchical Pitman-Yor process.
-
-Words that make up at least one token in 2500 stand for themselves; all others belong to
-the class of their last byte. So contexts are few whatever the corpus' size, while counts
-of words and of class pairs come from all of it. Each previous class is a restaurant; all
-share the parent restaurant of single classes, whose base is uniform. Customers of the
-parent are the children's tables. Seating starts from its expected number of tables and is
-sampled by Gibbs sweeps, one Spark job each over all restaurants: in a step, a customer of
-each dish leaves its table and sits down anew. Predictive probabilities are averaged over
-the sweeps after burn-in. A word within its class comes from a Pitman-Yor restaurant of its
-own, whose base is uniform over the words of its class and the unknown one.
+"""Language model scores from a hierarchical Pitman-Yor process over whole words.
+
+Every word of the corpus is a context of its own: the words that follow it are the dishes of its restaurant. All
+restaurants share the parent restaurant of single words, whose base is uniform over the words and the unknown one.
+Customers of the parent are the children's tables. Counts, seatings and predictive terms are Spark tables that grow with
+the corpus; a row of the seating is one dish of one restaurant, so a frequent context has many rows and never one task.
+A dish with one customer has one table whatever is drawn, so only the others are seated. Seating starts from its expected
+number of tables and is sampled by Gibbs sweeps: in a step, a customer of each dish leaves its table and sits down anew.
+Dishes move side by side: within a sweep they see the tables of the others in their restaurant from before it.
+Predictive probabilities are averaged over the sweeps after burn-in. Words stand as 64-bit digests in all tables.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
 from .tokens import slices
 
-#: A word has a class of its own from this share of all tokens: one in so many.
-FREQUENT = 2500
-#: Discount and strength of the restaurants of classes.
+#: Discount and strength of all restaurants.
 DISCOUNT, STRENGTH = 0.75, 1.0
 #: Sweeps before and of the average; customers of each dish that move in a sweep.
 BURN_IN, SAMPLES, MOVES = 3, 4, 8
 #: Bytes of text scored in one task, about.
 CHUNK_BYTES = 8_000_000
-#: Class of the end of a text; classes 1 to 256 are the last bytes of rare words, then come frequent words.
-END, OWN = 0, 257
+#: Stands for the end of a text.
+END = 0
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -51,14 +49,25 @@ def with_ends(codes: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return np.insert(codes, np.cumsum(sizes), end)
 
 
-def class_of(word: bytes, own: dict[bytes, tuple[int, int]]) -> int:
-    known = own.get(word)
-    return known[0] if known else 1 + word[-1]
+def ids_of(words: list[bytes]) -> np.ndarray:
+    """Digests of words; the empty word is the end."""
+    return np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest(), "little", signed=True) or 1 if w else END for w in words), np.int64, len(words))
 
 
-def first_seating(counts: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(dish of each table, its customers): about as many tables as seating one by one would open, sizes falling as 1/k."""
-    a = (STRENGTH + DISCOUNT * 1.5 * len(counts)) * chance
+def draws(keys: np.ndarray, *salt: int) -> np.ndarray:
+    """A uniform number for each key, the same wherever its row lies."""
+    x = keys.astype(np.uint64)
+    for k in (*salt, 0):
+        x = (x + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)) * 2.0**-53
+
+
+def first_seating(counts: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dish of each table, its customers): about as many tables as seating one by one would open at weight ``a`` of a new
+    table, sizes falling as 1/k."""
     n, t, grow = np.ones(len(counts)), np.ones(len(counts)), counts ** (1 / 40)
     for _ in range(40):
         t += n * (grow - 1) * a / np.maximum(n - DISCOUNT * t + a, 1e-9)
@@ -67,18 +76,19 @@ def first_seating(counts: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, n
     of = np.repeat(np.arange(len(counts)), tables)
     begins = np.cumsum(tables) - tables
     share = 1 / (np.arange(len(of)) - begins[of] + 1)
-    share /= np.bincount(of, share)[of]
+    share /= np.bincount(of, share, len(counts))[of]
     size = 1 + np.floor((counts - tables)[of] * share).astype(np.int64)
     size[begins] += counts - np.bincount(of, size, len(counts)).astype(np.int64)
     return of, size
 
 
-def sweep(of: np.ndarray, size: np.ndarray, chance: np.ndarray, random: np.random.Generator, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
-    """Gibbs moves in one restaurant: ``moves`` times, a customer of each dish gets up and is seated given all others. Dishes
-    move side by side: within a move they see the table total from before it."""
+def sweep(of: np.ndarray, size: np.ndarray, chance: np.ndarray, total: np.ndarray, draw, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
+    """Gibbs moves: ``moves`` times, a customer of each dish gets up and is seated given all others. ``total`` has the tables
+    of each dish's restaurant before the sweep; ``draw(k)`` gives a uniform number for each dish."""
     dishes = len(chance)
     counts = np.bincount(of, size, dishes).astype(np.int64)
     tables = np.bincount(of, minlength=dishes)
+    others = total - tables
     slots = tables + moves
     ends = np.cumsum(slots)
     begins, spare = ends - slots, ends - moves
@@ -88,15 +98,15 @@ def sweep(of: np.ndarray, size: np.ndarray, chance: np.ndarray, random: np.rando
     for move in range(moves):
         cum = np.cumsum(n)
         before = cum[ends - 1] - counts
-        left = np.searchsorted(cum, before + np.floor(random.random(dishes) * counts).astype(np.int64), side="right")
+        left = np.searchsorted(cum, before + np.floor(draw(3 * move) * counts).astype(np.int64), side="right")
         n[left] -= 1
         tables -= n[left] == 0
         old = np.maximum(counts - 1 - DISCOUNT * tables, 0)
-        new = (STRENGTH + DISCOUNT * tables.sum()) * chance
-        opens = random.random(dishes) * (old + new) < new
+        new = (STRENGTH + DISCOUNT * (others + tables)) * chance
+        opens = draw(3 * move + 1) * (old + new) < new
         mass = np.cumsum(np.where(n > 0, n - DISCOUNT, 0))
         base_mass = np.where(begins > 0, mass[begins - 1], 0)
-        to = np.clip(np.searchsorted(mass, base_mass + random.random(dishes) * old, side="right"), begins, ends - 1)
+        to = np.clip(np.searchsorted(mass, base_mass + draw(3 * move + 2) * old, side="right"), begins, ends - 1)
         opens |= n[to] == 0
         to = np.where(opens, spare + move, to)
         tables += n[to] == 0
@@ -105,144 +115,145 @@ def sweep(of: np.ndarray, size: np.ndarray, chance: np.ndarray, random: np.rando
     return np.repeat(dish, slots)[kept], n[kept]
 
 
-def predictive(counts: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    return (counts - DISCOUNT * tables + (STRENGTH + DISCOUNT * tables.sum()) * parent) / (STRENGTH + counts.sum())
-
-
 @dataclass
 class Model:
-    own: dict[bytes, tuple[int, int]]  # frequent words: class and count
-    matrix: np.ndarray  # log10 probability of a class after a class
-    rare: np.ndarray  # by class: discount, tokens, words
+    pairs: DataFrame  # u, w, n, t: how often w follows u, and at how many tables on average
+    unknown: list[float]  # in each sample, the parent's chance of a word never seen
     total: int
     distinct: int
-    ends: int
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts."""
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """(u, w, n): how often word w follows word u; texts begin after an end."""
 
     def counted(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices([t or "" for t in texts]):
-                codes, distinct, _ = tokens(texts[a:b])
-                n = np.bincount(codes, minlength=len(distinct))
-                on = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()).filter(pa.array(on)), pa.array(n[on].astype(np.int64))], ["word", "n"])
+                codes, distinct, sizes = tokens(texts[a:b])
+                ids = np.append(ids_of(distinct), END)
+                seq = with_ends(codes, sizes, len(distinct))
+                pair, n = np.unique(np.append(len(distinct), seq[:-1]).astype(np.int64) << 32 | seq, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pair >> 32]), pa.array(ids[pair & 0xFFFFFFFF]), pa.array(n.astype(np.int64))], ["u", "w", "n"])
 
-    return docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(counted, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(docs: DataFrame, own: dict[bytes, tuple[int, int]]) -> DataFrame:
-    """(u, w, n): how often class w follows class u; texts begin after an end."""
-    shared = docs.sparkSession.sparkContext.broadcast(own)
+def _lists(of: np.ndarray, size: np.ndarray, dishes: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=dishes))]), pa.int32()), pa.array(size))
 
-    def counted(batches):
+
+def _opened(batches):
+    for batch in batches:
+        n, a = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("n", "a"))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("u", "w", "n", "alone")), _lists(*first_seating(n, a), len(n))], ["u", "w", "n", "alone", "sizes"])
+
+
+def _swept(number: int):
+    def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices([t or "" for t in texts]):
-                codes, distinct, sizes = tokens(texts[a:b])
-                classes = np.fromiter((class_of(w, shared.value) if w else END for w in distinct), np.int64, len(distinct))
-                seq = with_ends(classes[codes], sizes, END)
-                pair, n = np.unique(np.append(END, seq[:-1]) << 32 | seq, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["u", "w", "n"])
+            u, w, chance, total = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("u", "w", "p", "total"))
+            sizes = batch.column("sizes")
+            of = np.repeat(np.arange(len(u)), np.diff(sizes.offsets.to_numpy()))
+            keys = u.view(np.uint64) * np.uint64(3) ^ w.view(np.uint64)
+            out = _lists(*sweep(of, sizes.flatten().to_numpy(), chance, total, lambda k: draws(keys, number, k)), len(u))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("u", "w", "n", "alone")), out], ["u", "w", "n", "alone", "sizes"])
+
+    return run
 
-    return docs.select("text").mapInArrow(counted, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
+def _parent_tables(number: int, a: float, chance: float, total: int | None):
+    """Tables of each word in the parent: drawn anew, and moved where the restaurant's total is known."""
 
-def _seat(pairs: DataFrame, classes: int) -> np.ndarray:
-    """The averaged predictive matrix, one row a restaurant; classes never seen as context get the parent's."""
-    random = np.random.default_rng(5)
-    state_schema = "u long, w binary, n binary, of binary, size binary, mean binary"
-    arrays = {"w": np.int64, "n": np.int64, "of": np.int64, "size": np.int64}
-
-    def opened(rows):
-        rows = rows.sort_values("w")
-        n = rows["n"].to_numpy()
-        of, size = first_seating(n, parent[rows["w"].to_numpy()])
-        import pandas as pd
-
-        return pd.DataFrame([{"u": rows["u"].iloc[0], "w": rows["w"].to_numpy().tobytes(), "n": n.tobytes(), "of": of.tobytes(), "size": size.tobytes(), "mean": np.zeros(classes).tobytes()}])
-
-    def swept(number, parent, averaging):
-        def run(batches):
-            for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    w, n, of, size = (np.frombuffer(row[k], t) for k, t in arrays.items())
-                    of, size = sweep(of, size, parent[w], np.random.default_rng([number, row["u"]]))
-                    row |= {"of": of.tobytes(), "size": size.tobytes()}
-                    if averaging:
-                        counts, tables = np.zeros((2, classes))
-                        counts[w], tables[w] = n, np.bincount(of, minlength=len(w))
-                        row["mean"] = (np.frombuffer(row["mean"]) + predictive(counts, tables, parent) / SAMPLES).tobytes()
-                    out.append(row)
-                yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
-
-        return run
-
-    def tables_of(batches):
+    def run(batches):
         for batch in batches:
-            total = np.zeros(classes, np.int64)
-            for row in batch.select(["w", "of"]).to_pylist():
-                w = np.frombuffer(row["w"], np.int64)
-                total[w] += np.bincount(np.frombuffer(row["of"], np.int64), minlength=len(w))
-            on = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["w", "t"])
-
-    counts = np.zeros(classes)
-    for row in pairs.groupBy("w").agg(F.sum("n").alias("n")).collect():  # one row a class
-        counts[row.w] = row.n
-    parent = (counts**DISCOUNT + 1) / (counts**DISCOUNT + 1).sum()
-    parent_mean = np.zeros(classes)
-    state = base.settle(pairs.groupBy("u").applyInPandas(opened, state_schema), "seating")
-    seating = None
-    for number in range(BURN_IN + SAMPLES):
-        state = base.settle(state.mapInArrow(swept(number, parent, number >= BURN_IN), state_schema), "seating")
-        if number >= BURN_IN:
-            parent_mean += parent / SAMPLES
-        customers = np.zeros(classes, np.int64)
-        for row in state.mapInArrow(tables_of, "w long, t long").groupBy("w").agg(F.sum("t").alias("t")).collect():  # one row a class
-            customers[row.w] = row.t
-        served = np.flatnonzero(customers)
-        chance = np.full(len(served), 1 / classes)
-        if len(served):
-            # The parent's customers have changed: their tables are drawn anew and then moved.
-            seating = sweep(*first_seating(customers[served], chance), chance, random, 4 * MOVES)
-            tables = np.zeros(classes)
-            tables[served] = np.bincount(seating[0], minlength=len(served))
-            parent = predictive(customers, tables, np.full(classes, 1 / classes))
-    matrix = np.tile(parent_mean, (classes, 1)).astype(np.float32)
-    for row in state.select("u", "mean").toArrow().to_pylist():  # at most classes rows of classes numbers
-        matrix[row["u"]] = np.frombuffer(row["mean"])
-    return np.log10(matrix)
+            w, c = batch.column("w").to_numpy(), batch.column("c").to_numpy()
+            tables, many = np.ones(len(c), np.int64), np.flatnonzero(c > 1)
+            if len(many):
+                of, size = first_seating(c[many], np.full(len(many), a))
+                if total is not None:
+                    of, size = sweep(of, size, np.full(len(many), chance), np.full(len(many), total), lambda k: draws(w[many], 1000 + number, k), 4 * MOVES)
+                tables[many] = np.bincount(of, minlength=len(many))
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), pa.array(tables)], ["w", "c", "t"])
+
+    return run
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, bounded in size whatever the corpus, and the counts of all words. An empty corpus gives the uniform model."""
+    """The model, and the words: id, n, ps (the parent's chance of it in each sample), c and ts (customers of its restaurant
+    and tables in each sample). An empty corpus gives the uniform model."""
     base.short_batches(docs.sparkSession)
-    docs = base.only(docs, "doc_id", "text")
-    words = base.settle(count_words(docs), "words")
-    ends = docs.count()
-    in_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, distinct = in_words + ends, kinds + (ends > 0)
-    often = words.where(F.col("n") * FREQUENT >= total).orderBy(F.desc("n"), "word").collect()  # FREQUENT rows at most
-    own = {bytes(r.word): (OWN + k, r.n) for k, r in enumerate(often)}
-    rare = np.zeros((OWN + len(own), 3))
-    rare[:, 0] = DISCOUNT
-    last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int")
-    for r in words.where(F.col("n") * FREQUENT < total).groupBy(last.alias("last")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect():
-        rare[1 + r["last"]] = min(0.95, max(0.05, r.once / max(1, r.once + 2 * r.twice))), r.n, r.kinds
-    pairs = base.settle(count_pairs(docs, own), "pairs")
-    return Model(own, _seat(pairs, OWN + len(own)), rare, total, distinct, ends), words
+    pairs = base.settle(count_pairs(base.only(docs, "doc_id", "text")), "pairs")
+    words = base.settle(pairs.groupBy("w").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("alone")), "words")
+    contexts = base.settle(pairs.groupBy("u").agg(F.sum("n").alias("c"), F.count_if(F.col("n") == 1).alias("alone"), F.count("*").alias("dishes")), "contexts")
+    total, distinct, first_mass = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.col("n") ** DISCOUNT + 1), F.lit(1.0))).first()
+    chance = 1 / (max(1, distinct) + 1)
+    parent = words.select("w", ((F.col("n") ** DISCOUNT + 1) / first_mass).alias("p"))
+    weight = (STRENGTH + DISCOUNT * 1.5 * F.col("dishes")) * F.col("p")
+    seated = pairs.where("n > 1").join(contexts.select("u", "alone", "dishes"), "u").join(parent, "w")
+    state = base.settle(seated.select("u", "w", "n", "alone", weight.alias("a")).mapInArrow(_opened, "u long, w long, n long, alone long, sizes array<long>"), "seating")
+    samples: list[DataFrame] = []
+    parents: list[DataFrame] = []
+    unknown: list[float] = []
+    for number in range(BURN_IN + SAMPLES):
+        open_now = state.groupBy("u").agg((F.first("alone") + F.sum(F.size("sizes"))).alias("total"))
+        moved = state.join(open_now, "u").join(parent, "w").select("u", "w", "n", "alone", "sizes", "total", "p")
+        old = [state] if number <= BURN_IN else []
+        state = base.settle(moved.mapInArrow(_swept(number), "u long, w long, n long, alone long, sizes array<long>"), "seating")
+        # The parent's customers have changed: their tables are drawn anew and then moved.
+        sent = state.groupBy("w").agg(F.sum(F.size("sizes")).alias("t"))
+        customers = base.settle(words.join(sent, "w", "left").select("w", (F.col("alone") + F.coalesce("t", F.lit(0))).alias("c")), "customers")
+        a = (STRENGTH + DISCOUNT * 1.5 * distinct) * chance
+        before = customers.mapInArrow(_parent_tables(number, a, chance, None), "w long, c long, t long").agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+        old += [customers] + ([served] if 0 < number <= BURN_IN else [])
+        served = base.settle(customers.mapInArrow(_parent_tables(number, a, chance, before), "w long, c long, t long"), "parent")
+        c, t = served.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+        rest = (STRENGTH + DISCOUNT * t) * chance / (STRENGTH + c)
+        parent = served.select("w", ((F.col("c") - DISCOUNT * F.col("t")) / (STRENGTH + c) + F.lit(rest)).alias("p"))
+        if number >= BURN_IN:
+            k = number - BURN_IN
+            samples.append(state.select("u", "w", "n", "alone", F.size("sizes").cast("long").alias("t"), F.lit(k).alias("k")))
+            parents.append(parent.withColumn("k", F.lit(k)))
+            unknown.append(rest)
+        del moved, open_now, sent, customers
+        _drop(old)
+    all_samples = _all(samples)
+    mean = all_samples.groupBy("u", "w").agg(F.first("n").alias("n"), (F.sum("t") / SAMPLES).alias("t"))
+    pairs = base.settle(mean.unionByName(pairs.where("n = 1").select("u", "w", "n", F.lit(1.0).alias("t"))), "means")
+    opened = all_samples.groupBy("u").agg(*_by_sample("t", 0))
+    tables = contexts.join(opened, "u", "left").select("u", "c", F.array(*(F.col("alone") + F.coalesce(f"s{k}", F.lit(0)) for k in range(SAMPLES))).alias("ts"))
+    chances = _all(parents).groupBy("w").agg(*_by_sample("p", 0.0))
+    known = words.join(chances, "w").select("w", "n", F.array(*(F.col(f"s{k}") for k in range(SAMPLES))).alias("ps"))
+    known = known.join(tables, F.col("w") == F.col("u"), "left").select(F.col("w").alias("id"), "n", "ps", F.coalesce("c", F.lit(0)).alias("c"), "ts")
+    return Model(pairs, unknown, total, distinct), base.settle(known, "known")
+
+
+def _drop(frames: list[DataFrame]) -> None:
+    """Deletes settled tables that nothing reads again, and lets Spark's cleaner find the shuffles that made them."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _by_sample(column: str, none) -> list[Column]:
+    return [F.sum(F.when(F.col("k") == k, F.col(column)).otherwise(none)).alias(f"s{k}") for k in range(SAMPLES)]
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text; a null text is empty and has
     only its end. Rows with equal or null doc_id stay rows of their own.
 
-    Texts are dealt into chunks; a chunk asks for the counts of its rare words, and gets them back before it is scored.
+    Texts are dealt into chunks; a chunk asks for its words and its pairs of words, and gets what the model has of them
+    before it is scored.
     """
     spark = docs.sparkSession
     base.short_batches(spark)
@@ -250,38 +261,62 @@ def score(docs: DataFrame, model: Model, words: DataFrame, held_out) -> DataFram
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     texts = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
-    shared = spark.sparkContext.broadcast(model)
+    total, distinct_words, unknown = model.total, model.distinct, np.array(model.unknown)
 
-    def wanted(chunk):
-        seen: set = set()
-        rows = chunk.column("text").to_pylist()
-        for a, b in slices([t or "" for t in rows]):
-            seen.update(tokens(rows[a:b])[1])
-        seen -= shared.value.own.keys()
-        seen.discard(b"")
-        return pa.table({"chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(seen), pa.int64()), "word": pa.array(list(seen), pa.binary())})
-
-    def scored(chunk, counts):
-        m = shared.value
-        known = dict(zip(counts.column("word").to_pylist(), counts.column("n").to_pylist(), strict=True))
-        known |= {w: n for w, (_, n) in m.own.items()}
-        floor = np.log10(m.total + m.distinct + 1)
-        rows, out = chunk.column("text").to_pylist(), []
+    def read(rows):
         for a, b in slices([t or "" for t in rows]):
             codes, distinct, sizes = tokens(rows[a:b])
-            n = np.fromiter((known.get(w, 0) for w in distinct), np.float64, len(distinct))
-            classes = np.fromiter((class_of(w, m.own) if w else END for w in distinct), np.int64, len(distinct))
-            d, c, v = m.rare[classes].T
-            inside = np.log10((np.maximum(n - d, 0) + (STRENGTH + d * v) / (v + 1)) / (STRENGTH + c))
-            inside[classes >= OWN] = 0
-            n, classes, inside = np.append(n, m.ends), np.append(classes, END), np.append(inside, 0)
-            seq = with_ends(codes, sizes, len(distinct))
-            after = classes[seq]
-            chance = m.matrix[np.append(END, after[:-1]), after] + inside[seq]
+            ids = np.append(ids_of(distinct), END)
+            yield ids[with_ends(codes, sizes, len(distinct))], sizes
+
+    def wanted(chunk):
+        seqs = [seq for seq, _ in read(chunk.column("text").to_pylist())]
+        both = [np.stack([np.append(END, seq[:-1]), seq], 1) for seq in seqs]
+        u, w = np.unique(np.concatenate(both).view("V16")).view(np.int64).reshape(-1, 2).T
+        seen = np.unique(w)
+        mark = pa.array(np.full(len(u) + len(seen), chunk.column("chunk")[0].as_py()), pa.int64())
+        return pa.table({"chunk": mark, "u": pa.concat_arrays([pa.array(u), pa.nulls(len(seen), pa.int64())]), "w": pa.array(np.concatenate([w, seen]))})
+
+    def scored(chunk, answers):
+        answers = answers.combine_chunks()
+        word = pc.is_null(answers.column("u"))
+        of_words = answers.filter(word).sort_by("w")
+        of_pairs = answers.filter(pc.invert(word)).sort_by([("u", "ascending"), ("w", "ascending")])
+        ids, counts, c = (np.append(of_words.column(k).to_numpy(), x) for k, x in (("w", np.iinfo(np.int64).max), ("n", 0), ("c", 0)))
+        ps, ts = (of_words.column(k).combine_chunks() for k in ("ps", "ts"))
+        ps = np.vstack([ps.flatten().to_numpy().reshape(-1, SAMPLES), unknown])
+        opened = np.zeros((len(ids), SAMPLES))
+        has = np.flatnonzero(~ts.is_null().to_numpy(zero_copy_only=False))
+        opened[has] = ts.flatten().to_numpy().reshape(-1, SAMPLES)
+        pu, pw = (of_pairs.column(k).to_numpy() for k in ("u", "w"))
+        gain = np.append(of_pairs.column("n").to_numpy() - DISCOUNT * of_pairs.column("t").to_numpy(), 0)
+
+        def place(x):
+            at = np.searchsorted(ids[:-1], x)
+            return np.where(ids[at] == x, at, len(ids) - 1)
+
+        # Pairs are looked up by the places of their words, which are small and in the order of the ids.
+        pair_keys = place(pu) * len(ids) + place(pw)
+        order = np.argsort(pair_keys)
+        pair_keys, gain = np.append(pair_keys[order], np.iinfo(np.int64).max), np.append(gain[:-1][order], 0)
+        floor = np.log10(total + distinct_words + 1)
+        out = []
+        for seq, sizes in read(chunk.column("text").to_pylist()):
+            w = place(seq)
+            u = np.append(place(np.array([END])), w[:-1])
+            at = np.searchsorted(pair_keys[:-1], u * len(ids) + w)
+            own = np.where(pair_keys[at] == u * len(ids) + w, gain[at], 0)
+            back = ((STRENGTH + DISCOUNT * opened[u]) * ps[w]).mean(1)
+            chance = np.log10((own + back) / (STRENGTH + c[u]))
+            n = counts[w]
             starts = np.cumsum(sizes + 1) - sizes - 1
-            out.append([x for x in (sizes + 1, np.add.reduceat(n[seq] > 0, starts, dtype=np.int64), np.add.reduceat(np.log10(n + 1)[seq] - floor, starts), np.add.reduceat(chance, starts, dtype=np.float64))])
+            out.append([sizes + 1, np.add.reduceat(n > 0, starts, dtype=np.int64), np.add.reduceat(np.log10(n + 1) - floor, starts), np.add.reduceat(chance, starts)])
         n_tokens, n_known, plain, full = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 4
-        return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([m.total] * len(n_tokens), pa.int64()), "base_score": plain, "score": full})
-
-    asked = texts.groupBy("chunk").applyInArrow(wanted, "chunk long, word binary").join(words, "word")
-    return texts.groupBy("chunk").cogroup(asked.select("chunk", "word", "n").groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(n_tokens), pa.int64()), "base_score": plain, "score": full})
+
+    asked = base.settle(texts.groupBy("chunk").applyInArrow(wanted, "chunk long, u long, w long"), "asked")
+    nothing = {"t": F.lit(None).cast("double"), "ps": F.lit(None).cast("array<double>"), "c": F.lit(None).cast("long"), "ts": F.lit(None).cast("array<long>")}
+    of_pairs = asked.where("u is not null").join(model.pairs, ["u", "w"]).withColumns({k: nothing[k] for k in ("ps", "c", "ts")})
+    of_words = asked.where("u is null").join(words.withColumnRenamed("id", "w"), "w").withColumns({"t": nothing["t"]})
+    answers = of_pairs.unionByName(of_words).select("chunk", "u", "w", "n", "t", "ps", "c", "ts")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -163,3 +163,20 @@ def test_encoder_equals_the_library():
     mine = tokens.Encoder("word_bpe_49k.json")
     for t, ids in zip(TEXTS, mine.ids(TEXTS), strict=True):
         assert ids.tolist() == coder.encode(t or "", add_special_tokens=False).ids
+
+
+def test_pitman_yor_contexts_are_whole_words(spark):
+    # Rare words with the same last byte: "xa" is always followed by "pa", "ya" by "qa".
+    rows = [(k, "xa pa" if k % 2 else "ya qa") for k in range(40)] + [(40, " ".join(f"w{k}" for k in range(3000)))] + [(100, "xa pa"), (101, "xa qa"), (102, "zz pa")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model, words = pitman_yor.train(table.where("doc_id < 100"))
+    contexts = len({w for _, t in rows[:41] for w in t.split()}) + 1
+    assert model.pairs.select("u").distinct().count() == contexts == words.count()
+    got = by_id(pitman_yor.score(table, model, words, F.col("doc_id") >= 100))
+    assert got[100].score > got[101].score + 1 and got[102].n_known == 2
+    # The predictive chances after "xa" of all words and the unknown one sum to one.
+    terms, pair = {r["id"]: r for r in words.collect()}, {(r.u, r.w): r for r in model.pairs.collect()}
+    xa = int(pitman_yor.ids_of([b"xa"])[0])
+    back = lambda ps: sum((1 + 0.75 * t) * p for t, p in zip(terms[xa].ts, ps, strict=True)) / len(ps)
+    mass = sum((pair[xa, w].n - 0.75 * pair[xa, w].t if (xa, w) in pair else 0) + back(r.ps) for w, r in terms.items()) + back(model.unknown)
+    assert mass / (1 + terms[xa].c) == pytest.approx(1)
