@@ -111,15 +111,51 @@ def read(spark: SparkSession, path: str, sheet: str | int | None = None) -> tupl
         # Spark reads no windows-1252: as Latin-1 only bytes 80 to 9F differ, and those are put right afterwards.
         wrong, right = zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")), strict=True)
         cell = lambda k: F.translate(F.col(f"c{k}"), "".join(wrong), "".join(right)) if guess else F.col(f"c{k}")
-        raw = spark.read.csv(path, schema=", ".join(f"c{k} string" for k in range(width)), sep=delimiter, encoding="ISO-8859-1" if guess else code, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-        # One file read as a whole has one partition: ids ascend with its rows.
-        body = raw.select(F.monotonically_increasing_id().alias("number"), F.array(*(F.coalesce(cell(k), F.lit("")) for k in range(width))).alias("cells")).where(F.col("number") > start)
+        # Lines are records where no quoted cell holds a line break; a line of blanks alone is a record only to the whole-file reader.
+        lines = spark.read.text(path)
+        whole = code == "UTF-16" or not lines.where((F.regexp_count("value", F.lit('"')) % 2 == 1) | F.col("value").rlike(r"^[\x00-\x20]+$")).isEmpty()
+        options = {"sep": delimiter, "encoding": "ISO-8859-1" if guess else code, "multiLine": whole, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+        width = _width(_numbered(_csv(spark, path, width, options, True), whole).where(F.col("number") > start), width, delimiter)
+        raw = _numbered(_csv(spark, path, width, options, False), whole)
+        body = raw.select("number", F.array(*(F.coalesce(cell(k), F.lit("")) for k in range(width))).alias("cells")).where(F.col("number") > start)
         number = F.col("number") - start
     names = unique_names(grid[start], width)
     filled = body.where(F.exists("cells", lambda c: F.trim(c) != ""))
     return filled.select(number.alias("row_number"), *(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names))), warnings
 
 
+def _csv(spark: SparkSession, path: str, width: int, options: dict, broken: bool) -> DataFrame:
+    """Columns c0 on, where broken also the text of records of another width, and where each row was read."""
+    schema = ", ".join([*(f"c{k} string" for k in range(width)), *(["broken string"] if broken else [])])
+    rows = spark.read.csv(path, schema=schema, columnNameOfCorruptRecord="broken", **options)
+    return rows.select("*", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
+def _numbered(rows: DataFrame, whole: bool) -> DataFrame:
+    """Adds number, from 0 in the file's order. A file read as a whole has one block, whose places ascend from 0."""
+    if whole:
+        return rows.withColumn("number", F.col("place"))
+    blocks, offset = [], 0
+    for r in rows.groupBy("block").agg(F.min("place").alias("first"), F.count("*").alias("n")).orderBy("block").collect():  # one row a block
+        blocks.append((r.block, offset - r.first))
+        offset += r.n
+    shifts = rows.sparkSession.createDataFrame(blocks, "block long, shift long")
+    return rows.join(F.broadcast(shifts), "block").withColumn("number", F.col("place") + F.col("shift"))
+
+
+def _width(rows: DataFrame, width: int, delimiter: str) -> int:
+    """The most cells of any row; those of another width than the schema's are counted in their text."""
+
+    def counted(frames):
+        csv.field_size_limit(2**31 - 1)
+        for frame in frames:
+            found = [len(r) for text in frame["broken"].dropna() for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)]
+            yield pd.DataFrame({"width": [max(found, default=0)]})
+
+    cells = [c for c in rows.columns if c not in ("block", "place", "number")]
+    return max(width, rows.select(*cells).mapInPandas(counted, "width long").agg(F.max("width")).first()[0] or 0)
+
+
 def _steadiness(text: str, delimiter: str) -> int:
     """How many of the first rows have the most frequent width above one."""
     widths = [len(r) for r in list(csv.reader(io.StringIO(text), delimiter=delimiter))[: 2 * HEADER_ROWS]]

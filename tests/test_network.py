@@ -101,6 +101,23 @@ def test_csv_with_preamble(spark, tmp_path, encoding):
     assert bool(warnings) == (encoding == "cp1252")
 
 
+@pytest.mark.parametrize("quoted", [False, True])
+def test_csv_keeps_cells_of_late_wide_rows(spark, tmp_path, quoted):
+    path = tmp_path / "late.csv"
+    lines = ["Prose,with,far,more,cells,than,any,row", "First Name,City", *(f"p{k},c{k}" for k in range(5000)), "wide,x,extra,,last", *(f"q{k}," for k in range(5000))]
+    path.write_text("\n".join([*lines, '"two\nlines",y,z'] if quoted else lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows, _ = tabular.read(spark, str(path))
+        assert rows.columns == ["row_number", "First Name", "City", "Spalte 3", "Spalte 4", "Spalte 5"]
+        assert (rows.rdd.getNumPartitions() > 1) == (not quoted)
+        got = {r[0]: tuple(r)[1:] for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == list(range(1, 10002 + quoted)) and got[5001] == ("wide", "x", "extra", "", "last")
+    assert got[1][:2] == ("p0", "c0") and got[10001][:2] == ("q4999", "") and (not quoted or got[10002] == ("two\nlines", "y", "z", "", ""))
+
+
 def test_rate_limit_matches_brute_force(spark):
     rows = [(k, k % 2, datetime(2024, 1, 1) + timedelta(minutes=k * 7 % 300)) for k in range(200)]
     out = {r.id: r.accepted for r in rates.limited(spark.createDataFrame(rows, "id long, user long, at timestamp"), "user", "at", "id").collect()}
