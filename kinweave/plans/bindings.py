@@ -154,6 +154,12 @@ def q_count_by_status_zero_filled(spark, sf_dir):
     return C.counts_by(contacts.where("id % 2 = 3"), "status")
 
 
+@_query(f"{_with('contacts')} select v.status, count(c.id)::bigint as n from (values ('imported'), ('active'), ('archived')) v(status) left join contacts c on c.status = v.status group by 1")
+def q_count_by_status(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    return C.counts_by(contacts, "status")
+
+
 @_query(f"{_with('contacts')} select v.stage, count(c.id)::bigint as n from (values ('new'), ('reached_out'), ('in_touch'), ('close'), ('dormant')) v(stage) left join contacts c on c.stage = v.stage group by 1")
 def q_count_by_stage(spark, sf_dir):
     (contacts,) = network(spark, sf_dir, "contacts")

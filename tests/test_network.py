@@ -149,3 +149,19 @@ def test_query_equals_sql(spark, name):
         con.execute(f"create view {p.stem} as select * from '{p}'")
     wanted, got = con.execute(bindings.ORACLE_SQL[name]).df(), bindings.QUERIES[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(wanted.columns) and _rows(got, sorted(got.columns)) == _rows(wanted, sorted(got.columns))
+
+
+def _against_sql(spark, name):
+    con = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    wanted, got = con.execute(bindings.ORACLE_SQL[name]).df(), bindings.QUERIES[name](spark, DATA).toPandas()
+    assert sorted(got.columns) == sorted(wanted.columns) and _rows(got, sorted(got.columns)) == _rows(wanted, sorted(got.columns))
+    return got
+
+
+def test_count_by_status_counts_all_contacts(spark):
+    got = _against_sql(spark, "q_count_by_status")
+    assert got["n"].sum() == spark.read.parquet(f"{DATA}/customer.parquet").count() and (got["n"] > 0).all()
+    few = people(spark, [{"id": 1, "name": "A"}, {"id": 2, "name": "B"}, {"id": 3, "name": "C", "status": "archived"}])
+    assert {r.status: r.n for r in C.counts_by(few, "status").collect()} == {"active": 2, "archived": 1, "imported": 0}
