@@ -353,7 +353,7 @@ def q_dropped_histogram(spark, sf_dir):
 
 
 def _people(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Customers as known contacts; suppliers and later customers as incoming rows."""
+    """Some customers as known contacts, some as incoming rows; _everyone has all."""
     base = _table(spark, sf_dir, "customer")
     site = F.concat(F.lit("example.org/p/"), F.col("c_custkey").cast("string"))
     known = base.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Person "), F.col("c_nationkey").cast("string")).alias("name"), F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("@example.org"))).alias("email"), F.when(F.col("c_custkey") % 3 == 0, site).alias("linkedin_url"))
@@ -375,9 +375,46 @@ def q_dedupe_match(spark, sf_dir):
     return resolve.match(*_people(spark, sf_dir)).select("row_number", "contact_id", "matched_by")
 
 
+def _everyone(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All customers as known contacts; all customers (even numbers) and all suppliers (odd ones) as incoming rows. Of the
+    customers' incoming addresses half have the known scheme and half another."""
+    site = F.concat(F.lit("example.org/p/"), F.col("c_custkey").cast("string"))
+    customers, suppliers = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "supplier")
+    known = customers.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Person "), F.col("c_nationkey").cast("string")).alias("name"), F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("@example.org"))).alias("email"), F.when(F.col("c_custkey") % 3 == 0, site).alias("linkedin_url"))
+    address = F.when(F.col("c_custkey") % 4 == 0, F.concat(site, F.lit("/"))).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("http://"), site))
+    again = customers.select((2 * F.col("c_custkey")).alias("row_number"), F.concat(F.lit("PERSON-"), F.col("c_nationkey").cast("string")).alias("name"), F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit("@Example.org"))).alias("email"), address.alias("linkedin_url"))
+    first = suppliers.select((2 * F.col("s_suppkey") + 1).alias("row_number"), F.concat(F.lit("PERSON-"), F.col("s_nationkey").cast("string")).alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit("@Example.org"))).alias("email"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("https://Example.org/s/"), F.col("s_suppkey").cast("string"))).alias("linkedin_url"))
+    return known, again.unionByName(first)
+
+
+_EVERYONE = """known as (select c_custkey as id, concat('person ', c_nationkey) as name, case when c_custkey % 4 = 0 then lower(concat(c_name, '@example.org')) end as email, case when c_custkey % 3 = 0 then concat('https://example.org/p/', c_custkey) end as url from customer),
+    new as (select 2 * c_custkey as row_number, concat('person ', c_nationkey) as name, case when c_custkey % 5 = 0 then lower(concat(c_name, '@example.org')) end as email, case c_custkey % 4 when 0 then concat('https://example.org/p/', c_custkey) when 2 then concat('http://example.org/p/', c_custkey) end as url from customer
+      union all select 2 * s_suppkey + 1, concat('person ', s_nationkey), case when s_suppkey % 2 = 0 then lower(concat(s_name, '@example.org')) end, case when s_suppkey % 3 = 0 then concat('https://example.org/s/', s_suppkey) end from supplier)"""
+_ALL_MATCHED = f"""with {_EVERYONE}, m as (select n.row_number,
+      (select min(id) from known k where k.url = n.url) as by_url, (select min(id) from known k where k.email = n.email) as by_email,
+      (select min(id) from known k where k.name = n.name and not coalesce(n.url <> k.url, false) and not coalesce(n.email <> k.email, false)) as by_name from new n)
+    select row_number, coalesce(by_url, by_email, by_name) as contact_id, case when by_url is not null then 'url' when by_email is not null then 'email' when by_name is not null then 'name' end as matched_by from m"""
+
+
+@_query(_ALL_MATCHED)
+def q_dedupe_match_all(spark, sf_dir):
+    return resolve.match(*_everyone(spark, sf_dir)).select("row_number", "contact_id", "matched_by")
+
+
+@_query(f"""with o as ({_ALL_MATCHED}) select count(*)::bigint as total, count(*) filter (contact_id is null)::bigint as created, 0::bigint as enriched, count(contact_id)::bigint as skipped, 0::bigint as errors, count(contact_id)::bigint as matched, 0 as exit_code from o""")
+def q_import_summary_all(spark, sf_dir):
+    found = resolve.match(*_everyone(spark, sf_dir))
+    return resolve.summary(found.withColumn("outcome", F.when(F.col("contact_id").isNull(), "created").otherwise("skipped")))
+
+
+@_query(f"""with o as ({_ALL_MATCHED}) select matched_by, count(*)::bigint as n, min(row_number) as first_row from o where matched_by is not null group by 1""")
+def q_matched_histogram_all(spark, sf_dir):
+    return resolve.histogram(resolve.match(*_everyone(spark, sf_dir)), "matched_by")
+
+
 @_query(None)
 def q_dedupe_replay(spark, sf_dir):
-    return resolve.replay(*_people(spark, sf_dir))
+    return resolve.replay(*_everyone(spark, sf_dir))
 
 
 @_query(f"""with o as ({_MATCHED}) select count(*)::bigint as total, count(*) filter (contact_id is null)::bigint as created, 0::bigint as enriched, count(contact_id)::bigint as skipped, 0::bigint as errors, count(contact_id)::bigint as matched, 0 as exit_code from o""")

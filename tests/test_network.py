@@ -165,3 +165,18 @@ def test_count_by_status_counts_all_contacts(spark):
     assert got["n"].sum() == spark.read.parquet(f"{DATA}/customer.parquet").count() and (got["n"] > 0).all()
     few = people(spark, [{"id": 1, "name": "A"}, {"id": 2, "name": "B"}, {"id": 3, "name": "C", "status": "archived"}])
     assert {r.status: r.n for r in C.counts_by(few, "status").collect()} == {"active": 2, "archived": 1, "imported": 0}
+
+
+@pytest.mark.parametrize("name", ["q_dedupe_match_all", "q_import_summary_all", "q_matched_histogram_all"])
+def test_resolution_of_everyone_equals_sql(spark, name):
+    got = _against_sql(spark, name)
+    if name == "q_dedupe_match_all":
+        assert len(got) == sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("customer", "supplier"))
+    if name == "q_matched_histogram_all":
+        assert set(got["matched_by"]) == {"url", "email", "name"}
+
+
+def test_replay_takes_everyone(spark):
+    got = bindings.QUERIES["q_dedupe_replay"](spark, DATA).toPandas()
+    numbers = [2 * r.k for r in spark.table("parquet.`%s/customer.parquet`" % DATA).selectExpr("c_custkey k").collect()] + [2 * r.k + 1 for r in spark.table("parquet.`%s/supplier.parquet`" % DATA).selectExpr("s_suppkey k").collect()]
+    assert sorted(got["row_number"]) == sorted(numbers) and {"url", "email", "name"} <= set(got["matched_by"].dropna())
