@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import settle
+from .graph import components
 
 #: Fields that identify a person: a match by name alone never writes them.
 IDENTITY = ("email", "linkedin_url")
@@ -47,30 +47,10 @@ def match(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.join(found, on, "left").drop(*(f"k_{k}" for k in _KEYS))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Ends the lineage in the folder that the cluster shares."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def groups(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(row, part) for pairs (row, key): rows that share keys, directly or over others, get the same part.
-
-    Labels spread by alternating minima over keys and rows; each round is two aggregations, whatever a key's size.
-    """
-    labels = _written(pairs.select("row", "key", F.col("row").alias("part")), "parts")
-    for _ in range(rounds):
-        by_key = labels.groupBy("key").agg(F.min("part").alias("low"))
-        by_row = labels.join(by_key, "key").groupBy("row").agg(F.min("low").alias("new"))
-        spread = _written(labels.join(by_row, "row").select("row", "key", "part", "new"), "parts")
-        moved = spread.where("new < part").isEmpty()
-        labels = spread.select("row", "key", F.col("new").alias("part"))
-        if moved:
-            return labels.select("row", "part").distinct()
-    raise RuntimeError("groups did not settle")
+def groups(pairs: DataFrame) -> DataFrame:
+    """(row, part) for pairs (row, key), both text: rows that share keys, directly or over others, get the same part."""
+    edges = pairs.select(F.concat(F.lit("r"), "row").alias("a"), F.concat(F.lit("k"), "key").alias("b"))
+    return components(edges).where("node like 'r%'").select(F.expr("substring(node, 2)").alias("row"), F.col("component").alias("part"))
 
 
 def _replay(rows: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +113,7 @@ def replay(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     known = with_keys(existing).select(F.lit(False).alias("incoming"), F.col("id").alias("number"), F.lit(None).cast("long").alias("row_number"), *_KEYS)
     rows = with_keys(incoming).join(F.broadcast(top)).select(F.lit(True).alias("incoming"), (F.col("top") + F.col("row_number")).alias("number"), F.col("row_number").cast("long").alias("row_number"), *_KEYS)
-    all_rows = _written(known.unionByName(rows).withColumn("row", F.concat(F.when(F.col("incoming"), "r").otherwise("e"), F.col("number").cast("string"))), "rows")
+    all_rows = settle(known.unionByName(rows).withColumn("row", F.concat(F.when(F.col("incoming"), "r").otherwise("e"), F.col("number").cast("string"))), "rows")
     keys = F.explode(F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k))) for k in _KEYS))))
     pairs = all_rows.select("incoming", "row", keys.alias("key"))
     parts = groups(pairs.select("row", "key"))
@@ -141,7 +121,7 @@ def replay(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     wanted = placed.where("incoming").select("part").distinct()
     done = placed.join(wanted, "part", "left_semi").groupBy("part").applyInPandas(_replay, "row_number long, outcome string, contact_id long, matched_by string, reason string")
     # Final ids: created rows counted in row order; those of later matches follow their creator.
-    done = _written(done, "outcomes")
+    done = settle(done, "outcomes")
     made = done.where("outcome = 'created'").select(F.col("contact_id").alias("made"), F.row_number().over(W.orderBy("row_number")).alias("place"))
     renamed = made.join(F.broadcast(top)).select("made", (F.col("top") + F.col("place")).alias("final"))
     return done.join(renamed, F.col("contact_id") == F.col("made"), "left").select("row_number", "outcome", F.coalesce("final", "contact_id").alias("contact_id"), "matched_by", "reason")
