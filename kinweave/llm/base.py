@@ -1,12 +1,13 @@
-"""What the operators share: tables in the shared folder, bounded Arrow batches, components."""
+"""What the operators share: their tables, bounded Arrow batches, folds of ids."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components  # noqa: F401
+from ..sources.scratch import drop, scratch, settle  # noqa: F401
+
 #: Rows in one Arrow batch; texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
 
@@ -15,29 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a compressed table in the shared folder and reads it back: lineage ends there and outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def short_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small in memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -53,28 +31,3 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 def fold(column: str, parts: int) -> F.Column:
     """crc32 of the id as text, modulo parts; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts)), F.lit(0))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b): the smallest node that can be reached.
-
-    Alternating large-star and small-star steps, each a grouped minimum and a join, so no
-    component meets in one task; a step's edges go to the shared folder.
-    """
-    edges = settle(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.selectExpr("b a", "a b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.where("b > a").join(least, "a").selectExpr("b a", "m b")
-        down = large.where("a <> b").distinct()
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lowest, "a").selectExpr("case when b = m then a else b end a", "m b").where("a <> b")
-        edges = settle(small.distinct(), "edges")
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.selectExpr("a node", "b component").unionByName(edges.selectExpr("b node", "b component").distinct())

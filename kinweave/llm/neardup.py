@@ -1,12 +1,12 @@
 """Near-duplicates by SetSketch registers over word shingles.
 
-A document's shingle set gives 128 registers: exponentially distributed minima on a
-logarithmic scale, truncated to 16 bits. Registers of a union are the maxima, so sketches
-merge; equal registers are as likely as shingles are shared, so bands of them find
-candidates. Documents with the same set form a class. In each band bucket every class is
-held against the smallest one; classes of a bucket that are still unconnected are then
-held against each other, so no pair that shares a bucket is left undecided. A joint
-likelihood over both sketches and set sizes drops far pairs, full sets decide the rest.
+A document's shingle set gives 640 registers: exponentially distributed minima on a logarithmic scale, truncated to a byte.
+Registers of a union are the maxima, so sketches merge; registers agree the likelier the more shingles are shared, so
+bands of them find candidates. Documents with the same set form a class. Classes that share a band bucket, directly or
+over others, form a cluster; a cluster is dealt into blocks of bounded size, and two blocks meet in a task if any bucket
+has members of both. There a joint likelihood over both sketches and set sizes drops far pairs and full sets decide the
+rest; pairs that others connect already are passed over, and only the links that connect are returned. So no pair that shares a bucket
+is left undecided, and rows grow with the members of a group, not with their pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from . import base
 from .tokens import slices
 
-#: Bands and registers in a band: a pair of similarity 0.8 is missed once in 20 million.
-BANDS, ROWS = 32, 4
+#: Bands and registers in a band: a pair of similarity 0.8 shares no band with a chance of about 1 in 1500, one of 0.85 in a million.
+BANDS, ROWS = 64, 10
 REGISTERS = BANDS * ROWS
-#: Base and rate of the registers' scale.
-SCALE, RATE = 1.001, 1 / 64
-#: How far below the threshold an estimate may lie before a pair is dropped: over five standard errors.
-SLACK = 0.2
+#: Base of the registers' scale, and the time at which it begins.
+SCALE, LAST = 1.1, 20.0
+#: Standard errors that an estimate may lie below the threshold before a pair is dropped.
+ERRORS = 4.5
+#: Bytes of sets and sketches in a block, about.
+BLOCK_BYTES = 4_000_000
 
 _random = np.random.default_rng(20240229)
 _factor = _random.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -71,32 +73,46 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """Sketches of the sets, one row each; a row of zeros for an empty set."""
-    out = np.zeros((len(sets), REGISTERS), np.uint16)
+    out = np.zeros((len(sets), REGISTERS), np.uint8)
     full = [k for k, s in enumerate(sets) if len(s)]
     if full:
         flat = (np.concatenate([sets[k] for k in full]) >> np.uint64(16)).astype(np.uint32)
         sizes = np.array([len(sets[k]) for k in full])
         starts = np.cumsum(sizes) - sizes
-        least = np.stack([np.minimum.reduceat(flat * _factor[j] + _shift[j], starts) for j in range(REGISTERS)], axis=1)
-        times = -np.log1p(-(least + 0.5) / 2.0**32)  # exponential with the set's size as rate
-        out[full] = np.clip(np.floor(1 - np.log(times * RATE) / np.log(SCALE)), 0, 65535)
+        hashed, least = np.empty_like(flat), np.empty((REGISTERS, len(full)), np.uint32)
+        for j in range(REGISTERS):
+            np.multiply(flat, _factor[j], out=hashed)
+            hashed += _shift[j]
+            least[j] = np.minimum.reduceat(hashed, starts)
+        times = -np.log1p(-(least.T + 0.5) / 2.0**32)  # exponential with the set's size as rate
+        out[full] = np.clip(np.floor(1 + (np.log(LAST) - np.log(times)) / np.log(SCALE)), 0, 255)
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """The similarity under which what is seen of two sketches (registers equal, above, below) is likeliest, given the set sizes."""
-    grid = np.linspace(0.005, 1, 200)
-    equal, above = (a == b).sum(axis=1), (a > b).sum(axis=1)
-    both = grid[None] / (1 + grid[None]) * (n_a + n_b)[:, None]
-    union = (n_a + n_b)[:, None] - both
-    with np.errstate(divide="ignore", invalid="ignore"):
-        shares = [both / union, (n_a[:, None] - both) / union, (n_b[:, None] - both) / union]
-        logs = [np.log(np.maximum(s, 1e-6)) for s in shares]
-    return grid[sum(n[:, None] * x for n, x in zip((equal, above, REGISTERS - equal - above), logs, strict=True)).argmax(axis=1)]
+def _above(x: np.ndarray) -> np.ndarray:
+    """Chance of a higher register, given the share of a union's elements that only this side has."""
+    return -np.log1p(-x * (SCALE - 1) / SCALE) / np.log(SCALE)
+
+
+_GRID = np.linspace(0.4, 1, 121)
+
+
+def estimate(equal: np.ndarray, above: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """The similarity from 0.4 to 1 under which what is seen of two sketches (registers equal, above) is likeliest, given the set sizes."""
+    u = (n_a / (n_a + n_b))[:, None]
+    higher, lower = (np.maximum(_above(np.maximum(x - (1 - x) * _GRID, 0)), 1e-9) for x in (u, 1 - u))
+    same = np.maximum(1 - higher - lower, 1e-9)
+    below = REGISTERS - equal - above
+    return _GRID[sum(n[:, None] * np.log(p) for n, p in ((equal, same), (above, higher), (below, lower))).argmax(axis=1)]
+
+
+def slack(threshold: float) -> float:
+    return ERRORS * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
 
 def sketch(docs: DataFrame, size: int, whole: bool = False) -> DataFrame:
-    """doc_id, n_shingles, class (16 bytes that name the set; null: empty) and the registers, or with ``whole`` the set itself."""
+    """doc_id, key (which stands for a row's id: a null one is a hash of the text), n_shingles, class (16 bytes that name the
+    set; null: empty) and as data the registers, or with ``whole`` the set itself."""
     base.short_batches(docs.sparkSession)
 
     def sketched(batches):
@@ -108,41 +124,92 @@ def sketch(docs: DataFrame, size: int, whole: bool = False) -> DataFrame:
             else:
                 data = [r.tobytes() for a in range(0, len(sets), 100) for r in registers(sets[a : a + 100])]
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n_shingles", "class", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "key", "n_shingles", "class", "data"])
 
-    return base.only(docs, "doc_id", "text").mapInArrow(sketched, "doc_id long, n_shingles long, class binary, data binary")
+    return with_key(docs).mapInArrow(sketched, "doc_id long, key long, n_shingles long, class binary, data binary")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of classes whose estimate doesn't rule them out."""
-    side = classes.select("class", "n_shingles", "data")
-    both = pairs.join(side.toDF("a", "n_a", "r_a"), "a").join(side.toDF("b", "n_b", "r_b"), "b")
-    both = both.where(f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-
-    def kept(batches):
-        for batch in batches:
-            if batch.num_rows:
-                r_a, r_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
-                like = estimate(r_a, r_b, *(batch.column(c).to_numpy() for c in ("n_a", "n_b")))
-                yield batch.select(["a", "b"]).filter(pa.array(like >= threshold - SLACK))
-
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(kept, "a binary, b binary")
+def with_key(docs: DataFrame) -> DataFrame:
+    return base.only(docs, "doc_id", "text").withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
+def banded(classes: DataFrame) -> DataFrame:
+    """(band, id) of each class: a hash of each band's registers and number."""
 
-    def kept(batches):
+    def run(batches):
         for batch in batches:
-            on = []
-            for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+            r = np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), r.shape[:2])
+            for j in range(ROWS):
+                band = _mix(band * _PRIME + r[:, :, j])
+            yield pa.RecordBatch.from_arrays([pa.array(band.ravel().view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], ["band", "id"])
+
+    return classes.select("id", "data").mapInArrow(run, "band long, id long")
+
+
+def linked(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], data: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of a cluster that connect all that are linked: pairs of places. side: -1 and 1 if only pairs
+    of unlike sides count, 0 if all do."""
+    n, part, out = np.array([len(s) for s in sets]), np.arange(len(sets)), []
+    threshold = percent / 100
+    least = REGISTERS * threshold - ERRORS * (REGISTERS * threshold * (1 - threshold)) ** 0.5
+    for i in range(len(sets) - 1):
+        other = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])) & ((side[i] == 0) | (side[i + 1 :] != side[i]))) + i + 1
+        for k in range(0, len(other), 4096):
+            j = other[k : k + 4096]
+            equal = (data[j] == data[i]).sum(axis=1)
+            j, equal = j[equal >= least], equal[equal >= least]
+            if len(j):
+                like = estimate(equal, (data[j] < data[i]).sum(axis=1), np.full(len(j), n[i]), n[j])
+                for m in j[like >= threshold - slack(threshold)].tolist():
+                    if part[m] != part[i]:
+                        shared = len(np.intersect1d(sets[i], sets[m], assume_unique=True))
+                        if 100 * shared >= percent * (n[i] + n[m] - shared):
+                            out.append((int(ids[i]), int(ids[m])))
+                            part[part == part[m]] = part[i]
+    return out
+
 
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(kept, "a binary, b binary")
+def blocks_of(clusters: DataFrame, buckets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, cluster, task, left, right): the pairs of blocks in which each class takes part. Clusters below a block's size share tasks."""
+    sized = clusters.join(sizes, "id").selectExpr("id", "cluster", "bytes")
+    total = sized.groupBy("cluster").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"), F.sum("bytes").alias("all"))
+    tasks = 1 + (total.where("blocks = 1").agg(F.sum("all")).first()[0] or 0) // BLOCK_BYTES
+    placed = base.settle(sized.join(total, "cluster").select("id", "cluster", "blocks", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")), "placed")
+    small = placed.where("blocks = 1").select("id", "cluster", (-1 - F.pmod(F.xxhash64("cluster"), F.lit(tasks))).alias("task"), "block", F.col("block").alias("left"), F.col("block").alias("right"))
+    large = buckets.select("band", "id").join(placed.where("blocks > 1"), "id")
+    met = large.join(large.select("band", F.col("block").alias("other")).distinct(), "band")
+    pairs = met.select("id", "cluster", F.col("cluster").alias("task"), "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).distinct()
+    return small.unionByName(pairs)
+
+
+def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): ids of classes whose sets are alike, as many as connect all that share a bucket."""
+    bands = banded(classes)
+    hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("band", "hub")
+    buckets = base.settle(bands.join(hubs, "band"), "buckets")
+    clusters = base.components(buckets.where("id <> hub").selectExpr("hub a", "id b").distinct()).selectExpr("node id", "component cluster")
+    blocks = blocks_of(clusters, buckets, classes.selectExpr("id", f"n_shingles * 8 + {REGISTERS} bytes"))
+    met = blocks.join(classes.select("id", "class", "key", "data"), "id")
+    wanted = met.select("key").distinct()
+    whole = sketch(with_key(docs).join(wanted, "key", "left_semi"), size, whole=True).where("class is not null")
+    sets = whole.groupBy("class").agg(F.first("data").alias("set"))
+
+    def decided(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("cluster", "ascending"), ("id", "ascending")])
+        ids, cluster, block = (group.column(c).to_numpy() for c in ("id", "cluster", "block"))
+        left, right = group.column("left")[0].as_py(), group.column("right")[0].as_py()
+        side = np.zeros(len(ids), np.int8) if left == right else np.where(block == left, -1, 1)
+        data, sets = group.column("data").to_pylist(), group.column("set").to_pylist()
+        ends = np.flatnonzero(np.append(cluster[1:] != cluster[:-1], True)) + 1
+        out = []
+        for a, b in zip(np.append(0, ends), ends, strict=False):
+            rows = np.frombuffer(b"".join(data[a:b]), np.uint8).reshape(-1, REGISTERS)
+            out += linked(ids[a:b], side[a:b], [np.frombuffer(s, np.uint64) for s in sets[a:b]], rows, percent)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    full = met.drop("key").join(sets, "class").select("task", "left", "right", "cluster", "block", "id", "data", "set")
+    return base.settle(full.groupBy("task", "left", "right").applyInArrow(decided, "a long, b long"), "links")
 
 
 def classes_of(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -150,30 +217,19 @@ def classes_of(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Null and wordless texts have no shingles and are linked with nothing. Rows of one doc_id belong together even if their
     texts differ. A row whose doc_id is null takes part under its text; component_id is null where no member has an id,
-    and kept is then null.
+    and kept is then null. An empty table gives no rows; other columns are not read.
     """
     rows = base.settle(sketch(docs, size), "sketches")
-    classes = base.settle(rows.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("data").alias("data"), F.min("doc_id").alias("doc_id")), "classes")
-    band = F.expr(f"inline(transform(sequence(0, {BANDS - 1}), i -> named_struct('band', xxhash64(substring(data, i * {2 * ROWS} + 1, {2 * ROWS}), i))))")
-    bands = classes.select("class", band)
-    hubs = bands.groupBy("band").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = base.settle(bands.join(hubs, "band"), "buckets")
-    stars = base.settle(shared.where("class <> hub").selectExpr("hub as a", "class as b").distinct(), "stars")
-    in_buckets = stars.selectExpr("a as class").unionByName(stars.selectExpr("b as class")).distinct()
-    wanted = classes.join(in_buckets, "class", "left_semi").select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id")).distinct()
-    texts = base.only(docs, "doc_id", "text").withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(wanted, "id", "left_semi")
-    sets = base.settle(sketch(texts, size, whole=True).select("class", "data").where("class is not null").groupBy("class").agg(F.first("data").alias("data")), "sets")
-    links = base.settle(_linked(_near(stars, classes, percent / 100), sets, percent), "links")
-    joined = base.components(links)
-    placed = shared.select("band", "class").join(joined.selectExpr("node as class", "component"), "class", "left").selectExpr("band", "class", "coalesce(component, class) as part")
-    mixed = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
-    placed = base.settle(placed.join(mixed, "band", "left_semi"), "mixed")
-    cross = placed.selectExpr("band", "class as a", "part as p").join(placed.selectExpr("band", "class as b", "part as q"), "band").where("p < q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _linked(_near(cross, classes, percent / 100), sets, percent)
-    same_id = rows.where("doc_id is not null and class is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b").select("a", F.explode("all").alias("b")).where("a <> b")
-    whole = base.components(links.unionByName(more).unionByName(same_id))
-    named = classes.select("class", "doc_id").join(whole.selectExpr("node as class", "component"), "class", "left").selectExpr("class", "doc_id", "coalesce(component, class) as part")
+    grouped = rows.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("data").alias("data"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    classes = base.settle(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    alike = links(classes, docs, size, percent)
+    # Rows of one id with several texts: all are tied to one of them.
+    several = rows.where("doc_id is not null and class is not null").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("doc_id", "low")
+    ties = rows.join(several, "doc_id").where("class <> low").select("class", "low").distinct()
+    number = classes.select("class", "id")
+    ties = ties.join(number.withColumnRenamed("id", "a"), "class").join(number.selectExpr("class low", "id b"), "low").select("a", "b")
+    whole = base.components(alike.unionByName(ties))
+    named = classes.select("class", "id", "doc_id").join(whole.selectExpr("node id", "component"), "id", "left").selectExpr("class", "doc_id", "coalesce(component, id) part")
     least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "part").select("class", "component_id")
     out = rows.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
