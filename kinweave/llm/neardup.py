@@ -195,7 +195,7 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     whole = sketch(with_key(docs).join(wanted, "key", "left_semi"), size, whole=True).where("class is not null")
     sets = whole.groupBy("class").agg(F.first("data").alias("set"))
 
-    def decided(group: pa.Table) -> pa.Table:
+    def decided(group):
         group = group.sort_by([("cluster", "ascending"), ("id", "ascending")])
         ids, cluster, block = (group.column(c).to_numpy() for c in ("id", "cluster", "block"))
         left, right = group.column("left")[0].as_py(), group.column("right")[0].as_py()

@@ -1,23 +1,30 @@
 """Language model scores from a hierarchical Pitman-Yor process over whole words.
 
-Every word of the corpus is a context of its own: the words that follow it are the dishes of its restaurant. All
-restaurants share the parent restaurant of single words, whose base is uniform over the words and the unknown one.
-Customers of the parent are the children's tables. Counts, seatings and predictive terms are Spark tables that grow with
-the corpus; a row of the seating is one dish of one restaurant, so a frequent context has many rows and never one task.
-A dish with one customer has one table whatever is drawn, so only the others are seated. Seating starts from its expected
-number of tables and is sampled by Gibbs sweeps: in a step, a customer of each dish leaves its table and sits down anew.
-Dishes move side by side: within a sweep they see the tables of the others in their restaurant from before it.
-Predictive probabilities are averaged over the sweeps after burn-in. Words stand as 64-bit digests in all tables.
+Every word of the corpus is a context of its own: the words that follow it are the dishes of its restaurant. All restaurants
+share the parent restaurant of single words, whose base is uniform over the words and the unknown one. Customers of the
+parent are the children's tables. Seating starts one customer after another and is sampled by Gibbs sweeps in which every
+customer gets up once and sits down given all others; predictive probabilities are averaged over the sweeps after burn-in.
+
+Texts become slices: packed token codes over the slice's own words, read instead of texts from then on. Contexts are dealt over
+shards by hash, a frequent one over several shards by the word that follows; words of the parent are dealt over parts.
+A slice sends a shard each of its word pairs once, with their count. Shards and parts tell each other tables and chances
+after each sweep, and answer the slices in the end. All of these are rows of one form, (home, kind, peer, a to e), that Spark shuffles
+by home: a group is one slice, shard or part of bounded size. Words stand as 64-bit digests.
+
+What is not sequential: dishes of a shard move side by side, a customer of each at a time, and see each other's tables from the
+step before; a dish with more than BATCHES customers moves a BATCHES-th of them at a time; shards see the parent from the sweep before.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from hashlib import blake2b
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +33,19 @@ from .tokens import slices
 
 #: Discount and strength of all restaurants.
 DISCOUNT, STRENGTH = 0.75, 1.0
-#: Sweeps before and of the average; customers of each dish that move in a sweep.
-BURN_IN, SAMPLES, MOVES = 3, 4, 8
-#: Bytes of text scored in one task, about.
-CHUNK_BYTES = 8_000_000
+#: Sweeps before and of the average; moves of a dish in a sweep, each of one customer or, beyond so many, of an equal share.
+BURN_IN, SAMPLES, BATCHES = 3, 3, 128
+#: Tokens of a slice and of a shard, about.
+SLICE_TOKENS, SHARD_TOKENS = 4_000_000, 4_000_000
+#: Parts of a shard's tokens from which a context is dealt over several.
+HOT = 4
 #: Stands for the end of a text.
 END = 0
 
+_ROW = "home long, kind string, peer long, x long, y long, a binary, b binary, c binary, d binary, e binary"
+_FIELDS = ["home", "kind", "peer", "x", "y", "a", "b", "c", "d", "e"]
+_TYPES = pa.schema([("home", pa.int64()), ("kind", pa.string()), *((k, pa.int64()) for k in ("peer", "x", "y")), *((k, pa.binary()) for k in "abcde")])
+
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Codes of all words, the distinct words, and how many words each text has."""
@@ -51,272 +64,501 @@ def with_ends(codes: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
 
 def ids_of(words: list[bytes]) -> np.ndarray:
     """Digests of words; the empty word is the end."""
-    return np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest(), "little", signed=True) or 1 if w else END for w in words), np.int64, len(words))
-
-
-def draws(keys: np.ndarray, *salt: int) -> np.ndarray:
-    """A uniform number for each key, the same wherever its row lies."""
-    x = keys.astype(np.uint64)
-    for k in (*salt, 0):
-        x = (x + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)) * 2.0**-53
-
-
-def first_seating(counts: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(dish of each table, its customers): about as many tables as seating one by one would open at weight ``a`` of a new
-    table, sizes falling as 1/k."""
-    n, t, grow = np.ones(len(counts)), np.ones(len(counts)), counts ** (1 / 40)
-    for _ in range(40):
-        t += n * (grow - 1) * a / np.maximum(n - DISCOUNT * t + a, 1e-9)
-        n *= grow
-    tables = np.clip(np.round(t), 1, counts).astype(np.int64)
-    of = np.repeat(np.arange(len(counts)), tables)
-    begins = np.cumsum(tables) - tables
-    share = 1 / (np.arange(len(of)) - begins[of] + 1)
-    share /= np.bincount(of, share, len(counts))[of]
-    size = 1 + np.floor((counts - tables)[of] * share).astype(np.int64)
-    size[begins] += counts - np.bincount(of, size, len(counts)).astype(np.int64)
-    return of, size
-
-
-def sweep(of: np.ndarray, size: np.ndarray, chance: np.ndarray, total: np.ndarray, draw, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
-    """Gibbs moves: ``moves`` times, a customer of each dish gets up and is seated given all others. ``total`` has the tables
-    of each dish's restaurant before the sweep; ``draw(k)`` gives a uniform number for each dish."""
-    dishes = len(chance)
-    counts = np.bincount(of, size, dishes).astype(np.int64)
-    tables = np.bincount(of, minlength=dishes)
-    others = total - tables
-    slots = tables + moves
-    ends = np.cumsum(slots)
-    begins, spare = ends - slots, ends - moves
-    n = np.zeros(int(slots.sum()), np.int64)
-    n[np.arange(len(of)) + moves * of] = size
-    dish = np.arange(dishes)
-    for move in range(moves):
-        cum = np.cumsum(n)
-        before = cum[ends - 1] - counts
-        left = np.searchsorted(cum, before + np.floor(draw(3 * move) * counts).astype(np.int64), side="right")
-        n[left] -= 1
-        tables -= n[left] == 0
-        old = np.maximum(counts - 1 - DISCOUNT * tables, 0)
-        new = (STRENGTH + DISCOUNT * (others + tables)) * chance
-        opens = draw(3 * move + 1) * (old + new) < new
-        mass = np.cumsum(np.where(n > 0, n - DISCOUNT, 0))
-        base_mass = np.where(begins > 0, mass[begins - 1], 0)
-        to = np.clip(np.searchsorted(mass, base_mass + draw(3 * move + 2) * old, side="right"), begins, ends - 1)
-        opens |= n[to] == 0
-        to = np.where(opens, spare + move, to)
-        tables += n[to] == 0
-        n[to] += 1
-    kept = n > 0
-    return np.repeat(dish, slots)[kept], n[kept]
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) or 1 if w else END for w in words), np.uint64, len(words))
 
 
-@dataclass
-class Model:
-    pairs: DataFrame  # u, w, n, t: how often w follows u, and at how many tables on average
-    unknown: list[float]  # in each sample, the parent's chance of a word never seen
-    total: int
-    distinct: int
+def pack(x: np.ndarray, kind: str = "u4") -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    raw = np.ascontiguousarray(x, f"<{kind}").view(np.uint8).reshape(len(x), -1) if len(x) else np.zeros((0, 1), np.uint8)
+    return len(x).to_bytes(8, "little") + (pa.compress(raw.T.tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def unpack(data: bytes, kind: str = "u4") -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, f"<{kind}")
+    raw = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(f"<{kind}").ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(np.asarray(x, np.uint64), prepend=np.uint64(0)), "u8")
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "u8"), dtype=np.uint64)
+
 
+# --- seating ---
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """(u, w, n): how often word w follows word u; texts begin after an end."""
 
-    def counted(batches):
+def step(of: np.ndarray, size: np.ndarray, seated: np.ndarray, leave: np.ndarray | None, join: np.ndarray, chance: np.ndarray, context: np.ndarray, opened: np.ndarray, random) -> tuple[np.ndarray, np.ndarray]:
+    """Of each dish, ``leave`` of its ``seated`` customers get up, drawn evenly, then ``join`` sit down given all who sit.
+
+    of, size: dish (ascending) and customers of each table. chance: the parent's of each dish. context: the restaurant of each
+    dish. opened: tables of each restaurant, kept up to date.
+    """
+    dishes = np.arange(len(seated))
+    if leave is not None:
+        who = np.repeat(dishes, leave)
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(leave) - leave, leave)
+        first = np.cumsum(seated) - seated
+        at = first[who] + ((random.random(len(seated))[who] + nth) * seated[who] / leave[who]).astype(np.int64)
+        size = size - np.bincount(np.searchsorted(np.cumsum(size), at, side="right"), minlength=len(size))
+        empty = size == 0
+        np.subtract.at(opened, context[of[empty]], 1)
+        of, size, seated = of[~empty], size[~empty], seated - leave
+    tables = np.bincount(of, minlength=len(seated))
+    ends = np.cumsum(tables)
+    begins = ends - tables
+    old = np.maximum(seated - DISCOUNT * tables, 0)
+    new = (STRENGTH + DISCOUNT * opened[context]) * chance
+    who = np.repeat(dishes, join)
+    opens = random.random(len(who)) * (old + new)[who] < new[who]
+    sits, fresh = who[~opens], who[opens]
+    mass = np.cumsum(size - DISCOUNT)
+    to = np.searchsorted(mass, np.concatenate([[0], mass])[begins[sits]] + random.random(len(sits)) * old[sits], side="right")
+    size = size + np.bincount(np.clip(to, begins[sits], ends[sits] - 1), minlength=len(size))
+    np.add.at(opened, context[fresh], 1)
+    return np.insert(of, ends[fresh], fresh), np.insert(size, ends[fresh], 1)
+
+
+def sweep(n: np.ndarray, of: np.ndarray | None, size: np.ndarray | None, chance: np.ndarray, context: np.ndarray, opened: np.ndarray, random) -> tuple[np.ndarray, np.ndarray]:
+    """Every customer moves once; without tables (of is None) all are seated one after another. n: customers of each dish, falling."""
+    fresh, done = of is None, []
+    of, size = (np.zeros(0, np.int64), np.zeros(0, np.int64)) if fresh else (of, size)
+    seated = np.zeros(len(n), np.int64) if fresh else n
+    for r in range(min(BATCHES, int(n[0]) if len(n) else 0)):
+        k = np.searchsorted(-n, -r)  # dishes with more than r customers
+        cut = np.searchsorted(of, k)
+        done.append((of[cut:], size[cut:]))
+        some = np.where(n[:k] > BATCHES, n[:k] // BATCHES + (r < n[:k] % BATCHES), 1)
+        of, size = step(of[:cut], size[:cut], seated[:k], None if fresh else some, some, chance[:k], context[:k], opened, random)
+        if fresh:
+            seated[:k] += some
+    done.append((of, size))
+    return tuple(np.concatenate([x[k] for x in reversed(done)]) for k in (0, 1))
+
+
+def _regrouped(of: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables under new numbers of their dishes."""
+    moved = place[of]
+    order = np.argsort(moved, kind="stable")
+    return moved[order], size[order]
+
+
+# --- rows ---
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist([{k: r.get(k) for k in _FIELDS} for r in rows], _TYPES)
+
+
+def _grouped(frames: list[DataFrame], homes: int, function) -> DataFrame:
+    """Rows of all frames by home; function gets a home and its rows by kind, each in order of peer, and gives rows."""
+
+    def run(key, group):
+        rows: dict[str, list[dict]] = {}
+        for r in sorted(group.to_pylist(), key=lambda r: (r["kind"], r["peer"] or 0)):
+            rows.setdefault(r["kind"], []).append(r)
+        return _table(list(function(key[0].as_py(), rows)))
+
+    whole = frames[0]
+    for f in frames[1:]:
+        whole = whole.unionByName(f)
+    return whole.repartition(2 * homes, "home").groupBy("home").applyInArrow(run, _ROW)
+
+
+def slices_of(docs: DataFrame, held_out: Column) -> DataFrame:
+    """A row of kind slice for about SLICE_TOKENS tokens of a task: x tokens, y of them learned from; a words, b codes, c ids, d tokens
+    of each text, e whether it is held out (1) or has no id (2)."""
+    base.short_batches(docs.sparkSession)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def row() -> pa.RecordBatch:
+            ids, flags, sizes, words, codes = zip(*held, strict=True)
+            all_words = np.unique(np.concatenate(words))
+            codes = np.concatenate([np.searchsorted(all_words, w)[c] for w, c in zip(words, codes, strict=True)])
+            sizes, flags = np.concatenate(sizes), np.concatenate(flags)
+            row = {"home": uuid.uuid4().int >> 65, "kind": "slice", "x": len(codes), "y": int(sizes[flags & 1 == 0].sum())}
+            row |= {"a": pack_sorted(all_words), "b": pack(codes), "c": pack(np.concatenate(ids), "i8"), "d": pack(sizes), "e": pack(flags, "u1")}
+            held.clear()
+            return _table([row]).to_batches()[0]
+
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices([t or "" for t in texts]):
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            flags = pc.fill_null(batch.column("held_out"), False).to_numpy(zero_copy_only=False) + 2 * ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            ids = pc.fill_null(ids, 0).to_numpy()
+            for a, b in slices([t or "" for t in texts], 8_000_000):
                 codes, distinct, sizes = tokens(texts[a:b])
-                ids = np.append(ids_of(distinct), END)
-                seq = with_ends(codes, sizes, len(distinct))
-                pair, n = np.unique(np.append(len(distinct), seq[:-1]).astype(np.int64) << 32 | seq, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[pair >> 32]), pa.array(ids[pair & 0xFFFFFFFF]), pa.array(n.astype(np.int64))], ["u", "w", "n"])
+                held.append((ids[a:b], flags[a:b], sizes + 1, np.append(ids_of(distinct), np.uint64(END)), with_ends(codes, sizes, len(distinct))))
+                if sum(len(h[4]) for h in held) >= SLICE_TOKENS:
+                    yield row()
+        if held:
+            yield row()
+
+    return base.only(docs, "doc_id", "text").withColumn("held_out", held_out).mapInArrow(run, _ROW)
+
+
+def _of_slices(parts: DataFrame, function) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from _table(list(function(r))).to_batches()
+
+    return parts.mapInArrow(run, _ROW)
+
+
+@dataclass
+class Layout:
+    """How contexts and words are dealt: shards (and parts), and the frequent contexts with the shards of each."""
+
+    shards: int
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    spread: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    def shard(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        home = u % np.uint64(self.shards)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, u), len(self.hot) - 1)
+            home = np.where(self.hot[at] == u, home + (w >> np.uint64(32)) % self.spread[at], home) % np.uint64(self.shards)
+        return home.astype(np.int64)
+
+    def part(self, words: np.ndarray) -> np.ndarray:
+        return (words % np.uint64(self.shards)).astype(np.int64)
+
+
+def _pairs(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A slice's words, its distinct pairs as u * words + w, the count of each among texts learned from, and each token's pair."""
+    words, codes, sizes, flags = unpack_sorted(r["a"]), unpack(r["b"]).astype(np.int64), unpack(r["d"]).astype(np.int64), unpack(r["e"], "u1")
+    token = np.append(0, codes[:-1]) * len(words) + codes  # the end has the lowest digest, and stands before each text
+    learned = np.repeat(flags & 1 == 0, sizes)
+    both = np.sort(token * 2 + learned)
+    starts = np.flatnonzero(np.append(True, both[1:] >> 1 != both[:-1] >> 1))
+    return words, both[starts] >> 1, np.add.reduceat(both & 1, starts), token
+
+
+def _asks(r: dict, layout: Layout) -> Iterator[dict]:
+    """Rows of kind ask, to each shard: a words, b pairs over these, c counts."""
+    words, pairs, n, _ = _pairs(r)
+    u, w = np.divmod(pairs, len(words))
+    shard = layout.shard(words[u], words[w])
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(layout.shards + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        at = order[ends[k] : ends[k + 1]]
+        used, place = np.unique(np.concatenate([u[at], w[at]]), return_inverse=True)
+        yield {"home": k, "kind": "ask", "peer": r["home"], "a": pack_sorted(words[used]), "b": pack_sorted(place[: len(at)] * len(used) + place[len(at) :]), "c": pack(n[at])}
+
+
+def _merged(asks: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All words of a shard's asks, all pairs over these, their counts, and where each ask's pairs lie among them."""
+    words = [unpack_sorted(r["a"]) for r in asks]
+    union = np.unique(np.concatenate(words))
+    keys = []
+    for r, own in zip(asks, words, strict=True):
+        u, w = np.divmod(unpack_sorted(r["b"]).astype(np.int64), len(own))
+        place = np.searchsorted(union, own)
+        keys.append(place[u] * len(union) + place[w])
+    pairs = np.unique(np.concatenate(keys))
+    at = [np.searchsorted(pairs, k) for k in keys]
+    n = np.zeros(len(pairs), np.int64)
+    for r, k in zip(asks, at, strict=True):
+        n[k] += unpack(r["c"])
+    return union, pairs, n, at
+
+
+@dataclass
+class Model:
+    layout: Layout
+    total: int
+    distinct: int
+    tables: list[float]  # of the parent, in each sample
+    customers: list[float]
+    hot_tables: list[np.ndarray]  # of the frequent contexts, in each sample
+    vocabulary: DataFrame  # rows of kind vocab: a word of a part, its count
+    dishes: DataFrame  # rows of kind dish: pairs of a shard that occur twice or more
+    seats: list[DataFrame]  # rows of kind seats: tables of these, in each sample
+    parents: list[DataFrame]  # rows of kind parent: c has what the parent's own tables give each word
 
-    return docs.select("text").mapInArrow(counted, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+    @property
+    def floor(self) -> float:
+        return 1 / (self.distinct + 1)
 
 
-def _lists(of: np.ndarray, size: np.ndarray, dishes: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=dishes))]), pa.int32()), pa.array(size))
+def _unigrams(r: dict, layout: Layout, counted: bool) -> Iterator[dict]:
+    """Rows of kind word, to each part: a the slice's words there, b their counts."""
+    words, codes = unpack_sorted(r["a"]), unpack(r["b"])
+    sizes, flags = unpack(r["d"]).astype(np.int64), unpack(r["e"], "u1")
+    n = np.bincount(codes[np.repeat(flags & 1 == 0, sizes)], minlength=len(words)) if counted else None
+    part = layout.part(words)
+    for k in np.unique(part).tolist():
+        yield {"home": k, "kind": "word", "peer": r["home"], "a": pack_sorted(words[part == k]), "b": pack(n[part == k]) if counted else None}
 
 
-def _opened(batches):
-    for batch in batches:
-        n, a = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("n", "a"))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("u", "w", "n", "alone")), _lists(*first_seating(n, a), len(n))], ["u", "w", "n", "alone", "sizes"])
+def _vocabulary(part: int, rows: dict) -> Iterator[dict]:
+    words = np.concatenate([unpack_sorted(r["a"]) for r in rows["word"]])
+    union, place = np.unique(words, return_inverse=True)
+    n = np.bincount(place, np.concatenate([unpack(r["b"]) for r in rows["word"]]), len(union)).astype(np.int64)
+    if n.any():
+        yield {"home": part, "kind": "vocab", "x": int(n.sum()), "y": int((n > 0).sum()), "a": pack_sorted(union[n > 0]), "b": pack(n[n > 0], "u8")}
 
 
-def _swept(number: int):
+def _frequent(vocabulary: DataFrame, least: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words with at least so many occurrences, of which there are at most HOT for each shard, and the shards of each."""
+
     def run(batches):
         for batch in batches:
-            u, w, chance, total = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("u", "w", "p", "total"))
-            sizes = batch.column("sizes")
-            of = np.repeat(np.arange(len(u)), np.diff(sizes.offsets.to_numpy()))
-            keys = u.view(np.uint64) * np.uint64(3) ^ w.view(np.uint64)
-            out = _lists(*sweep(of, sizes.flatten().to_numpy(), chance, total, lambda k: draws(keys, number, k)), len(u))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("u", "w", "n", "alone")), out], ["u", "w", "n", "alone", "sizes"])
+            for r in batch.to_pylist():
+                words, n = unpack_sorted(r["a"]), unpack(r["b"], "u8")
+                yield pa.RecordBatch.from_arrays([pa.array(words[n >= least].view(np.int64)), pa.array(n[n >= least].astype(np.int64))], ["word", "n"])
+
+    found = vocabulary.select("a", "b").mapInArrow(run, "word long, n long").toArrow()
+    words, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(words)
+    return words[order], np.minimum(-(-n[order] // least), shards).astype(np.uint64)
+
+
+def _dishes(layout: Layout):
+    def run(shard: int, rows: dict) -> Iterator[dict]:
+        """The shard's pairs that occur twice or more (dish: a words, b pairs, c counts, d single pairs of each word as context), what it
+        wants to know of their words (want: a), the single pairs of each word (alone: a words, b how many), and those of frequent contexts (hot)."""
+        words, pairs, n, _ = _merged(rows["ask"])
+        u, w = np.divmod(pairs, len(words))
+        single = np.bincount(u[n == 1], minlength=len(words))
+        for k in np.flatnonzero(np.isin(words, layout.hot) & (single > 0)).tolist():
+            yield {"home": shard, "kind": "hot", "peer": int(words[k].view(np.int64)), "x": int(single[k])}
+        alone = np.bincount(w[n == 1], minlength=len(words))
+        part = layout.part(words)
+        for k in np.unique(part[alone > 0]).tolist():
+            at = (part == k) & (alone > 0)
+            yield {"home": k, "kind": "alone", "peer": shard, "a": pack_sorted(words[at]), "b": pack(alone[at])}
+        u, w, n = u[n > 1], w[n > 1], n[n > 1]
+        if len(n):
+            used, place = np.unique(np.concatenate([u, w]), return_inverse=True)
+            yield {"home": shard, "kind": "dish", "a": pack_sorted(words[used]), "b": pack_sorted(place[: len(n)] * len(used) + place[len(n) :]), "c": pack(n, "u8"), "d": pack(single[used])}
+            for k in np.unique(part[used]).tolist():
+                yield {"home": k, "kind": "want", "peer": shard, "a": pack_sorted(words[used][part[used] == k])}
 
     return run
 
 
-def _parent_tables(number: int, a: float, chance: float, total: int | None):
-    """Tables of each word in the parent: drawn anew, and moved where the restaurant's total is known."""
+def _first_chances(part: int, rows: dict) -> Iterator[dict]:
+    """The part with its single pairs (vocab: c), and to each shard its words' counts (chance: a)."""
+    (vocab,) = rows["vocab"]
+    words, n = unpack_sorted(vocab["a"]), unpack(vocab["b"], "u8")
+    alone = np.zeros(len(words), np.int64)
+    for r in rows.get("alone", []):
+        alone[np.searchsorted(words, unpack_sorted(r["a"]))] += unpack(r["b"])
+    yield {k: vocab[k] for k in _FIELDS} | {"c": pack(alone, "u8")}
+    for r in rows.get("want", []):
+        yield {"home": r["peer"], "kind": "chance", "peer": part, "a": pack(n[np.searchsorted(words, unpack_sorted(r["a"]))], "f4")}
+
+
+def _shard_sweep(layout: Layout, number: int, opened_elsewhere: dict[int, int], tables: float, customers: float, floor: float):
+    """Seats of a shard after a sweep (seats: a tables of each dish, b their customers), its tables of each word to the parts
+    (sent: a), and tables of frequent contexts (hot: x)."""
+
+    def run(shard: int, rows: dict) -> Iterator[dict]:
+        if "dish" not in rows:
+            return
+        (dish,) = rows["dish"]
+        words, n, alone = unpack_sorted(dish["a"]), unpack(dish["c"], "u8").astype(np.int64), unpack(dish["d"]).astype(np.int64)
+        u, w = np.divmod(unpack_sorted(dish["b"]).astype(np.int64), len(words))
+        part, gain = layout.part(words), np.zeros(len(words))
+        for r in rows["chance"]:
+            gain[part == r["peer"]] = unpack(r["a"], "f4")
+        p = (gain + (STRENGTH + DISCOUNT * tables) * floor) / (STRENGTH + customers)
+        order = np.argsort(-n, kind="stable")
+        of = size = None
+        opened = alone.copy()
+        if "seats" in rows:
+            t, sizes = (unpack(rows["seats"][0][k]) for k in "ab")
+            place = np.empty(len(n), np.int64)
+            place[order] = np.arange(len(n))
+            of, size = _regrouped(np.repeat(np.arange(len(n)), t), sizes.astype(np.int64), place)
+            opened += np.bincount(u, t, len(words)).astype(np.int64)
+        for k, x in opened_elsewhere.items():
+            at = np.searchsorted(words, np.uint64(k))
+            if at < len(words) and words[at] == k:
+                opened[at] = max(x, opened[at])
+        of, size = sweep(n[order], of, size, p[w[order]], u[order], opened, np.random.default_rng([20240229, number, shard]))
+        of, size = _regrouped(of, size, order)
+        t = np.bincount(of, minlength=len(n))
+        yield {"home": shard, "kind": "seats", "a": pack(t), "b": pack(size)}
+        sent = np.bincount(w, t, len(words)).astype(np.int64)
+        for k in np.unique(part).tolist():
+            yield {"home": k, "kind": "sent", "peer": shard, "a": pack(sent[part == k])}
+        own = np.bincount(u, t, len(words)).astype(np.int64)
+        for k in np.flatnonzero(np.isin(words, layout.hot)).tolist():
+            yield {"home": shard, "kind": "hot", "peer": int(words[k].view(np.int64)), "x": int(own[k])}
 
-    def run(batches):
-        for batch in batches:
-            w, c = batch.column("w").to_numpy(), batch.column("c").to_numpy()
-            tables, many = np.ones(len(c), np.int64), np.flatnonzero(c > 1)
-            if len(many):
-                of, size = first_seating(c[many], np.full(len(many), a))
-                if total is not None:
-                    of, size = sweep(of, size, np.full(len(many), chance), np.full(len(many), total), lambda k: draws(w[many], 1000 + number, k), 4 * MOVES)
-                tables[many] = np.bincount(of, minlength=len(many))
-            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), pa.array(tables)], ["w", "c", "t"])
+    return run
+
+
+def _part_sweep(number: int, tables: float, floor: float):
+    """The parent's seats of a part's words (parent: a tables, b their customers, c customers less discounts; x tables, y customers), and
+    the latter to each shard that wants them (chance: a)."""
+
+    def run(part: int, rows: dict) -> Iterator[dict]:
+        (vocab,) = rows["vocab"]
+        words, c = unpack_sorted(vocab["a"]), unpack(vocab["c"], "u8").astype(np.int64)
+        wants = {r["peer"]: np.searchsorted(words, unpack_sorted(r["a"])) for r in rows.get("want", [])}
+        for r in rows.get("sent", []):
+            c[wants[r["peer"]]] += unpack(r["a"])
+        order = np.argsort(-c, kind="stable")
+        place = np.empty(len(c), np.int64)
+        place[order] = np.arange(len(c))
+        n, chance, context = c[order], np.full(len(c), floor), np.zeros(len(c), np.int64)
+        random = np.random.default_rng([20240229, 1000 + number, part])
+        of, size, opened = None, None, np.zeros(1, np.int64)
+        if "parent" in rows:
+            t, sizes = unpack(rows["parent"][0]["a"]), unpack(rows["parent"][0]["b"]).astype(np.int64)
+            of, size = _regrouped(np.repeat(np.arange(len(c)), t), sizes, place)
+            before = np.bincount(of, size, len(c)).astype(np.int64)
+            opened[0] = max(int(tables), len(of))
+            of, size = step(of, size, before, np.maximum(before - n, 0), np.maximum(n - before, 0), chance, context, opened, random)
+        of, size = _regrouped(*sweep(n, of, size, chance, context, opened, random), order)
+        t = np.bincount(of, minlength=len(c))
+        gain = c - DISCOUNT * t
+        yield {"home": part, "kind": "parent", "peer": number, "x": len(of), "y": int(c.sum()), "a": pack(t), "b": pack(size), "c": pack(gain, "f4")}
+        for shard, at in wants.items():
+            yield {"home": shard, "kind": "chance", "peer": part, "a": pack(gain[at], "f4")}
 
     return run
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the words: id, n, ps (the parent's chance of it in each sample), c and ts (customers of its restaurant
-    and tables in each sample). An empty corpus gives the uniform model."""
-    base.short_batches(docs.sparkSession)
-    pairs = base.settle(count_pairs(base.only(docs, "doc_id", "text")), "pairs")
-    words = base.settle(pairs.groupBy("w").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("alone")), "words")
-    contexts = base.settle(pairs.groupBy("u").agg(F.sum("n").alias("c"), F.count_if(F.col("n") == 1).alias("alone"), F.count("*").alias("dishes")), "contexts")
-    total, distinct, first_mass = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.col("n") ** DISCOUNT + 1), F.lit(1.0))).first()
-    chance = 1 / (max(1, distinct) + 1)
-    parent = words.select("w", ((F.col("n") ** DISCOUNT + 1) / first_mass).alias("p"))
-    weight = (STRENGTH + DISCOUNT * 1.5 * F.col("dishes")) * F.col("p")
-    seated = pairs.where("n > 1").join(contexts.select("u", "alone", "dishes"), "u").join(parent, "w")
-    state = base.settle(seated.select("u", "w", "n", "alone", weight.alias("a")).mapInArrow(_opened, "u long, w long, n long, alone long, sizes array<long>"), "seating")
-    samples: list[DataFrame] = []
-    parents: list[DataFrame] = []
-    unknown: list[float] = []
+def train(parts: DataFrame) -> Model:
+    """The model of the texts in a settled table of slices that are not held out. An empty corpus gives the uniform model."""
+    size, learned = parts.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    layout = Layout(max(1, -(-size // SHARD_TOKENS)))
+    homes = layout.shards
+    vocabulary = base.settle(_grouped([_of_slices(parts, lambda r: _unigrams(r, layout, True))], homes, _vocabulary), "vocabulary")
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    layout.hot, layout.spread = _frequent(vocabulary, max(2, SHARD_TOKENS // HOT), homes)
+    floor = 1 / (distinct + 1)
+    counted = base.settle(_grouped([_of_slices(parts.where("y > 0"), lambda r: _asks(r, layout))], homes, _dishes(layout)), "dishes")
+    dishes, wants = counted.where("kind = 'dish'"), counted.where("kind = 'want'")
+    first = base.settle(_grouped([vocabulary, wants, counted.where("kind = 'alone'")], homes, _first_chances), "chances")
+    vocab = first.where("kind = 'vocab'")
+
+    def opened(*frames: DataFrame) -> np.ndarray:
+        out = np.zeros(len(layout.hot), np.int64)
+        for f in frames if len(out) else ():
+            for r in f.where("kind = 'hot'").groupBy("peer").agg(F.sum("x").alias("x")).collect():
+                out[np.searchsorted(layout.hot, np.int64(r.peer).view(np.uint64))] += r.x
+        return out
+
+    model = Model(layout, total, distinct, [], [], [], vocab, dishes, [], [])
+    chances, tables, customers, seats, parent, hot = first, 0.0, float(total), None, None, opened(counted)
     for number in range(BURN_IN + SAMPLES):
-        open_now = state.groupBy("u").agg((F.first("alone") + F.sum(F.size("sizes"))).alias("total"))
-        moved = state.join(open_now, "u").join(parent, "w").select("u", "w", "n", "alone", "sizes", "total", "p")
-        old = [state] if number <= BURN_IN else []
-        state = base.settle(moved.mapInArrow(_swept(number), "u long, w long, n long, alone long, sizes array<long>"), "seating")
-        # The parent's customers have changed: their tables are drawn anew and then moved.
-        sent = state.groupBy("w").agg(F.sum(F.size("sizes")).alias("t"))
-        customers = base.settle(words.join(sent, "w", "left").select("w", (F.col("alone") + F.coalesce("t", F.lit(0))).alias("c")), "customers")
-        a = (STRENGTH + DISCOUNT * 1.5 * distinct) * chance
-        before = customers.mapInArrow(_parent_tables(number, a, chance, None), "w long, c long, t long").agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-        old += [customers] + ([served] if 0 < number <= BURN_IN else [])
-        served = base.settle(customers.mapInArrow(_parent_tables(number, a, chance, before), "w long, c long, t long"), "parent")
-        c, t = served.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-        rest = (STRENGTH + DISCOUNT * t) * chance / (STRENGTH + c)
-        parent = served.select("w", ((F.col("c") - DISCOUNT * F.col("t")) / (STRENGTH + c) + F.lit(rest)).alias("p"))
+        elsewhere = dict(zip(layout.hot.tolist(), hot.tolist(), strict=True))
+        frames = [dishes, chances.where("kind = 'chance'"), *([seats.where("kind = 'seats'")] if seats else [])]
+        moved = base.settle(_grouped(frames, homes, _shard_sweep(layout, number, elsewhere, tables, customers, floor)), "seats")
+        hot = opened(counted, moved)
+        frames = [vocab, wants, moved.where("kind = 'sent'"), *([parent.where("kind = 'parent'")] if parent else [])]
+        above = base.settle(_grouped(frames, homes, _part_sweep(number, tables, floor)), "parent")
+        if seats is not None and number <= BURN_IN:
+            base.drop(seats, parent)
+        seats, parent, chances = moved, above, above
+        tables, customers = map(float, above.where("kind = 'parent'").agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first())
         if number >= BURN_IN:
-            k = number - BURN_IN
-            samples.append(state.select("u", "w", "n", "alone", F.size("sizes").cast("long").alias("t"), F.lit(k).alias("k")))
-            parents.append(parent.withColumn("k", F.lit(k)))
-            unknown.append(rest)
-        del moved, open_now, sent, customers
-        _drop(old)
-    all_samples = _all(samples)
-    mean = all_samples.groupBy("u", "w").agg(F.first("n").alias("n"), (F.sum("t") / SAMPLES).alias("t"))
-    pairs = base.settle(mean.unionByName(pairs.where("n = 1").select("u", "w", "n", F.lit(1.0).alias("t"))), "means")
-    opened = all_samples.groupBy("u").agg(*_by_sample("t", 0))
-    tables = contexts.join(opened, "u", "left").select("u", "c", F.array(*(F.col("alone") + F.coalesce(f"s{k}", F.lit(0)) for k in range(SAMPLES))).alias("ts"))
-    chances = _all(parents).groupBy("w").agg(*_by_sample("p", 0.0))
-    known = words.join(chances, "w").select("w", "n", F.array(*(F.col(f"s{k}") for k in range(SAMPLES))).alias("ps"))
-    known = known.join(tables, F.col("w") == F.col("u"), "left").select(F.col("w").alias("id"), "n", "ps", F.coalesce("c", F.lit(0)).alias("c"), "ts")
-    return Model(pairs, unknown, total, distinct), base.settle(known, "known")
-
-
-def _drop(frames: list[DataFrame]) -> None:
-    """Deletes settled tables that nothing reads again, and lets Spark's cleaner find the shuffles that made them."""
-    for df in frames:
-        for file in df.inputFiles()[:1]:
-            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _by_sample(column: str, none) -> list[Column]:
-    return [F.sum(F.when(F.col("k") == k, F.col(column)).otherwise(none)).alias(f"s{k}") for k in range(SAMPLES)]
+            model.tables.append(tables)
+            model.customers.append(customers)
+            model.hot_tables.append(hot)
+            model.seats.append(moved.where("kind = 'seats'").withColumn("peer", F.lit(number - BURN_IN).cast("long")))
+            model.parents.append(above.where("kind = 'parent'").withColumn("peer", F.lit(number - BURN_IN).cast("long")))
+    return model
+
+
+def _pair_answers(layout: Layout, hot_tables: list[np.ndarray]):
+    """To each slice (pair): a what the tables of its pairs give them, b tables of its contexts in each sample."""
+
+    def run(shard: int, rows: dict) -> Iterator[dict]:
+        if "ask" not in rows:
+            return
+        words, pairs, n, at = _merged(rows["ask"])
+        u = pairs // len(words)
+        gain = np.where(n > 0, n - DISCOUNT, 0.0)
+        opened = np.repeat(np.bincount(u[n == 1], minlength=len(words))[None], SAMPLES, axis=0)
+        if "dish" in rows:
+            (dish,) = rows["dish"]
+            seats = [unpack(r["a"]) for r in rows["seats"]]
+            several = np.flatnonzero(n > 1)  # in the order of the dishes, which are these pairs
+            gain[several] = n[several] - DISCOUNT * np.mean(seats, axis=0)
+            for k, t in enumerate(seats):
+                opened[k] += np.bincount(u[several], t, len(words)).astype(np.int64)
+        if len(layout.hot):
+            where = np.minimum(np.searchsorted(layout.hot, words), len(layout.hot) - 1)
+            hot = layout.hot[where] == words
+            for k in range(SAMPLES):
+                opened[k] = np.where(hot, hot_tables[k][where], opened[k])
+        for r, own in zip(rows["ask"], at, strict=True):
+            contexts = np.unique(u[own])
+            yield {"home": r["peer"], "kind": "pair", "peer": shard, "a": pack(gain[own], "f8"), "b": pack(opened[:, contexts].ravel())}
 
+    return run
 
-def score(docs: DataFrame, model: Model, words: DataFrame, held_out) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text; a null text is empty and has
-    only its end. Rows with equal or null doc_id stay rows of their own.
 
-    Texts are dealt into chunks; a chunk asks for its words and its pairs of words, and gets what the model has of them
-    before it is scored.
-    """
-    spark = docs.sparkSession
-    base.short_batches(spark)
-    docs = base.only(docs, "doc_id", "text").withColumn("held_out", held_out)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    texts = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
-    total, distinct_words, unknown = model.total, model.distinct, np.array(model.unknown)
-
-    def read(rows):
-        for a, b in slices([t or "" for t in rows]):
-            codes, distinct, sizes = tokens(rows[a:b])
-            ids = np.append(ids_of(distinct), END)
-            yield ids[with_ends(codes, sizes, len(distinct))], sizes
-
-    def wanted(chunk):
-        seqs = [seq for seq, _ in read(chunk.column("text").to_pylist())]
-        both = [np.stack([np.append(END, seq[:-1]), seq], 1) for seq in seqs]
-        u, w = np.unique(np.concatenate(both).view("V16")).view(np.int64).reshape(-1, 2).T
-        seen = np.unique(w)
-        mark = pa.array(np.full(len(u) + len(seen), chunk.column("chunk")[0].as_py()), pa.int64())
-        return pa.table({"chunk": mark, "u": pa.concat_arrays([pa.array(u), pa.nulls(len(seen), pa.int64())]), "w": pa.array(np.concatenate([w, seen]))})
-
-    def scored(chunk, answers):
-        answers = answers.combine_chunks()
-        word = pc.is_null(answers.column("u"))
-        of_words = answers.filter(word).sort_by("w")
-        of_pairs = answers.filter(pc.invert(word)).sort_by([("u", "ascending"), ("w", "ascending")])
-        ids, counts, c = (np.append(of_words.column(k).to_numpy(), x) for k, x in (("w", np.iinfo(np.int64).max), ("n", 0), ("c", 0)))
-        ps, ts = (of_words.column(k).combine_chunks() for k in ("ps", "ts"))
-        ps = np.vstack([ps.flatten().to_numpy().reshape(-1, SAMPLES), unknown])
-        opened = np.zeros((len(ids), SAMPLES))
-        has = np.flatnonzero(~ts.is_null().to_numpy(zero_copy_only=False))
-        opened[has] = ts.flatten().to_numpy().reshape(-1, SAMPLES)
-        pu, pw = (of_pairs.column(k).to_numpy() for k in ("u", "w"))
-        gain = np.append(of_pairs.column("n").to_numpy() - DISCOUNT * of_pairs.column("t").to_numpy(), 0)
-
-        def place(x):
-            at = np.searchsorted(ids[:-1], x)
-            return np.where(ids[at] == x, at, len(ids) - 1)
-
-        # Pairs are looked up by the places of their words, which are small and in the order of the ids.
-        pair_keys = place(pu) * len(ids) + place(pw)
-        order = np.argsort(pair_keys)
-        pair_keys, gain = np.append(pair_keys[order], np.iinfo(np.int64).max), np.append(gain[:-1][order], 0)
-        floor = np.log10(total + distinct_words + 1)
-        out = []
-        for seq, sizes in read(chunk.column("text").to_pylist()):
-            w = place(seq)
-            u = np.append(place(np.array([END])), w[:-1])
-            at = np.searchsorted(pair_keys[:-1], u * len(ids) + w)
-            own = np.where(pair_keys[at] == u * len(ids) + w, gain[at], 0)
-            back = ((STRENGTH + DISCOUNT * opened[u]) * ps[w]).mean(1)
-            chance = np.log10((own + back) / (STRENGTH + c[u]))
-            n = counts[w]
-            starts = np.cumsum(sizes + 1) - sizes - 1
-            out.append([sizes + 1, np.add.reduceat(n > 0, starts, dtype=np.int64), np.add.reduceat(np.log10(n + 1) - floor, starts), np.add.reduceat(chance, starts)])
-        n_tokens, n_known, plain, full = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 4
-        return pa.table({"doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(n_tokens), pa.int64()), "base_score": plain, "score": full})
-
-    asked = base.settle(texts.groupBy("chunk").applyInArrow(wanted, "chunk long, u long, w long"), "asked")
-    nothing = {"t": F.lit(None).cast("double"), "ps": F.lit(None).cast("array<double>"), "c": F.lit(None).cast("long"), "ts": F.lit(None).cast("array<long>")}
-    of_pairs = asked.where("u is not null").join(model.pairs, ["u", "w"]).withColumns({k: nothing[k] for k in ("ps", "c", "ts")})
-    of_words = asked.where("u is null").join(words.withColumnRenamed("id", "w"), "w").withColumns({"t": nothing["t"]})
-    answers = of_pairs.unionByName(of_words).select("chunk", "u", "w", "n", "t", "ps", "c", "ts")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def _word_answers(part: int, rows: dict) -> Iterator[dict]:
+    """To each slice (known): a counts of its words, b what the parent's tables give them in each sample."""
+    words = unpack_sorted(rows["vocab"][0]["a"]) if "vocab" in rows else np.zeros(0, np.uint64)
+    n = np.append(unpack(rows["vocab"][0]["b"], "u8") if len(words) else np.zeros(0, np.uint64), np.uint64(0))
+    gains = [np.append(unpack(r["c"], "f4"), np.float32(0)) for r in rows.get("parent", [])] or [np.zeros(1, np.float32)] * SAMPLES
+    for r in rows.get("word", []):
+        own = unpack_sorted(r["a"])
+        at = np.searchsorted(words, own)
+        at = np.where(np.append(words, np.uint64(END))[at] == own, at, len(words)) if len(words) else np.zeros(len(own), np.int64)
+        yield {"home": r["peer"], "kind": "known", "peer": part, "a": pack(n[at], "u8"), "b": pack(np.concatenate([g[at] for g in gains]), "f4")}
+
+
+def score(parts: DataFrame, model: Model, full: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every text in a settled table of slices, and with
+    ``full`` the log10 chance of each token. A null text is empty and has only its end; rows with equal or null doc_id stay rows of their own."""
+    layout, homes = model.layout, model.layout.shards
+    words = _of_slices(parts, lambda r: _unigrams(r, layout, False))
+    known = base.settle(_grouped([words, model.vocabulary, *model.parents], homes, _word_answers), "known")
+    asks = _of_slices(parts, lambda r: _asks(r, layout))
+    answers = base.settle(_grouped([asks, model.dishes, *model.seats], homes, _pair_answers(layout, model.hot_tables)), "answers")
+    total, distinct, tables, customers, floor = model.total, model.distinct, np.array(model.tables), np.array(model.customers), model.floor
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", *(["chances"] if full else [])]
+
+    def scored(group):
+        rows = sorted(group.to_pylist(), key=lambda r: (r["kind"], r["peer"] or 0))
+        (own,) = (r for r in rows if r["kind"] == "slice")
+        words, pairs, _, token = _pairs(own)
+        u, w = np.divmod(pairs, len(words))
+        n, back = np.zeros(len(words), np.int64), np.zeros((SAMPLES, len(words)))
+        part, shard = layout.part(words), layout.shard(words[u], words[w])
+        gain, opened = np.zeros(len(pairs)), np.zeros((SAMPLES, len(pairs)), np.int64)
+        for r in rows:
+            if r["kind"] == "known":
+                at = part == r["peer"]
+                n[at], back[:, at] = unpack(r["a"], "u8"), unpack(r["b"], "f4").reshape(SAMPLES, -1)
+            if r["kind"] == "pair":
+                at = np.flatnonzero(shard == r["peer"])
+                gain[at] = unpack(r["a"], "f8")
+                _, context = np.unique(u[at], return_inverse=True)
+                opened[:, at] = unpack(r["b"]).reshape(SAMPLES, -1)[:, context]
+        p = (back + (STRENGTH + DISCOUNT * tables[:, None]) * floor) / (STRENGTH + customers[:, None])
+        chance = np.log10((gain + ((STRENGTH + DISCOUNT * opened) * p[:, w]).mean(axis=0)) / (STRENGTH + n[u]))
+        each = chance[np.searchsorted(pairs, token)]
+        sizes, flags = unpack(own["d"]).astype(np.int64), unpack(own["e"], "u1")
+        starts = np.cumsum(sizes) - sizes
+        seen = n[token % len(words)]
+        whole = np.add.reduceat(each, starts)
+        out = [pa.array(unpack(own["c"], "i8"), mask=flags & 2 > 0), pa.array(flags & 1 > 0), pa.array(sizes), pa.array(np.add.reduceat(seen > 0, starts, dtype=np.int64)), pa.array(np.full(len(sizes), total))]
+        out += [pa.array(np.add.reduceat(np.log10((seen + 1) / (total + distinct + 1)), starts)), pa.array(whole), pa.array(10 ** np.minimum(-whole / sizes, 300))]
+        return pa.table(out + ([pa.ListArray.from_arrays(pa.array(np.append(starts, len(each)), pa.int32()), pa.array(each))] if full else []), names=names)
+
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double" + ", chances array<double>" * full
+    return parts.unionByName(known).unionByName(answers).repartition(2 * homes, "home").groupBy("home").applyInArrow(scored, kinds)
+
+
+def evaluate(docs: DataFrame, held_out: Column | None = None, full: bool = False) -> DataFrame:
+    """Scores of all docs by a model of those that are not held out (a condition on doc_id or text; none: all are learned from).
+    Other columns are not read. An empty table gives no rows."""
+    parts = base.settle(slices_of(docs, F.lit(False) if held_out is None else held_out), "slices")
+    return score(parts, train(parts), full)

@@ -24,10 +24,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.table(spark, sf_dir, "documents")
-    held_out = base.fold("doc_id", 7) == 2
-    model, words = pitman_yor.train(docs.where(~held_out))
-    return pitman_yor.score(docs, model, words, held_out)
+    return pitman_yor.evaluate(base.table(spark, sf_dir, "documents"), base.fold("doc_id", 7) == 2)
 
 
 def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """The training-data operators against brute force, on a fixture with nulls, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -79,13 +82,57 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, toxicity.train(empty, labels.limit(0))).where("predicted = 1").count() == 0
 
 
-def test_pitman_yor_counts(docs, empty):
-    model, words = pitman_yor.train(docs.where("doc_id <> 6"))
-    got = by_id(pitman_yor.score(docs, model, words, F.col("doc_id") == 6))
-    assert got[0].n_tokens == got[1].n_tokens == 1 and got[9].n_tokens == 21 and got[9].n_known == 21 and got[6].held_out
-    assert all(r.score < 0 and r.base_score < 0 for r in got.values())
-    model, words = pitman_yor.train(empty)
-    assert by_id(pitman_yor.score(docs, model, words, F.col("doc_id") < 0))[3].n_known == 0
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) + [None]
+
+
+def test_pitman_yor_counts_equal_brute_force(docs, empty):
+    got = by_id(pitman_yor.evaluate(docs, F.col("doc_id").isin(6, 9)))
+    known = Counter(w for k, t in enumerate(TEXTS) if k not in (6, 9) for w in words_of(t))
+    n = sum(known.values())
+    for k, t in enumerate(TEXTS):
+        words = words_of(t)
+        assert (got[k].held_out, got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (k in (6, 9), len(words), sum(known[w] > 0 for w in words), n)
+        assert got[k].base_score == pytest.approx(sum(math.log10((known[w] + 1) / (n + len(known) + 1)) for w in words))
+        assert got[k].score < 0 and got[k].perplexity == pytest.approx(10 ** (-got[k].score / len(words)))
+    assert pitman_yor.evaluate(empty).count() == 0
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in pitman_yor.evaluate(docs, F.lit(True)).collect())
+
+
+def test_pitman_yor_contexts_are_whole_words(spark, monkeypatch):
+    # Rare words with the same last byte: "xa" is always followed by "pa", "ya" by "qa". Contexts lie in several shards, and "xa" itself is spread.
+    monkeypatch.setattr(pitman_yor, "SHARD_TOKENS", 1000)
+    monkeypatch.setattr(pitman_yor, "HOT", 40)
+    rows = [(k, "xa pa" if k % 2 else "ya qa") for k in range(80)] + [(80, " ".join(f"w{k % 1500}" for k in range(3000)))]
+    words = sorted({w for _, t in rows for w in t.split()})
+    asked = [(100 + k, f"xa {w}") for k, w in enumerate(["pa", "qa", "never seen", *words])] + [(99, "xa")]
+    table = spark.createDataFrame(rows + asked, "doc_id long, text string").repartition(3)
+    got = by_id(pitman_yor.evaluate(table, F.col("doc_id") >= 99, full=True))
+    after = {t.split()[1] if " " in t else None: 10 ** got[k].chances[1] for k, t in asked}
+    assert after["pa"] > 10 * after["qa"] and got[102].n_known == 2
+    # The chances after "xa" of all words, of the end and of an unknown word sum to one.
+    assert sum(after.values()) == pytest.approx(1, abs=1e-6)
+
+
+def test_gibbs_sweeps_reach_the_posterior():
+    # Four customers of one dish, alone in a restaurant: the number of tables against exact enumeration of seatings in turn.
+    chance, random = 0.3, np.random.default_rng(5)
+    of, size, seen, opened = None, None, np.zeros(5), np.zeros(1, np.int64)
+    for k in range(8000):
+        of, size = pitman_yor.sweep(np.array([4]), of, size, np.array([chance]), np.array([0]), opened, random)
+        assert opened[0] == len(of) and size.sum() == 4
+        seen[len(of)] += k >= 100
+    weight = {(1,): 1.0}
+    d, s = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    for _ in range(3):
+        after = Counter()
+        for seats, w in weight.items():
+            for j, n in enumerate(seats):
+                after[tuple(sorted([*seats[:j], n + 1, *seats[j + 1 :]]))] += w * (n - d)
+            after[tuple(sorted([*seats, 1]))] += w * (s + d * len(seats)) * chance
+        weight = after
+    exact = np.array([sum(w for seats, w in weight.items() if len(seats) == t) for t in range(5)])
+    assert np.abs(seen / seen.sum() - exact / exact.sum()).max() < 0.03
 
 
 def test_near_duplicates(docs, empty):
@@ -163,20 +210,3 @@ def test_encoder_equals_the_library():
     mine = tokens.Encoder("word_bpe_49k.json")
     for t, ids in zip(TEXTS, mine.ids(TEXTS), strict=True):
         assert ids.tolist() == coder.encode(t or "", add_special_tokens=False).ids
-
-
-def test_pitman_yor_contexts_are_whole_words(spark):
-    # Rare words with the same last byte: "xa" is always followed by "pa", "ya" by "qa".
-    rows = [(k, "xa pa" if k % 2 else "ya qa") for k in range(40)] + [(40, " ".join(f"w{k}" for k in range(3000)))] + [(100, "xa pa"), (101, "xa qa"), (102, "zz pa")]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    model, words = pitman_yor.train(table.where("doc_id < 100"))
-    contexts = len({w for _, t in rows[:41] for w in t.split()}) + 1
-    assert model.pairs.select("u").distinct().count() == contexts == words.count()
-    got = by_id(pitman_yor.score(table, model, words, F.col("doc_id") >= 100))
-    assert got[100].score > got[101].score + 1 and got[102].n_known == 2
-    # The predictive chances after "xa" of all words and the unknown one sum to one.
-    terms, pair = {r["id"]: r for r in words.collect()}, {(r.u, r.w): r for r in model.pairs.collect()}
-    xa = int(pitman_yor.ids_of([b"xa"])[0])
-    back = lambda ps: sum((1 + 0.75 * t) * p for t, p in zip(terms[xa].ts, ps, strict=True)) / len(ps)
-    mass = sum((pair[xa, w].n - 0.75 * pair[xa, w].t if (xa, w) in pair else 0) + back(r.ps) for w, r in terms.items()) + back(model.unknown)
-    assert mass / (1 + terms[xa].c) == pytest.approx(1)
