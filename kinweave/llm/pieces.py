@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +27,8 @@ from . import base
 from .tokens import CACHE_PIECES, expand, slices
 
 MARK = "▁"
+#: Longest cut whose ids are remembered.
+CACHE_CHARS = 200
 _cuts = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -49,6 +52,12 @@ class Pieces:
         self.search.make_automaton()
         #: No piece goes on from a letter to a mark, so a cut there is safe too.
         self.marks_apart = not any(a.isalpha() and not b.isalnum() and b != MARK for t in self.id for a, b in zip(t, t[1:], strict=False))
+        runs = {t for t in self.id if t == MARK * len(t)}
+        self.runs = {len(t) for t in runs}
+        merges = [x for t, x in self.score.items() if len(t) > 1 and t not in runs]
+        run_scores = {self.score[t] for t in runs if len(t) > 1}
+        if any(MARK in t[1:] for t in self.id if t not in runs) or len(run_scores) > 1 or run_scores and merges and max(run_scores) >= min(merges):
+            raise ValueError(f"{name}: runs of space marks don't merge last and among themselves")
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {"": b""}
 
@@ -98,25 +107,36 @@ class Pieces:
                 raise ValueError(f"no encoding of {text!r}")
         return taken
 
+    def spaced(self, text: str) -> list[str]:
+        """Pieces of a text that may begin with many space marks.
+
+        Runs of marks merge last, all with one score: the last mark goes with the letters behind it where these take it, and
+        the others join from the left, each as soon as it makes a piece with what stands before it.
+        """
+        marks = len(text) - len(text.lstrip(MARK))
+        if marks < 2:
+            return self.backtrack(text)
+        rest = self.backtrack(text[marks - 1 :])
+        alone = rest[0] == MARK
+        run: list[int] = []
+        for _ in range(marks - 1 + alone):
+            run.append(1)
+            while len(run) > 1 and run[-2] + run[-1] in self.runs:
+                run[-2:] = [run[-2] + run[-1]]
+        return [MARK * n for n in run] + rest[alone:]
+
     def _ids(self, cut: str) -> list[int]:
         """ids of a cut: characters that are no pieces stand alone, as their bytes."""
-        out, first = [], 0
-        for k, c in enumerate(cut + "\0"):
-            if k == len(cut) or c not in self.id:
-                if k > first:
-                    run = cut[first:k]
-                    # Runs of space marks have pieces of equal score, for which pairs alone don't decide.
-                    out += map(self.id.__getitem__, self.merged(run) if MARK * 2 in run else self.backtrack(run))
-                if k < len(cut):
-                    out += [self.byte[b] for b in c.encode()]
-                first = k + 1
+        out: list[int] = []
+        for known, run in groupby(cut, self.id.__contains__):
+            out += map(self.id.__getitem__, self.spaced("".join(run))) if known else [self.byte[b] for b in "".join(run).encode()]
         return out
 
     def ids_of_cut(self, cut: str) -> bytes:
         ids = self.known.get(cut)
         if ids is None:
             ids = np.array(self._ids(cut), np.uint32).tobytes()
-            if len(self.known) < CACHE_PIECES:
+            if len(self.known) < CACHE_PIECES and len(cut) <= CACHE_CHARS:
                 self.known[cut] = ids
         return ids
 
