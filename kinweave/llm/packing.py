@@ -22,9 +22,7 @@ from .tokens import encoder
 #: Tokens in a sequence.
 CAPACITY = 2048
 #: Pieces packed together in one task, on average.
-GROUP_PIECES = 40_000
-#: Passes of the local search, and the emptiest bins that each pass tries to empty.
-PASSES, GIVERS = 20, 32
+GROUP_PIECES = 20_000
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -44,57 +42,88 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = PASSES) -> list[list[int]]:
-    """Local search: from the emptiest open bin, move a piece into a fuller bin, or exchange it for one or
-    two shorter pieces there, when the fuller bin gets fuller. The sum of squared fills rises each time, so it ends."""
-    size = lengths.tolist()
+def _given_back(held: list[int]) -> dict[int, tuple[int, ...]]:
+    """What a bin can give back for a piece: nothing, one piece or two, by their length. held: lengths in it."""
+    sizes, out = sorted(set(held)), {0: ()}
+    for k, x in enumerate(sizes):
+        for y in sizes[k:]:
+            if x != y or held.count(x) > 1:
+                out.setdefault(x + y, (x, y))
+    return out | {x: (x,) for x in sizes}
+
+
+class Search:
+    """Bins that are not full, found by what they can give back: for each length of that, (room, bin) in order."""
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.room = [capacity - sum(size[k] for k in b) for b in bins]
+        self.backs: dict[int, dict[int, tuple[int, ...]]] = {}
+        self.takers: dict[int, list[tuple[int, int]]] = {}
+        for b in range(len(bins)):
+            self._put(b)
+
+    def _put(self, b: int) -> None:
+        if self.bins[b] and self.room[b]:
+            self.backs[b] = _given_back([self.size[k] for k in self.bins[b]])
+            for v in self.backs[b]:
+                insort(self.takers.setdefault(v, []), (self.room[b], b))
+
+    def _take(self, b: int) -> None:
+        for v in self.backs.pop(b, ()):
+            held = self.takers[v]
+            held.pop(bisect_left(held, (self.room[b], b)))
+            if not held:
+                del self.takers[v]
+
+    def give(self, giver: int) -> bool:
+        """The exchange of one of the giver's pieces that leaves the taker fullest, if any raises the sum of squared fills."""
+        room = self.room[giver]
+        for piece in sorted(self.bins[giver], key=lambda k: (-self.size[k], k)):
+            best, s = None, self.size[piece]
+            for v, held in self.takers.items():
+                if v < s:
+                    at = bisect_left(held, (s - v, -1))
+                    if at < len(held) and held[at][1] == giver:
+                        at += 1
+                    # The sum rises if the taker ends fuller than the giver was.
+                    if at < len(held) and held[at][0] - (s - v) < room:
+                        found = (held[at][0] - (s - v), v, held[at][1])
+                        best = found if best is None or found < best else best
+            if best:
+                _, v, taker = best
+                back = []
+                for x in self.backs[taker][v]:
+                    back.append(next(k for k in self.bins[taker] if self.size[k] == x and k not in back))
+                self._take(giver)
+                self._take(taker)
+                self.bins[giver] = [k for k in self.bins[giver] if k != piece] + back
+                self.bins[taker] = [k for k in self.bins[taker] if k not in back] + [piece]
+                self.room[giver] += s - v
+                self.room[taker] -= s - v
+                self._put(giver)
+                self._put(taker)
+                return True
+        return False
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Local search: from the emptiest open bin on, move a piece into another, or exchange it for one or two shorter pieces there,
+    where that raises the sum of squared fills; until no exchange does, or the fewest possible bins are left."""
     least = max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
-    fill = [sum(size[k] for k in b) for b in bins]
-    for _ in range(passes):
-        live = [b for b in range(len(bins)) if bins[b]]
-        if len(live) <= least:
-            break
-        open_bins = sorted((b for b in live if fill[b] < capacity), key=lambda b: (-fill[b], b))
-        changed = False
-        for giver in open_bins[: -GIVERS - 1 : -1]:
-            for piece in sorted(bins[giver], key=lambda k: (-size[k], k)):
-                for taker in open_bins:
-                    if taker == giver or fill[taker] < fill[giver] or not bins[taker]:
-                        continue
-                    back = _exchange(size[piece], capacity - fill[taker], [(size[k], k) for k in bins[taker]])
-                    if back is None:
-                        continue
-                    gain = size[piece] - sum(size[k] for k in back)
-                    bins[giver].remove(piece)
-                    bins[taker] = [k for k in bins[taker] if k not in back] + [piece]
-                    bins[giver] += back
-                    fill[giver], fill[taker], changed = fill[giver] - gain, fill[taker] + gain, True
-                    break
-        if not changed:
-            break
+    live = sum(map(bool, bins))
+    if live <= least:
+        return bins
+    search, moved = Search(bins, lengths.tolist(), capacity), True
+    while moved and live > least:
+        moved = False
+        for giver in sorted((b for b in range(len(bins)) if bins[b] and search.room[b]), key=lambda b: (-search.room[b], b)):
+            while live > least and bins[giver] and search.give(giver):
+                moved = True
+                live -= not bins[giver]
     return [b for b in bins if b]
 
 
-def _exchange(size: int, room: int, held: list[tuple[int, int]]) -> list[int] | None:
-    """What the taker gives back for a piece of ``size``: nothing, one or two pieces that leave it fullest; None: no gain."""
-    if size <= room:
-        return []
-    need = size - room  # what must come back at least; less than size, so that the taker gains
-    held = sorted(held)
-    at = bisect_left(held, (need, -1))
-    best = (held[at][0], [held[at][1]]) if at < len(held) and held[at][0] < size else (size, None)
-    low, high = 0, len(held) - 1
-    while low < high:
-        both = held[low][0] + held[high][0]
-        if both < need:
-            low += 1
-        else:
-            if both < best[0]:
-                best = (both, [held[low][1], held[high][1]])
-            high -= 1
-    return best[1]
-
-
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece. Lengths are 1 to capacity; bins are numbered from 0."""
     bins = improve(best_fit(lengths, capacity), lengths, capacity)
