@@ -2,12 +2,11 @@
 
 A text is cut into paragraphs: at line feeds and ends of sentences, and within those after
 words that end in a fixed letter, so that an edit moves few cuts. Each distinct paragraph
-is a 64-bit digest in three of 16 cells; a cell holds a count, the exclusive or of its
-digests and that of their check values. Cells add up, so a text's fingerprint is the merge
-of all its digests. To compare two texts their digests are dealt into small tables by a
-hash; tables subtract cell by cell, shared digests cancel, and peeling takes out of a cell
-with one digest left. Where peeling stalls, the digests of that table are dealt into eight
-larger ones and tried again.
+is a 64-bit digest in three of 16 cells; a cell holds a count and the exclusive or of its
+digests, whose upper bits check the lower ones. These cells are a text's fingerprint. Two fingerprints subtract cell by
+cell: shared digests cancel, and peeling recovers the others out of cells with one digest left. Where it stalls, larger
+sketches of both texts are tried: their digests are dealt into many such tables by a hash, and those of a table that stalls
+into eight more, until all are recovered.
 """
 
 from __future__ import annotations
@@ -18,12 +17,12 @@ from pyspark.sql import Window as W
 
 from . import base
 
-#: Cells of a table; digests of two texts in a table, on average, at most; tables that a stalled one is dealt into, and how often.
-CELLS, LOAD, FANOUT, RETRIES = 16, 5, 8, 3
-#: Documents in a range of ids, about: neighbours are found within ranges.
-RANGE_DOCS = 2000
-#: Fixed rule: a paragraph ends after a line feed, a mark that ends a sentence, or a word that ends in this letter.
-CUT = r"(?<=[\n.!?|])|(?<=[y] )"
+#: Cells of a table; digests of two texts in a table of a larger sketch, on average, at most; tables that a stalled one is dealt into.
+CELLS, LOAD, FANOUT = 16, 5, 8
+#: Documents in a range of ids, about, and the quantiles of ids between which ranges are of equal width.
+RANGE_DOCS, QUANTILES = 2000, 64
+#: Fixed rule: a paragraph ends after a line feed, a mark that ends a sentence in one of several scripts, or a word that ends in this letter.
+CUT = r"(?<=[\n.!?|。！？؟।])|(?<=[y] )"
 
 
 def _sealed(low: Column) -> Column:
@@ -42,111 +41,177 @@ def _position(digest: Column, k: int) -> Column:
     return F.pmod(F.shiftrightunsigned(digest, 14 * k).bitwiseAND(F.lit(0x3FFF)), F.lit((5, 5, 6)[k])).cast("int") + 5 * k
 
 
-def _cells(digest: Column, sign: Column) -> list[Column]:
-    """Aggregates that hold a table: the counts of its cells and the exclusive or of their digests."""
-    at = [_position(digest, k) for k in range(3)]
-    out = []
+def tabled(digests: DataFrame, *by: str) -> DataFrame:
+    """by, n and k: a table of each group's digests, those of sign -1 taken away. A null digest leaves its group's table empty."""
+    at = [_position(F.col("digest"), k) for k in range(3)]
+    cells = []
     for j in range(CELLS):
         here = at[0 if j < 5 else 1 if j < 10 else 2] == j
-        out += [F.sum(F.when(here, sign).otherwise(0)).cast("int").alias(f"n{j}"), F.bit_xor(F.when(here, digest).otherwise(F.lit(0).cast("long"))).alias(f"k{j}")]
-    return out
+        cells += [F.coalesce(F.sum(F.when(here, F.col("sign"))), F.lit(0)).cast("int").alias(f"n{j}"), F.coalesce(F.bit_xor(F.when(here, F.col("digest"))), F.lit(0)).alias(f"k{j}")]
+    arrays = (F.array(*(F.col(f"{x}{j}") for j in range(CELLS))).alias(x) for x in "nk")
+    return digests.groupBy(*by).agg(*cells).select(*by, *arrays)
 
 
-_STATE = "struct<n:array<int>,k:array<bigint>,only_a:bigint,only_b:bigint,at:int>"
+def printed(n: Column, k: Column) -> Column:
+    """A table as text."""
+    part = F.zip_with(n, k, lambda x, y: F.concat(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.lpad(F.hex(y), 16, "0")))
+    return F.lower(F.array_join(part, ""))
 
 
-def _peeled() -> tuple[Column, Column]:
-    """Counts of digests found on either side, and whether cells remain, after as many steps as it has cells twice; and the
-    state before. ``at`` is the cell that the last step emptied, or -1 once no cell has a single digest."""
-    start = F.struct(F.array(*(F.col(f"n{j}") for j in range(CELLS))).alias("n"), F.array(*(F.col(f"k{j}") for j in range(CELLS))).alias("k"), F.lit(0).cast("long").alias("only_a"), F.lit(0).cast("long").alias("only_b"), F.lit(0).alias("at"))
+def parsed(text: Column) -> tuple[Column, Column]:
+    """The cells of a printed table."""
+    places = F.sequence(F.lit(0), F.lit(CELLS - 1))
+
+    def number(start: int, digits: int) -> Column:
+        # conv gives unsigned text; signs come back by the two's complement of the upper half.
+        half = lambda i, a: F.conv(F.substring(text, i * 24 + a, F.lit(8)), 16, 10).cast("long")
+        if digits == 8:
+            return F.transform(places, lambda i: F.shiftright(F.shiftleft(half(i, start), 32), 32).cast("int"))
+        return F.transform(places, lambda i: F.shiftleft(half(i, start), 32).bitwiseOR(half(i, start + 8)))
+
+    return number(1, 8), number(9, 16)
+
+
+_STATE = "struct<n:array<int>,k:array<bigint>,only_a:array<bigint>,only_b:array<bigint>,at:int>"
+
+
+def peeled(tables: DataFrame) -> DataFrame:
+    """tables (with n and k, differences of two) and only_a, only_b: the digests recovered from them; null if cells remain.
+
+    A step takes the digest of a cell that has a single one out of its three cells. ``at`` is the cell that the last step
+    emptied, or -1 once there is none.
+    """
+    none = F.array().cast("array<bigint>")
+    start = F.struct("n", "k", none.alias("only_a"), none.alias("only_b"), F.lit(0).alias("at"))
     single = "abs(s.n[j]) = 1 and (shiftleft(xxhash64(s.k[j] & 17592186044415L, 'check'), 44) | (s.k[j] & 17592186044415L)) = s.k[j]"
     step = f"""(s, i) -> if(s.at < 0, s, transform(array(coalesce(get(filter(sequence(0, {CELLS - 1}), j -> {single}), 0), -1)), j -> if(j < 0,
             named_struct('n', s.n, 'k', s.k, 'only_a', s.only_a, 'only_b', s.only_b, 'at', -1),
             transform(array(named_struct('n', s.n[j], 'k', s.k[j], 'a', cast(pmod(s.k[j] & 16383, 5) as int), 'b', cast(pmod(shiftrightunsigned(s.k[j], 14) & 16383, 5) as int) + 5, 'c', cast(pmod(shiftrightunsigned(s.k[j], 28) & 16383, 6) as int) + 10)), p -> named_struct(
                 'n', transform(s.n, (x, y) -> if(y = p.a or y = p.b or y = p.c, x - p.n, x)),
                 'k', transform(s.k, (x, y) -> if(y = p.a or y = p.b or y = p.c, x ^ p.k, x)),
-                'only_a', s.only_a + if(p.n = 1, 1L, 0L), 'only_b', s.only_b + if(p.n = -1, 1L, 0L), 'at', j))[0]))[0])"""
-    return F.expr(f"aggregate(sequence(1, {2 * CELLS}), cast(start as {_STATE}), {step})"), start
-
-
-def _tabled(digests: DataFrame, by: list[str], exact: bool) -> DataFrame:
-    """One row a table: by, only_a, only_b, the fingerprint of one-sided tables, and the digests of a table that stalled."""
-    grouped = digests.groupBy(*by).agg(*_cells(F.col("digest"), F.col("sign")), F.collect_list(F.struct("digest", "sign")).alias("all"))
-    fold, start = _peeled()
-    empty = " and ".join(f"n{j} = 0 and k{j} = 0" for j in range(CELLS))
-    printed = F.concat(*(x for j in range(CELLS) for x in (F.lpad(F.hex(F.col(f"n{j}").cast("long").bitwiseAND(F.lit(0xFFFF))), 4, "0"), F.lpad(F.hex(f"k{j}"), 16, "0"))))
-    whole = F.col("pair") >= 2
-    state = F.when(whole | F.expr(empty), F.col("start").cast(_STATE)).otherwise(fold)
-    done = grouped.withColumn("start", start).select(*by, "all", F.when(whole, F.lower(printed)).alias("print"), state.alias("s"))
-    stalled = ~whole & F.expr("exists(s.n, x -> x <> 0) or exists(s.k, x -> x <> 0)")
-    a, b = F.expr("transform(filter(all, x -> x.sign = 1), x -> x.digest)"), F.expr("transform(filter(all, x -> x.sign = -1), x -> x.digest)")
-    if exact:
-        only_a, only_b, rest = F.when(stalled, F.size(F.array_except(a, b)).cast("long")).otherwise(F.col("s.only_a")), F.when(stalled, F.size(F.array_except(b, a)).cast("long")).otherwise(F.col("s.only_b")), F.lit(None)
-    else:
-        only_a, only_b, rest = F.when(stalled, F.lit(0)).otherwise(F.col("s.only_a")), F.when(stalled, F.lit(0)).otherwise(F.col("s.only_b")), F.when(stalled, F.col("all"))
-    return done.select(*by, only_a.cast("long").alias("only_a"), only_b.cast("long").alias("only_b"), "print", rest.cast("array<struct<digest:bigint,sign:int>>").alias("rest"))
-
-
-def differences(digests: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, only_a and only_b (how many digests only one side has), print (the cells of pair 2 and 3, which stand alone).
-
-    digests: keys with ``pair`` among them, tables (how many small tables to deal into), digest, sign (1: a, -1: b); sets on
-    both sides. What lies in a table that stalls after all retries is told apart by its digests themselves.
+                'only_a', if(p.n = 1, array_append(s.only_a, p.k), s.only_a), 'only_b', if(p.n = -1, array_append(s.only_b, p.k), s.only_b), 'at', j))[0]))[0])"""
+    out = tables.withColumn("start", start).withColumn("s", F.expr(f"aggregate(sequence(1, {2 * CELLS}), cast(start as {_STATE}), {step})"))
+    clear = ~F.exists("s.n", lambda x: x != 0) & ~F.exists("s.k", lambda x: x != 0)
+    return out.withColumns({c: F.when(clear, F.col(f"s.{c}")) for c in ("only_a", "only_b")}).drop("start", "s")
+
+
+def _path(digest: Column, tables: Column, level: int) -> Column:
+    """The table of a digest in the sketch that is so many retries larger than the first."""
+    path = F.pmod(F.xxhash64(digest, F.lit("deal 0")), tables)
+    for k in range(1, level + 1):
+        path = F.xxhash64(path, F.pmod(F.xxhash64(digest, F.lit(f"deal {k}")), F.lit(FANOUT)))
+    return path
+
+
+def _subtracted(a: str, b: str) -> list[Column]:
+    return [F.zip_with(f"{a}.n", f"{b}.n", lambda x, y: x - y).alias("n"), F.zip_with(f"{a}.k", f"{b}.k", lambda x, y: x.bitwiseXOR(y)).alias("k")]
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """pairs (with the printed fingerprints a and b) and only_a, only_b: the digests that one text has and not the other, found
+    from these alone; null if they differ in too many for that."""
+    cells = {c: F.struct(*(x.alias(y) for x, y in zip(parsed(F.col(c)), "nk", strict=True))) for c in ("a", "b")}
+    held = pairs.select(*pairs.columns, *(x.alias(f"cells_{c}") for c, x in cells.items()))
+    return peeled(held.select(*pairs.columns, *_subtracted("cells_a", "cells_b"))).drop("n", "k")
+
+
+def recovered(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """row, pair, only_a, only_b: the digests that only one of two texts has, by peeling.
+
+    rows (settled): row and the digests own, edit, next of three texts; pair 0 is own and edit, 1 is own and next. prints: row
+    and the cells of each text. The fingerprints are tried first, then larger sketches of those that stall, as often as needed:
+    distinct digests part sooner or later.
     """
-    dealt = digests.withColumn("table", F.coalesce(F.pmod(F.xxhash64("digest", F.lit("deal 0")), F.col("tables")), F.lit(0)))
-    level = base.settle(_tabled(dealt, [*keys, "table"], False), "tables")
-    found = level
-    for retry in range(1, RETRIES + 1):
-        again = level.where("rest is not null").select(*keys, F.xxhash64("table", F.lit(retry)).alias("old"), F.inline("rest"))
-        again = again.withColumn("table", F.xxhash64("old", F.pmod(F.xxhash64("digest", F.lit(f"deal {retry}")), F.lit(FANOUT))))
-        level = base.settle(_tabled(again, [*keys, "table"], retry == RETRIES), "tables")
-        found = found.unionByName(level)
-    return found.select(*keys, "only_a", "only_b", "print")
+    side = {0: "edit", 1: "next"}
+    both = F.explode(F.array(*(F.struct(F.lit(p).alias("pair"), *_subtracted("own", x)) for p, x in side.items()))).alias("x")
+    level = base.settle(peeled(prints.select("row", both).select("row", "x.*")), "level")
+    found = [level.where("only_a is not null").select("row", "pair", "only_a", "only_b")]
+    stalled = level.where("only_a is null").groupBy("row").agg(*(F.max(F.when(F.col("pair") == p, F.array().cast("array<bigint>"))).alias(f"path{p}") for p in side))
+    step = 0
+    while not stalled.isEmpty():
+        held = rows.join(stalled, "row")
+
+        def dealt(p: int, name: str, sign: int) -> Column:
+            tables = F.greatest(F.lit(1), F.ceil((F.size("own") + F.size(side[p])) / LOAD)).cast("long")
+            own = F.coalesce(F.col(f"path{p}"), F.lit(None).cast("array<bigint>"))
+            kept = F.filter(name, lambda d: own.isNotNull() if not step else F.array_contains(own, _path(d, tables, step - 1)))
+            return F.transform(F.when(own.isNotNull(), kept).otherwise(F.array().cast("array<bigint>")), lambda d: F.struct(F.lit(p).alias("pair"), d.alias("digest"), F.lit(sign).alias("sign"), _path(d, tables, step).alias("path")))
+
+        digests = held.select("row", F.explode(F.concat(*(dealt(p, x, sign) for p in side for x, sign in (("own", 1), (side[p], -1))))).alias("x")).select("row", "x.*")
+        level = base.settle(peeled(tabled(digests, "row", "pair", "path")), "level")
+        found.append(level.where("only_a is not null").select("row", "pair", "only_a", "only_b"))
+        stalled = level.where("only_a is null").groupBy("row").agg(*(F.collect_list(F.when(F.col("pair") == p, F.col("path"))).alias(f"path{p}") for p in side))
+        step += 1
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionByName(f)
+    return whole
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text and (area, place), which name a row: the next document descends by doc_id (equal ids by text,
-    null ids last), and the first follows the last."""
+    null ids last), and the first follows the last.
+
+    Ids are cut into areas at quantiles, and between two of these into equal widths, so ids far apart or crowded don't meet
+    in one task. Rows of one id do.
+    """
     docs = base.only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    low, high, n = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0)), F.count("*")).first()
-    width = (high - low) // max(1, -(-n // RANGE_DOCS)) + 1
-    area = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
+    places = [k / QUANTILES for k in range(QUANTILES + 1)]
+    bounds, n = docs.agg(F.percentile_approx("doc_id", places, 10 * QUANTILES), F.count("*")).first()
+    bounds = sorted(set(bounds or [0]))
+    each = max(1, -(-n // (RANGE_DOCS * QUANTILES)))  # areas between two quantiles
+    # Where an id lies between its two bounds, in whole widths; decimals hold the distance of any two ids.
+    spans = [(low, (high - low) // each + 1) for low, high in zip(bounds, bounds[1:] + [bounds[-1]], strict=True)]
+
+    def area(first: int, last: int) -> Column:
+        if last - first == 1:
+            low, width = spans[first]
+            return F.lit(first * (each + 1)) + F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(str(low)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)"))
+        mid = (first + last) // 2
+        return F.when(F.col("doc_id") < F.lit(bounds[mid]), area(first, mid)).otherwise(area(mid, last))
+
+    number = F.greatest(F.coalesce(area(0, len(spans)), F.lit(-1)), F.lit(-1)).cast("long")
+    number = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.greatest(number, F.lit(0))).cast("long")
+    docs = docs.withColumn("area", number)
     within = W.partitionBy("area").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    rows = docs.withColumn("area", area).withColumn("place", F.row_number().over(within)).withColumn("next_text", F.lead("text").over(within))
+    rows = docs.withColumn("place", F.row_number().over(within)).withColumn("next_text", F.lead("text").over(within))
     # An area's last row is followed by the first of the next area below; one row an area.
-    areas = docs.select(area.alias("area")).distinct()
+    areas = docs.select("area").distinct()
     below = areas.select("area", F.coalesce(F.lead("area").over(W.orderBy(F.desc("area"))), F.max("area").over(W.partitionBy())).alias("below"))
     firsts = rows.where("place = 1").select(F.col("area").alias("below"), F.col("text").alias("first_text"))
     return rows.join(below.join(firsts, "below").select("area", "first_text"), "area").withColumn("next_text", F.coalesce("next_text", "first_text")).drop("first_text")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, full: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text and of its
-    edit: the last half of its characters replaced by the first as many of the next document.
+    edit: the last half of its characters replaced by the first as many of the next document. With ``full`` also the
+    digests that only the text or only its edit has (only_text, only_edited).
 
     Likeness is shared digests by all digests of both; two texts without paragraphs are alike (1). A null text is empty. Rows
-    with equal or null doc_id stay rows of their own; an empty table gives no rows.
+    with equal or null doc_id stay rows of their own; an empty table gives no rows; other columns are not read.
     """
     n = F.char_length("text")
     rows = with_next(docs).withColumn("n_chars", n.cast("long"))
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("area", "place", "doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edit"), paragraphs(F.col("next_text")).alias("next"))
-    keys = ["area", "place", "doc_id", "n_chars", "edited_sha256", "n_own", "n_edit", "n_next"]
-    rows = rows.withColumns({f"n_{x}": F.size(x).cast("long") for x in ("own", "edit", "next")})
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edit"), paragraphs(F.col("next_text")).alias("next"))
+    rows = base.settle(rows, "digests")
+    names = ["own", "edit", "next"]
 
-    def side(name: str, pair: int, sign: int) -> str:
-        return f"transform({name}, d -> named_struct('pair', {pair}, 'digest', d, 'sign', {sign}))"
+    # A null digest stands in for each text, so that one without paragraphs has a table too.
+    def of(k: int, name: str) -> Column:
+        return F.transform(F.concat(name, F.array(F.lit(None).cast("bigint"))), lambda d: F.struct(F.lit(k).alias("side"), d.alias("digest"), F.lit(1).alias("sign")))
 
-    lone = [f"array(named_struct('pair', {p}, 'digest', cast(null as bigint), 'sign', 0))" for p in range(4)]
-    exploded = rows.select(*keys, F.expr(f"inline(concat({', '.join([side('own', 0, 1), side('edit', 0, -1), side('own', 1, 1), side('next', 1, -1), side('own', 2, 1), side('edit', 3, 1), *lone])}))"))
-    tables = F.expr(f"case pair when 0 then greatest(1, ceil((n_own + n_edit) / {LOAD})) when 1 then greatest(1, ceil((n_own + n_next) / {LOAD})) else 1 end").cast("long")
-    found = differences(exploded.withColumn("tables", tables), [*keys, "pair"])
-    total = found.groupBy(*keys).agg(*(F.sum(F.when(F.col("pair") == p, F.col(c)).otherwise(0)).alias(f"{c}{p}") for p in (0, 1) for c in ("only_a", "only_b")), *(F.max(F.when(F.col("pair") == p, F.col("print"))).alias(f"print{p}") for p in (2, 3)))
+    each = F.explode(F.concat(*(of(k, x) for k, x in enumerate(names)))).alias("x")
+    cells = tabled(rows.select("row", each).select("row", "x.*"), "row", "side")
+    prints = base.settle(cells.groupBy("row").agg(*(F.max(F.when(F.col("side") == k, F.struct("n", "k"))).alias(x) for k, x in enumerate(names))), "prints")
+    found = recovered(rows, prints).groupBy("row").agg(*(F.sum(F.when(F.col("pair") == p, F.size(c)).otherwise(0)).alias(f"{c}{p}") for p in (0, 1) for c in ("only_a", "only_b")), *([F.flatten(F.collect_list(F.when(F.col("pair") == 0, F.col(c)))).alias(x) for c, x in (("only_a", "only_text"), ("only_b", "only_edited"))] if full else []))
+    sizes = rows.select("row", "doc_id", "n_chars", "edited_sha256", F.size("own").cast("long").alias("n_own"))
+    texts = prints.select("row", printed(F.col("own.n"), F.col("own.k")).alias("fingerprint"), printed(F.col("edit.n"), F.col("edit.k")).alias("edited_fingerprint"))
 
     def likeness(p: int) -> Column:
-        shared = F.col("n_own") - F.col(f"only_a{p}")
         union = F.col("n_own") + F.col(f"only_b{p}")
-        return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+        return F.when(union == 0, F.lit(1.0)).otherwise((F.col("n_own") - F.col(f"only_a{p}")) / union)
 
-    return total.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("print2").alias("fingerprint"), F.col("print3").alias("edited_fingerprint"), likeness(0).alias("near_edited"), likeness(1).alias("near_next"))
+    whole = sizes.join(texts, "row").join(found, "row")
+    return whole.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(0).alias("near_edited"), likeness(1).alias("near_next"), *(["only_text", "only_edited"] if full else []))

@@ -152,12 +152,49 @@ def test_pieces_equal_the_library(docs, empty):
 
 
 def test_packing(docs, empty):
-    rows = packing.pack(docs).collect()
+    coder, rows = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.pack(docs).collect()
     fill = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == fill.get(r.sequence_id, 0)
         fill[r.sequence_id] = r.offset + r.length
-    assert max(fill.values()) <= 2048 and len(fill) == -(-sum(fill.values()) // 2048) and packing.pack(empty).count() == 0
+    pieces_of = {k: sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece) for k in range(len(TEXTS))}
+    for k, t in enumerate(TEXTS):
+        ids = [*coder.encode(t or "", add_special_tokens=False).ids, 0]
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in pieces_of[k]] == [(at // 2048, at, len(ids[at : at + 2048]), crc(ids[at : at + 2048])) for at in range(0, len(ids), 2048)]
+    least = max(-(-sum(fill.values()) // 2048), sum(2 * r.length > 2048 for r in rows))
+    assert max(fill.values()) <= 2048 and len(fill) == least and packing.pack(empty).count() == 0
+
+
+def fewest(lengths, capacity):
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= lengths[k]}:
+            place(k + 1, [*rooms[: (at := rooms.index(room))], room - lengths[k], *rooms[at + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_local_search_against_the_optimum():
+    random, gained = np.random.default_rng(7), 0
+    for _ in range(60):
+        lengths = np.sort(random.integers(12, 60, 10))[::-1]
+        where, offset = packing.pack_lengths(lengths, 100)
+        assert np.bincount(where, lengths).max() <= 100
+        used, first, best = len(set(where)), len(packing.best_fit(lengths, 100)), fewest(lengths.tolist(), 100)
+        assert best <= used <= first and used <= best + 1
+        gained += first - used
+    assert gained >= 0
+    thirds = np.random.default_rng(0).integers(600, 760, 3000)
+    assert len(packing.best_fit(thirds, 2048)) > 1100 and len(set(packing.pack_lengths(thirds, 2048)[0])) <= 1036
 
 
 def test_local_search_empties_bins():
@@ -166,16 +203,43 @@ def test_local_search_empties_bins():
     assert len(set(where)) == 3 and np.bincount(where, lengths).max() <= 10
 
 
+CUT = re.compile(bloom_sketch.CUT)
+
+
 def test_bloom_sketch(docs, empty):
-    got = by_id(bloom_sketch.fingerprints(docs))
+    got = by_id(bloom_sketch.fingerprints(docs, full=True))
     texts = [t or "" for t in TEXTS]
+    parts = lambda t: {x for x in CUT.split(t) if x.strip(" ")}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1
     for k, t in enumerate(texts):
         half, following = len(t) // 2, texts[k - 1]
-        assert (got[k].n_chars, got[k].edited_sha256) == (len(t), sha(t[: len(t) - half] + following[:half]))
-        assert 0 <= got[k].near_next <= 1 and 0 <= got[k].near_edited <= 1
+        edited = t[: len(t) - half] + following[:half]
+        assert (got[k].n_chars, got[k].edited_sha256) == (len(t), sha(edited))
+        assert got[k].near_edited == pytest.approx(like(parts(t), parts(edited))) and got[k].near_next == pytest.approx(like(parts(t), parts(following)))
+        assert (len(got[k].only_text), len(got[k].only_edited)) == (len(parts(t) - parts(edited)), len(parts(edited) - parts(t)))
     assert got[6].fingerprint == got[8].fingerprint != got[7].fingerprint and got[7].near_next > 0.9 and bloom_sketch.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_alone_give_few_differences(spark):
+    table = spark.createDataFrame([(1, "One. Two. Three. Four."), (2, "One. Two. Three. Five. Six."), (3, LONG)], "doc_id long, text string")
+    got = by_id(bloom_sketch.fingerprints(table))
+    rows = [(a, b, got[a].fingerprint, got[b].fingerprint) for a, b in ((1, 2), (1, 1), (1, 3))]
+    near, same, far = bloom_sketch.compared(spark.createDataFrame(rows, "x long, y long, a string, b string")).orderBy("x", "y").collect()[1], *bloom_sketch.compared(spark.createDataFrame(rows[1:], "x long, y long, a string, b string")).orderBy("y").collect()
+    assert (len(near.only_a), len(near.only_b), same.only_a, far.only_a) == (1, 2, [], None)
+
+
+def test_bloom_sketch_with_ids_far_apart(spark):
+    ids = [-(1 << 62) - 5, 3, (1 << 62) + 9, None, 4, 4, -(1 << 63), (1 << 63) - 1]
+    table = spark.createDataFrame([(d, f"Text {k}. Next.") for k, d in enumerate(ids)], "doc_id long, text string")
+    order = [k for d, _, k in sorted(((-(1 << 70) if d is None else d, "", k) for k, d in enumerate(ids)), key=lambda r: (-r[0], r[2]))]
+    got = Counter((r.doc_id, r.edited_sha256) for r in bloom_sketch.fingerprints(table).collect())
+    wanted = Counter()
+    for at, k in enumerate(order):
+        t, following = f"Text {k}. Next.", f"Text {order[(at + 1) % len(order)]}. Next."
+        wanted[ids[k], sha(t[: len(t) - len(t) // 2] + following[: len(t) // 2])] += 1
+    assert got == wanted
+
+
 def test_edit_counts(docs):
     coder = edit_counts.counter("byte_bpe_50k.tiktoken")
     for r in edit_counts.count(edit_counts.sample_edits(docs)).collect():
