@@ -25,8 +25,6 @@ from . import base
 ORDER = 3
 #: Training documents of a language, about: a bounded sample of its labelled documents, by a hash of the id.
 TRAIN_DOCS = 1500
-#: The most frequent four-byte strings that the trees are built from, over all languages.
-MAX_STRINGS = 1_500_000
 #: Bytes scored at a time.
 SLICE_BYTES = 1_000_000
 #: Bits a byte above which no learned language explains a text (the filter's rule).
@@ -66,7 +64,7 @@ class Trees:
     def bits_of(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Bits of the last byte of each key in each language."""
         if order < 0:
-            return np.full((len(keys), len(self.languages)), 8.0, np.float32)
+            return np.full((len(keys), len(self.languages)), 8.0)
         at, seen = self._find(self.known[order], keys)
         out = self.cost[order][at]
         if not seen.all():
@@ -116,14 +114,15 @@ def build(languages: list[str], lang: np.ndarray, key: np.ndarray, count: np.nda
         lower = trees.bits_of(strings & np.uint32((1 << (8 * order)) - 1), order - 1)
         known.append(strings.astype(np.uint32))
         contexts.append(parents.astype(np.uint32))
-        escape.append(leave.astype(np.float32))
-        cost.append(np.where(table > 0, direct, leave[of] + lower).astype(np.float32))
+        escape.append(leave)
+        cost.append(np.where(table > 0, direct, leave[of] + lower))
     return trees
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Trees:
-    """Learns from documents with a language whose fold of four is not 2. No such document: no language, and every
-    prediction is ``und``."""
+    """Learns from documents with a language whose fold of four is not 2: a sample of train_docs of each language, about,
+    all of whose strings count. What comes to the driver is bounded by that and by the number of languages. No such
+    document: no language, and every prediction is ``und``."""
     spark = docs.sparkSession
     base.short_batches(spark)
     labelled = base.only(docs, "doc_id", "text", "lang").where((base.fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -144,7 +143,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Trees:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int64)), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
 
     strings = sample.select("text", "lang").mapInArrow(counted, "lang long, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    got = strings.orderBy(F.desc("n"), "key", "lang").limit(MAX_STRINGS).toArrow()
+    got = strings.toArrow()  # no more than TRAIN_DOCS documents of each language have
     return build(languages, got["lang"].to_numpy().astype(np.int64), got["key"].to_numpy().astype(np.uint32), got["n"].to_numpy())
 
 

@@ -36,7 +36,7 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 #: Sweeps before and of the average; moves of a dish in a sweep, each of one customer or, beyond so many, of an equal share.
 BURN_IN, SAMPLES, BATCHES = 3, 3, 128
 #: Tokens of a slice and of a shard, about.
-SLICE_TOKENS, SHARD_TOKENS = 4_000_000, 4_000_000
+SLICE_TOKENS, SHARD_TOKENS = 2_000_000, 4_000_000
 #: Parts of a shard's tokens from which a context is dealt over several.
 HOT = 4
 #: Stands for the end of a text.
@@ -234,10 +234,12 @@ def _pairs(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A slice's words, its distinct pairs as u * words + w, the count of each among texts learned from, and each token's pair."""
     words, codes, sizes, flags = unpack_sorted(r["a"]), unpack(r["b"]).astype(np.int64), unpack(r["d"]).astype(np.int64), unpack(r["e"], "u1")
     token = np.append(0, codes[:-1]) * len(words) + codes  # the end has the lowest digest, and stands before each text
-    learned = np.repeat(flags & 1 == 0, sizes)
-    both = np.sort(token * 2 + learned)
-    starts = np.flatnonzero(np.append(True, both[1:] >> 1 != both[:-1] >> 1))
-    return words, both[starts] >> 1, np.add.reduceat(both & 1, starts), token
+    both = token * 2 + np.repeat(flags & 1 == 0, sizes)
+    both.sort()
+    learned = (both & 1).astype(np.uint8)
+    both >>= 1
+    starts = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    return words, both[starts], np.add.reduceat(learned, starts, dtype=np.int64), token
 
 
 def _asks(r: dict, layout: Layout) -> Iterator[dict]:

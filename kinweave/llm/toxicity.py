@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from . import base
 from .tokens import slices, split_words
 
-#: Confirmed toxic and unlabelled documents trained on, about: bounded samples by a hash of the id.
+#: Confirmed toxic documents and documents of any kind, taken as unlabelled, trained on, about: bounded samples by a hash of
+#: the id. The second bounds what the risk of unlabelled text is estimated from; all documents are scored.
 POSITIVES, UNLABELLED = 2000, 6000
-#: Words that may carry weight: at most so many, those whose share of confirmed documents lies furthest, and at least
-#: APART standard errors, above their share of unlabelled ones, and that occur in toxic documents more often than not.
-VOCABULARY, APART = 20_000, 5
+#: Words that carry weight: those in at least so many of the confirmed documents whose share of these lies so many standard
+#: errors, at least, above their share of unlabelled ones, and that occur in toxic documents more often than not.
+OFTEN, APART = 3, 5
 #: Classifiers, each with its own half of the unlabelled; their scores are averaged.
 CLASSIFIERS, STEPS, RATE, DECAY = 3, 150, 0.05, 3e-3
 #: A document is toxic from this score on.
@@ -97,7 +98,8 @@ def fit(positive: tuple, unlabelled: tuple, n_words: int, prior: float, seed: in
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from documents whose fold of four is not 2. Several labels of a document: toxic if any says so. The prior is
-    the share of toxic ones among labelled documents of those folds. Without a confirmed toxic document every score is 0."""
+    the share of toxic ones among labelled documents of those folds. The words and rows that come to the driver are those of
+    the two bounded samples. Without a confirmed toxic document every score is 0."""
     spark = docs.sparkSession
     base.short_batches(spark)
     docs = base.only(docs, "doc_id", "text").where((base.fold("doc_id", 4) != 2) & F.col("text").isNotNull())
@@ -121,9 +123,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return df.select("text").mapInArrow(distinct, "word string, n long").groupBy("word").agg(F.sum("n").alias(name))
 
     n_pos, n_any = max(1, positive.count()), max(1, unlabelled.count())
-    both = by_word(positive, "p").where("p >= 3").join(by_word(unlabelled, "u"), "word", "left").selectExpr("word", f"p / {n_pos} as p", f"(coalesce(u, 0) + 1) / ({n_any} + 2) as u")
+    both = by_word(positive, "p").where(f"p >= {OFTEN}").join(by_word(unlabelled, "u"), "word", "left").selectExpr("word", f"p / {n_pos} as p", f"(coalesce(u, 0) + 1) / ({n_any} + 2) as u")
     told = both.withColumn("z", F.expr(f"(p - u) / sqrt(u * (1 - u) / {n_pos})")).where((F.col("z") > APART) & (prior * F.col("p") > 0.5 * F.col("u")))
-    words = {r.word: k for k, r in enumerate(told.orderBy(F.desc("z"), "word").limit(VOCABULARY).collect())}
+    words = {r.word: k for k, r in enumerate(told.orderBy(F.desc("z"), "word").collect())}
     shared = spark.sparkContext.broadcast(words)
 
     def featured(batches):

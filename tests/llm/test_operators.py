@@ -82,6 +82,70 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, toxicity.train(empty, labels.limit(0))).where("predicted = 1").count() == 0
 
 
+def ppm_bits(learned: list[bytes], text: bytes) -> float:
+    """Code length of a text by definition: byte by byte down the contexts of one language."""
+    counts = [Counter() for _ in range(4)]
+    for t in learned:
+        t = b"\0" * 3 + t
+        for k in range(3, len(t)):
+            for order in range(4):
+                counts[order][t[k - order : k + 1]] += 1
+    after = [{} for _ in range(4)]
+    for order in range(4):
+        for string, n in counts[order].items():
+            after[order].setdefault(string[:-1], []).append(n)
+    text, bits = b"\0" * 3 + text, 0.0
+    for k in range(3, len(text)):
+        for order in (3, 2, 1, 0, -1):
+            if order < 0:
+                bits += 8
+                break
+            seen = after[order].get(text[k - order : k], [])
+            n = counts[order][text[k - order : k + 1]]
+            if n:
+                bits -= math.log2(n / (sum(seen) + len(seen)))
+                break
+            if seen:
+                bits -= math.log2(len(seen) / (sum(seen) + len(seen)))
+    return bits
+
+
+def test_language_codes_equal_brute_force(spark):
+    texts = {"en": ["the girl eats bread", "water and wine", "Bread the house"], "es": ["la niña come pan", "agua y vino", "la casa"], "xx": ["日本語 の 本", "本 の 語"]}
+    ids = iter(k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2)
+    rows = [(next(ids), t, lang) for lang, ts in texts.items() for t in ts]
+    asked = [(1000 + k, t, None) for k, t in enumerate(["the niña", "本 日本", "zq", "water " * 50, "la casa y la house"])]
+    table = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    got = by_id(language.predict(table, language.train(table)))
+    for k, t, _ in rows + asked:
+        bits = {lang: ppm_bits([x.encode() for x in ts], t.encode()) for lang, ts in texts.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert got[k].lang_pred == best and got[k].bits_per_byte == pytest.approx(bits[best] / len(t.encode()))
+        assert got[k].score == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()))
+
+
+def test_positive_unlabelled_risk_steps(monkeypatch):
+    # The first step of training against the risk's slope found by differences, on both sides of the correction.
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    monkeypatch.setattr(toxicity, "DECAY", 0.0)
+    positive = (np.array([0, 0, 1]), np.array([0, 1, 0]), 2)
+    for unlabelled, prior in (((np.array([0, 1, 2]), np.array([0, 2, 2]), 3), 0.2), ((np.array([0, 1]), np.array([0, 0]), 2), 0.49)):
+        start = math.log(prior / (1 - prior))
+
+        def risk(w, b):
+            def part(x, sign):
+                rows, words, n = x
+                return sum(math.log1p(math.exp(-sign * (b + sum(w[j] for i, j in zip(rows, words, strict=True) if i == k)))) for k in range(n)) / n
+
+            negative = part(unlabelled, -1) - prior * part(positive, -1)
+            return prior * part(positive, 1) + negative if negative >= 0 else -negative
+
+        zero = np.zeros(3)
+        slope = [(risk(zero + 1e-6 * np.eye(3)[j], start) - risk(zero, start)) / 1e-6 for j in range(3)]
+        w, _ = toxicity.fit(positive, unlabelled, 3, prior)
+        assert [int(np.sign(np.round(x, 9))) for x in w] == [-int(np.sign(np.round(x, 4))) for x in slope]
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) + [None]
 
