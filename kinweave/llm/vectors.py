@@ -25,6 +25,8 @@ TREES, SPILL, LEAF = 10, 0.15, 256
 SAMPLE, SAMPLE_LEAF = 20_000, 16
 #: Vectors that an upper leaf should get.
 UPPER_LEAF = 2000
+#: Vectors in an upper leaf from which it is split further by its own quantiles.
+MOST = 16_000
 #: Members of a group compared in one block, at most; smaller groups of over 64 are dealt into up to 8 blocks.
 BLOCK = 2048
 
@@ -164,7 +166,34 @@ def _leaf_links(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
             b += names[at[on]].tolist()
         return pd.DataFrame({"a": a, "b": b}, dtype=object).drop_duplicates()
 
-    return classes.select("class", "data").mapInArrow(routed, "leaf long, class binary, data binary").groupBy("leaf").applyInPandas(linked, "a binary, b binary")
+    rows = _within_bounds(classes.select("class", "data").mapInArrow(routed, "leaf long, class binary, data binary"), kind)
+    return rows.groupBy("leaf").applyInPandas(linked, "a binary, b binary")
+
+
+def _within_bounds(rows: DataFrame, kind: str) -> DataFrame:
+    """leaf, class, data with every leaf of more than MOST vectors split, at quantiles of their own projections and with the same
+    overlap, until none is: what the sample can't resolve is resolved by all vectors. Vectors of equal projections part by chance."""
+
+    def projected(batches):
+        for batch in batches:
+            leaf, p = batch.column("leaf").to_numpy(), np.zeros(batch.num_rows)
+            for k in np.unique(leaf):
+                at = np.flatnonzero(leaf == k)
+                x = _unit(batch.column("data").take(pa.array(at)).to_pylist(), kind)
+                p[at] = x @ np.random.default_rng(int(k) % (1 << 63)).standard_normal(x.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], ["leaf", "class", "data", "p"])
+
+    while True:
+        large = rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("leaf")
+        if large.isEmpty():
+            return rows
+        jitter = F.xxhash64("class", "leaf").cast("double") * 1e-26
+        wide = rows.join(large, "leaf").mapInArrow(projected, "leaf long, class binary, data binary, p double").withColumn("p", F.col("p") + jitter)
+        wide = base.settle(wide, "wide-leaves")
+        ends = wide.groupBy("leaf").agg(F.percentile_approx("p", [0.5 - SPILL / 2, 0.5 + SPILL / 2], 10_000).alias("ends"))
+        sides = F.array_compact(F.array(F.when(F.col("p") <= F.col("ends")[1], F.lit(0)), F.when(F.col("p") >= F.col("ends")[0], F.lit(1))))
+        parts = wide.join(ends, "leaf").select(F.explode(sides).alias("side"), "leaf", "class", "data").select(F.xxhash64("leaf", "side").alias("leaf"), "class", "data")
+        rows = base.settle(rows.join(large, "leaf", "left_anti").unionByName(parts), "leaves")
 
 
 def _count_links(members: DataFrame, kind: str, threshold: float) -> DataFrame:

@@ -333,6 +333,37 @@ def test_vectors(spark):
         assert got[k].component_id == min(seen) and got[k].kept == (min(seen) == k)
 
 
+@pytest.mark.parametrize("most", [16_000, 700])
+def test_vectors_over_many_leaves(spark, monkeypatch, most):
+    # Groups of two to five at cosines just above the threshold, among strangers; trees split, and with a low bound leaves split again.
+    monkeypatch.setattr(vectors, "UPPER_LEAF", 800)
+    monkeypatch.setattr(vectors, "MOST", most)
+    random, rows = np.random.default_rng(11), []
+    for group in range(400):
+        centre = random.standard_normal(48)
+        centre /= np.linalg.norm(centre)
+        for _ in range(2 + group % 4):
+            away = random.standard_normal(48)
+            away -= away @ centre * centre
+            angle = np.arccos(np.sqrt(0.95))
+            rows.append(np.cos(angle) * centre + np.sin(angle) * away / np.linalg.norm(away))
+    rows = np.vstack([rows, random.standard_normal((6000, 48)), rows[0] * np.arange(1, 900)[:, None]]).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<float>").repartition(4)
+    got = by_id(vectors.near(table.withColumn("class", F.lit("x")).withColumn("part", F.lit(1))), "vec_id")
+    x = rows.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = found = 0
+    for k in range(len(x)):
+        near = np.flatnonzero(x[k] @ x.T >= 0.9)
+        links += len(near) - 1
+        found += got[k].n_links
+        assert got[k].n_links <= len(near) - 1
+    assert links > 900 * 899 and found >= 0.999 * links
+    pairs = sum(len(np.flatnonzero(x[k] @ x[: len(x) - 899].T >= 0.9)) - 1 for k in range(1, 1400))
+    linked = sum(got[k].n_links for k in range(1, 1400))
+    assert pairs > 500 and linked >= 0.98 * pairs
+
+
 def test_encoder_equals_the_library():
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     mine = tokens.Encoder("word_bpe_49k.json")
