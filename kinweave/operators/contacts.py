@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import STAGES, STATUSES
+from .ranks import numbered
 
 
 def open_items(items: DataFrame) -> DataFrame:
@@ -71,9 +72,8 @@ def oldest_open(items: DataFrame) -> DataFrame:
 def board(contacts: DataFrame, needs: DataFrame) -> DataFrame:
     """Active contacts by stage, every stage present, with their oldest open need."""
     rows = contacts.where("status = 'active'").join(oldest_open(needs).withColumnRenamed("contact_id", "id"), "id", "left")
-    place = W.partitionBy("stage").orderBy(X.nocase(F.col("name")), "id")
-    rows = rows.select("stage", "id", "name", "top_open_need", F.row_number().over(place).alias("position"))
-    return _dimension(contacts, "stage", STAGES).join(rows, "stage", "left")
+    rows = numbered(rows.select("stage", "id", "name", "top_open_need"), [X.nocase(F.col("name")), "id"], "position", ["stage"])
+    return _dimension(contacts, "stage", STAGES).join(rows.withColumn("position", F.col("position").cast("int")), "stage", "left")
 
 
 def _dimension(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -118,3 +118,34 @@ def compact_json(df: DataFrame, *columns: str) -> DataFrame:
 def search_tags(tags: DataFrame, prefix: str) -> DataFrame:
     """Tags that begin with the normalised prefix; an empty one gives all."""
     return tags.where(F.col("name").startswith(X.tag_name(F.lit(prefix)))).orderBy(X.nocase(F.col("name")))
+
+
+def get(contacts: DataFrame, contact_id: int) -> DataFrame:
+    """The contact, or no row."""
+    return contacts.where(F.col("id") == contact_id)
+
+
+def require(contacts: DataFrame, contact_id: int) -> DataFrame:
+    """The contact; LookupError if there is none."""
+    row = get(contacts, contact_id)
+    if row.isEmpty():
+        raise LookupError(f"no contact with id {contact_id}")
+    return row
+
+
+def by_url(contacts: DataFrame, urls: DataFrame) -> DataFrame:
+    """urls (url) with the id of the contact of that address, however it is spelt; of several the smallest."""
+    known = contacts.select(F.nullif(X.url_key(F.col("linkedin_url")), F.lit("")).alias("_key"), "id").where("_key is not null").groupBy("_key").agg(F.min("id").alias("id"))
+    return urls.withColumn("_key", X.url_key(F.col("url"))).join(known, "_key", "left").drop("_key")
+
+
+def by_email(contacts: DataFrame, emails: DataFrame) -> DataFrame:
+    """emails (email) with the id of the contact that has it, without case and white space; of several the smallest."""
+    known = contacts.select(X.email(F.col("email")).alias("_key"), "id").where(X.looks_like_email(F.col("_key"))).groupBy("_key").agg(F.min("id").alias("id"))
+    return emails.withColumn("_key", X.email(F.col("email"))).join(known, "_key", "left").drop("_key")
+
+
+def connected(connections: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Each contact's connections with the other's name: in order of it, without case, then of the connection's id (position)."""
+    named = incident(connections).join(contacts.select(F.col("id").alias("other_id"), F.col("name").alias("other_name")), "other_id")
+    return numbered(named, [X.nocase(F.col("other_name")), "id"], "position", ["contact_id"])

@@ -13,12 +13,32 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import FILLABLE
+from .ranks import numbered
+
+
+def latest(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key: the last by the column ``seq`` where rows have it, else the one with the greatest values. Rows without a
+    key are left out."""
+    rest = [c for c in rows.columns if c not in (*keys, "seq")]
+    if not rest:
+        return rows.select(*keys).dropna().distinct()
+    whole = F.struct(*rest)
+    one = F.max_by(whole, F.struct("seq", whole)) if "seq" in rows.columns else F.max(whole)
+    return rows.dropna(subset=list(keys)).groupBy(*keys).agg(one.alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+
+def require(rows: DataFrame, ids: DataFrame, what: str = "contact", column: str = "id") -> None:
+    """LookupError if any of the ids (their first column) isn't there; names the ten smallest."""
+    asked = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
+    gone = [r[0] for r in asked.join(rows.select(F.col(column).alias("_id")), "_id", "left_anti").orderBy("_id").limit(10).collect()]
+    if gone:
+        raise LookupError(f"no {what} with id {', '.join(map(str, gone))}")
 
 
 def next_ids(existing: DataFrame, new: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
-    """New rows numbered after the highest id. ``new`` is what one call adds: its rows are numbered in one pass."""
+    """New rows numbered after the highest id, range by range."""
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    return new.drop(key).withColumn(key, F.row_number().over(W.orderBy(*order)).cast("long")).join(F.broadcast(top)).withColumn(key, F.col(key) + F.col("top")).drop("top")
+    return numbered(new.drop(key), order, key).join(F.broadcast(top)).withColumn(key, F.col(key) + F.col("top")).drop("top")
 
 
 def insert_contacts(contacts: DataFrame, new: DataFrame, now: str, imported: bool = False) -> DataFrame:
@@ -30,7 +50,9 @@ def insert_contacts(contacts: DataFrame, new: DataFrame, now: str, imported: boo
 
 def update_contacts(contacts: DataFrame, patches: DataFrame, now: str) -> DataFrame:
     """patches: id, and for each field to change a struct<value>; a null struct leaves the field, a null value clears it.
-    A contact that was imported turns active unless the patch sets its status; an empty patch changes nothing."""
+    A contact that was imported turns active unless the patch sets its status; an empty patch changes nothing. Of several patches of
+    a contact the latest counts; ids that aren't there change nothing (see require)."""
+    patches = latest(patches, "id")
     fields = [c for c in patches.columns if c != "id"]
     both = contacts.join(patches.select("id", *(F.col(c).alias(f"p_{c}") for c in fields)), "id", "left")
     changed = F.lit(False)
@@ -44,7 +66,7 @@ def update_contacts(contacts: DataFrame, patches: DataFrame, now: str) -> DataFr
 
 
 def set_status(contacts: DataFrame, ids: DataFrame, status: str, now: str) -> DataFrame:
-    hit = contacts.join(ids.select("id", F.lit(True).alias("hit")), "id", "left")
+    hit = contacts.join(ids.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
     return hit.withColumns({"status": F.when(F.col("hit"), F.lit(status)).otherwise(F.col("status")), "updated_at": F.when(F.col("hit"), F.lit(now)).otherwise(F.col("updated_at"))}).select(contacts.columns)
 
 
@@ -64,7 +86,9 @@ def _empty(x: Column) -> Column:
 
 
 def enrich(contacts: DataFrame, values: DataFrame, now: str) -> DataFrame:
-    """Fills only fields that are null or empty; ``enriched`` says whether any changed. Status and created_at never do."""
+    """Fills only fields that are null or empty; ``enriched`` says whether any changed. Status and created_at never do. Of several rows
+    of values for a contact the latest counts."""
+    values = latest(values, "id")
     fields = [c for c in FILLABLE if c in values.columns and c in contacts.columns]
     both = contacts.join(values.select("id", *(F.col(c).alias(f"v_{c}") for c in fields)), "id", "left")
     kind = dict(contacts.dtypes)
@@ -82,13 +106,13 @@ def add_items(items: DataFrame, new: DataFrame, now: str) -> DataFrame:
 
 def set_resolved(items: DataFrame, ids: DataFrame, now: str | None) -> DataFrame:
     """Resolves items at ``now``, or reopens them (None). What is resolved keeps its time."""
-    hit = items.join(ids.select("id", F.lit(True).alias("hit")), "id", "left")
+    hit = items.join(ids.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
     value = F.coalesce("resolved_at", F.lit(now)) if now else F.lit(None).cast("string")
     return hit.withColumn("resolved_at", F.when(F.col("hit"), value).otherwise(F.col("resolved_at"))).select(items.columns)
 
 
 def set_text(items: DataFrame, texts: DataFrame) -> DataFrame:
-    return items.join(texts.select("id", F.col("text").alias("new_text")), "id", "left").withColumn("text", F.coalesce("new_text", "text")).select(items.columns)
+    return items.join(latest(texts, "id").select("id", F.col("text").alias("new_text")), "id", "left").withColumn("text", F.coalesce("new_text", "text")).select(items.columns)
 
 
 def delete_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -123,9 +147,14 @@ def unlink_tags(contact_tags: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def connect(connections: DataFrame, pairs: DataFrame, now: str) -> DataFrame:
-    """Adds undirected pairs (a, b, note), smaller id first; a pair with itself is left out. A known pair takes over a note that is given."""
-    ordered = pairs.where("a <> b").select(F.least("a", "b").alias("contact_a_id"), F.greatest("a", "b").alias("contact_b_id"), "note")
-    new = ordered.groupBy("contact_a_id", "contact_b_id").agg(F.max("note").alias("new_note"))
+    """Adds undirected pairs (a, b, note), smaller id first; a known pair takes over a note that is given, of several the latest.
+    ValueError if a contact is to be connected with itself."""
+    if not pairs.where("a = b").isEmpty():
+        raise ValueError("a contact can't be connected with itself")
+    rest = [c for c in ("note", "seq") if c in pairs.columns]
+    ordered = pairs.select(F.least("a", "b").alias("contact_a_id"), F.greatest("a", "b").alias("contact_b_id"), *rest)
+    noted = latest(ordered.where("note is not null"), "contact_a_id", "contact_b_id").withColumnRenamed("note", "new_note")
+    new = ordered.select("contact_a_id", "contact_b_id").distinct().join(noted, ["contact_a_id", "contact_b_id"], "left")
     both = connections.join(new, ["contact_a_id", "contact_b_id"], "left").withColumn("note", F.coalesce("new_note", "note")).select(connections.columns)
     fresh = new.join(connections, ["contact_a_id", "contact_b_id"], "left_anti").select("contact_a_id", "contact_b_id", F.col("new_note").alias("note"), F.lit(now).alias("created_at"))
     return both.unionByName(next_ids(connections, fresh, ["contact_a_id", "contact_b_id"]).select(connections.columns))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..schemas import FILLABLE, validate
 from ..sources.scratch import settle
 from .graph import components
+from .ranks import numbered
 
 #: Fields that identify a person: a match by name alone never writes them.
 IDENTITY = ("email", "linkedin_url")
+#: What an import may write: the name of a new contact, its day, and what FILLABLE has.
+FIELDS = ("name", "stage", "created_at", *FILLABLE)
 _KEYS = ("url_key", "email_key", "name_key")
 
 
@@ -30,21 +33,19 @@ def contradicts(a: str, b: str) -> Column:
 def match(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming with contact_id and matched_by (url, email, name or null) against an index that doesn't grow.
 
-    Index and look-ups are grouped by their keys first, so namesakes meet once per distinct identity and no frequent
-    name is joined row by row.
+    A row comes to its name only if no contact has its address or e-mail, so a namesake fits exactly if it has none where the
+    row has one: the least ids of a name's contacts with and without these decide, whatever the number of namesakes.
     """
-    known = with_keys(existing).groupBy(*_KEYS).agg(F.min("id").alias("id"))
+    known = with_keys(existing)
     rows = with_keys(incoming)
-    asked = rows.select(*_KEYS).distinct()
     by_url = known.where("url_key is not null").groupBy("url_key").agg(F.min("id").alias("by_url"))
     by_email = known.where("email_key is not null").groupBy("email_key").agg(F.min("id").alias("by_email"))
-    named = asked.alias("a").join(known.alias("k"), F.col("a.name_key") == F.col("k.name_key")).where(~contradicts("a", "k"))
-    by_name = named.groupBy(*(F.col(f"a.{k}").alias(k) for k in _KEYS)).agg(F.min("k.id").alias("by_name"))
-    same = [F.col(f"q.{k}").eqNullSafe(F.col(f"n.{k}")) for k in _KEYS]
-    found = asked.join(by_url, "url_key", "left").join(by_email, "email_key", "left").alias("q").join(by_name.alias("n"), same, "left").select("q.*", "by_name")
-    found = found.select(*(F.col(k).alias(f"k_{k}") for k in _KEYS), F.coalesce("by_url", "by_email", "by_name").alias("contact_id"), F.when(F.col("by_url").isNotNull(), "url").when(F.col("by_email").isNotNull(), "email").when(F.col("by_name").isNotNull(), "name").alias("matched_by"))
-    on = [rows[k].eqNullSafe(F.col(f"k_{k}")) for k in _KEYS]
-    return rows.join(found, on, "left").drop(*(f"k_{k}" for k in _KEYS))
+    least = {"any": F.lit(True), "no_url": F.col("url_key").isNull(), "no_email": F.col("email_key").isNull(), "bare": F.col("url_key").isNull() & F.col("email_key").isNull()}
+    by_name = known.where("name_key is not null").groupBy("name_key").agg(*(F.min(F.when(on, F.col("id"))).alias(k) for k, on in least.items()))
+    named = F.when(F.col("url_key").isNull() & F.col("email_key").isNull(), F.col("any")).when(F.col("email_key").isNull(), F.col("no_url")).when(F.col("url_key").isNull(), F.col("no_email")).otherwise(F.col("bare"))
+    found = rows.join(by_url, "url_key", "left").join(by_email, "email_key", "left").join(by_name, "name_key", "left").withColumn("by_name", named)
+    way = F.when(F.col("by_url").isNotNull(), "url").when(F.col("by_email").isNotNull(), "email").when(F.col("by_name").isNotNull(), "name")
+    return found.select(*rows.columns, F.coalesce("by_url", "by_email", "by_name").alias("contact_id"), way.alias("matched_by"))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -58,10 +59,11 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
     by_url: dict[str, int] = {}
     by_email: dict[str, int] = {}
     by_name: dict[str, list[int]] = {}
-    held: dict[int, list] = {}
+    keys: dict[int, list] = {}
+    held: dict[int, dict[str, str]] = {}
 
     def remember(key: int, url, email, name) -> None:
-        held[key] = [url, email]
+        keys[key] = [url, email]
         if url:
             by_url[url] = min(key, by_url.get(url, key))
         if email:
@@ -70,16 +72,18 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
             by_name[name] = sorted([*by_name[name], key])
 
     def fits(key: int, url, email) -> bool:
-        return not (url and held[key][0] and url != held[key][0] or email and held[key][1] and email != held[key][1])
+        return not (url and keys[key][0] and url != keys[key][0] or email and keys[key][1] and email != keys[key][1])
 
     out = []
     for r in rows.sort_values(["incoming", "number"]).itertuples():
         url, email, name = (None if pd.isna(x) else x for x in (r.url_key, r.email_key, r.name_key))
+        given = {f: x for f, x in zip(FIELDS, r.given, strict=True) if x}
         if not r.incoming:
             remember(r.number, url, email, name)
+            held[r.number] = given
             continue
         if not name:
-            out.append((r.row_number, "skipped", None, None, "no name"))
+            out.append((r.row_number, "skipped", None, None, "no name", {}))
             continue
         way, target = None, None
         for kind, index, key in (("url", by_url, url), ("email", by_email, email)):
@@ -88,43 +92,71 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
         if target is None:
             target = next((k for k in by_name.get(name, []) if fits(k, url, email)), None)
             way = None if target is None else "name"
-        if target is None:
+        # A match by name alone never writes identity, nor can it fail for it.
+        allowed = [f for f in given if way != "name" or f not in IDENTITY]
+        faults = [e for e in r.errors if way != "name" or e.split(":")[0] not in IDENTITY]
+        if faults:
+            out.append((r.row_number, "error", target, way, "; ".join(faults), {}))
+        elif target is None:
             remember(r.number, url, email, name)
-            out.append((r.row_number, "created", r.number, None, None))
-            continue
-        old = held[target]
-        # A match by name alone never writes identity; other matches fill what is missing.
-        filled = [url if way != "name" and not old[0] else None, email if way != "name" and not old[1] else None]
-        if any(filled):
-            remember(target, old[0] or filled[0], old[1] or filled[1], None)
-            out.append((r.row_number, "enriched", target, way, None))
+            held[r.number] = given
+            out.append((r.row_number, "created", r.number, None, None, given))
+        elif filled := {f: given[f] for f in allowed if f not in held[target]}:
+            held[target] = held[target] | filled
+            old = keys[target]
+            remember(target, old[0] or (url if "linkedin_url" in filled else None), old[1] or (email if "email" in filled else None), None)
+            out.append((r.row_number, "enriched", target, way, None, filled))
         else:
-            out.append((r.row_number, "skipped", target, way, "identity withheld" if way == "name" and (url and not old[0] or email and not old[1]) else "nothing new"))
-    return pd.DataFrame(out, columns=["row_number", "outcome", "contact_id", "matched_by", "reason"]).astype({"contact_id": "Int64"})
+            out.append((r.row_number, "skipped", target, way, "identity withheld" if way == "name" and any(f in given for f in IDENTITY) else "nothing new", {}))
+    return pd.DataFrame(out, columns=["row_number", "outcome", "contact_id", "matched_by", "reason", "written"]).astype({"contact_id": "Int64"})
+
+
+def _given(rows: DataFrame) -> DataFrame:
+    """Adds given: the row's fields as text, in the order of FIELDS; what is absent, null or empty is null."""
+    return rows.withColumn("given", F.array(*(F.nullif(F.col(f).cast("string"), F.lit("")) if f in rows.columns else F.lit(None).cast("string") for f in FIELDS)))
 
 
 def replay(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """row_number, outcome, contact_id, matched_by, reason of each incoming row (row_number, name, email, linkedin_url),
+    """row_number, outcome, contact_id, matched_by, reason, written of each incoming row (row_number, name and any of FIELDS),
     as if rows came one after another and each were visible to the next.
 
-    Rows depend on earlier ones only through shared keys, so components of the key graph are replayed side by side. Contacts
+    A row that matches nobody is created; one that fills an empty field of its match is enriched; any other is skipped. A row whose
+    values break the limits of contacts is an error and changes nothing. written has the fields a row wrote. Rows depend on
+    earlier ones only through shared keys, so components of the key graph are replayed side by side. Contacts
     that no incoming row shares a key with stay out. New ids follow the highest, in row order.
     """
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    known = with_keys(existing).select(F.lit(False).alias("incoming"), F.col("id").alias("number"), F.lit(None).cast("long").alias("row_number"), *_KEYS)
-    rows = with_keys(incoming).join(F.broadcast(top)).select(F.lit(True).alias("incoming"), (F.col("top") + F.col("row_number")).alias("number"), F.col("row_number").cast("long").alias("row_number"), *_KEYS)
+    existing, incoming = (df.withColumns({c: F.lit(None).cast("string") for c in IDENTITY if c not in df.columns}) for df in (existing, incoming))
+    checked = validate(_given(incoming)).withColumn("errors", F.filter("errors", lambda e: e != "name: required"))
+    known = with_keys(_given(existing)).select(F.lit(False).alias("incoming"), F.col("id").alias("number"), F.lit(None).cast("long").alias("row_number"), *_KEYS, "given", F.array().cast("array<string>").alias("errors"))
+    rows = with_keys(checked).join(F.broadcast(top)).select(F.lit(True).alias("incoming"), (F.col("top") + F.col("row_number")).alias("number"), F.col("row_number").cast("long").alias("row_number"), *_KEYS, "given", "errors")
     all_rows = settle(known.unionByName(rows).withColumn("row", F.concat(F.when(F.col("incoming"), "r").otherwise("e"), F.col("number").cast("string"))), "rows")
     keys = F.explode(F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k))) for k in _KEYS))))
     pairs = all_rows.select("incoming", "row", keys.alias("key"))
     parts = groups(pairs.select("row", "key"))
     placed = all_rows.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
     wanted = placed.where("incoming").select("part").distinct()
-    done = placed.join(wanted, "part", "left_semi").groupBy("part").applyInPandas(_replay, "row_number long, outcome string, contact_id long, matched_by string, reason string")
+    done = placed.join(wanted, "part", "left_semi").groupBy("part").applyInPandas(_replay, "row_number long, outcome string, contact_id long, matched_by string, reason string, written map<string,string>")
     # Final ids: created rows counted in row order; those of later matches follow their creator.
     done = settle(done, "outcomes")
-    made = done.where("outcome = 'created'").select(F.col("contact_id").alias("made"), F.row_number().over(W.orderBy("row_number")).alias("place"))
+    made = numbered(done.where("outcome = 'created'").select("row_number", F.col("contact_id").alias("made")), ["row_number"], "place")
     renamed = made.join(F.broadcast(top)).select("made", (F.col("top") + F.col("place")).alias("final"))
-    return done.join(renamed, F.col("contact_id") == F.col("made"), "left").select("row_number", "outcome", F.coalesce("final", "contact_id").alias("contact_id"), "matched_by", "reason")
+    return done.join(renamed, F.col("contact_id") == F.col("made"), "left").select("row_number", "outcome", F.coalesce("final", "contact_id").alias("contact_id"), "matched_by", "reason", "written")
+
+
+def applied(contacts: DataFrame, outcomes: DataFrame, now: str, source: str = "csv") -> DataFrame:
+    """The contacts after the outcomes of a replay against them: empty fields filled, created rows appended as imported ones. A dry
+    run is a replay that isn't applied."""
+    wrote = outcomes.where("outcome in ('created', 'enriched')")
+    fills = wrote.groupBy(F.col("contact_id").alias("id")).agg(F.map_from_entries(F.flatten(F.collect_list(F.map_entries("written")))).alias("fills"))  # a field is written once
+    kind = dict(contacts.dtypes)
+    new = {c: F.coalesce(F.nullif(F.col(c), F.lit("")) if kind[c] == "string" else F.col(c), F.try_element_at("fills", F.lit(c)).cast(kind[c])) for c in FIELDS if c in kind and c != "created_at"}
+    new["updated_at"] = F.when(F.col("fills").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))
+    changed = contacts.join(fills, "id", "left").select(*(new.get(c, F.col(c)).alias(c) for c in contacts.columns))
+    fixed = {"status": "imported", "stage": "new", "source": source, "created_at": now, "updated_at": now}
+    value = lambda c: F.coalesce(F.try_element_at("fills", F.lit(c)), F.lit(fixed.get(c))).cast(kind[c]) if c in FIELDS or c in fixed else F.lit(None).cast(kind[c])
+    fresh = fills.join(contacts, "id", "left_anti").select(*(F.col("id") if c == "id" else value(c).alias(c) for c in contacts.columns))
+    return changed.unionByName(fresh)
 
 
 def summary(outcomes: DataFrame) -> DataFrame:

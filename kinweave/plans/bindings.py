@@ -17,7 +17,9 @@ from ..functions import dates as D
 from ..functions import text as X
 from ..operators import contacts as C
 from ..operators import mapping, matching, mutations, resolve, search
+from ..operators.ranks import numbered
 from ..schemas import STAGES, validate
+from ..sources.scratch import scratch
 from ..sources.tabular import is_header_column
 from ..streaming import rates
 
@@ -489,3 +491,68 @@ def q_json_props(spark, sf_dir):
 def q_validate(spark, sf_dir):
     rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey id", "if(c_custkey % 3 = 0, ' ', c_name) name", "if(c_custkey % 3 = 1, 'x', 'new') stage", "'active' status")
     return validate(rows).select("id", F.array_join("errors", ";").alias("errors"))
+
+
+_INDEXED = """texts as (select c.*, lower(concat_ws(' ', c.name, c.company, c.how_we_met, (select string_agg(n.text, ' ') from needs n where n.contact_id = c.id), (select string_agg(o.text, ' ') from offers o where o.contact_id = c.id))) as whole from contacts c),
+    words as (select *, list_filter(regexp_split_to_array(whole, '[^a-z0-9]+'), lambda x: x <> '') as t from texts),
+    f as (select *, len(t) as l, len(list_filter(t, lambda x: starts_with(x, 'auto'))) as f0, len(list_filter(t, lambda x: starts_with(x, 'urg'))) as f1 from words),
+    s as (select count(*) as n, avg(l) as m, count(*) filter (f0 > 0) as n0, count(*) filter (f1 > 0) as n1 from f),
+    r as (select f.*, -(greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 0.000001) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / m)) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 0.000001) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / m))) as rank from f, s where f0 > 0 and f1 > 0)"""
+
+
+@_query(f"""{_with("contacts", "needs", "offers")}, {_INDEXED}, kept as (select * from r where status <> 'archived' and exists (select 1 from needs n where n.contact_id = r.id and n.resolved_at is null))
+    select id, row_number() over (order by round(rank, 9), lower(name), id)::bigint as position, count(*) over ()::bigint as total_matches from kept""")
+def q_search_filtered(spark, sf_dir):
+    """Filters before the limit, ranks over all contacts, ties by name and id; every hit is returned."""
+    net = network(spark, sf_dir, "contacts", "needs", "offers", "contact_tags", "tags")
+    hits = search.listed_by(*net, query="Auto -- URG", has_open_needs=True)
+    hits = numbered(hits.withColumn("rank", F.round("rank", 9)), ["rank", X.nocase(F.col("name")), "id"])
+    return hits.join(F.broadcast(hits.agg(F.count("*").alias("total_matches")))).select("id", "position", "total_matches")
+
+
+@_query(_bm25(["the", "on"], "f0 > 0 and f1 > 0", ""))
+def q_fts_index(spark, sf_dir):
+    index = search.indexed(_documents(spark, sf_dir), ["text"], scratch(spark, "index"))
+    return _rounded(search.found(index, search.prefix_query("the on")))
+
+
+@_query(rf"""with {_TOKENS}, f as (select id, len(t) + 1 as l, starts_with(lang, 'de')::int as f0 from docs), s as (select count(*) as n, avg(l) as m, count(*) filter (f0 > 0) as n0 from f)
+    select id, round(-((case when ln((n - n0 + 0.5) / (n0 + 0.5)) > 0 then ln((n - n0 + 0.5) / (n0 + 0.5)) else 1e-6 end) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / m))), 6) as rank from f, s where f0 > 0""")
+def q_fts_allowed(spark, sf_dir):
+    rows = _documents(spark, sf_dir).withColumn("lang", F.coalesce("lang", F.lit("none")))
+    return _rounded(search.ranked(rows, [["de"]], ["text", "lang"], allowed=["lang"]))
+
+
+@_query("""select c_custkey as row_number, c_custkey as id from customer union all select -s_suppkey, null from supplier""")
+def q_lookup_email(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_number"), F.concat(F.lit(" "), F.upper("c_name"), F.lit("@Example.ORG")).alias("email"))
+    suppliers = _table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("row_number"), F.concat("s_name", F.lit("@example.org")).alias("email"))
+    return C.by_email(contacts, customers.unionByName(suppliers)).select("row_number", "id")
+
+
+@_query("""select c_custkey as row_number, case when c_custkey % 3 > 0 then c_custkey end as id from customer""")
+def q_lookup_url(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    k = F.col("c_custkey")
+    url = F.concat(F.when(k % 3 == 0, "http://example.org/p/").when(k % 3 == 1, "HTTPS://Example.ORG/p/").otherwise("https://example.org/p/"), k.cast("string"), F.lit("/?from=mail"))
+    return C.by_url(contacts, _table(spark, sf_dir, "customer").select(k.alias("row_number"), url.alias("url"))).select("row_number", "id")
+
+
+@_query(f"""{_with("contacts", "connections")}, both_ways as (select contact_a_id as contact_id, contact_b_id as other_id, id from connections union all select contact_b_id, contact_a_id, id from connections)
+    select b.contact_id, b.id, row_number() over (partition by b.contact_id order by lower(c.name), b.id)::bigint as position from both_ways b join contacts c on c.id = b.other_id""")
+def q_connections_ordered(spark, sf_dir):
+    contacts, connections = network(spark, sf_dir, "contacts", "connections")
+    return C.connected(connections, contacts).select("contact_id", "id", "position")
+
+
+@_query(f"""{_with("contacts")} select id, company, case when id % 2 = 0 then coalesce(title, 'T' || (id % 3)) else title end as title, case when id % 2 = 0 then '2025-01-01' else updated_at end as updated_at from contacts
+    union all select (select max(id) from contacts) + row_number() over (order by s_suppkey), 'Supplies', null, '2025-01-01' from supplier""")
+def q_import_applied(spark, sf_dir):
+    """Every second contact gets a title by its e-mail; suppliers are new, in row order."""
+    (contacts,) = network(spark, sf_dir, "contacts")
+    again = contacts.where("id % 2 = 0").select(F.col("id").alias("row_number"), "name", F.upper("email").alias("email"), F.concat(F.lit("T"), F.col("id") % 3).alias("title"), F.lit("Other").alias("company"))
+    again = again.withColumn("company", F.when(F.col("row_number") % 6 > 0, F.col("company")))
+    first = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("row_number"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("title"), F.lit("Supplies").alias("company"))
+    outcomes = resolve.replay(contacts, again.unionByName(first))
+    return resolve.applied(contacts, outcomes, "2025-01-01").select("id", "company", "title", F.col("updated_at"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.dates import is_day
+
 # The closed sets, in their binding order, with their labels.
 STAGES = ("new", "reached_out", "in_touch", "close", "dormant")
 STATUSES = ("imported", "active", "archived")
@@ -40,8 +42,15 @@ def utf16_length(x: Column) -> Column:
     return F.char_length(x) + F.char_length(F.regexp_replace(x, r"[\x{0}-\x{FFFF}]", ""))
 
 
+def check_limit(limit: int | None) -> None:
+    """ValueError unless a limit is absent or from 1 to 1000."""
+    if limit is not None and not (isinstance(limit, int) and 1 <= limit <= 1000):
+        raise ValueError("limit: 1 to 1000")
+
+
 def validate(contacts: DataFrame) -> DataFrame:
-    """Adds errors array<string>, empty for a valid row: required texts, longest texts, closed sets, bounds."""
+    """Adds errors array<string>, empty for a valid row: required texts, longest texts, closed sets, bounds, days of
+    the calendar, birthdays with or without a year."""
     checks = [F.when(F.coalesce(F.trim("name"), F.lit("")) == "", F.lit("name: required"))]
     for field, most in LIMITS.items():
         if field in contacts.columns:
@@ -49,6 +58,12 @@ def validate(contacts: DataFrame) -> DataFrame:
     for field, allowed in (("stage", STAGES), ("status", STATUSES), ("role", ROLES), ("source", SOURCES)):
         if field in contacts.columns:
             checks.append(F.when(~F.col(field).isin(*allowed), F.lit(f"{field}: unknown value")))
+    if "last_contact_at" in contacts.columns:
+        checks.append(F.when(~is_day(F.col("last_contact_at")), F.lit("last_contact_at: not a day")))
+    if "birthday" in contacts.columns:
+        # Without a year any leap day is one.
+        year = F.when(F.col("birthday").startswith("--"), F.concat(F.lit("2000-"), F.substring("birthday", 3, 5))).otherwise(F.col("birthday"))
+        checks.append(F.when(~F.coalesce(is_day(year), F.lit(True)), F.lit("birthday: not a day")))
     if "closeness" in contacts.columns:
         checks.append(F.when(~F.col("closeness").between(1, 5), F.lit("closeness: 1 to 5")))
     return contacts.withColumn("errors", F.array_compact(F.array(*checks)))

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from kinweave.functions import text as X
 from kinweave.operators import contacts as C
 from kinweave.operators import mapping, matching, mutations, resolve, search
 from kinweave.plans import bindings
-from kinweave.schemas import CONTACT_TAGS, CONTACTS, ITEMS, TAGS
+from kinweave import api
+from kinweave.schemas import CONNECTIONS, CONTACT_TAGS, CONTACTS, ITEMS, NOTES, TAGS
 from kinweave.sources import store, tabular
 from kinweave.streaming import index, rates
 
@@ -180,3 +182,119 @@ def test_replay_takes_everyone(spark):
     got = bindings.QUERIES["q_dedupe_replay"](spark, DATA).toPandas()
     numbers = [2 * r.k for r in spark.table("parquet.`%s/customer.parquet`" % DATA).selectExpr("c_custkey k").collect()] + [2 * r.k + 1 for r in spark.table("parquet.`%s/supplier.parquet`" % DATA).selectExpr("s_suppkey k").collect()]
     assert sorted(got["row_number"]) == sorted(numbers) and {"url", "email", "name"} <= set(got["matched_by"].dropna())
+
+
+def in_turn(known, rows):
+    """A replay by definition: one row after another against plain lists."""
+    people = [dict(p) for p in known]
+    top, made, out = max([p["id"] for p in known], default=0), 0, []
+    for r in rows:
+        name, mail, url = (r.get(k) or None for k in ("name", "email", "linkedin_url"))
+        if not name:
+            out.append(("skipped", None, None))
+            continue
+        way = target = None
+        for kind, key in (("url", "linkedin_url"), ("email", "email")):
+            hits = [p for p in people if r.get(key) and p.get(key) == r.get(key)]
+            if target is None and hits:
+                way, target = kind, min(hits, key=lambda p: p["id"])
+        if target is None:
+            same = [p for p in people if p["name"].lower() == name.lower() and not (mail and p.get("email") and p["email"] != mail) and not (url and p.get("linkedin_url") and p["linkedin_url"] != url)]
+            if same:
+                way, target = "name", min(same, key=lambda p: p["id"])
+        fields = {k: v for k, v in r.items() if v and k != "row_number"}
+        if len(r.get("company") or "") > 200:
+            out.append(("error", target and target["id"], way))
+        elif target is None:
+            made += 1
+            people.append({"id": top + made, **fields})
+            out.append(("created", top + made, None))
+        else:
+            new = {k: v for k, v in fields.items() if not target.get(k) and (way != "name" or k not in ("email", "linkedin_url"))}
+            target.update(new)
+            out.append(("enriched" if new else "skipped", target["id"], way))
+    return out, people
+
+
+def test_replay_and_apply_equal_rows_in_turn(spark):
+    random = np.random.default_rng(3)
+    pick = lambda prefix, n, share: f"{prefix}{random.integers(n)}" if random.random() < share else None
+
+    def person():
+        site = pick("https://x.org/p/", 40, 0.4)
+        mail = pick("m", 40, 0.4)
+        return {"name": pick("N", 12, 0.95), "email": mail and f"{mail}@x.org", "linkedin_url": site, "company": "y" * 201 if random.random() < 0.03 else pick("C", 5, 0.5), "city": pick("T", 5, 0.5)}
+
+    known = [{"id": k + 1, **person(), "company": None} for k in range(25)]
+    known = [k | {"name": k["name"] or "N"} for k in known]
+    rows = [{"row_number": k + 1, **person()} for k in range(150)]
+    contacts = people(spark, known)
+    incoming = spark.createDataFrame([tuple(r.values()) for r in rows], "row_number long, name string, email string, linkedin_url string, company string, city string")
+    outcomes = resolve.replay(contacts, incoming)
+    got = [(r.outcome, r.contact_id, r.matched_by) for r in outcomes.orderBy("row_number").collect()]
+    wanted, after = in_turn(known, rows)
+    assert got == wanted and {"created", "enriched", "skipped", "error"} == {o for o, _, _ in got}
+    left = {r.id: r for r in resolve.applied(contacts, outcomes, "2025-01-01").collect()}
+    assert sorted(left) == [p["id"] for p in after]
+    for p in after:
+        assert all((left[p["id"]][c] or None) == (p.get(c) or None) for c in ("name", "email", "linkedin_url", "company", "city"))
+
+
+def test_replay_of_long_chains(spark):
+    # Each row shares its name with one neighbour and its e-mail with the other.
+    chain = [(k, f"Person {(k + 1) // 2}", f"mail{k // 2}@x.org", None) for k in range(5000)]
+    none = people(spark, [])
+    out = resolve.replay(none, spark.createDataFrame(chain, "row_number long, name string, email string, linkedin_url string"))
+    assert {r.outcome: r["count"] for r in out.groupBy("outcome").count().collect()} == {"created": 2500, "skipped": 2500}
+
+
+def test_repeated_patches_and_guards(spark):
+    contacts = people(spark, [{"id": 1, "name": "A", "status": "imported"}, {"id": 2, "name": "B"}])
+    patches = spark.sql("select 1L id, named_struct('value', 'X') city, 1 seq union all select 1L, named_struct('value', 'Y'), 2")
+    assert [(r.id, r.city) for r in mutations.update_contacts(contacts, patches, "2025").orderBy("id").collect()] == [(1, "Y"), (2, None)]
+    assert mutations.set_status(contacts, spark.sql("select 1L id union all select 1L"), "archived", "2025").count() == 2
+    assert mutations.enrich(contacts, spark.sql("select 2L id, 'P' company union all select 2L, 'Q'"), "2025").where("id = 2").first().company == "Q"
+    with pytest.raises(LookupError, match="id 9"):
+        mutations.require(contacts, spark.sql("select 9L id"))
+    none = spark.createDataFrame([], CONNECTIONS)
+    with pytest.raises(ValueError):
+        mutations.connect(none, spark.sql("select 1L a, 1L b, 'x' note"), "2025")
+    tied = mutations.connect(none, spark.sql("select 2L a, 1L b, 'z' note, 1 seq union all select 1L, 2L, 'a', 2 union all select 1L, 2L, null, 3"), "2025").collect()
+    assert [(r.contact_a_id, r.contact_b_id, r.note, r.id) for r in tied] == [(1, 2, "a", 1)]
+
+
+def test_calls_of_the_library(spark, tmp_path):
+    names = {"contacts": CONTACTS, "needs": ITEMS, "offers": ITEMS, "notes": NOTES, "tags": TAGS, "contact_tags": CONTACT_TAGS, "connections": CONNECTIONS}
+    net = {k: spark.createDataFrame([], v) for k, v in names.items()}
+    net = api.create_contact(net, "2025-01-01", name="Zoe", company="Robotics", closeness=4)
+    net = api.create_contact(net, "2025-01-01", name="adam", company="robotics lab")
+    net = api.add_offer(api.add_need(net, 1, "seed funding", "2025-01-02"), 2, "Funding for robots", "2025-01-02")
+    net = api.add_note(api.tag_contact(net, 2, " Deep Tech "), 1, "met", "2025-02-01", "2025-01-30")
+    net = api.connect(api.update_contact(net, 1, "2025-02-02", city="Köln"), 2, 1, "2025-02-02", "old friends")
+    net = {k: spark.createDataFrame(df.collect(), df.schema) for k, df in net.items()}
+    hits = api.search_contacts(net, "robot", city="koln").collect()
+    assert [(r.id, r.open_needs_count, r.total_matches) for r in hits] == [(1, 1, 1)]
+    assert [r.id for r in api.search_contacts(net).orderBy("position").collect()] == [2, 1] and api.search_contacts(net, "--").count() == 0
+    one = api.get_contact(net, 1, include_notes=True).first()
+    assert one.last_contact_at == "2025-01-30" and one.notes[0].body == "met" and "notes" not in api.get_contact(net, 2).columns
+    assert [r.id for r in api.find_matches(net, contact_id=1).collect()] == [2]
+    assert C.open_items(api.resolve_need(net, 1, "2025-03-01")["needs"]).count() == 0
+    left = api.delete_contact(net, 2)
+    assert left["contacts"].count() == 1 and left["connections"].count() == 0
+    for fault, call in ((LookupError, lambda: api.get_contact(net, 7)), (LookupError, lambda: api.resolve_need(net, 5, "x")), (ValueError, lambda: api.update_contact(net, 1, "x", stage="?")), (ValueError, lambda: api.search_contacts(net, limit=0)), (ValueError, lambda: api.create_contact(net, "x", name="A", birthday="2023-02-30"))):
+        with pytest.raises(fault):
+            call()
+    path = tmp_path / "people.csv"
+    path.write_text("First Name,Last Name,E-Mail,City\nZoe,,zoe@x.org,Bonn\nEve,New,,Rom\n")
+    dry, outcomes = api.import_file(net, spark, str(path), "2025-03-01", dry_run=True)
+    assert dry is net and {r.outcome for r in outcomes.collect()} == {"created", "skipped"}
+    done, _ = api.import_file(net, spark, str(path), "2025-03-01")
+    assert [(r.id, r.name, r.city, r.status) for r in done["contacts"].orderBy("id").collect()] == [(1, "Zoe", "Köln", "active"), (2, "adam", None, "active"), (3, "Eve New", "Rom", "imported")]
+
+
+def test_index_gives_what_the_corpus_gives(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, "deep sea diving", "boats"), (2, "sea deep", None), (3, "the deep seas", "deep sea"), (4, None, None)], "id long, a string, b string")
+    index = search.indexed(corpus, ["a", "b"], str(tmp_path / "index"))
+    for phrases, more in (([["deep", "se"]], {}), ([["se"]], {"allowed": ["b"]}), ([["deep", "sea"], ["bo"]], {"any_of": True}), ([["xyz"]], {})):
+        slow, fast = (sorted((r.id, round(r["rank"], 9)) for r in df.collect()) for df in (search.ranked(corpus, phrases, ["a", "b"], **more), search.found(index, phrases, **more)))
+        assert slow == fast and (bool(slow) == (phrases != [["xyz"]]))
