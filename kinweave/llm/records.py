@@ -9,6 +9,7 @@ commits are atomic and a lost executor costs only a retried task.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -166,7 +167,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
-    """Records in a random order that depends on seed alone: the index is shuffled, each entry cuts its slice out of its file."""
-    index = spark.read.parquet(f"{path}/index")
-    cut = index.join(_files(spark, path), "file").selectExpr("doc_id", "n_tokens", f"xxhash64(file, offset, {int(seed)}L) as ticket", "substring(content, cast(offset as int) + 13, cast(length as int) - 17) as payload")
-    return cut.orderBy("ticket", "doc_id")
+    """doc_id, n_tokens, ids of all records in a random order that depends on seed alone. The index gives each file's entries; each is
+    cut out of its file by offset and length, and its checksums are compared."""
+    entries = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("entries"))  # a file is bounded
+
+    def cut(batches):
+        for batch in batches:
+            for file, content, held in zip(batch.column("file").to_pylist(), batch.column("content"), batch.column("entries").to_pylist(), strict=True):
+                content, rows = content.as_py(), []
+                for e in held:
+                    ((_, payload),) = parse(content[e["offset"] : e["offset"] + e["length"]])
+                    doc, ids = decode(payload)
+                    ticket = int.from_bytes(hashlib.blake2b(f"{seed} {file} {e['offset']}".encode(), digest_size=8).digest(), "little", signed=True)
+                    rows.append((doc, len(ids), ids.astype(np.int64), ticket))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_tokens", "ids", "ticket"])
+
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+    found = _files(spark, path).join(entries, "file").mapInArrow(cut, "doc_id long, n_tokens long, ids array<long>, ticket long")
+    return found.orderBy("ticket", "doc_id").drop("ticket")
