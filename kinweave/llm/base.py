@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,14 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system: workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table has; a missing text or label column counts as null."""
     kinds = {"doc_id": "bigint", "vec_id": "bigint", "text": "string", "lang": "string"}

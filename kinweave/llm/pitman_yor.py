@@ -36,7 +36,7 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 #: Sweeps before and of the average; moves of a dish in a sweep, each of one customer or, beyond so many, of an equal share.
 BURN_IN, SAMPLES, BATCHES = 3, 3, 128
 #: Tokens of a slice and of a shard, about.
-SLICE_TOKENS, SHARD_TOKENS = 2_000_000, 4_000_000
+SLICE_TOKENS, SHARD_TOKENS = 1_500_000, 2_000_000
 #: Parts of a shard's tokens from which a context is dealt over several.
 HOT = 4
 #: Stands for the end of a text.
@@ -161,7 +161,11 @@ def _grouped(frames: list[DataFrame], homes: int, function) -> DataFrame:
         rows: dict[str, list[dict]] = {}
         for r in sorted(group.to_pylist(), key=lambda r: (r["kind"], r["peer"] or 0)):
             rows.setdefault(r["kind"], []).append(r)
-        return _table(list(function(key[0].as_py(), rows)))
+        del group
+        out = _table(list(function(key[0].as_py(), rows)))
+        del rows
+        base.give_back()
+        return out
 
     whole = frames[0]
     for f in frames[1:]:
@@ -191,11 +195,12 @@ def slices_of(docs: DataFrame, held_out: Column) -> DataFrame:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
             flags = pc.fill_null(batch.column("held_out"), False).to_numpy(zero_copy_only=False) + 2 * ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             ids = pc.fill_null(ids, 0).to_numpy()
-            for a, b in slices([t or "" for t in texts], 8_000_000):
+            for a, b in slices([t or "" for t in texts], 4_000_000):
                 codes, distinct, sizes = tokens(texts[a:b])
                 held.append((ids[a:b], flags[a:b], sizes + 1, np.append(ids_of(distinct), np.uint64(END)), with_ends(codes, sizes, len(distinct))))
                 if sum(len(h[4]) for h in held) >= SLICE_TOKENS:
                     yield row()
+                    base.give_back()
         if held:
             yield row()
 
@@ -207,6 +212,7 @@ def _of_slices(parts: DataFrame, function) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 yield from _table(list(function(r))).to_batches()
+                base.give_back()
 
     return parts.mapInArrow(run, _ROW)
 
@@ -534,7 +540,7 @@ def score(parts: DataFrame, model: Model, full: bool = False) -> DataFrame:
         u, w = np.divmod(pairs, len(words))
         n, back = np.zeros(len(words), np.int64), np.zeros((SAMPLES, len(words)))
         part, shard = layout.part(words), layout.shard(words[u], words[w])
-        gain, opened = np.zeros(len(pairs)), np.zeros((SAMPLES, len(pairs)), np.int64)
+        gain, opened = np.zeros(len(pairs)), np.zeros((SAMPLES, len(pairs)), np.uint32)
         for r in rows:
             if r["kind"] == "known":
                 at = part == r["peer"]
@@ -545,7 +551,9 @@ def score(parts: DataFrame, model: Model, full: bool = False) -> DataFrame:
                 _, context = np.unique(u[at], return_inverse=True)
                 opened[:, at] = unpack(r["b"]).reshape(SAMPLES, -1)[:, context]
         p = (back + (STRENGTH + DISCOUNT * tables[:, None]) * floor) / (STRENGTH + customers[:, None])
-        chance = np.log10((gain + ((STRENGTH + DISCOUNT * opened) * p[:, w]).mean(axis=0)) / (STRENGTH + n[u]))
+        for k in range(SAMPLES):
+            gain += (STRENGTH + DISCOUNT * opened[k]) * p[k, w] / SAMPLES
+        chance = np.log10(gain / (STRENGTH + n[u]))
         each = chance[np.searchsorted(pairs, token)]
         sizes, flags = unpack(own["d"]).astype(np.int64), unpack(own["e"], "u1")
         starts = np.cumsum(sizes) - sizes
