@@ -65,3 +65,42 @@ def age(day: Column, today: Column) -> Column:
 def later(old: Column, new: Column) -> Column:
     """The later of two days as text; a missing one loses."""
     return F.greatest(old, new)
+
+
+# Short month names in German, and the sign for an absent value.
+_SHORT = ("Jan", "Feb", "Mrz", "Apr", "Mai", "Jun", "Jul", "Aug", "Sep", "Okt", "Nov", "Dez")
+ABSENT = "–"
+
+
+def is_iso(x: Column) -> Column:
+    """A day, or a day and a time, in ISO form."""
+    return is_day(x) | x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T") & F.try_to_timestamp(x).isNotNull()
+
+
+def _of(x: Column) -> Column:
+    """The day of a day or time in ISO form, in the session's time zone; null if it is neither."""
+    value = trim(x)
+    return F.when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(value, "yyyy-MM-dd")).when(is_iso(value), F.try_to_timestamp(value).cast("date"))
+
+
+def _named(day: Column, month: Column) -> Column:
+    return F.concat(day.cast("string"), F.lit(". "), F.element_at(F.array(*map(F.lit, _SHORT)), month))
+
+
+def shown(x: Column, absent: str = ABSENT) -> Column:
+    """A day as text: 14. Mrz 2023."""
+    day = _of(x)
+    return F.coalesce(F.concat(_named(F.dayofmonth(day), F.month(day)), F.lit(" "), F.year(day).cast("string")), F.lit(absent))
+
+
+def shown_birthday(x: Column, absent: str = ABSENT) -> Column:
+    """A birthday as text, with its year or without: 14. Mrz."""
+    value = trim(x)
+    month, day = (F.regexp_extract(value, r"^--([0-9]{2})-([0-9]{2})$", k).cast("int") for k in (1, 2))
+    bare = F.when(month.between(1, 12) & day.between(1, 31), _named(day, month)).otherwise(F.lit(absent))
+    return F.when(value.rlike(r"^--[0-9]{2}-[0-9]{2}$"), bare).otherwise(shown(value, absent))
+
+
+def input_day(x: Column) -> Column:
+    """YYYY-MM-DD of a day or time; empty for anything else."""
+    return F.coalesce(F.date_format(_of(x), "yyyy-MM-dd"), F.lit(""))

@@ -119,3 +119,18 @@ def nocase(x: Column) -> Column:
 def zero_padded(x: Column, width: int = 4) -> Column:
     digits = x.cast("string")
     return F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
+
+
+def checksum(x: Column) -> Column:
+    """SHA-256 of a text in UTF-8, in hex."""
+    return F.sha2(x, 256)
+
+
+# Fixed value: letters and digits that aren't taken for each other.
+CODE_SIGNS = "23456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def referral_code(x: Column) -> Column:
+    """Eight signs that depend on a value alone, as good as drawn."""
+    each = (F.substring(F.lit(CODE_SIGNS), (F.pmod(F.xxhash64(x, F.lit(k)), F.lit(len(CODE_SIGNS))) + 1).cast("int"), F.lit(1)) for k in range(8))
+    return F.concat(*each)

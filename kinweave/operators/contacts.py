@@ -149,3 +149,27 @@ def connected(connections: DataFrame, contacts: DataFrame) -> DataFrame:
     """Each contact's connections with the other's name: in order of it, without case, then of the connection's id (position)."""
     named = incident(connections).join(contacts.select(F.col("id").alias("other_id"), F.col("name").alias("other_name")), "other_id")
     return numbered(named, [X.nocase(F.col("other_name")), "id"], "position", ["contact_id"])
+
+
+def tags_left(tags: DataFrame, contact_tags: DataFrame, contact_id: int, prefix: str = "") -> DataFrame:
+    """Tags that begin with the prefix and aren't the contact's yet, in order."""
+    own = contact_tags.where(F.col("contact_id") == contact_id).select(F.col("tag_id").alias("id"))
+    return search_tags(tags.join(own, "id", "left_anti"), prefix)
+
+
+def sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table and, as table ``all``, of all together."""
+    each = None
+    for name, df in tables.items():
+        one = df.agg(F.lit(name).alias("table"), F.count("*").alias("n"))
+        each = one if each is None else each.unionByName(one)
+    return each.unionByName(each.agg(F.lit("all").alias("table"), F.sum("n").alias("n")))
+
+
+def named_pairs(contacts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (name_a, name_b, note) as (a, b, note) by the smallest id of each name; pairs with an unknown name are left out."""
+    first = contacts.groupBy(X.person_name(F.col("name")).alias("_name")).agg(F.min("id").alias("_id"))
+    out = pairs
+    for end in ("a", "b"):
+        out = out.join(first.toDF(f"_{end}", end), X.person_name(F.col(f"name_{end}")) == F.col(f"_{end}"))
+    return out.select("a", "b", "note")

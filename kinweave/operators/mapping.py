@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -108,3 +109,14 @@ def dropped_histogram(mapped: DataFrame) -> DataFrame:
     """field, reason, n and the value of the first row, over all dropped values."""
     each = mapped.select("row_number", F.inline("dropped"))
     return each.groupBy("field", "reason").agg(F.count("*").alias("n"), F.min_by("value", "row_number").alias("example"))
+
+
+def coded(mapping: dict[str, str]) -> str:
+    """A mapping as text, for a form's field or a saved import."""
+    return json.dumps(mapping, ensure_ascii=False, sort_keys=True)
+
+
+def decoded(text: str) -> dict[str, str]:
+    """A mapping from its text; a target that isn't known is ignored."""
+    known = {*_lookup.values(), "linkedin_url", "ignore"}
+    return {str(h): f if f in known else "ignore" for h, f in json.loads(text or "{}").items()}

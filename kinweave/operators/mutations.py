@@ -171,3 +171,24 @@ def waitlist_positions(positions: DataFrame, referrals: DataFrame) -> DataFrame:
     """code, position, referrals, effective: ten places up for each referral, the first place at best."""
     counts = referrals.groupBy("code").agg(F.count("*").alias("referrals"))
     return positions.join(counts, "code", "left").fillna(0, ["referrals"]).withColumn("effective", F.greatest(F.lit(1).cast("long"), F.col("position") - 10 * F.col("referrals")))
+
+
+def bump_referrals(entries: DataFrame, codes: DataFrame) -> DataFrame:
+    """Waitlist entries (referral_code, referrals and others) with one referral more for each row of codes (code); unknown codes
+    change nothing."""
+    more = codes.groupBy(F.col("code").alias("referral_code")).agg(F.count("*").alias("_more"))
+    return entries.join(more, "referral_code", "left").withColumn("referrals", F.col("referrals") + F.coalesce("_more", F.lit(0))).select(entries.columns)
+
+
+def seed(contacts: DataFrame, people: DataFrame, now: str) -> DataFrame:
+    """Adds those people whose name and company, both normalised, no contact has; adding them again changes nothing."""
+    key = F.concat(X.person_name(F.col("name")), F.lit("::"), X.norm_text(F.coalesce("company", F.lit(""))))
+    known = contacts.select(key.alias("_key")).distinct()
+    fresh = people.withColumn("_key", key).dropDuplicates(["_key"]).join(known, "_key", "left_anti").drop("_key")
+    return insert_contacts(contacts, fresh, now)
+
+
+def unseed(contacts: DataFrame, people: DataFrame) -> DataFrame:
+    """The ids of contacts that seeding these people would add."""
+    key = F.concat(X.person_name(F.col("name")), F.lit("::"), X.norm_text(F.coalesce("company", F.lit(""))))
+    return contacts.withColumn("_key", key).join(people.select(key.alias("_key")).distinct(), "_key", "left_semi").select("id")

@@ -556,3 +556,56 @@ def q_import_applied(spark, sf_dir):
     first = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("row_number"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("title"), F.lit("Supplies").alias("company"))
     outcomes = resolve.replay(contacts, again.unionByName(first))
     return resolve.applied(contacts, outcomes, "2025-01-01").select("id", "company", "title", F.col("updated_at"))
+
+
+_SHOWN = "(day(d)::varchar || '. ' || list_extract(['Jan', 'Feb', 'Mrz', 'Apr', 'Mai', 'Jun', 'Jul', 'Aug', 'Sep', 'Okt', 'Nov', 'Dez'], month(d)::int) || ' ' || year(d)::varchar)"
+
+
+@_query(f"""select o_orderkey, case when o_orderkey % 4 = 3 then '–' else {_SHOWN} end as shown, case when o_orderkey % 4 = 3 then '' else strftime(d, '%Y-%m-%d') end as input,
+    case o_orderkey % 4 when 3 then '–' when 2 then regexp_replace({_SHOWN}, ' [0-9]+$', '') else {_SHOWN} end as birthday from (select *, o_orderdate::date as d from orders)""")
+def q_shown_dates(spark, sf_dir):
+    k, at = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    day = F.date_format(at, "yyyy-MM-dd")
+    text = F.when(k == 3, "2023-02-30").when(k == 1, F.concat(F.lit(" "), day)).otherwise(F.concat(day, F.lit("T10:00:00Z")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", D.shown(text).alias("shown"), D.input_day(text).alias("input"), D.shown_birthday(F.when(k == 2, F.date_format(at, "'--'MM-dd")).otherwise(text)).alias("birthday"))
+
+
+@_query("""select o_orderkey, case o_orderkey % 3 when 0 then '--' || strftime(o_orderdate, '%m-%d') when 1 then strftime(o_orderdate, '%Y-%m-%d') end as birthday from orders""")
+def q_birthday(spark, sf_dir):
+    k, at = F.col("o_orderkey") % 3, F.col("o_orderdate")
+    text = F.when(k == 0, F.date_format(at, "'--'MM-dd")).when(k == 1, F.date_format(at, "d. MMMM yyyy")).otherwise(F.lit("--13-01"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", D.parse_birthday(text).alias("birthday"))
+
+
+@_query("""select c_custkey as id, c_custkey % 7 + count(event_id)::bigint as referrals from customer left join events on user_id = c_custkey and event_type = 'signup' group by 1""")
+def q_referrals_bumped(spark, sf_dir):
+    entries = _table(spark, sf_dir, "customer").selectExpr("c_custkey id", "cast(c_custkey as string) referral_code", "c_custkey % 7 referrals")
+    codes = _table(spark, sf_dir, "events").where("event_type = 'signup'").selectExpr("cast(user_id as string) code")
+    return mutations.bump_referrals(entries, codes).select("id", "referrals")
+
+
+@_query(f"{_with('tags', 'contact_tags')} select id, name from tags where id not in (select tag_id from contact_tags where contact_id = 32)")
+def q_tags_left(spark, sf_dir):
+    tags, links = network(spark, sf_dir, "tags", "contact_tags")
+    return C.tags_left(tags, links, 32)
+
+
+@_query(f"""{_with("contacts", "needs", "offers", "notes")}, n as (select 'contacts' as "table", count(*) as n from contacts union all select 'needs', count(*) from needs union all select 'offers', count(*) from offers union all select 'notes', count(*) from notes)
+    select "table", n::bigint as n from n union all select 'all', sum(n)::bigint from n""")
+def q_table_sizes(spark, sf_dir):
+    names = ["contacts", "needs", "offers", "notes"]
+    return C.sizes(dict(zip(names, network(spark, sf_dir, *names), strict=True)))
+
+
+@_query(f"""{_with("contacts")} select id, name, status from contacts union all select (select max(id) from contacts) + row_number() over (order by s_name), s_name, 'active' from supplier""")
+def q_seed(spark, sf_dir):
+    """Everyone again and the suppliers: only these are new."""
+    (contacts,) = network(spark, sf_dir, "contacts")
+    again = contacts.select(F.upper("name").alias("name"), F.lower("company").alias("company"))
+    first = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("Supplies").alias("company"))
+    return mutations.seed(contacts, again.unionByName(first), "2025-01-01").select("id", "name", "status")
+
+
+@_query("select doc_id, sha256(text) as checksum from documents where text is not null")
+def q_checksum(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.checksum(F.col("text")).alias("checksum"))

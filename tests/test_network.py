@@ -13,11 +13,12 @@ from kinweave.functions import dates as D
 from kinweave.functions import text as X
 from kinweave.operators import contacts as C
 from kinweave.operators import mapping, matching, mutations, resolve, search
+from kinweave.operators.ranks import numbered
 from kinweave.plans import bindings
 from kinweave import api
 from kinweave.schemas import CONNECTIONS, CONTACT_TAGS, CONTACTS, ITEMS, NOTES, TAGS
 from kinweave.sources import store, tabular
-from kinweave.streaming import index, rates
+from kinweave.streaming import imports, index, rates
 
 DATA = "/root/testdata/sf0.001"
 
@@ -298,3 +299,36 @@ def test_index_gives_what_the_corpus_gives(spark, tmp_path):
     for phrases, more in (([["deep", "se"]], {}), ([["se"]], {"allowed": ["b"]}), ([["deep", "sea"], ["bo"]], {"any_of": True}), ([["xyz"]], {})):
         slow, fast = (sorted((r.id, round(r["rank"], 9)) for r in df.collect()) for df in (search.ranked(corpus, phrases, ["a", "b"], **more), search.found(index, phrases, **more)))
         assert slow == fast and (bool(slow) == (phrases != [["xyz"]]))
+
+
+def test_small_helpers(spark, tmp_path):
+    tags = spark.createDataFrame([(1, "vip"), (2, "investor"), (3, "in-town")], TAGS)
+    links = spark.createDataFrame([(7, 2)], CONTACT_TAGS)
+    assert [r.name for r in C.tags_left(tags, links, 7, "IN").collect()] == ["in-town"] and C.tags_left(tags, links, 8).count() == 3
+    shown = lambda x: value(spark, D.shown(F.lit(x).cast("string")))
+    assert [shown(x) for x in ("2023-03-14", " 2023-12-01T08:00:00Z", "2023-02-30", "x", None)] == ["14. Mrz 2023", "1. Dez 2023", "–", "–", "–"]
+    assert value(spark, D.shown_birthday(F.lit("--03-14"))) == "14. Mrz" and value(spark, D.shown_birthday(F.lit("--13-14"))) == "–"
+    assert value(spark, D.is_iso(F.lit("2023-02-30"))) is False and value(spark, D.input_day(F.lit("--03-14"))) == ""
+    code = value(spark, X.referral_code(F.lit("a@x.org")))
+    assert len(code) == 8 and set(code) <= set(X.CODE_SIGNS) and code == value(spark, X.referral_code(F.lit("a@x.org")))
+    contacts = people(spark, [{"id": 4, "name": "Ann Lee", "company": "Acme"}, {"id": 2, "name": "ann  lee", "company": None}])
+    more = spark.createDataFrame([("ANN LEE", "acme"), ("Bo", None), ("bo", "")], "name string, company string")
+    assert sorted(r.id for r in mutations.seed(contacts, more, "2025").collect()) == [2, 4, 5]
+    assert [r.id for r in mutations.unseed(contacts, more).collect()] == [4]
+    pairs = spark.createDataFrame([("Ann Lee", "nobody", "x"), ("ann lee", "ANN LEE", "y")], "name_a string, name_b string, note string")
+    assert [(r.a, r.b, r.note) for r in C.named_pairs(contacts, pairs).collect()] == [(2, 2, "y")]
+    assert mapping.decoded(mapping.coded({"Vorname": "first_name", "Ä": "nonsense"})) == {"Vorname": "first_name", "Ä": "ignore"}
+    assert [r.position for r in numbered(spark.range(5000).repartition(7), [F.desc("id")]).orderBy(F.desc("id")).collect()] == list(range(1, 5001))
+
+
+def test_imports_that_keep_arriving(spark, tmp_path):
+    store.save(spark, str(tmp_path / "net"), {"contacts": people(spark, [{"id": 1, "name": "Ann Lee"}])})
+    inbox = tmp_path / "inbox"
+    for k, rows in enumerate([[(1, "Ann Lee", "ann@x.org"), (2, "Bo", "bo@x.org")], [(1, "BO", None), (2, "Cy", None)]]):
+        spark.createDataFrame(rows, "row_number long, Name string, `E-Mail` string").coalesce(1).write.mode("append").parquet(str(inbox))
+        stream = spark.readStream.schema("row_number long, Name string, `E-Mail` string").option("maxFilesPerTrigger", 1).parquet(str(inbox))
+        query = imports.follow(spark, stream, str(tmp_path / "net"), str(tmp_path / "checkpoint"), lambda: "2025-01-01")
+        query.processAllAvailable()
+        query.stop()
+    after = store.load(spark, str(tmp_path / "net"), ["contacts"])["contacts"].orderBy("id").collect()
+    assert [(r.id, r.name, r.email) for r in after] == [(1, "Ann Lee", None), (2, "Bo", "bo@x.org"), (3, "Cy", None)]
