@@ -115,32 +115,38 @@ def compared(pairs: DataFrame) -> DataFrame:
     return peeled(held.select(*pairs.columns, *_subtracted("cells_a", "cells_b"))).drop("n", "k")
 
 
-def recovered(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """row, pair, only_a, only_b: the digests that only one of two texts has, by peeling.
+def recovered(rows: DataFrame, prints: DataFrame, full: bool = False) -> DataFrame:
+    """row, pair, n_a, n_b: how many digests only one of two texts has, by peeling; with ``full`` also only_a and only_b, these digests.
 
     rows (settled): row and the digests own, edit, next of three texts; pair 0 is own and edit, 1 is own and next. prints: row
     and the cells of each text. The fingerprints are tried first, then larger sketches of those that stall, as often as needed:
     distinct digests part sooner or later.
     """
     side = {0: "edit", 1: "next"}
+
+    def told(tables: DataFrame) -> DataFrame:
+        arrays = ["only_a", "only_b"] if full else []
+        return peeled(tables).select(*(c for c in tables.columns if c not in ("n", "k")), *(F.when(F.col(c).isNotNull(), F.size(c)).alias(f"n_{c[-1]}") for c in ("only_a", "only_b")), *arrays)
+
+    names = ["row", "pair", "n_a", "n_b", *(["only_a", "only_b"] if full else [])]
     both = F.explode(F.array(*(F.struct(F.lit(p).alias("pair"), *_subtracted("own", x)) for p, x in side.items()))).alias("x")
-    level = base.settle(peeled(prints.select("row", both).select("row", "x.*")), "level")
-    found = [level.where("only_a is not null").select("row", "pair", "only_a", "only_b")]
-    stalled = level.where("only_a is null").groupBy("row").agg(*(F.max(F.when(F.col("pair") == p, F.array().cast("array<bigint>"))).alias(f"path{p}") for p in side))
+    level = base.settle(told(prints.select("row", both).select("row", "x.*")), "level")
+    found = [level.where("n_a is not null").select(names)]
+    stalled = level.where("n_a is null").groupBy("row").agg(*(F.max(F.when(F.col("pair") == p, F.array().cast("array<bigint>"))).alias(f"path{p}") for p in side))
     step = 0
     while not stalled.isEmpty():
         held = rows.join(stalled, "row")
 
         def dealt(p: int, name: str, sign: int) -> Column:
             tables = F.greatest(F.lit(1), F.ceil((F.size("own") + F.size(side[p])) / LOAD)).cast("long")
-            own = F.coalesce(F.col(f"path{p}"), F.lit(None).cast("array<bigint>"))
-            kept = F.filter(name, lambda d: own.isNotNull() if not step else F.array_contains(own, _path(d, tables, step - 1)))
+            own = F.col(f"path{p}")
+            kept = F.filter(name, lambda d: F.array_contains(own, _path(d, tables, step - 1))) if step else F.col(name)
             return F.transform(F.when(own.isNotNull(), kept).otherwise(F.array().cast("array<bigint>")), lambda d: F.struct(F.lit(p).alias("pair"), d.alias("digest"), F.lit(sign).alias("sign"), _path(d, tables, step).alias("path")))
 
         digests = held.select("row", F.explode(F.concat(*(dealt(p, x, sign) for p in side for x, sign in (("own", 1), (side[p], -1))))).alias("x")).select("row", "x.*")
-        level = base.settle(peeled(tabled(digests, "row", "pair", "path")), "level")
-        found.append(level.where("only_a is not null").select("row", "pair", "only_a", "only_b"))
-        stalled = level.where("only_a is null").groupBy("row").agg(*(F.collect_list(F.when(F.col("pair") == p, F.col("path"))).alias(f"path{p}") for p in side))
+        level = base.settle(told(tabled(digests, "row", "pair", "path")), "level")
+        found.append(level.where("n_a is not null").select(names))
+        stalled = level.where("n_a is null").groupBy("row").agg(*(F.collect_list(F.when(F.col("pair") == p, F.col("path"))).alias(f"path{p}") for p in side))
         step += 1
     whole = found[0]
     for f in found[1:]:
@@ -205,13 +211,13 @@ def fingerprints(docs: DataFrame, full: bool = False) -> DataFrame:
     each = F.explode(F.concat(*(of(k, x) for k, x in enumerate(names)))).alias("x")
     cells = tabled(rows.select("row", each).select("row", "x.*"), "row", "side")
     prints = base.settle(cells.groupBy("row").agg(*(F.max(F.when(F.col("side") == k, F.struct("n", "k"))).alias(x) for k, x in enumerate(names))), "prints")
-    found = recovered(rows, prints).groupBy("row").agg(*(F.sum(F.when(F.col("pair") == p, F.size(c)).otherwise(0)).alias(f"{c}{p}") for p in (0, 1) for c in ("only_a", "only_b")), *([F.flatten(F.collect_list(F.when(F.col("pair") == 0, F.col(c)))).alias(x) for c, x in (("only_a", "only_text"), ("only_b", "only_edited"))] if full else []))
+    found = recovered(rows, prints, full).groupBy("row").agg(*(F.sum(F.when(F.col("pair") == p, F.col(c)).otherwise(0)).alias(f"{c}{p}") for p in (0, 1) for c in ("n_a", "n_b")), *([F.flatten(F.collect_list(F.when(F.col("pair") == 0, F.col(c)))).alias(x) for c, x in (("only_a", "only_text"), ("only_b", "only_edited"))] if full else []))
     sizes = rows.select("row", "doc_id", "n_chars", "edited_sha256", F.size("own").cast("long").alias("n_own"))
     texts = prints.select("row", printed(F.col("own.n"), F.col("own.k")).alias("fingerprint"), printed(F.col("edit.n"), F.col("edit.k")).alias("edited_fingerprint"))
 
     def likeness(p: int) -> Column:
-        union = F.col("n_own") + F.col(f"only_b{p}")
-        return F.when(union == 0, F.lit(1.0)).otherwise((F.col("n_own") - F.col(f"only_a{p}")) / union)
+        union = F.col("n_own") + F.col(f"n_b{p}")
+        return F.when(union == 0, F.lit(1.0)).otherwise((F.col("n_own") - F.col(f"n_a{p}")) / union)
 
     whole = sizes.join(texts, "row").join(found, "row")
     return whole.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(0).alias("near_edited"), likeness(1).alias("near_next"), *(["only_text", "only_edited"] if full else []))
