@@ -99,11 +99,16 @@ def step(of: np.ndarray, size: np.ndarray, seated: np.ndarray, leave: np.ndarray
     dish. opened: tables of each restaurant, kept up to date.
     """
     dishes = np.arange(len(seated))
+    one = join.max(initial=1) == 1  # as a rule
+    who = dishes if one and join.all() else np.repeat(dishes, join)
     if leave is not None:
-        who = np.repeat(dishes, leave)
-        nth = np.arange(len(who)) - np.repeat(np.cumsum(leave) - leave, leave)
         first = np.cumsum(seated) - seated
-        at = first[who] + ((random.random(len(seated))[who] + nth) * seated[who] / leave[who]).astype(np.int64)
+        if one and leave.all() and leave.max(initial=1) == 1:
+            at = first + (random.random(len(seated)) * seated).astype(np.int64)
+        else:
+            up = np.repeat(dishes, leave)
+            nth = np.arange(len(up)) - np.repeat(np.cumsum(leave) - leave, leave)
+            at = first[up] + ((random.random(len(seated))[up] + nth) * seated[up] / leave[up]).astype(np.int64)
         size = size - np.bincount(np.searchsorted(np.cumsum(size), at, side="right"), minlength=len(size))
         empty = size == 0
         np.subtract.at(opened, context[of[empty]], 1)
@@ -113,7 +118,6 @@ def step(of: np.ndarray, size: np.ndarray, seated: np.ndarray, leave: np.ndarray
     begins = ends - tables
     old = np.maximum(seated - DISCOUNT * tables, 0)
     new = (STRENGTH + DISCOUNT * opened[context]) * chance
-    who = np.repeat(dishes, join)
     opens = random.random(len(who)) * (old + new)[who] < new[who]
     sits, fresh = who[~opens], who[opens]
     mass = np.cumsum(size - DISCOUNT)
@@ -252,13 +256,20 @@ def _asks(r: dict, layout: Layout) -> Iterator[dict]:
     """Rows of kind ask, to each shard: a words, b pairs over these, c counts."""
     words, pairs, n, _ = _pairs(r)
     u, w = np.divmod(pairs, len(words))
-    shard = layout.shard(words[u], words[w])
+    shard = layout.shard(words[u], words[w]).astype(np.int32)
     order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange(layout.shards + 1))
+    place = np.zeros(len(words), np.int64)
     for k in np.flatnonzero(np.diff(ends)).tolist():
         at = order[ends[k] : ends[k + 1]]
-        used, place = np.unique(np.concatenate([u[at], w[at]]), return_inverse=True)
-        yield {"home": k, "kind": "ask", "peer": r["home"], "a": pack_sorted(words[used]), "b": pack_sorted(place[: len(at)] * len(used) + place[len(at) :]), "c": pack(n[at])}
+        used = np.unique(np.concatenate([u[at], w[at]]))
+        place[used] = np.arange(len(used))
+        yield {"home": k, "kind": "ask", "peer": r["home"], "a": pack_sorted(words[used]), "b": pack_sorted(place[u[at]] * len(used) + place[w[at]]), "c": pack(n[at])}
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """For sorted numbers: whether each is the first of its kind."""
+    return np.append(True, x[1:] != x[:-1])[: len(x)]
 
 
 def _merged(asks: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -504,8 +515,8 @@ def _pair_answers(layout: Layout, hot_tables: list[np.ndarray]):
             for k in range(SAMPLES):
                 opened[k] = np.where(hot, hot_tables[k][where], opened[k])
         for r, own in zip(rows["ask"], at, strict=True):
-            contexts = np.unique(u[own])
-            yield {"home": r["peer"], "kind": "pair", "peer": shard, "a": pack(gain[own], "f8"), "b": pack(opened[:, contexts].ravel())}
+            contexts = u[own][_runs(u[own])]
+            yield {"home": r["peer"], "kind": "pair", "peer": shard, "a": pack(gain[own], "f4"), "b": pack(opened[:, contexts].ravel())}
 
     return run
 
@@ -547,9 +558,8 @@ def score(parts: DataFrame, model: Model, full: bool = False) -> DataFrame:
                 n[at], back[:, at] = unpack(r["a"], "u8"), unpack(r["b"], "f4").reshape(SAMPLES, -1)
             if r["kind"] == "pair":
                 at = np.flatnonzero(shard == r["peer"])
-                gain[at] = unpack(r["a"], "f8")
-                _, context = np.unique(u[at], return_inverse=True)
-                opened[:, at] = unpack(r["b"]).reshape(SAMPLES, -1)[:, context]
+                gain[at] = unpack(r["a"], "f4")
+                opened[:, at] = unpack(r["b"]).reshape(SAMPLES, -1)[:, np.cumsum(_runs(u[at])) - 1]
         p = (back + (STRENGTH + DISCOUNT * tables[:, None]) * floor) / (STRENGTH + customers[:, None])
         for k in range(SAMPLES):
             gain += (STRENGTH + DISCOUNT * opened[k]) * p[k, w] / SAMPLES
