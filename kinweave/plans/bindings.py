@@ -474,7 +474,11 @@ def q_upsert_first_wins(spark, sf_dir):
     return mutations.waitlist_upsert(new.where("contact % 5 = 0").select("contact"), new).select("event_id", "duplicate")
 
 
-@_query(None)
+@_query("""with recursive hits as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as place from events),
+    kept as (select event_id, user_id, place, true as accepted, [ts] as log from hits where place = 1
+      union all select h.event_id, h.user_id, h.place, len(list_filter(k.log, lambda x: h.ts - x < interval 86400 seconds)) < 5,
+        case when len(list_filter(k.log, lambda x: h.ts - x < interval 86400 seconds)) < 5 then list_append(k.log, h.ts) else k.log end from kept k join hits h on h.user_id = k.user_id and h.place = k.place + 1)
+    select event_id, user_id, accepted from kept""")
 def q_rate_limit(spark, sf_dir):
     hits = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     return rates.limited(hits, "user_id", "ts", "event_id", window=86_400).select("event_id", "user_id", "accepted")

@@ -332,3 +332,17 @@ def test_imports_that_keep_arriving(spark, tmp_path):
         query.stop()
     after = store.load(spark, str(tmp_path / "net"), ["contacts"])["contacts"].orderBy("id").collect()
     assert [(r.id, r.name, r.email) for r in after] == [(1, "Ann Lee", None), (2, "Bo", "bo@x.org"), (3, "Cy", None)]
+
+
+def test_rate_limit_of_a_stream(spark, tmp_path):
+    rows = [(k % 2, datetime(2024, 1, 1) + timedelta(minutes=k * 7)) for k in range(40)]
+    batch = spark.createDataFrame([(k, u, at) for k, (u, at) in enumerate(rows)], "id long, user long, at timestamp")
+    wanted = sorted((r.user, r.at, r.accepted) for r in rates.limited(batch, "user", "at", "id", limit=2).collect())
+    spark.createDataFrame(rows, "user long, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = rates.limited_stream(spark.readStream.schema("user long, at timestamp").parquet(str(tmp_path / "in")), "user", "at", limit=2)
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+    for _ in range(60):  # batches without rows go on for ever: they clear state
+        if query.awaitTermination(1) or (query.lastProgress or {"batchId": 0})["batchId"] >= 1:
+            break
+    query.stop()
+    assert sorted((r.user, r.at, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == wanted and {a for _, _, a in wanted} == {True, False}
