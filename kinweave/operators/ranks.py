@@ -25,5 +25,7 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "positi
     on = F.col("_range") == F.col("_at")
     for c in within:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    placed = dealt.withColumn("_here", here).join(F.broadcast(offsets.withColumnRenamed("_range", "_at")), on)
-    return placed.select(*rows.columns, (F.col("_here") + F.col("_offset")).cast("long").alias(name))
+    # Only what a range begins with can have begun in an earlier one: a row a range, at most.
+    moved = F.broadcast(offsets.where("_offset > 0").withColumnRenamed("_range", "_at"))
+    placed = dealt.withColumn("_here", here).join(moved, on, "left")
+    return placed.select(*rows.columns, (F.col("_here") + F.coalesce("_offset", F.lit(0))).cast("long").alias(name))
