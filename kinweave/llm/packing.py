@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 0, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Each piece with sequence_id and offset. Rows with equal or null ids are packed like others; an empty table gives no rows."""
-    cut = base.settle(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    cut = base.settle(pieces(docs, tokenizer, end_id, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, round(cut.count() / group_pieces))
 
     def packed(key, rows):
@@ -164,5 +164,6 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 0,
         rows["sequence_id"] = where + (int(key[0]) << 32)
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"piece": "int32"})
 
-    dealt = cut.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # Dealt by row, not by content: repeated rows don't crowd one group.
+    dealt = cut.withColumn("deal", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
     return dealt.groupBy("deal").applyInPandas(packed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
