@@ -17,6 +17,7 @@ step before; a dish with more than BATCHES customers moves a BATCHES-th of them
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -460,6 +461,7 @@ def train(parts: DataFrame) -> Model:
     floor = 1 / (distinct + 1)
     counted = base.settle(_grouped([_of_slices(parts.where("y > 0"), lambda r: _asks(r, layout))], homes, _dishes(layout)), "dishes")
     dishes, wants = counted.where("kind = 'dish'"), counted.where("kind = 'want'")
+    _release(parts)
     first = base.settle(_grouped([vocabulary, wants, counted.where("kind = 'alone'")], homes, _first_chances), "chances")
     vocab = first.where("kind = 'vocab'")
 
@@ -481,6 +483,7 @@ def train(parts: DataFrame) -> Model:
         above = base.settle(_grouped(frames, homes, _part_sweep(number, tables, floor)), "parent")
         if seats is not None and number <= BURN_IN:
             base.drop(seats, parent)
+        _release(parts)
         seats, parent, chances = moved, above, above
         tables, customers = map(float, above.where("kind = 'parent'").agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first())
         if number >= BURN_IN:
@@ -492,6 +495,12 @@ def train(parts: DataFrame) -> Model:
     return model
 
 
+def _release(frame: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of steps that are settled: it does when the driver's JVM finds their plans gone."""
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _pair_answers(layout: Layout, hot_tables: list[np.ndarray]):
     """To each slice (pair): a what the tables of its pairs give them, b tables of its contexts in each sample."""
 
@@ -541,6 +550,7 @@ def score(parts: DataFrame, model: Model, full: bool = False) -> DataFrame:
     known = base.settle(_grouped([words, model.vocabulary, *model.parents], homes, _word_answers), "known")
     asks = _of_slices(parts, lambda r: _asks(r, layout))
     answers = base.settle(_grouped([asks, model.dishes, *model.seats], homes, _pair_answers(layout, model.hot_tables)), "answers")
+    _release(parts)
     total, distinct, tables, customers, floor = model.total, model.distinct, np.array(model.tables), np.array(model.customers), model.floor
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", *(["chances"] if full else [])]
 
