@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bloom_sketch, edit_counts, language, neardup, packing, pieces, pitman_yor, records, toxicity, vectors
+from . import base, bloom_sketch, divergence, edit_counts, language, neardup, packing, pieces, pitman_yor, ranked, records, toxicity, urls, vectors
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,23 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near(base.table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_language_id, op3_toxicity, op4_pitman_yor, op5_setsketch, op6_piece_encoding, op7_packing, op8_bloom_sketch, op9_edit_counts, op10_projection_forest)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.index(base.table(spark, sf_dir, "documents")), base.table(spark, sf_dir, "benchmark"))
+
+
+#: Verdict, host and path of the rules of op12.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(base.table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "verdict string, host string, path string"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(base.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_language_id, op3_toxicity, op4_pitman_yor, op5_setsketch, op6_piece_encoding, op7_packing, op8_bloom_sketch, op9_edit_counts, op10_projection_forest, op11_ranked_search, op12_url_filters, op13_source_divergence)}
 
 _OP5 = r"""
 with recursive words as (
@@ -91,5 +107,87 @@ select v.vec_id, coalesce(d.n, 0)::bigint n_links, least(v.vec_id, coalesce(m, v
 from v left join least_of l on l.a = v.vec_id left join degree d on d.a = v.vec_id
 """
 
+_OP11 = r"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from documents),
+tf as (select doc_id, term, count(*) tf from terms group by all),
+lengths as (select doc_id, sum(tf)::bigint n from tf group by doc_id),
+totals as (select count(*)::bigint n_docs, sum(n)::bigint n_terms from lengths),
+weights as (
+  select term, floor(1000 * ln((2.0::double * n_docs + 2) / (2.0::double * count(*) + 1)))::bigint w
+  from tf, totals group by term, n_docs),
+asked as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint score
+  from asked join tf using (term) join weights using (term) join lengths using (doc_id), totals group by all)
+select item_id, rank::int rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) rank from scored where score > 0)
+where rank <= 10
+"""
+
+_OP12 = r"""
+with recursive parts as (
+  select page_id, html, coalesce(regexp_extract(url, '^(?s:.*?)://([^#]*)', 1), '') rest from pages),
+cut as (
+  select page_id, html, rest, translate(regexp_extract(rest, '^[^/?]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+    regexp_extract(rest, '^[^/?]*([^?]*)', 1) path from parts),
+nodes as (select *, host || rest[len(host) + 1:] node from cut),
+tags as (
+  select node, host, path, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<link\b[^>]*\brel=.?canonical[^>]*>')) tag from nodes
+  where html ilike '%canonical%'),
+hrefs as (select node, host, regexp_extract(tag, '\shref="([^"#]*)', 1) href from tags),
+edges as (
+  select node a, case when href like '%://%' then regexp_replace(href, '^.*?://', '') when href like '/%' then host || href end b from hrefs),
+both_ways as (select a, b from edges where b is not null union select b, a from edges where b is not null),
+reach as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+rules(verdict, host, path) as (
+  values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+places as (
+  select node, host, path from nodes
+  union select b, regexp_extract(b, '^[^/?]*'), regexp_extract(b, '^[^/?]*([^?]*)', 1) from both_ways),
+fits as (
+  select node, r.host || r.path rule, verdict, row_number() over (partition by node order by len(r.host || r.path) desc, verdict) k
+  from places p join rules r on (p.host = r.host or p.host like '%.' || r.host) and starts_with(p.path, r.path)),
+best as (select node, rule, verdict from fits where k = 1),
+spread as (
+  select a node, case when bool_or(verdict = 'block') and not bool_or(verdict = 'allow') then 'block' end verdict
+  from reach join best on best.node = reach.b group by a)
+select page_id, host, path, rule, coalesce(best.verdict, spread.verdict, 'allow') verdict
+from nodes left join best using (node) left join spread using (node)
+"""
+
+_OP13 = r"""
+with docs as (select doc_id, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') text from documents),
+groups as (select distinct lang, source from docs),
+words as (
+  select doc_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from docs),
+kept as (select lang, term, count(*) n from words group by lang, term having count(distinct doc_id) >= 30),
+langs as (select lang, count(*) v, sum(n) total from kept group by lang),
+counts as (select w.lang, source, term, count(*) n from words w semi join kept k on w.lang = k.lang and w.term = k.term group by all),
+totals as (select lang, source, sum(n) total from counts group by all),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) p,
+    1 + (1000000000::hugeint * (k.n + 5)) // (l.total + 5 * l.v) q
+  from groups g join kept k on g.lang = k.lang join langs l on g.lang = l.lang
+  left join totals t on g.lang = t.lang and g.source = t.source
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+priced as (
+  select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+  group by all),
+pairs as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(p.value, 0)::bigint value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join priced p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+surplus as (select lang, source, 'term' part, term item, (p - q)::bigint value from shares where n > 0 and p > q),
+ranked as (
+  select *, (row_number() over (partition by lang, source, part order by value desc, item))::int rank
+  from (select * from pairs union all select * from surplus))
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
 #: SQL for the queries whose results SQL can express; the others are tested against brute force.
-ORACLE_SQL = {"op5_setsketch": _OP5, "op10_projection_forest": _OP10}
+ORACLE_SQL = {"op5_setsketch": _OP5, "op10_projection_forest": _OP10, "op11_ranked_search": _OP11, "op12_url_filters": _OP12, "op13_source_divergence": _OP13}
