@@ -29,3 +29,19 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "positi
     moved = F.broadcast(offsets.where("_offset > 0").withColumnRenamed("_range", "_at"))
     placed = dealt.withColumn("_here", here).join(moved, on, "left")
     return placed.select(*rows.columns, (F.col("_here") + F.coalesce("_offset", F.lit(0))).cast("long").alias(name))
+
+
+def running_least(rows: DataFrame, key: str, order: str, value: str, name: str = "least") -> DataFrame:
+    """rows with the least value of the rows of the same key that come strictly earlier in order; null where there is none.
+
+    Rows are dealt into ranges of key and order, so a key of any size is spread over them: each range takes its own running minimum,
+    and only a key that began before a range is moved by what its earlier ranges hold. Rows with a null value only ask. A null key
+    is a key of its own; rows of equal order do not see each other.
+    """
+    dealt = settle(rows.repartitionByRange(F.col(key), F.col(order)).withColumn("_range", F.spark_partition_id()), "ranges")
+    each = dealt.groupBy("_range", F.col(key).alias("_key")).agg(F.min(value).alias("_m"))
+    before = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    moved = F.broadcast(each.select(F.col("_range").alias("_at"), "_key", F.min("_m").over(before).alias("_earlier")).where("_earlier is not null"))
+    here = F.min(value).over(W.partitionBy("_range", key).orderBy(order).rangeBetween(W.unboundedPreceding, -1))
+    placed = dealt.withColumn("_here", here).join(moved, (F.col("_range") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return placed.select(*rows.columns, F.least("_here", "_earlier").alias(name))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import FILLABLE, validate
-from ..sources.scratch import settle
-from .graph import components
-from .ranks import numbered
+from ..sources.scratch import drop, settle
+from .ranks import numbered, running_least
 
 #: Fields that identify a person: a match by name alone never writes them.
 IDENTITY = ("email", "linkedin_url")
@@ -48,99 +46,132 @@ def match(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return found.select(*rows.columns, F.coalesce("by_url", "by_email", "by_name").alias("contact_id"), way.alias("matched_by"))
 
 
-def groups(pairs: DataFrame) -> DataFrame:
-    """(row, part) for pairs (row, key), both text: rows that share keys, directly or over others, get the same part."""
-    edges = pairs.select(F.concat(F.lit("r"), "row").alias("a"), F.concat(F.lit("k"), "key").alias("b"))
-    return components(edges).where("node like 'r%'").select(F.expr("substring(node, 2)").alias("row"), F.col("component").alias("part"))
-
-
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """One component in order: known contacts by id, then incoming rows by number, each seeing all before it."""
-    by_url: dict[str, int] = {}
-    by_email: dict[str, int] = {}
-    by_name: dict[str, list[int]] = {}
-    keys: dict[int, list] = {}
-    held: dict[int, dict[str, str]] = {}
-
-    def remember(key: int, url, email, name) -> None:
-        keys[key] = [url, email]
-        if url:
-            by_url[url] = min(key, by_url.get(url, key))
-        if email:
-            by_email[email] = min(key, by_email.get(email, key))
-        if name and key not in by_name.setdefault(name, []):
-            by_name[name] = sorted([*by_name[name], key])
-
-    def fits(key: int, url, email) -> bool:
-        return not (url and keys[key][0] and url != keys[key][0] or email and keys[key][1] and email != keys[key][1])
-
-    out = []
-    for r in rows.sort_values(["incoming", "number"]).itertuples():
-        url, email, name = (None if pd.isna(x) else x for x in (r.url_key, r.email_key, r.name_key))
-        given = {f: x for f, x in zip(FIELDS, r.given, strict=True) if x}
-        if not r.incoming:
-            remember(r.number, url, email, name)
-            held[r.number] = given
-            continue
-        if not name:
-            out.append((r.row_number, "skipped", None, None, "no name", {}))
-            continue
-        way, target = None, None
-        for kind, index, key in (("url", by_url, url), ("email", by_email, email)):
-            if target is None and key and key in index:
-                way, target = kind, index[key]
-        if target is None:
-            target = next((k for k in by_name.get(name, []) if fits(k, url, email)), None)
-            way = None if target is None else "name"
-        # A match by name alone never writes identity, nor can it fail for it.
-        allowed = [f for f in given if way != "name" or f not in IDENTITY]
-        faults = [e for e in r.errors if way != "name" or e.split(":")[0] not in IDENTITY]
-        if faults:
-            out.append((r.row_number, "error", target, way, "; ".join(faults), {}))
-        elif target is None:
-            remember(r.number, url, email, name)
-            held[r.number] = given
-            out.append((r.row_number, "created", r.number, None, None, given))
-        elif filled := {f: given[f] for f in allowed if f not in held[target]}:
-            held[target] = held[target] | filled
-            old = keys[target]
-            remember(target, old[0] or (url if "linkedin_url" in filled else None), old[1] or (email if "email" in filled else None), None)
-            out.append((r.row_number, "enriched", target, way, None, filled))
-        else:
-            out.append((r.row_number, "skipped", target, way, "identity withheld" if way == "name" and any(f in given for f in IDENTITY) else "nothing new", {}))
-    return pd.DataFrame(out, columns=["row_number", "outcome", "contact_id", "matched_by", "reason", "written"]).astype({"contact_id": "Int64"})
-
-
 def _given(rows: DataFrame) -> DataFrame:
     """Adds given: the row's fields as text, in the order of FIELDS; what is absent, null or empty is null."""
     return rows.withColumn("given", F.array(*(F.nullif(F.col(f).cast("string"), F.lit("")) if f in rows.columns else F.lit(None).cast("string") for f in FIELDS)))
 
 
+#: After every row: when a contact that never gets an address, or an e-mail, stops to lack it.
+_NEVER = 1 << 61
+
+
+def _people(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """The contacts that the rows' tentative outcomes leave: id, name_key, url_key with url_at, email_key with email_at (from when they
+    have it, null: never). A row without a match is a contact from its own number on; the first row that matches a contact by
+    address or e-mail and gives what it lacks fills it."""
+    made = rows.where("way is null and name_key is not null and not faulty").select(F.col("number").alias("id"), F.col("number").alias("birth"), *_KEYS, "has_url", "has_email")
+    gives = rows.where("way in ('url', 'email') and not faulty and (has_url or has_email)")
+    first = gives.groupBy(F.col("target").alias("id")).agg(*(F.min(F.when(F.col(f"has_{k}"), F.struct(F.col("number").alias("at"), F.col(f"{k}_key").alias("key")))).alias(f"{k}_fill") for k in ("url", "email")))
+    people = known.unionByName(made).join(first, "id", "left")
+    out = [F.col("id"), F.col("birth"), F.col("name_key")]
+    for k in ("url", "email"):
+        filled = ~F.col(f"has_{k}") & F.col(f"{k}_fill.key").isNotNull()
+        out += [F.coalesce(f"{k}_key", F.when(filled, F.col(f"{k}_fill.key"))).alias(f"{k}_key"), F.when(F.col(f"{k}_key").isNotNull(), F.col("birth")).when(filled, F.col(f"{k}_fill.at")).alias(f"{k}_at")]
+    return people.select(out)
+
+
+def _round(known: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with the match that each finds among the contacts that the outcomes of the rows before it leave.
+
+    An address belongs to whoever had it first. An e-mail's holder is the least id that had it before the row. A name fits the least id
+    that, when the row comes, lacks an address where the row has one, and an e-mail likewise. As ids ascend with births, that is the
+    least id among all that lack them at least until then. Both are running minima over one key, in order of time or against it.
+    Gives the table of those contacts as well.
+    """
+    people = settle(_people(known, rows), "people")
+    by_url = people.where("url_at is not null").groupBy("url_key").agg(F.min(F.struct("url_at", "id")).alias("_url"))
+    by_any = people.where("name_key is not null").groupBy("name_key").agg(F.min("id").alias("_any"))
+    until = {"u": F.coalesce("url_at", F.lit(_NEVER)), "m": F.coalesce("email_at", F.lit(_NEVER))}
+    until["b"] = F.least(until["u"], until["m"])
+    nobody = F.lit(None).cast("long").alias("number")
+    events = people.where("email_at is not null").select(F.concat(F.lit("e:"), "email_key").alias("key"), (2 * F.col("email_at") + 1).alias("o"), "id", nobody)
+    for kind, end in until.items():
+        events = events.unionByName(people.where(F.col("name_key").isNotNull() & (end > F.col("birth"))).select(F.concat(F.lit(f"{kind}:"), "name_key").alias("key"), (-2 * end).alias("o"), "id", nobody))
+    kind = F.when(F.col("url_key").isNotNull() & F.col("email_key").isNotNull(), "b").when(F.col("url_key").isNotNull(), "u").when(F.col("email_key").isNotNull(), "m")
+    asks = rows.where("name_key is not null")
+    nothing = F.lit(None).cast("long").alias("id")
+    asked = asks.where("email_key is not null").select(F.concat(F.lit("e:"), "email_key").alias("key"), (2 * F.col("number")).alias("o"), nothing, "number")
+    asked = asked.unionByName(asks.where(kind.isNotNull()).select(F.concat(kind, F.lit(":"), "name_key").alias("key"), (1 - 2 * F.col("number")).alias("o"), nothing, "number"))
+    told = running_least(events.unionByName(asked), "key", "o", "id").where("number is not null and least is not null")
+    told = told.groupBy("number").agg(F.max(F.when(F.col("key").startswith("e:"), F.col("least"))).alias("_email"), F.max(F.when(~F.col("key").startswith("e:"), F.col("least"))).alias("_name"))
+    found = rows.join(by_url, "url_key", "left").join(by_any, "name_key", "left").join(told, "number", "left")
+    named = F.when(kind.isNull(), F.col("_any")).otherwise(F.col("_name"))
+    targets = {"url": F.when(F.col("_url.url_at") < F.col("number"), F.col("_url.id")), "email": F.col("_email"), "name": F.when(named < F.col("number"), named)}
+    way = F.when(F.col("name_key").isNull(), F.lit(None))
+    for k, target in targets.items():
+        way = way.when(target.isNotNull(), k)
+    target = F.when(F.col("name_key").isNotNull(), F.coalesce(*targets.values()))
+    return found.select(*(c for c in rows.columns if c not in ("way", "target")), way.alias("way"), target.alias("target")), people
+
+
+def _matched(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows with the way and target of their match, as if they came one after another.
+
+    Each round takes all rows at once, against the outcomes of the round before; at first every row is a new contact. What a row finds
+    depends on earlier rows alone, so after k rounds all rows are right that at most k others lie behind, one waiting for the next; when a
+    round changes nothing, all are. Few rounds do, whatever the number of rows of a name, an e-mail or an address.
+    """
+    rows = settle(rows.withColumns({"way": F.lit(None).cast("string"), "target": F.lit(None).cast("long")}), "round")
+    mark = None
+    while True:
+        fresh, people = _round(known, rows)
+        fresh = settle(fresh, "round")
+        drop(rows, people)
+        rows = fresh
+        seen = rows.agg(F.sum(F.xxhash64("number", "way", "target").cast("decimal(38,0)"))).first()[0]
+        if seen == mark:
+            return rows
+        mark = seen
+
+
 def replay(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """row_number, outcome, contact_id, matched_by, reason, written of each incoming row (row_number, name and any of FIELDS),
     as if rows came one after another and each were visible to the next.
 
     A row that matches nobody is created; one that fills an empty field of its match is enriched; any other is skipped. A row whose
-    values break the limits of contacts is an error and changes nothing. written has the fields a row wrote. Rows depend on
-    earlier ones only through shared keys, so components of the key graph are replayed side by side. Contacts
-    that no incoming row shares a key with stay out. New ids follow the highest, in row order.
+    values break the limits of contacts is an error and changes nothing. written has the fields a row wrote. All rows are decided
+    side by side in rounds of joins and running minima (``_matched``), so rows that share a name, an address or an e-mail, however
+    many, do not meet in one task. New ids follow the highest, in row order. Row numbers are different and from 0.
     """
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     existing, incoming = (df.withColumns({c: F.lit(None).cast("string") for c in IDENTITY if c not in df.columns}) for df in (existing, incoming))
     checked = validate(_given(incoming)).withColumn("errors", F.filter("errors", lambda e: e != "name: required"))
-    known = with_keys(_given(existing)).select(F.lit(False).alias("incoming"), F.col("id").alias("number"), F.lit(None).cast("long").alias("row_number"), *_KEYS, "given", F.array().cast("array<string>").alias("errors"))
-    rows = with_keys(checked).join(F.broadcast(top)).select(F.lit(True).alias("incoming"), (F.col("top") + F.col("row_number")).alias("number"), F.col("row_number").cast("long").alias("row_number"), *_KEYS, "given", "errors")
-    all_rows = settle(known.unionByName(rows).withColumn("row", F.concat(F.when(F.col("incoming"), "r").otherwise("e"), F.col("number").cast("string"))), "rows")
-    keys = F.explode(F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k))) for k in _KEYS))))
-    pairs = all_rows.select("incoming", "row", keys.alias("key"))
-    parts = groups(pairs.select("row", "key"))
-    placed = all_rows.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
-    wanted = placed.where("incoming").select("part").distinct()
-    done = placed.join(wanted, "part", "left_semi").groupBy("part").applyInPandas(_replay, "row_number long, outcome string, contact_id long, matched_by string, reason string, written map<string,string>")
+    has = {"has_url": F.get("given", F.lit(FIELDS.index("linkedin_url"))).isNotNull(), "has_email": F.get("given", F.lit(FIELDS.index("email"))).isNotNull()}
+    known = settle(with_keys(_given(existing)).withColumns(has).join(F.broadcast(top)).select("id", F.col("top").alias("birth"), *_KEYS, *has, "given"), "known")
+    rows = with_keys(checked).join(F.broadcast(top)).select((F.col("top") + F.col("row_number") + 1).alias("number"), F.col("row_number").cast("long").alias("row_number"), *_KEYS, "given", "errors")
+    rows = settle(rows.withColumns(has).withColumns({"faulty": F.size("errors") > 0}), "rows")
+    # Contacts that no row shares a key with stay out.
+    keys = lambda df: F.explode(F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k))) for k in _KEYS)))).alias("key")
+    near = known.select("id", keys(known)).join(rows.select(keys(rows)).distinct(), "key", "left_semi").select("id").distinct()
+    near = settle(known.drop("given").join(near, "id", "left_semi"), "near")
+    state = _matched(near, rows.drop("given", "errors", "row_number"))
+    matched = rows.join(state.select("number", "way", "target"), "number")
+    # A match by name alone never writes identity, nor can it fail for it.
+    faults = F.filter("errors", lambda e: (F.coalesce(F.col("way"), F.lit("")) != "name") | ~F.substring_index(e, ":", 1).isin(*IDENTITY))
+    entries = F.filter(F.transform(F.arrays_zip(F.array(*map(F.lit, FIELDS)).alias("field"), "given"), lambda x: F.struct(x["field"].alias("field"), x["given"].alias("value"))), lambda x: x["value"].isNotNull())
+    matched = matched.select("number", "row_number", "name_key", "way", "target", F.array_join(faults, "; ").alias("faults"), entries.alias("fields"))
+    withheld = F.exists("fields", lambda x: x["field"].isin(*IDENTITY)) & (F.col("way") == "name")
+    kept = F.filter("fields", lambda x: (F.coalesce(F.col("way"), F.lit("")) != "name") | ~x["field"].isin(*IDENTITY))
+    outcome = F.when(F.col("name_key").isNull(), "skipped").when(F.col("faults") != "", "error").when(F.col("way").isNull(), "created").otherwise("matched")
+    matched = settle(matched.select("number", "row_number", "way", "faults", outcome.alias("outcome"), F.when(outcome == "created", F.col("number")).otherwise(F.col("target")).alias("target"), kept.alias("fields"), withheld.alias("withheld")), "matched")
+    # The first row that gives a field which its contact lacks writes it.
+    offers = matched.where("outcome = 'matched'").select("number", "target", F.inline("fields"))
+    first = offers.groupBy("target", "field").agg(F.min(F.struct("number", "value")).alias("first"))
+    names = F.array(*map(F.lit, FIELDS))
+    held = known.select(F.col("id").alias("target"), F.explode(F.filter(F.transform("given", lambda x, k: F.when(x.isNotNull(), F.get(names, k))), lambda x: x.isNotNull())).alias("field"))
+    held = held.unionByName(matched.where("outcome = 'created'").select("target", F.explode(F.transform("fields", lambda x: x["field"])).alias("field")))
+    wins = first.join(held, ["target", "field"], "left_anti").select(F.col("first.number").alias("number"), F.struct("field", F.col("first.value").alias("value")).alias("entry"))
+    wins = wins.groupBy("number").agg(F.map_from_entries(F.collect_list("entry")).alias("filled"))  # at most all fields of a row
+    nothing = F.create_map().cast("map<string,string>")
+    written = F.when(F.col("outcome") == "created", F.map_from_entries("fields")).otherwise(F.coalesce("filled", nothing))
+    ended = F.when(F.col("outcome") != "matched", F.col("outcome")).when(F.col("filled").isNotNull(), "enriched").otherwise("skipped")
+    reason = F.when(F.col("outcome") == "error", F.col("faults")).when(F.col("outcome") == "skipped", "no name").when((F.col("outcome") == "matched") & F.col("filled").isNull(), F.when(F.col("withheld"), "identity withheld").otherwise("nothing new"))
+    done = matched.join(wins, "number", "left").select("row_number", ended.alias("outcome"), F.col("target").alias("contact_id"), F.col("way").alias("matched_by"), reason.alias("reason"), F.when(F.col("outcome").isin("error", "skipped"), nothing).otherwise(written).alias("written"))
     # Final ids: created rows counted in row order; those of later matches follow their creator.
     done = settle(done, "outcomes")
     made = numbered(done.where("outcome = 'created'").select("row_number", F.col("contact_id").alias("made")), ["row_number"], "place")
     renamed = made.join(F.broadcast(top)).select("made", (F.col("top") + F.col("place")).alias("final"))
+    drop(known, near, state)
     return done.join(renamed, F.col("contact_id") == F.col("made"), "left").select("row_number", "outcome", F.coalesce("final", "contact_id").alias("contact_id"), "matched_by", "reason", "written")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import dates as D
 from kinweave.functions import text as X
 from kinweave.operators import contacts as C
-from kinweave.operators import mapping, matching, mutations, resolve, search
+from kinweave.operators import mapping, matching, mutations, ranks, resolve, search
 from kinweave.operators.ranks import numbered
 from kinweave.plans import bindings
 from kinweave import api
@@ -249,6 +249,30 @@ def test_replay_of_long_chains(spark):
     assert {r.outcome: r["count"] for r in out.groupBy("outcome").count().collect()} == {"created": 2500, "skipped": 2500}
 
 
+def test_replay_of_one_name(spark):
+    """Every known contact and row has one name; many share e-mails, and contacts gain addresses by e-mail and e-mails by address."""
+    random = np.random.default_rng(8)
+    pick = lambda form, n, share: form.format(random.integers(n)) if random.random() < share else None
+    person = lambda: {"name": "Kim", "email": pick("m{}@x.org", 300, 0.5), "linkedin_url": pick("https://x.org/p/{}", 300, 0.5), "company": pick("C{}", 5, 0.5), "city": None}
+    known = [{"id": 2 * k + 1, **person(), "company": None} for k in range(300)]
+    rows = [{"row_number": k, **person()} for k in range(900)]
+    contacts = people(spark, known)
+    outcomes = resolve.replay(contacts, spark.createDataFrame([tuple(r.values()) for r in rows], "row_number long, name string, email string, linkedin_url string, company string, city string"))
+    wanted, after = in_turn(known, rows)
+    assert [(r.outcome, r.contact_id, r.matched_by) for r in outcomes.orderBy("row_number").collect()] == wanted
+    left = {r.id: r for r in resolve.applied(contacts, outcomes, "2025-01-01").collect()}
+    assert all((left[p["id"]][c] or None) == (p.get(c) or None) for p in after for c in ("email", "linkedin_url", "company"))
+
+
+def test_running_least_over_ranges(spark):
+    """One key fills several ranges; equal orders do not see each other."""
+    random = np.random.default_rng(9)
+    rows = [(None if random.random() < 0.05 else "hot" if random.random() < 0.8 else f"k{random.integers(4)}", int(random.integers(200)), int(random.integers(50)) if random.random() < 0.6 else None, k) for k in range(600)]
+    got = ranks.running_least(spark.createDataFrame(rows, "key string, o int, v int, id int").repartition(7), "key", "o", "v")
+    for r in got.collect():
+        assert r.least == min((v for key, o, v, _ in rows if key == r.key and o < r.o and v is not None), default=None)
+
+
 def test_repeated_patches_and_guards(spark):
     contacts = people(spark, [{"id": 1, "name": "A", "status": "imported"}, {"id": 2, "name": "B"}])
     patches = spark.sql("select 1L id, named_struct('value', 'X') city, 1 seq union all select 1L, named_struct('value', 'Y'), 2")
