@@ -38,7 +38,7 @@ def _row(spark: SparkSession, values: dict) -> DataFrame:
     if unknown:
         raise ValueError(f"no such field: {', '.join(sorted(unknown))}")
     row = spark.createDataFrame([tuple(values.get(f) for f in values)], ", ".join(f"`{f}` {CONTACTS[f].dataType.simpleString()}" for f in values))
-    return row.withColumn("birthday", parse_birthday(F.col("birthday"))) if values.get("birthday") else row
+    return row.withColumn("birthday", F.coalesce(parse_birthday(F.col("birthday")), F.col("birthday"))) if values.get("birthday") else row
 
 
 def _checked(row: DataFrame, named: bool) -> DataFrame:

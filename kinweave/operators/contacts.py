@@ -23,7 +23,8 @@ def with_open_count(contacts: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def filtered(contacts: DataFrame, needs: DataFrame, contact_tags: DataFrame, tags: DataFrame, *, status: str | None = None, stage: str | None = None, role: str | None = None, city: str | None = None, tag: str | None = None, has_open_needs: bool | None = None) -> DataFrame:
-    """Conjunction of what is given; without a status, archived contacts are hidden. A tag that normalises to nothing matches nobody."""
+    """Conjunction of what is given; without a status, archived contacts are hidden. A tag that normalises to nothing matches nobody. Contacts that
+    have their open_needs_count already are not joined with needs for it."""
     out = contacts.where(F.col("status") == status if status else F.col("status") != "archived")
     if stage:
         out = out.where(F.col("stage") == stage)
@@ -34,7 +35,9 @@ def filtered(contacts: DataFrame, needs: DataFrame, contact_tags: DataFrame, tag
     if tag is not None:
         holders = contact_tags.join(tags.where(F.col("name") == X.tag_name(F.lit(tag))).where("name <> ''"), contact_tags.tag_id == tags.id, "left_semi")
         out = out.join(holders.select(F.col("contact_id").alias("id")), "id", "left_semi")
-    if has_open_needs is not None:
+    if has_open_needs and "open_needs_count" in out.columns:
+        out = out.where("open_needs_count > 0")  # the counts say it: needs are read once
+    elif has_open_needs is not None:
         out = out.join(open_items(needs).select(F.col("contact_id").alias("id")), "id", "left_semi" if has_open_needs else "left_anti")
     return out
 
@@ -140,15 +143,16 @@ def by_url(contacts: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def by_email(contacts: DataFrame, emails: DataFrame) -> DataFrame:
-    """emails (email) with the id of the contact that has it, without case and white space; of several the smallest."""
-    known = contacts.select(X.email(F.col("email")).alias("_key"), "id").where(X.looks_like_email(F.col("_key"))).groupBy("_key").agg(F.min("id").alias("id"))
-    return emails.withColumn("_key", X.email(F.col("email"))).join(known, "_key", "left").drop("_key")
+    """emails (email) with the id of the contact that has it, but for white space around the asked one and the case of A to Z; of
+    several the smallest. An empty one finds nobody."""
+    known = contacts.select(X.nocase(F.col("email")).alias("_key"), "id").where("_key <> ''").groupBy("_key").agg(F.min("id").alias("id"))
+    return emails.withColumn("_key", X.nocase(X.trim(F.col("email")))).join(known, "_key", "left").drop("_key")
 
 
 def connected(connections: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Each contact's connections with the other's name: in order of it, without case, then of the connection's id (position)."""
+    """Each contact's connections with the other's name, the latest first, then the greatest id (position)."""
     named = incident(connections).join(contacts.select(F.col("id").alias("other_id"), F.col("name").alias("other_name")), "other_id")
-    return numbered(named, [X.nocase(F.col("other_name")), "id"], "position", ["contact_id"])
+    return numbered(named, [F.desc("created_at"), F.desc("id")], "position", ["contact_id"])
 
 
 def tags_left(tags: DataFrame, contact_tags: DataFrame, contact_id: int, prefix: str = "") -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -69,40 +69,39 @@ def problems(mapping: dict[str, str]) -> dict[str, object]:
     return {"twice": sorted(f for f, n in used.items() if n > 1), "no_name": not {"name", "first_name", "last_name"} & used.keys(), "name_overrides": "name" in used and bool({"first_name", "last_name"} & used.keys()), "ignored": sum(f == "ignore" for f in mapping.values())}
 
 
+#: Why a value was dropped, by field.
+REASONS = {"email": "not an e-mail address", "created_at": "unreadable day"}
+
+
 def map_rows(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """The mapped fields and ``dropped`` array<struct<field, value, reason>>, as one projection over the scan.
+    """The mapped fields and ``dropped`` array<struct<field, value, reason>>, as projections over the scan.
 
-    Of several columns for a field the first with a value counts; empty becomes null. An e-mail without form is nulled
+    Of several columns for a field the first with a value counts; empty becomes null. Cells are cleaned, but a line break within one
+    stays; only names become one line. An e-mail keeps its spelling, for it is folded where it is compared; one without form is nulled
     and an unreadable connection day left out, both reported; an unreadable birthday is nulled silently.
     """
-    def value(field: str) -> Column:
-        return F.coalesce(*(X.nullable(F.col(f"`{h}`")) for h, f in mapping.items() if f == field), F.lit(None).cast("string"))
-
-    fields = [f for f in dict.fromkeys(mapping.values()) if f not in ("ignore", "name", "first_name", "last_name")]
-    out = {"name": X.compose_name(value("name"), value("first_name"), value("last_name"))}
+    fields = [f for f in dict.fromkeys(mapping.values()) if f != "ignore"]
+    kept = [c for c in ("row_number",) if c in rows.columns]
+    # Each value, and then what is made of it, is a column of its own, so that rules are not written out for every use.
+    value = lambda field: F.coalesce(*(X.nullable(F.col(f"`{h}`")) for h, f in mapping.items() if f == field), F.lit(None).cast("string"))
+    values = rows.select(*kept, *(value(f).alias(f"v_{f}") for f in fields))
+    made = {"email": X.looks_like_email(X.email(F.col("v_email"))), "created_at": D.parse_day(F.col("v_created_at"))}
+    values = values.withColumns({f"m_{f}": x for f, x in made.items() if f in fields})
+    given = lambda field: F.col(f"v_{field}") if field in fields else F.lit(None).cast("string")
+    out = {"name": X.compose_name(given("name"), given("first_name"), given("last_name"))}
     dropped = []
-
-    def report(field: str, bad: Column) -> None:
-        dropped.append(F.when(bad, F.struct(F.lit(field).alias("field"), value(field).alias("value"), F.lit("unreadable").alias("reason"))))
-
     for f in fields:
-        raw = value(f)
+        raw = given(f)
         if f == "email":
-            mail = X.email(raw)
-            out[f] = F.when(X.looks_like_email(mail), mail)
-            report(f, raw.isNotNull() & ~X.looks_like_email(mail))
+            out[f], bad = F.when(F.col("m_email"), raw), raw.isNotNull() & ~F.col("m_email")
         elif f == "created_at":
-            out[f] = D.parse_day(raw)
-            report(f, raw.isNotNull() & D.parse_day(raw).isNull())
-        elif f == "birthday":
-            out[f] = D.parse_birthday(raw)
-        elif f == "linkedin_url":
-            out[f] = X.canonical_url(raw)
-        else:
-            out[f] = X.collapse(raw)
-    kept = [c for c in ("row_number",) if c in rows.columns]
+            out[f], bad = F.col("m_created_at"), raw.isNotNull() & F.col("m_created_at").isNull()
+        elif f not in ("name", "first_name", "last_name"):
+            out[f] = D.parse_birthday(raw) if f == "birthday" else X.canonical_url(raw) if f == "linkedin_url" else raw
+        if f in made:
+            dropped.append(F.when(bad, F.struct(F.lit(f).alias("field"), raw.alias("value"), F.lit(REASONS[f]).alias("reason"))))
     empty = F.array().cast("array<struct<field:string,value:string,reason:string>>")
-    return rows.select(*kept, *(c.alias(f) for f, c in out.items()), (F.array_compact(F.array(*dropped)) if dropped else empty).alias("dropped"))
+    return values.select(*kept, *(c.alias(f) for f, c in out.items()), (F.array_compact(F.array(*dropped)) if dropped else empty).alias("dropped"))
 
 
 def dropped_histogram(mapped: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import settle
 from . import contacts as C
 from . import search as S
 
@@ -88,7 +89,7 @@ def find_matches(contacts: DataFrame, needs: DataFrame, offers: DataFrame, conta
         need_terms, offer_terms = map(extract_terms, joined)
         own_tags = [r.name for r in contact_tags.where(mine).join(tags.withColumnRenamed("id", "tag_id"), "tag_id").select("name").orderBy("name").collect()]
     for_offers, for_needs = list(dict.fromkeys(need_terms + query_terms)), list(dict.fromkeys(offer_terms + query_terms))
-    tag_terms = list(dict.fromkeys([*need_terms, *offer_terms, *query_terms, *map(S.fold, own_tags)]))
+    tag_terms = list(dict.fromkeys([*map(S.fold, own_tags), *query_terms]))
     active = contacts.where("status = 'active'").select("id", "name", "company", "title", "how_we_met")
     corpus = S.indexed_text(contacts, needs, offers)
     columns = ["name", "company", "title", "how_we_met", "needs_text", "offers_text"]
@@ -98,7 +99,7 @@ def find_matches(contacts: DataFrame, needs: DataFrame, offers: DataFrame, conta
     for terms, allowed in ((for_offers, ["offers_text"]), (for_needs, ["needs_text"]), (query_terms, ["company", "title", "how_we_met"])):
         if terms:
             ranks = S.ranked(corpus, [[t] for t in terms], columns, allowed, any_of=True)
-            found = found.unionByName(ranks.join(active.select("id"), "id").orderBy("rank", "id").limit(POOL))
+            found = found.unionByName(ranks.join(active.select("id"), "id").withColumn("rank", F.round("rank", 9)).orderBy("rank", "id").limit(POOL))
     best = found.groupBy("id").agg(F.min("rank").alias("rank"))
     if contact_id is not None:
         best = best.where(F.col("id") != contact_id)
@@ -114,7 +115,7 @@ def find_matches(contacts: DataFrame, needs: DataFrame, offers: DataFrame, conta
     proof = proof.unionByName(evidence(tag_rows.withColumnRenamed("contact_id", "id"), 2, F.lit("tag"), "tag", X.nocase(F.col("tag")), F.col("hits")))
     for k, c in enumerate(("company", "title", "how_we_met")):
         if query_terms:
-            proof = proof.unionByName(evidence(active, 3 + k, F.lit(c), c, F.lit(""), text_hits(F.col(c), query_terms)))
+            proof = proof.unionByName(evidence(active, 3 + k, F.lit("profile"), c, F.lit(""), text_hits(F.col(c), query_terms)))
     order = W.partitionBy("id").orderBy("side", "ord", "at")
     kept = proof.join(best.select("id"), "id", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_EVIDENCE)
     listed = kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "kind", "text", "term"))), lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["term"].alias("term"))).alias("matched_on"))
@@ -122,6 +123,103 @@ def find_matches(contacts: DataFrame, needs: DataFrame, offers: DataFrame, conta
     return top.withColumn("place", F.row_number().over(W.orderBy("rank", X.norm_text(F.col("name")), "id"))).select("place", "id", "name", "matched_on")
 
 
+def _first_terms(items: DataFrame, side: int) -> DataFrame:
+    """source_id, side, term, ord: the first usable terms of each contact's open items, in their order. side: where candidates must
+    have them. No contact's items are put together: each term's first place is a minimum."""
+    words = C.open_items(items).select(F.col("contact_id").alias("source_id"), F.struct("created_at", "id").alias("item"), F.posexplode(X.tokens(F.col("text"))).alias("pos", "term"))
+    usable = words.where((F.char_length("term") >= PREFIX_LENGTH) & ~F.col("term").isin(*sorted(STOP_WORDS)))
+    first = usable.groupBy("source_id", "term").agg(F.min(F.struct("item.created_at", "item.id", "pos")).alias("at"))
+    ord_ = F.row_number().over(W.partitionBy("source_id").orderBy("at"))
+    return first.withColumn("ord", ord_).where(F.col("ord") <= MAX_TERMS).select("source_id", F.lit(side).alias("side"), "term", "ord")
+
+
+def _reached(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(side, token, term) for the distinct tokens of words (side, token) and the asked terms (side, term) that begin them."""
+    begins = F.transform(F.sequence(F.lit(PREFIX_LENGTH), F.char_length("token")), lambda n: F.substring(F.col("token"), F.lit(1), n))
+    vocabulary = words.select("side", "token").where(F.char_length("token") >= PREFIX_LENGTH).distinct()
+    return vocabulary.select("side", "token", F.explode(begins).alias("term")).join(asked, ["side", "term"], "left_semi")
+
+
+#: Holders of a tag that can be among a source's results: behind all of both pools, the results before them and the source itself.
+_HOLDERS = 2 * POOL + MAX_RESULTS + 1
+
+
+def match_all(contacts: DataFrame, needs: DataFrame, offers: DataFrame, contact_tags: DataFrame, tags: DataFrame, sources: DataFrame | None = None, limit: int = MAX_RESULTS) -> DataFrame:
+    """source_id, place, id, name, matched_on: what ``find_matches`` gives for each contact (or each id of sources), in one plan.
+
+    Terms of open needs meet the candidates' offers and the other way round; own tags meet tags. Sources with the same set of terms
+    share a pool, so its ranks are summed once. A term's hits in a candidate are kept up to its first twelve items, more than which
+    no evidence can name; of a tag's holders as many as could still be among the results behind both pools. So neither a contact with
+    very many items nor a tag that a third of all contacts have is gathered in one task.
+    """
+    ids = contacts.select(F.col("id").alias("source_id")) if sources is None else sources.select(F.col("id").alias("source_id")).distinct()
+    active = contacts.where("status = 'active'").select("id", "name", X.norm_text(F.col("name")).alias("folded"))
+    terms = _first_terms(needs, 0).unionByName(_first_terms(offers, 1)).join(ids, "source_id", "left_semi")
+    by_order, by_set = F.array_sort(F.collect_list(F.struct("ord", "term"))), F.array_sort(F.collect_list("term"))  # 24 at most
+    lists = terms.groupBy("source_id", "side").agg(F.transform(by_order, lambda x: x["term"]).alias("list"), by_set.alias("set"))
+    lists = settle(lists.select("source_id", "side", F.array_join("list", " ").alias("list"), F.array_join("set", " ").alias("set")), "lists")
+    cut = lambda name: F.posexplode(F.split(name, " ")).alias("ord", "term")
+    in_sets, in_lists = lists.select("side", "set").distinct().select("side", "set", cut("set")), lists.select("side", "list").distinct().select("side", "list", cut("list"))
+    asked = in_lists.select("side", "term").distinct()
+    # Words of both sides, and each contact's length over all indexed columns.
+    both = offers.select(F.lit(0).alias("side"), "*").unionByName(needs.select(F.lit(1).alias("side"), "*"))
+    words = settle(both.select("side", "contact_id", "id", "created_at", "resolved_at", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("side", "contact_id", "id", "created_at", "resolved_at", "token").agg(F.count("*").alias("f")), "words")
+    profile = contacts.select("id", sum(F.size(X.tokens(F.col(c))) for c in ("name", "company", "title", "how_we_met")).alias("n"))
+    sizes = profile.unionByName(words.select(F.col("contact_id").alias("id"), F.col("f").alias("n"))).groupBy("id").agg(F.sum("n").alias("len")).join(contacts.select("id"), "id", "left_semi")
+    stats = sizes.agg(F.count("*").alias("rows"), F.avg("len").alias("mean"))
+    reach = settle(_reached(words, asked), "reach")
+    hits = words.join(reach, ["side", "token"]).groupBy("side", "term", F.col("contact_id").alias("id")).agg(F.sum("f").alias("f")).join(contacts.select("id"), "id", "left_semi")
+    hits = settle(hits, "hits")
+    idf = hits.groupBy("side", "term").agg(F.count("*").alias("n")).join(F.broadcast(stats)).select("side", "term", "mean", F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))
+    weighed = hits.join(active.select("id"), "id", "left_semi").join(sizes, "id").join(idf, ["side", "term"]).selectExpr("side", "term", "id", "if(raw > 0, raw, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) w")
+    scored = in_sets.join(weighed, ["side", "term"]).groupBy("side", "set", "id").agg(F.round(-F.sum("w"), 9).alias("rank"))
+    place = F.row_number().over(W.partitionBy("side", "set").orderBy("rank", "id"))
+    pools = scored.withColumn("n", place).where(F.col("n") <= POOL).select("side", "set", "id", "rank")
+    ranked = lists.join(pools, ["side", "set"]).select("source_id", "id", "rank")
+    # Tags: a tag's own name as a term, and the tags that it reaches.
+    named = tags.select(F.col("id").alias("tag_id"), "name", X.norm_text(F.col("name")).alias("folded"))
+    worded = named.where(F.size(X.tokens(F.col("name"))) > 0)
+    short = (F.char_length("folded") < PREFIX_LENGTH) | F.col("folded").isin(*sorted(STOP_WORDS))
+    begins = F.transform(F.sequence(F.lit(1), F.char_length("folded")), lambda n: F.substring(F.col("folded"), F.lit(1), n))
+    reached = worded.select(F.col("tag_id").alias("to_id"), F.col("name").alias("tag"), F.col("folded").alias("whole"), F.explode(begins).alias("folded"))
+    meets = named.join(reached, "folded").where((F.col("folded") == F.col("whole")) | ~short).select(F.col("tag_id"), F.col("folded").alias("term"), F.col("name").alias("own"), "to_id", "tag")
+    own = contact_tags.select("contact_id", "tag_id").distinct()
+    sets = own.join(ids.withColumnRenamed("source_id", "contact_id"), "contact_id", "left_semi").groupBy(F.col("contact_id").alias("source_id")).agg(F.array_join(F.array_sort(F.collect_list("tag_id")), " ").alias("tag_set"))
+    sets = settle(sets, "tags")
+    in_tags = sets.select("tag_set").distinct().select("tag_set", F.explode(F.split("tag_set", " ").cast("array<long>")).alias("tag_id"))
+    to = settle(in_tags.join(meets, "tag_id").select("tag_set", "to_id", "tag", "term", "own"), "meets")
+    holders = own.select(F.col("contact_id").alias("id"), F.col("tag_id").alias("to_id")).join(active, "id")
+    first = F.row_number().over(W.partitionBy("to_id").orderBy("folded", "id"))
+    holders = holders.withColumn("n", first).where(F.col("n") <= _HOLDERS).drop("n")
+    tagged = to.select("tag_set", "to_id").distinct().join(holders, "to_id").select("tag_set", "id", "folded").distinct()
+    tagged = tagged.withColumn("n", F.row_number().over(W.partitionBy("tag_set").orderBy("folded", "id"))).where(F.col("n") <= _HOLDERS)
+    by_tag = sets.join(tagged, "tag_set").select("source_id", "id", F.lit(float("inf")).alias("rank"))
+    pairs = settle(ranked.unionByName(by_tag).where("source_id <> id").groupBy("source_id", "id").agg(F.min("rank").alias("rank")), "pairs")
+    # Evidence among open items: the first twelve of a term and a candidate are more than any list can name.
+    opened = words.where("resolved_at is null").join(reach, ["side", "token"]).select("side", "term", F.col("contact_id").alias("id"), "created_at", F.col("id").alias("item")).distinct()
+    nth = F.row_number().over(W.partitionBy("side", "term", "id").orderBy("created_at", "item"))
+    opened = settle(opened.withColumn("n", nth).where(F.col("n") <= MAX_EVIDENCE).drop("n"), "opened")
+
+    def proofs(pairs: DataFrame) -> DataFrame:
+        """source_id, id, side, o (order within a side), at, term, item or tag, of the pairs (source_id, id)."""
+        items = pairs.join(lists.select("source_id", "side", "list"), "source_id")
+        items = items.join(in_lists, ["side", "list"]).join(opened, ["side", "term", "id"])
+        items = items.select("source_id", "id", "side", F.concat_ws("|", "created_at", F.lpad(F.col("item").cast("string"), 20, "0")).alias("o"), F.col("ord").cast("string").alias("at"), "term", "item", F.lit(None).cast("string").alias("tag"))
+        tag = pairs.join(sets, "source_id").join(own.select(F.col("contact_id").alias("id"), F.col("tag_id").alias("to_id")), "id").join(to, ["tag_set", "to_id"])
+        return items.unionByName(tag.select("source_id", "id", F.lit(2).alias("side"), X.nocase(F.col("tag")).alias("o"), F.col("own").alias("at"), "term", F.lit(None).cast("long").alias("item"), "tag"))
+
+    # The best that have any; then these few get their evidence.
+    shown = pairs.join(proofs(pairs.select("source_id", "id")).select("source_id", "id").distinct(), ["source_id", "id"], "left_semi").join(active, "id")
+    best = F.row_number().over(W.partitionBy("source_id").orderBy("rank", "folded", "id"))
+    shown = settle(shown.withColumn("place", best).where(F.col("place") <= min(limit, MAX_RESULTS)).select("source_id", "place", "id", "name"), "shown")
+    order = W.partitionBy("source_id", "id").orderBy("side", "o", F.when(F.col("side") < 2, F.lpad("at", 4, "0")).otherwise(F.col("at")), "term")
+    kept = proofs(shown.select("source_id", "id")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_EVIDENCE)
+    kept = kept.join(both.select("side", F.col("id").alias("item"), F.col("contact_id").alias("id"), "text"), ["side", "item", "id"], "left")
+    kind = F.element_at(F.array(*map(F.lit, ("offer", "need", "tag"))), F.col("side") + 1)
+    listed = kept.groupBy("source_id", "id").agg(F.array_sort(F.collect_list(F.struct("n", kind.alias("kind"), F.coalesce("tag", "text").alias("text"), "term"))).alias("rows"))
+    return shown.join(listed, ["source_id", "id"]).select("source_id", "place", "id", "name", F.transform("rows", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["term"].alias("term"))).alias("matched_on"))
+
+
 def match_batch(sources: DataFrame, corpus: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
     """source_id, id, rank, place, n_terms, first_term for each source's best candidates.
 

@@ -86,7 +86,7 @@ _OPEN = "(select count(*) from needs n where n.contact_id = c.id and n.resolved_
     where status = 'active' and exists (select 1 from needs n where n.contact_id = c.id and n.resolved_at is null)""")
 def q_list_open_counts(spark, sf_dir):
     contacts, needs = network(spark, sf_dir, "contacts", "needs")
-    return C.with_open_count(C.filtered(contacts, needs, None, None, status="active", has_open_needs=True), needs).select("id", "name", "city", "open_needs_count")
+    return C.filtered(C.with_open_count(contacts, needs), needs, None, None, status="active", has_open_needs=True).select("id", "name", "city", "open_needs_count")
 
 
 @_query(f"""{_with("contacts")} select id, name, count(*) over ()::bigint as total_matches, row_number() over (order by name, id)::int as position
@@ -150,12 +150,6 @@ def q_oldest_open(spark, sf_dir):
     return C.oldest_open(*network(spark, sf_dir, "needs"))
 
 
-@_query(f"{_with('contacts')} select v.status, count(c.id)::bigint as n from (values ('imported'), ('active'), ('archived')) v(status) left join contacts c on c.status = v.status and c.id % 2 = 3 group by 1")
-def q_count_by_status_zero_filled(spark, sf_dir):
-    (contacts,) = network(spark, sf_dir, "contacts")
-    return C.counts_by(contacts.where("id % 2 = 3"), "status")
-
-
 @_query(f"{_with('contacts')} select v.status, count(c.id)::bigint as n from (values ('imported'), ('active'), ('archived')) v(status) left join contacts c on c.status = v.status group by 1")
 def q_count_by_status(spark, sf_dir):
     (contacts,) = network(spark, sf_dir, "contacts")
@@ -204,11 +198,15 @@ def q_connections_incident(spark, sf_dir):
     return both.groupBy("contact_id").agg(F.count("*").alias("n"), F.countDistinct("other_id").alias("others"))
 
 
-@_query("""select contact_a_id, contact_b_id, max(note) as note from (select least(o_custkey, o_orderkey % 1000) as contact_a_id, greatest(o_custkey, o_orderkey % 1000) as contact_b_id, o_orderpriority as note
-    from orders where o_custkey <> o_orderkey % 1000) group by 1, 2""")
+@_query(f"""{_with("connections")}, known as (select min(id) as id, contact_a_id, contact_b_id, min(note) as note, '2024-01-01' as created_at from connections group by all),
+    pairs as (select least(o_custkey, o_orderkey % 1000) as contact_a_id, greatest(o_custkey, o_orderkey % 1000) as contact_b_id, max(o_orderpriority) as note from orders where o_custkey <> o_orderkey % 1000 group by 1, 2)
+    select contact_a_id, contact_b_id, coalesce(p.note, k.note) as note, coalesce(k.created_at, '2025-01-01') as created_at from known k full join pairs p using (contact_a_id, contact_b_id)""")
 def q_connection_normalise(spark, sf_dir):
+    """Pairs in either order over known connections: a known one takes over the greatest new note, others are made."""
+    (known,) = network(spark, sf_dir, "connections")
+    known = known.groupBy("contact_a_id", "contact_b_id").agg(F.min("id").alias("id"), F.min("note").alias("note"), F.min("created_at").alias("created_at")).select("id", "contact_a_id", "contact_b_id", "note", "created_at")
     pairs = _table(spark, sf_dir, "orders").selectExpr("o_custkey a", "o_orderkey % 1000 b", "o_orderpriority note").where("a <> b")
-    return pairs.select(F.least("a", "b").alias("contact_a_id"), F.greatest("a", "b").alias("contact_b_id"), "note").groupBy("contact_a_id", "contact_b_id").agg(F.max("note").alias("note"))
+    return mutations.connect(known, pairs, "2025-01-01").select("contact_a_id", "contact_b_id", "note", "created_at")
 
 
 _TOKENS = r"""docs as (select doc_id as id, lang, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') as t from documents)"""
@@ -286,6 +284,37 @@ def q_match_one(spark, sf_dir):
     return matching.find_matches(*network(spark, sf_dir, "contacts", "needs", "offers", "contact_tags", "tags"), contact_id=7, query="urgent fair").select("place", "id", "name", F.to_json("matched_on").alias("matched_on"))
 
 
+_LISTED = r"list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_PAIRED = f"""{_with("contacts", "needs", "offers", "tags", "contact_tags")},
+    items as (select 0 as side, *, {_LISTED.format("text")} as t from offers union all select 1, *, {_LISTED.format("text")} from needs),
+    firsts as (select contact_id as source_id, 1 - side as side, term, min((created_at, id, pos)) as spot from (select *, unnest(t) as term, generate_subscripts(t, 1) as pos from items where resolved_at is null)
+      where len(term) >= 3 and term not in ({_STOPS}) group by all),
+    terms as (select source_id, side, term, ord from (select *, row_number() over (partition by source_id, side order by spot) as ord from firsts) where ord <= 24),
+    lens as (select c.id, c.status, c.name, len({_LISTED.format("concat_ws(' ', c.name, c.company, c.title, c.how_we_met)")}) + coalesce((select sum(len(t)) from items i where i.contact_id = c.id), 0) as l from contacts c),
+    s as (select count(*) as n, avg(l) as m from lens),
+    posts as (select side, contact_id as id, token, count(*) as f from (select side, contact_id, unnest(t) as token from items) group by all),
+    hits as (select p.side, a.term, p.id, sum(f) as f from posts p join (select distinct side, term from terms) a on a.side = p.side and starts_with(p.token, a.term) join contacts c on c.id = p.id group by all),
+    idf as (select side, term, case when ln((n - k + 0.5) / (k + 0.5)) > 0 then ln((n - k + 0.5) / (k + 0.5)) else 1e-6 end as idf, m from (select side, term, count(*) as k from hits group by all), s),
+    scored as (select t.source_id, t.side, h.id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / m))), 9) as rank from terms t join hits h using (side, term) join idf using (side, term) join lens on lens.id = h.id
+      where status = 'active' group by all),
+    pools as (select source_id, id, rank from (select *, row_number() over (partition by source_id, side order by rank, id) as k from scored) where k <= 200),
+    tag_pairs as (select own.contact_id as source_id, l.contact_id as id, t.name as tag, o.name as term from contact_tags own join tags o on o.id = own.tag_id join tags t on t.name = o.name or (len(o.name) >= 3 and o.name not in ({_STOPS}) and starts_with(t.name, o.name))
+      join contact_tags l on l.tag_id = t.id),
+    best as (select source_id, id, min(rank) as rank from (select * from pools union all select distinct source_id, tp.id, 'infinity'::double from tag_pairs tp join contacts c on c.id = tp.id where c.status = 'active') where source_id <> id group by all),
+    proof as (select b.source_id, b.id, i.side, i.created_at || '|' || lpad(i.id::varchar, 20, '0') as o, lpad(t.ord::varchar, 4, '0') as spot, case i.side when 0 then 'offer' else 'need' end as kind, i.text, t.term
+        from best b join terms t on t.source_id = b.source_id join items i on i.contact_id = b.id and i.side = t.side and i.resolved_at is null and len(list_filter(i.t, lambda w: starts_with(w, t.term))) > 0
+      union all select b.source_id, b.id, 2, tag, term, 'tag', tag, term from best b join tag_pairs p on p.source_id = b.source_id and p.id = b.id),
+    placed as (select *, row_number() over (partition by source_id order by rank, lower(name), id) as place from (select b.*, c.name from best b join contacts c on c.id = b.id where exists (select 1 from proof p where p.source_id = b.source_id and p.id = b.id))),
+    shown as (select p.*, row_number() over (partition by source_id, id order by side, o, spot, term) as k from proof p)
+    select source_id, place::int as place, id, any_value(name) as name, string_agg(kind || ':' || text || ':' || term, '|' order by k) as matched_on from placed join shown using (source_id, id) where place <= 10 and k <= 12 group by all"""
+
+
+@_query(_PAIRED)
+def q_match_all(spark, sf_dir):
+    found = matching.match_all(*network(spark, sf_dir, "contacts", "needs", "offers", "contact_tags", "tags"))
+    return found.withColumn("matched_on", F.array_join(F.transform("matched_on", lambda e: F.concat_ws(":", e["kind"], e["text"], e["term"])), "|"))
+
+
 @_query(f"{_with('tags')}, terms(term) as (values ('1-urgent'), ('2-h'), ('lo'), ('3-')) select name, string_agg(term, ',' order by term) as hits from tags join terms on name = term or (len(term) >= 3 and starts_with(name, term)) group by name")
 def q_tag_term_match(spark, sf_dir):
     (tags,) = network(spark, sf_dir, "tags")
@@ -326,7 +355,10 @@ def q_relative(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", age["unit"].alias("unit"), age["n"].alias("n"))
 
 
-@_query("""select p_partkey, p_partkey % 3 = 0 as header from part""")
+@_query(r"""with cells as (select p_partkey, case p_partkey % 3 when 0 then ['First Column', p_name, ''] when 1 then [p_name, '12.5'] else [p_name, null] end as c from part),
+    filled as (select p_partkey, list_filter(list_transform(c, lambda x: trim(coalesce(x, ''))), lambda x: x <> '') as f from cells)
+    select p_partkey, len(f) >= 2 and len(list_filter(f, lambda x: len(x) > 60 or regexp_full_match(x, '[+-]?[0-9]+([.,][0-9]+)?'))) = 0 and 2 * len(list_filter(f, lambda x: regexp_matches(x, '\p{L}'))) >= len(f)
+      and len(list_distinct(list_transform(f, lambda x: lower(x)))) >= 2 and 3 * len(list_distinct(list_transform(f, lambda x: lower(x)))) >= 2 * len(f) as header from filled""")
 def q_header_heuristic(spark, sf_dir):
     k, name = F.col("p_partkey") % 3, F.col("p_name")
     cells = F.when(k == 0, F.array(F.lit("First " + "Column"), name, F.lit(""))).when(k == 1, F.array(name, F.lit("12.5"))).otherwise(F.array(name, F.lit(None)))
@@ -340,43 +372,20 @@ def _foreign(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_number"), F.col("c_mktsegment").alias("Vorname"), F.col("c_name").alias("Nachname"), mail.alias("E-Mail"), day.alias("Connected On"))
 
 
-@_query("""select c_custkey as row_number, concat(c_mktsegment, ' ', c_name) as name, case when c_custkey % 4 <> 0 then lower(concat(c_name, '@example.org')) end as email,
+@_query("""select c_custkey as row_number, concat(c_mktsegment, ' ', c_name) as name, case when c_custkey % 4 <> 0 then concat(c_name, '@Example.ORG') end as email,
     case when c_custkey % 5 <> 0 then '2021-03-03' end as created_at, ((c_custkey % 4 = 0)::int + (c_custkey % 5 = 0)::int)::int as n_dropped from customer""")
 def q_map_row(spark, sf_dir):
     rows = _foreign(spark, sf_dir)
     return mapping.map_rows(rows, mapping.suggest(rows.columns[1:]).mapping).select("row_number", "name", "email", "created_at", F.size("dropped").alias("n_dropped"))
 
 
-@_query("""select field, 'unreadable' as reason, count(*)::bigint as n, min(value) as example from (select 'email' as field, 'n/a' as value from customer where c_custkey % 4 = 0
-    union all select 'created_at', '1/2/2024' from customer where c_custkey % 5 = 0) group by field""")
+@_query("""select field, reason, count(*)::bigint as n, min(value) as example from (select 'email' as field, 'not an e-mail address' as reason, 'n/a' as value from customer where c_custkey % 4 = 0
+    union all select 'created_at', 'unreadable day', '1/2/2024' from customer where c_custkey % 5 = 0) group by field, reason""")
 def q_dropped_histogram(spark, sf_dir):
     rows = _foreign(spark, sf_dir)
     return mapping.dropped_histogram(mapping.map_rows(rows, mapping.suggest(rows.columns[1:]).mapping))
 
 
-def _people(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Some customers as known contacts, some as incoming rows; _everyone has all."""
-    base = _table(spark, sf_dir, "customer")
-    site = F.concat(F.lit("example.org/p/"), F.col("c_custkey").cast("string"))
-    known = base.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Person "), F.col("c_nationkey").cast("string")).alias("name"), F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("@example.org"))).alias("email"), F.when(F.col("c_custkey") % 3 == 0, site).alias("linkedin_url"))
-    new = base.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("row_number"), F.concat(F.lit("PERSON-"), F.col("c_nationkey").cast("string")).alias("name"), F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit("@Example.org"))).alias("email"), F.when(F.col("c_custkey") % 6 == 0, F.concat(F.lit("http://"), site, F.lit("/"))).alias("linkedin_url"))
-    return known, new
-
-
-_PEOPLE = """known as (select c_custkey as id, concat('person ', c_nationkey) as name, case when c_custkey % 4 = 0 then lower(concat(c_name, '@example.org')) end as email, case when c_custkey % 3 = 0 then concat('p/', c_custkey) end as url from customer where c_custkey % 2 = 0),
-    new as (select c_custkey as row_number, concat('person ', c_nationkey) as name, case when c_custkey % 5 = 0 then lower(concat(c_name, '@example.org')) end as email, case when c_custkey % 6 = 0 then concat('p/', c_custkey) end as url from customer where c_custkey % 3 = 0)"""
-#: http and https addresses differ, so no address matches: those rows go on to e-mail and name.
-_MATCHED = f"""with {_PEOPLE}, m as (select n.row_number,
-      (select min(id) from known k where k.email = n.email) as by_email,
-      (select min(id) from known k where k.name = n.name and not coalesce(n.url is not null and k.url is not null, false) and not coalesce(k.email <> n.email, false)) as by_name from new n)
-    select row_number, coalesce(by_email, by_name) as contact_id, case when by_email is not null then 'email' when by_name is not null then 'name' end as matched_by from m"""
-
-
-@_query(_MATCHED)
-def q_dedupe_match(spark, sf_dir):
-    return resolve.match(*_people(spark, sf_dir)).select("row_number", "contact_id", "matched_by")
-
-
 def _everyone(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """All customers as known contacts; all customers (even numbers) and all suppliers (odd ones) as incoming rows. Of the
     customers' incoming addresses half have the known scheme and half another."""
@@ -419,17 +428,6 @@ def q_dedupe_replay(spark, sf_dir):
     return resolve.replay(*_everyone(spark, sf_dir))
 
 
-@_query(f"""with o as ({_MATCHED}) select count(*)::bigint as total, count(*) filter (contact_id is null)::bigint as created, 0::bigint as enriched, count(contact_id)::bigint as skipped, 0::bigint as errors, count(contact_id)::bigint as matched, 0 as exit_code from o""")
-def q_import_summary(spark, sf_dir):
-    found = resolve.match(*_people(spark, sf_dir))
-    return resolve.summary(found.withColumn("outcome", F.when(F.col("contact_id").isNull(), "created").otherwise("skipped")))
-
-
-@_query(f"""with o as ({_MATCHED}) select matched_by, count(*)::bigint as n, min(row_number) as first_row from o where matched_by is not null group by 1""")
-def q_matched_histogram(spark, sf_dir):
-    return resolve.histogram(resolve.match(*_people(spark, sf_dir)), "matched_by")
-
-
 @_query(f"""{_with("contacts")} select id, coalesce(nullif(company, ''), 'Acme') as company, coalesce(title, concat('T', id % 3)) as title, case when title is null or company is null then '2025-01-01' else updated_at end as updated_at,
     company is null or title is null as enriched from contacts where id % 2 = 0 union all select id, company, title, updated_at, false from contacts where id % 2 = 1""")
 def q_enrich(spark, sf_dir):
@@ -484,16 +482,24 @@ def q_rate_limit(spark, sf_dir):
     return rates.limited(hits, "user_id", "ts", "event_id", window=86_400).select("event_id", "user_id", "accepted")
 
 
-@_query("""select event_id, (props->>'$.k')::bigint as k, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' as json from events""")
+@_query("""select '{"event_id":' || event_id || ',"event_type":"' || event_type || '"' || coalesce(',"k":' || (props->>'$.k')::bigint, '') || '}' as json from events""")
 def q_json_props(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
     kind = T.StructType([T.StructField("k", T.LongType())])
-    return events.select("event_id", F.from_json("props", kind)["k"].alias("k"), F.to_json(F.struct("event_id", "event_type", F.lit(None).cast("string").alias("gone"))).alias("json"))
+    rows = _table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", kind)["k"].alias("k"), F.lit(None).cast("string").alias("gone"))
+    return C.compact_json(rows, "event_id", "event_type", "k", "gone")
+
+
+_FAULTY = """select c_custkey as id, case when c_custkey % 3 = 0 then ' ' when c_custkey % 5 = 0 then repeat(c_name, 12) else c_name end as name, case when c_custkey % 3 = 1 then 'x' else 'new' end as stage,
+    case when c_custkey % 7 = 0 then 'gone' else 'active' end as status, cast(c_custkey % 8 as int) as closeness, case c_custkey % 4 when 0 then '2023-02-30' when 1 then '2024-02-29' end as last_contact_at,
+    case c_custkey % 6 when 0 then '--02-29' when 1 then '1999-13-01' when 2 then '--04-31' when 3 then '2000-01-31' end as birthday, repeat('1', cast(c_custkey % 80 as int)) as phone from {customer}"""
 
 
-@_query("""select c_custkey as id, case when c_custkey % 3 = 0 then 'name: required' when c_custkey % 3 = 1 then 'stage: unknown value' else '' end as errors from customer""")
+@_query(f"""with rows as ({_FAULTY.replace("{customer}", "customer")}) select id, concat_ws(';', case when trim(name) = '' then 'name: required' end, case when len(name) > 200 then 'name: too long' end, case when len(phone) > 60 then 'phone: too long' end,
+    case when stage not in ('new', 'reached_out', 'in_touch', 'close', 'dormant') then 'stage: unknown value' end, case when status not in ('imported', 'active', 'archived') then 'status: unknown value' end,
+    case when last_contact_at is not null and try_cast(last_contact_at as date) is null then 'last_contact_at: not a day' end,
+    case when birthday is not null and try_cast(replace(birthday, '--', '2000-') as date) is null then 'birthday: not a day' end, case when closeness not between 1 and 5 then 'closeness: 1 to 5' end) as errors from rows""")
 def q_validate(spark, sf_dir):
-    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey id", "if(c_custkey % 3 = 0, ' ', c_name) name", "if(c_custkey % 3 = 1, 'x', 'new') stage", "'active' status")
+    rows = spark.sql(_FAULTY, customer=_table(spark, sf_dir, "customer"))
     return validate(rows).select("id", F.array_join("errors", ";").alias("errors"))
 
 
@@ -527,15 +533,17 @@ def q_fts_allowed(spark, sf_dir):
     return _rounded(search.ranked(rows, [["de"]], ["text", "lang"], allowed=["lang"]))
 
 
-@_query("""select c_custkey as row_number, c_custkey as id from customer union all select -s_suppkey, null from supplier""")
+@_query(f"""{_with("contacts")}, asked as (select c_custkey as row_number, ' ' || upper(c_name) || '@Example.ORG' as email from customer union all select -1 - s_suppkey, s_name || '@example.org' from supplier)
+    select row_number, min(c.id) as id from asked a left join contacts c on lower(c.email) = lower(trim(a.email)) group by row_number""")
 def q_lookup_email(spark, sf_dir):
     (contacts,) = network(spark, sf_dir, "contacts")
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_number"), F.concat(F.lit(" "), F.upper("c_name"), F.lit("@Example.ORG")).alias("email"))
-    suppliers = _table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("row_number"), F.concat("s_name", F.lit("@example.org")).alias("email"))
+    suppliers = _table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("row_number"), F.concat("s_name", F.lit("@example.org")).alias("email"))
     return C.by_email(contacts, customers.unionByName(suppliers)).select("row_number", "id")
 
 
-@_query("""select c_custkey as row_number, case when c_custkey % 3 > 0 then c_custkey end as id from customer""")
+@_query(f"""{_with("contacts")}, asked as (select c_custkey as row_number, (case c_custkey % 3 when 0 then 'http://example.org/p/' when 1 then 'HTTPS://Example.ORG/p/' else 'https://example.org/p/' end) || c_custkey || '/?from=mail' as url from customer)
+    select row_number, min(c.id) as id from asked a left join contacts c on lower(c.linkedin_url) = lower(regexp_replace(regexp_replace(a.url, '\\?.*$', ''), '/+$', '')) group by row_number""")
 def q_lookup_url(spark, sf_dir):
     (contacts,) = network(spark, sf_dir, "contacts")
     k = F.col("c_custkey")
@@ -543,19 +551,19 @@ def q_lookup_url(spark, sf_dir):
     return C.by_url(contacts, _table(spark, sf_dir, "customer").select(k.alias("row_number"), url.alias("url"))).select("row_number", "id")
 
 
-@_query(f"""{_with("contacts", "connections")}, both_ways as (select contact_a_id as contact_id, contact_b_id as other_id, id from connections union all select contact_b_id, contact_a_id, id from connections)
-    select b.contact_id, b.id, row_number() over (partition by b.contact_id order by lower(c.name), b.id)::bigint as position from both_ways b join contacts c on c.id = b.other_id""")
+@_query(f"""{_with("contacts", "connections")}, both_ways as (select contact_a_id as contact_id, contact_b_id as other_id, id, created_at from connections union all select contact_b_id, contact_a_id, id, created_at from connections)
+    select b.contact_id, b.id, row_number() over (partition by b.contact_id order by b.created_at desc, b.id desc)::bigint as position from both_ways b join contacts c on c.id = b.other_id""")
 def q_connections_ordered(spark, sf_dir):
     contacts, connections = network(spark, sf_dir, "contacts", "connections")
     return C.connected(connections, contacts).select("contact_id", "id", "position")
 
 
-@_query(f"""{_with("contacts")} select id, company, case when id % 2 = 0 then coalesce(title, 'T' || (id % 3)) else title end as title, case when id % 2 = 0 then '2025-01-01' else updated_at end as updated_at from contacts
+@_query(f"""{_with("contacts")} select id, coalesce(company, case when id % 6 > 0 then 'Other' end) as company, coalesce(title, 'T' || (id % 3)) as title, '2025-01-01' as updated_at from contacts
     union all select (select max(id) from contacts) + row_number() over (order by s_suppkey), 'Supplies', null, '2025-01-01' from supplier""")
 def q_import_applied(spark, sf_dir):
-    """Every second contact gets a title by its e-mail; suppliers are new, in row order."""
+    """Every contact gets a title by its e-mail; suppliers are new, in row order."""
     (contacts,) = network(spark, sf_dir, "contacts")
-    again = contacts.where("id % 2 = 0").select(F.col("id").alias("row_number"), "name", F.upper("email").alias("email"), F.concat(F.lit("T"), F.col("id") % 3).alias("title"), F.lit("Other").alias("company"))
+    again = contacts.select(F.col("id").alias("row_number"), "name", F.upper("email").alias("email"), F.concat(F.lit("T"), F.col("id") % 3).alias("title"), F.lit("Other").alias("company"))
     again = again.withColumn("company", F.when(F.col("row_number") % 6 > 0, F.col("company")))
     first = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("row_number"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("title"), F.lit("Supplies").alias("company"))
     outcomes = resolve.replay(contacts, again.unionByName(first))

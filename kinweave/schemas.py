@@ -59,11 +59,11 @@ def validate(contacts: DataFrame) -> DataFrame:
         if field in contacts.columns:
             checks.append(F.when(~F.col(field).isin(*allowed), F.lit(f"{field}: unknown value")))
     if "last_contact_at" in contacts.columns:
-        checks.append(F.when(~is_day(F.col("last_contact_at")), F.lit("last_contact_at: not a day")))
+        checks.append(F.when(F.col("last_contact_at").isNotNull() & ~is_day(F.col("last_contact_at")), F.lit("last_contact_at: not a day")))
     if "birthday" in contacts.columns:
         # Without a year any leap day is one.
         year = F.when(F.col("birthday").startswith("--"), F.concat(F.lit("2000-"), F.substring("birthday", 3, 5))).otherwise(F.col("birthday"))
-        checks.append(F.when(~F.coalesce(is_day(year), F.lit(True)), F.lit("birthday: not a day")))
+        checks.append(F.when(year.isNotNull() & ~is_day(year), F.lit("birthday: not a day")))
     if "closeness" in contacts.columns:
         checks.append(F.when(~F.col("closeness").between(1, 5), F.lit("closeness: 1 to 5")))
     return contacts.withColumn("errors", F.array_compact(F.array(*checks)))

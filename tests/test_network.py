@@ -16,7 +16,7 @@ from kinweave.operators import mapping, matching, mutations, ranks, resolve, sea
 from kinweave.operators.ranks import numbered
 from kinweave.plans import bindings
 from kinweave import api
-from kinweave.schemas import CONNECTIONS, CONTACT_TAGS, CONTACTS, ITEMS, NOTES, TAGS
+from kinweave.schemas import CONNECTIONS, CONTACT_TAGS, CONTACTS, ITEMS, NOTES, TAGS, validate
 from kinweave.sources import store, tabular
 from kinweave.streaming import imports, index, rates
 
@@ -72,6 +72,42 @@ def test_matches_need_open_items_and_evidence(spark):
         matching.find_matches(contacts, needs, offers, links, tags, query="  ")
 
 
+def test_matches_of_all_contacts_equal_those_of_each(spark):
+    """Random networks: repeated and resolved items, shared and nested tags, short and stop-word tags, candidates of every status."""
+    random = np.random.default_rng(11)
+    words = ["robot", "robotics", "seed", "seedling", "ai", "the", "fund", "funding", "Über", "uber", "x1y", "law"]
+    text = lambda: " ".join(random.choice(words, random.integers(1, 5)))
+    contacts = people(spark, [{"id": k, "name": f"N{k % 4}", "status": ["active", "active", "imported", "archived"][k % 4] if k > 3 else "active", "company": random.choice([None, "seed law"])} for k in range(1, 31)])
+    some = lambda: items(spark, [(k, int(random.integers(1, 31)), text(), f"2024-01-0{random.integers(1, 4)}", random.choice([None, None, "2024-02-01"])) for k in range(60)])
+    needs, offers = some(), some()
+    tags = spark.createDataFrame(list(enumerate(["ai", "a", "seed", "seed-fund", "the", "law", "--"])), TAGS)
+    links = spark.createDataFrame(list({(int(random.integers(1, 31)), int(random.integers(7))) for _ in range(40)}), CONTACT_TAGS)
+    got = {}
+    for r in matching.match_all(contacts, needs, offers, links, tags).orderBy("source_id", "place").collect():
+        got.setdefault(r.source_id, []).append((r.place, r.id, r.name, [tuple(e) for e in r.matched_on]))
+    for k in (1, 2, 3, 17, 30):
+        want = matching.find_matches(contacts, needs, offers, links, tags, contact_id=k).orderBy("place").collect()
+        assert got.get(k, []) == [(r.place, r.id, r.name, [tuple(e) for e in r.matched_on]) for r in want]
+    one = matching.match_all(contacts, needs, offers, links, tags, sources=spark.createDataFrame([(17,), (17,), (99,)], "id long"))
+    assert [(r.place, r.id) for r in one.orderBy("place").collect()] == [x[:2] for x in got.get(17, [])]
+
+
+def test_rules_of_mapping_and_lookup(spark):
+    """Line breaks within a company stay, e-mails keep their case, each dropped field has its reason; e-mails are looked up by ASCII case."""
+    rows = spark.createDataFrame([(1, " Ann\n Lee ", "Acme\nInc ", " A.B@X.org ", "soon"), (2, "Bo", None, "n/a", "2021-03-03")], "row_number long, n string, c string, e string, d string")
+    got = mapping.map_rows(rows, {"n": "name", "c": "company", "e": "email", "d": "created_at"}).orderBy("row_number").collect()
+    assert [(r.name, r.company, r.email, r.created_at) for r in got] == [("Ann Lee", "Acme\nInc", "A.B@X.org", None), ("Bo", None, None, "2021-03-03")]
+    assert [[tuple(d) for d in r.dropped] for r in got] == [[("created_at", "soon", "unreadable day")], [("email", "n/a", "not an e-mail address")]]
+    contacts = people(spark, [{"id": 5, "name": "A", "email": "Ü.x@Y.org"}, {"id": 3, "name": "B", "email": "no at"}, {"id": 2, "name": "C", "email": ""}])
+    asked = spark.createDataFrame([(" Ü.X@y.ORG\t",), ("ü.x@y.org",), ("NO AT",), ("noat",), (" ",), (None,)], "email string")
+    assert {r.email: r.id for r in C.by_email(contacts, asked).collect()} == {" Ü.X@y.ORG\t": 5, "ü.x@y.org": None, "NO AT": 3, "noat": None, " ": None, None: None}
+
+
+def test_absent_days_are_no_fault(spark):
+    rows = people(spark, [{"id": 1, "name": "A"}, {"id": 2, "name": "B", "birthday": "--02-30", "last_contact_at": "2023-02-29"}])
+    assert {r.id: r.errors for r in validate(rows).collect()} == {1: [], 2: ["last_contact_at: not a day", "birthday: not a day"]}
+
+
 def test_import_replay_in_order(spark):
     known = people(spark, [{"id": 5, "name": "Ann Lee", "email": "ann@x.org"}]).select("id", "name", "email", "linkedin_url")
     rows = [(1, "Bob", "bob@x.org", None), (2, "BOB", None, "https://x.org/b"), (3, "bob", "other@x.org", None), (4, "ann lee", "zzz@x.org", None), (5, " ", None, None), (6, "Ann", "ANN@x.org ", None), (7, "Q", "other@x.org", None)]
@@ -145,7 +181,7 @@ def _rows(frame, columns):
     return sorted(str(tuple(None if pd.isna(x) else int(x) if isinstance(x, float) and x == int(x) else x for x in r)) for r in frame[columns].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["q_list_open_counts", "q_sort_stage_domain", "q_board", "q_bm25_topk", "q_map_row", "q_dedupe_match", "q_waitlist_position"])
+@pytest.mark.parametrize("name", ["q_list_open_counts", "q_sort_stage_domain", "q_board", "q_bm25_topk", "q_map_row", "q_dedupe_match_all", "q_validate", "q_match_all", "q_connections_ordered", "q_connection_normalise"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for p in Path(DATA).glob("*.parquet"):
