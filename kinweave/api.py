@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.dates import parse_birthday
 from .operators import contacts as C
-from .operators import mapping, matching, mutations, resolve, search
+from .operators import mapping, matching, mutations, postings, resolve, search
 from .schemas import CONTACTS, check_limit, validate
 from .sources import tabular
 
@@ -20,7 +20,7 @@ Network = dict[str, DataFrame]
 SEARCH_MOST, SEARCH_DEFAULT, TEXT_MOST = 50, 20, 2000
 
 
-def search_contacts(net: Network, query: str | None = None, limit: int = SEARCH_DEFAULT, index: search.Index | None = None, **filters) -> DataFrame:
+def search_contacts(net: Network, query: str | None = None, limit: int = SEARCH_DEFAULT, index: postings.Index | None = None, **filters) -> DataFrame:
     """Compact hits in order: position, id, name, role, company, city, stage, open_needs_count, total_matches."""
     check_limit(limit)
     hits = search.listed_by(net["contacts"], net["needs"], net["offers"], net["contact_tags"], net["tags"], query, limit=min(limit, SEARCH_MOST), index=index, **filters)

@@ -1,19 +1,19 @@
-"""Prefix full-text search ranked by BM25, over token arrays or an index of postings."""
+"""Prefix full-text search ranked by BM25 over token arrays; over an index of postings where one is handed over."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import check_limit
-from ..sources.scratch import drop, settle
+from ..sources.scratch import settle
 from . import contacts as C
+from .postings import Index, found, scored
 
 
 def fold(text: str) -> str:
@@ -60,72 +60,7 @@ def ranked(corpus: DataFrame, phrases: Sequence[Sequence[str]], columns: Sequenc
     row = corpus.select(key, *(X.tokens(F.col(c)).alias(f"t_{c}") for c in columns))
     row = row.select(key, sum((F.size(f"t_{c}") for c in columns), F.lit(0)).alias("len"), *(sum((occurrences(F.col(f"t_{c}"), p) for c in allowed), F.lit(0)).alias(f"f{k}") for k, p in enumerate(phrases)))
     # Texts are cut once: statistics and ranks both read these counts.
-    return _scored(settle(row, "frequencies"), len(phrases), any_of, key)
-
-
-def _scored(row: DataFrame, phrases: int, any_of: bool, key: str, totals: DataFrame | None = None) -> DataFrame:
-    """key and rank from key, len and the frequencies f0, f1 and so on of the phrases. totals: rows and mean of the whole corpus, if
-    row has only a part of it."""
-    counts = [F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(phrases)]
-    stats = row.agg(F.count("*").alias("rows"), F.avg("len").alias("mean"), *counts).first()
-    if totals is not None:
-        stats = stats.asDict() | totals.first().asDict()
-    score, on = F.lit(0.0), F.lit(not any_of)
-    for k in range(phrases):
-        idf = F.log((F.lit(stats["rows"]) - stats[f"n{k}"] + 0.5) / F.lit(stats[f"n{k}"] + 0.5))
-        idf, f = F.when(idf > 0, idf).otherwise(1e-6), F.col(f"f{k}")
-        score = score - idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(stats["mean"] or 1.0)))
-        on = (on | (f > 0)) if any_of else (on & (f > 0))
-    return row.where(on).select(key, score.alias("rank"))
-
-
-@dataclass
-class Index:
-    """postings: token, key, column, places, by first letter of the token; sizes: key, len; totals: one row."""
-
-    postings: DataFrame
-    sizes: DataFrame
-    totals: DataFrame
-    key: str
-
-
-def indexed(corpus: DataFrame, columns: Sequence[str], path: str, key: str = "id") -> Index:
-    """Writes the index of a corpus under path: a row for each token of a row's column, in files by the token's first letter."""
-    spark = corpus.sparkSession
-    tokens = F.array(*(F.struct(F.lit(c).alias("column"), X.tokens(F.col(c)).alias("tokens")) for c in columns))
-    cut = settle(corpus.select(F.col(key), F.explode(tokens).alias("x")).select(key, "x.column", "x.tokens"), "cut")
-    words = cut.select(key, "column", F.posexplode("tokens").alias("place", "token"))
-    rows = words.groupBy("token", key, "column").agg(F.sort_array(F.collect_list("place")).alias("places")).withColumn("letter", F.substring("token", 1, 1))
-    rows.repartition("letter", F.pmod(F.xxhash64("token"), F.lit(16))).sortWithinPartitions("token").write.partitionBy("letter").parquet(f"{path}/postings")
-    cut.groupBy(key).agg(F.sum(F.size("tokens")).cast("int").alias("len")).write.parquet(f"{path}/sizes")
-    sizes = spark.read.parquet(f"{path}/sizes")
-    sizes.agg(F.count("*").alias("rows"), F.avg("len").alias("mean")).write.parquet(f"{path}/totals")
-    drop(cut)
-    return opened(spark, path, key)
-
-
-def opened(spark: SparkSession, path: str, key: str = "id") -> Index:
-    postings = spark.read.schema(f"token string, {key} long, column string, places array<int>, letter string").parquet(f"{path}/postings")
-    return Index(postings, spark.read.parquet(f"{path}/sizes"), spark.read.parquet(f"{path}/totals"), key)
-
-
-def found(index: Index, phrases: Sequence[Sequence[str]], allowed: Sequence[str] | None = None, any_of: bool = False) -> DataFrame:
-    """What ``ranked`` gives, from an index: only the postings of the phrases' tokens are read."""
-    key, hits = index.key, None
-    for k, phrase in enumerate(phrases):
-        here = None
-        for j, token in enumerate(phrase):
-            last = j + 1 == len(phrase)
-            of = index.postings.where((F.col("letter") == token[0]) & (F.col("token").startswith(token) if last else F.col("token") == token))
-            if allowed:
-                of = of.where(F.col("column").isin(*allowed))
-            # A phrase's tokens stand side by side: each place is told by where the phrase would begin.
-            at = of.select(key, "column", F.explode("places").alias("at")).withColumn("at", F.col("at") - j) if len(phrase) > 1 else of.select(key, F.size("places").alias("n"))
-            here = at if here is None else here.join(at, [key, "column", "at"])
-        n = (here.distinct() if len(phrase) > 1 else here).groupBy(key).agg((F.count("*") if len(phrase) > 1 else F.sum("n")).alias(f"f{k}"))
-        hits = n if hits is None else hits.join(n, key, "outer")
-    row = hits.join(index.sizes, key).fillna(0, [f"f{k}" for k in range(len(phrases))])
-    return _scored(settle(row, "frequencies"), len(phrases), any_of, key, index.totals)
+    return scored(settle(row, "frequencies"), len(phrases), any_of, key)
 
 
 def search(corpus: DataFrame, query: str, columns: Sequence[str], limit: int = 50, key: str = "id", name: str | None = None) -> DataFrame:

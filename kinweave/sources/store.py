@@ -1,26 +1,67 @@
-"""Snapshots of named tables as Parquet, JSON lines and database tables."""
+"""Snapshots of named tables as Parquet with a catalog of versions, JSON lines and database tables."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import catalog
 
-def load(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    """The tables of the latest snapshot."""
-    latest = spark.read.parquet(f"{folder}/pointers").orderBy(F.desc("saved_at"), F.desc("snapshot")).first()
-    return {n: spark.read.parquet(f"{folder}/{latest.snapshot}/{n}.parquet") for n in names}
 
+class Conflict(RuntimeError):
+    """A table changed since it was read."""
 
-def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> str:
-    """Writes a whole new snapshot, then the pointer to it, so that readers see the old tables or the new ones."""
-    name = f"snapshot-{uuid.uuid4().hex}"
-    for table, df in tables.items():
-        df.write.parquet(f"{folder}/{name}/{table}.parquet")
-    spark.range(1).select(F.lit(name).alias("snapshot"), F.current_timestamp().alias("saved_at")).coalesce(1).write.mode("append").parquet(f"{folder}/pointers")
-    return name
+
+def load(spark: SparkSession, folder: str, names: Sequence[str] | None = None, number: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the latest snapshot, or of the one with that number; all, or those named. KeyError for a name it lacks."""
+    tables = catalog.latest(spark, folder)[1] if number is None else catalog.read(spark, folder, number)
+    return {n: spark.read.parquet(f"{folder}/{tables[n]}") for n in (tables if names is None else names)}
+
+
+def version(spark: SparkSession, folder: str) -> int:
+    """The latest snapshot's number, 0 before the first."""
+    return catalog.latest(spark, folder)[0]
+
+
+def _written(folder: str, tables: dict[str, DataFrame]) -> dict[str, str]:
+    paths = {n: f"data/{n}-{uuid.uuid4().hex}.parquet" for n in tables}
+    for n, df in tables.items():
+        df.write.parquet(f"{folder}/{paths[n]}")
+    return paths
+
+
+def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame], based_on: int | None = None, read: Sequence[str] = ()) -> int:
+    """Makes the next snapshot: these tables in place of the old ones, all others as they are. Gives its number.
+
+    Readers see the old snapshot or the new one. based_on is the snapshot that the tables were made from: Conflict if one of them, or
+    of the tables in ``read``, has changed since then. Writers of different tables do not disturb each other. Without based_on, the
+    last writer of a table wins.
+    """
+    paths = _written(folder, tables)
+    base = {} if not based_on else catalog.read(spark, folder, based_on)
+    while True:
+        number, now = catalog.latest(spark, folder)
+        changed = [n for n in {*tables, *read} if now.get(n) != base.get(n)] if based_on is not None else []
+        if changed:
+            raise Conflict(f"changed since snapshot {based_on}: {', '.join(sorted(changed))}")
+        if catalog.commit(spark, folder, number + 1, now | paths):
+            return number + 1
+
+
+def change(spark: SparkSession, folder: str, names: Sequence[str], apply: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], tries: int = 10) -> int:
+    """Applies a change to the named tables, again on the newer ones where another writer came first; Conflict after so many tries.
+
+    apply takes the tables and gives those that it changed. Its result must come from what it is handed, as it may run more than once.
+    """
+    for _ in range(tries):
+        number = version(spark, folder)
+        try:
+            return save(spark, folder, apply(load(spark, folder, names, number)), number, names)
+        except Conflict:
+            continue
+    raise Conflict(f"other writers came first {tries} times")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The contact network's operators against small cases, and registered queries against their SQL."""
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from kinweave.functions import dates as D
 from kinweave.functions import text as X
 from kinweave.operators import contacts as C
-from kinweave.operators import mapping, matching, mutations, ranks, resolve, search
+from kinweave.operators import mapping, matching, mutations, postings, ranks, resolve, search
 from kinweave.operators.ranks import numbered
 from kinweave.plans import bindings
 from kinweave import api
 from kinweave.schemas import CONNECTIONS, CONTACT_TAGS, CONTACTS, ITEMS, NOTES, TAGS, validate
-from kinweave.sources import store, tabular
+from kinweave.sources import catalog, store, tabular
 from kinweave.streaming import imports, index, rates
 
 DATA = "/root/testdata/sf0.001"
@@ -355,10 +356,69 @@ def test_calls_of_the_library(spark, tmp_path):
 
 def test_index_gives_what_the_corpus_gives(spark, tmp_path):
     corpus = spark.createDataFrame([(1, "deep sea diving", "boats"), (2, "sea deep", None), (3, "the deep seas", "deep sea"), (4, None, None)], "id long, a string, b string")
-    index = search.indexed(corpus, ["a", "b"], str(tmp_path / "index"))
+    index = postings.indexed(corpus, ["a", "b"], str(tmp_path / "index"))
     for phrases, more in (([["deep", "se"]], {}), ([["se"]], {"allowed": ["b"]}), ([["deep", "sea"], ["bo"]], {"any_of": True}), ([["xyz"]], {})):
-        slow, fast = (sorted((r.id, round(r["rank"], 9)) for r in df.collect()) for df in (search.ranked(corpus, phrases, ["a", "b"], **more), search.found(index, phrases, **more)))
+        slow, fast = (sorted((r.id, round(r["rank"], 9)) for r in df.collect()) for df in (search.ranked(corpus, phrases, ["a", "b"], **more), postings.found(index, phrases, **more)))
         assert slow == fast and (bool(slow) == (phrases != [["xyz"]]))
+    with pytest.raises(FileExistsError):
+        postings.indexed(corpus, ["a", "b"], str(tmp_path / "index"))
+
+
+def _ranks(df, limit=None):
+    rows = sorted((round(r["rank"], 9), r.id) for r in df.collect())
+    return rows[:limit] if limit else rows
+
+
+def test_index_after_random_edits_equals_a_new_one(spark, tmp_path):
+    """Changed, added and deleted rows over several refreshes and a merge: as if the corpus had been indexed at the end."""
+    random = np.random.default_rng(12)
+    text = lambda: " ".join(random.choice(["sea", "seal", "deep", "boat", "x"], random.integers(0, 6)))
+    rows = {k: (text(), text()) for k in range(40)}
+    frame = lambda keys: spark.createDataFrame([(int(k), *rows[k]) for k in keys], "id long, a string, b string")
+    index = postings.indexed(frame(rows), ["a", "b"], str(tmp_path / "index"))
+    stale = index
+    for step in range(5):
+        changed = [int(k) for k in random.integers(0, 60, 6)]
+        gone = [int(k) for k in random.integers(0, 60, 4) if k not in changed]
+        rows.update({k: (text(), text()) for k in changed})
+        for k in gone:
+            rows.pop(k, None)
+        index = postings.refresh(stale if step == 3 else index, frame(set(changed)), spark.createDataFrame([(k,) for k in gone], "id long"))
+    assert len(index.segments) < 6 and max(s["level"] for s in index.segments) > 0
+    assert (index.rows, index.tokens) == (len(rows), sum(len((a + " " + b).split()) for a, b in rows.values()))
+    index, now = postings.opened(spark, index.path), frame(rows)
+    for phrases, more in (([["sea"]], {}), ([["deep", "se"]], {}), ([["x"], ["boat"]], {"any_of": True}), ([["sea"], ["deep"]], {"allowed": ["a"]})):
+        assert _ranks(postings.found(index, phrases, **more)) == _ranks(search.ranked(now, phrases, ["a", "b"], **more))
+
+
+def test_best_of_an_index_skips_blocks(spark, tmp_path):
+    """Keys over many blocks, a token in every row: the best are those of the whole ranking, ties by key."""
+    random = np.random.default_rng(13)
+    rows = [(int(k) * postings.SPAN // 9, " ".join(["all"] * int(random.integers(1, 9)) + ["rare"] * int(random.random() < 0.1) + ["w"] * int(random.integers(0, 30)))) for k in range(400)]
+    corpus = spark.createDataFrame(rows, "id long, t string")
+    index = postings.indexed(corpus, ["t"], str(tmp_path / "index"))
+    assert index.part("postings").where("token = 'all'").count() > 40  # the common token is split
+    for phrases, more in (([["all"]], {}), ([["rare"], ["all"]], {}), ([["rare"], ["al"]], {"any_of": True}), ([["none"]], {}), ([["all", "rare"]], {})):
+        assert _ranks(postings.best(index, phrases, 7, **more)) == _ranks(search.ranked(corpus, phrases, ["t"], **more), 7)
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """A table that changed since it was read is refused or made again; other tables pass; every version stays readable."""
+    folder, rows = str(tmp_path / "store"), lambda *x: spark.createDataFrame([(k,) for k in x], "id long")
+    first = store.save(spark, folder, {"a": rows(1), "b": rows(1)})
+    assert store.save(spark, folder, {"b": rows(1, 2)}, based_on=first) == first + 1
+    assert store.save(spark, folder, {"a": rows(1, 2)}, based_on=first) == first + 2  # only b had changed
+    for tables, read in (({"a": rows(3)}, []), ({"c": rows(3)}, ["a"])):
+        with pytest.raises(store.Conflict):
+            store.save(spark, folder, tables, based_on=first, read=read)
+    grown = lambda k: store.change(spark, folder, ["a"], lambda t: {"a": t["a"].unionByName(rows(k))})
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(grown, range(10, 14)))
+    assert sorted(r.id for r in store.load(spark, folder, ["a"])["a"].collect()) == [1, 2, 10, 11, 12, 13] and len(set(numbers)) == 4
+    assert [r.id for r in store.load(spark, folder, number=first)["a"].collect()] == [1] and store.version(spark, folder) == max(numbers)
+    with pytest.raises(KeyError):
+        store.load(spark, folder, ["nothing"])
+    assert not catalog.commit(spark, folder, first, {})
 
 
 def test_small_helpers(spark, tmp_path):
