@@ -526,14 +526,14 @@ def q_fts_index(spark, sf_dir):
     return _rounded(postings.found(index, search.prefix_query("the on")))
 
 
-@_query(_bm25(["the", "in"], "f0 > 0 and f1 > 0", "order by rank, id limit 50"))
+@_query(_bm25(["eron", "que"], "f0 + f1 > 0", "order by rank, id limit 50"))
 def q_fts_index_topk(spark, sf_dir):
     """The best of an index that leaves out blocks whose bounds are too low."""
     index = postings.indexed(_documents(spark, sf_dir), ["text"], scratch(spark, "index"))
-    return _rounded(postings.best(index, search.prefix_query("The IN"), 50))
+    return _rounded(postings.best(index, [["eron"], ["que"]], 50, any_of=True))
 
 
-_EDITED = _bm25(["der", "on"], "f0 + f1 > 0", "").replace("coalesce(text, '')", "coalesce(case when source = 'src3' then 'On ' || text || ' der Ort' else text end, '')").replace("from documents", "from documents where source <> 'src4' or source is null")
+_EDITED = _bm25(["der", "eron"], "f0 + f1 > 0", "").replace("coalesce(text, '')", "coalesce(case when source = 'src3' then 'Eron ' || text || ' der Ort' else text end, '')").replace("from documents", "from documents where source <> 'src4' or source is null")
 
 
 @_query(_EDITED)
@@ -541,9 +541,9 @@ def q_fts_index_refreshed(spark, sf_dir):
     """One source's texts change and another's go, after the whole corpus was indexed: ranks are those of the corpus as it is then."""
     docs = _documents(spark, sf_dir)
     index = postings.indexed(docs, ["text"], scratch(spark, "index"))
-    changed = docs.where("source = 'src3'").withColumn("text", F.concat(F.lit("On "), "text", F.lit(" der Ort")))
+    changed = docs.where("source = 'src3'").withColumn("text", F.concat(F.lit("Eron "), "text", F.lit(" der Ort")))
     index = postings.refresh(index, changed, docs.where("source = 'src4'"))
-    return _rounded(postings.found(index, [["der"], ["on"]], any_of=True))
+    return _rounded(postings.found(index, [["der"], ["eron"]], any_of=True))
 
 
 @_query(rf"""with {_TOKENS}, f as (select id, len(t) + 1 as l, starts_with(lang, 'de')::int as f0 from docs), s as (select count(*) as n, avg(l) as m, count(*) filter (f0 > 0) as n0 from f)

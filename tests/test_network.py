@@ -1,5 +1,6 @@
 """The contact network's operators against small cases, and registered queries against their SQL."""
 
+import os
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -466,3 +467,26 @@ def test_rate_limit_of_a_stream(spark, tmp_path):
             break
     query.stop()
     assert sorted((r.user, r.at, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == wanted and {a for _, _, a in wanted} == {True, False}
+
+
+def test_rate_limit_of_a_stream_out_of_order(spark, tmp_path):
+    """A key of 30,000 hits in one batch, more than an Arrow batch has, ties, and late hits over batches: as the batch form decides."""
+    random, start = np.random.default_rng(14), datetime(2024, 1, 1)
+    schema = "id long, user string, at timestamp"
+    hot = [(k, "hot", start + timedelta(seconds=int(random.integers(0, 30_000)))) for k in range(30_000)]
+    late = [(40_000 + k, f"u{k % 3}" if k % 7 else None, start + timedelta(seconds=int(min(30_000, max(0, 100 * k + random.integers(-1500, 1500)))))) for k in range(300)]
+    end = [(99_999, "end", start + timedelta(days=3))]
+    batches = [hot[:100] + late[:100], late[100:200], late[200:], hot[100:], end]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"made{k}"))
+        (file,) = (tmp_path / f"made{k}").glob("*.parquet")
+        file.rename(folder / f"{k}.parquet")
+        os.utime(folder / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = rates.limited_stream(stream, "user", "at", "id", limit=3, window=600, delay="10 hours").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    assert query.awaitTermination(300)
+    got = {r.id: (r.user, r.at, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    wanted = {r.id: (r.user, r.at, r.accepted) for r in rates.limited(spark.createDataFrame(hot + late, schema), "user", "at", "id", limit=3, window=600).collect()}
+    assert {k: v for k, v in got.items() if k != 99_999} == wanted
