@@ -1,33 +1,28 @@
-"""Tabular files whose format, encoding, delimiter and header row are found from their first bytes; Spark reads the rest."""
+"""Tabular files whose format, encoding, delimiter and header row are found; Spark reads them in splits."""
 
 from __future__ import annotations
 
 import csv
 import io
 import re
-import zipfile
 from collections.abc import Sequence
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bytes that decide, rows among which a header is looked for, and the largest workbook in bytes.
-HEAD_BYTES, HEADER_ROWS, MAX_WORKBOOK = 65_536, 15, 20_000_000
+from . import records, workbook
+
+#: Lines that decide the delimiter, rows among which a header is looked for, and the largest workbook in bytes.
+HEAD_LINES, HEADER_ROWS, MAX_WORKBOOK = 300, 15, 20_000_000
 _DELIMITERS = (",", ";", "\t", "|")
 _number = re.compile(r"^[+-]?\d+(?:[.,]\d+)?$")
 
 
-def encoding_of(head: bytes) -> tuple[str, bool]:
-    """(encoding, whether it is a guess): byte order marks, then UTF-8 if valid up to a cut character, else windows-1252."""
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16", False
-    try:
-        head.decode("utf-8")
-        return "UTF-8", False
-    except UnicodeDecodeError as e:
-        return ("UTF-8", False) if e.start > len(head) - 4 and len(head) >= HEAD_BYTES else ("windows-1252", True)
+def byte_order(head: bytes) -> str | None:
+    """UTF-16 with its byte order, from the mark a file begins with."""
+    return {b"\xff\xfe": "UTF-16LE", b"\xfe\xff": "UTF-16BE"}.get(head[:2])
 
 
 def format_of(name: str, head: bytes) -> str:
@@ -82,46 +77,76 @@ def unique_names(cells: Sequence[str], width: int) -> list[str]:
 
 
 def read(spark: SparkSession, path: str, sheet: str | int | None = None) -> tuple[DataFrame, list[str]]:
-    """(rows as text columns with row_number from 1, warnings). Blank rows are left out, missing cells are empty."""
-    file = spark.read.format("binaryFile").load(path)
-    first = file.select("path", "length", F.expr(f"substring(content, 1, {HEAD_BYTES})").alias("head")).first()
+    """(rows as text columns with row_number from 1, warnings). Blank rows are left out, missing cells are empty, and so are columns
+    without a name and without a value in any row.
+
+    The encoding is UTF-16 with a byte order mark, else UTF-8 if every line of the file is, else windows-1252, with a warning. ValueError
+    for a file without a header row, a workbook under a text file's name or the other way round beyond what a warning can say.
+    """
     warnings: list[str] = []
-    kind = format_of(first.path, bytes(first.head))
+    begin = spark.read.text(path).select(F.col("value").cast("binary").alias("v")).limit(1).collect()
+    kind = format_of(path, bytes(begin[0].v[:8]) if begin else b"")
     if kind == "xlsx":
-        if first.length > MAX_WORKBOOK:
+        file = spark.read.format("binaryFile").load(path)
+        if file.agg(F.max("length")).first()[0] > MAX_WORKBOOK:
             raise ValueError("the workbook is too large")
-        table = file.select("content").mapInPandas(lambda frames: _workbook_rows(frames, sheet), "number long, cells array<string>")
+        table = file.select("content").mapInPandas(lambda frames: workbook.rows(frames, sheet), "number long, cells array<string>")
         grid = [r.cells for r in table.orderBy("number").limit(HEADER_ROWS).collect()]
-        start = header_at(grid)
-        body = table.where(F.col("number") > start)
-        width = body.agg(F.max(F.size("cells"))).first()[0] or len(grid[start])
-        number = F.col("number") - start
     else:
-        code, guess = encoding_of(bytes(first.head))
+        order = byte_order(bytes(begin[0].v[:2]) if begin else b"")
+        separator = {None: "\n", "UTF-16LE": "\n\0", "UTF-16BE": "\0\n"}[order]
+        lines = spark.read.option("lineSep", separator).text(path)
+        bad = F.col("value").cast("binary")
+        guess = not order and bool(lines.agg(F.bool_or(~F.is_valid_utf8(F.col("value")))).first()[0])
+        code = order or ("windows-1252" if guess else "UTF-8")
         if guess:
             warnings.append("encoding guessed: windows-1252")
-        if first.path.lower().endswith((".xlsx", ".xls")):
+        if path.lower().endswith((".xlsx", ".xls")):
             warnings.append("a text file under a workbook's name")
-        text = bytes(first.head).decode("cp1252" if guess else code, "replace").lstrip("﻿")
+        head = separator.encode().join(bytes(r.v) for r in lines.select(bad.alias("v")).limit(HEAD_LINES).collect())
+        text = records.decoded(head, code).lstrip("\ufeff")
         delimiter = max(_DELIMITERS, key=lambda d: (_steadiness(text, d), -_DELIMITERS.index(d)))
-        grid = [r for r in csv.reader(io.StringIO(text), delimiter=delimiter)][:HEADER_ROWS]
-        grid = [r for r in grid if r]  # the reader below leaves blank lines out
-        start = header_at(grid)
-        width = max(map(len, grid[start:]))
-        # Spark reads no windows-1252: as Latin-1 only bytes 80 to 9F differ, and those are put right afterwards.
-        wrong, right = zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")), strict=True)
-        cell = lambda k: F.translate(F.col(f"c{k}"), "".join(wrong), "".join(right)) if guess else F.col(f"c{k}")
-        # Lines are records where no quoted cell holds a line break; a line of blanks alone is a record only to the whole-file reader.
-        lines = spark.read.text(path)
-        whole = code == "UTF-16" or not lines.where((F.regexp_count("value", F.lit('"')) % 2 == 1) | F.col("value").rlike(r"^[\x00-\x20]+$")).isEmpty()
-        options = {"sep": delimiter, "encoding": "ISO-8859-1" if guess else code, "multiLine": whole, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-        width = _width(_numbered(_csv(spark, path, width, options, True), whole).where(F.col("number") > start), width, delimiter)
-        raw = _numbered(_csv(spark, path, width, options, False), whole)
-        body = raw.select("number", F.array(*(F.coalesce(cell(k), F.lit("")) for k in range(width))).alias("cells")).where(F.col("number") > start)
-        number = F.col("number") - start
-    names = unique_names(grid[start], width)
+        csv.field_size_limit(2**31 - 1)
+        grid = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r][:HEADER_ROWS]
+        # Where no quoted cell holds a line break, lines are records and Spark's own reader takes them. A line of blanks alone is a
+        # record, which that reader would leave out.
+        plain = not order and lines.where((F.regexp_count("value", F.lit('"')) % 2 == 1) | F.col("value").rlike(r"^[\x00-\x20]+$") | F.col("value").rlike("\r.")).isEmpty()
+        table = _by_spark(spark, path, grid, delimiter, guess) if plain else records.cut(lines, code, separator.encode(), delimiter)
+        if table is None:  # a block of the file begins within a character
+            table = _whole(spark, path, code, delimiter)
+    start = header_at(grid)
+    body = table.where(F.col("number") > start)
     filled = body.where(F.exists("cells", lambda c: F.trim(c) != ""))
-    return filled.select(number.alias("row_number"), *(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names))), warnings
+    width = max(len(grid[start]), body.agg(F.max(F.size("cells"))).first()[0] or 0)
+    names = unique_names(grid[start], width)
+    unnamed = [k for k in range(width) if not (grid[start][k] if k < len(grid[start]) else "").replace("\ufeff", "").strip(' \t"')]
+    used = filled.agg(*(F.bool_or(F.trim(F.coalesce(F.get("cells", F.lit(k)), F.lit(""))) != "").alias(f"u{k}") for k in unnamed)).first() if unnamed else ()
+    kept = [k for k in range(width) if k not in {k for k, u in zip(unnamed, used, strict=True) if not u}]
+    return filled.select((F.col("number") - start).alias("row_number"), *(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(names[k]) for k in kept)), warnings
+
+
+def _by_spark(spark: SparkSession, path: str, grid: list, delimiter: str, guess: bool) -> DataFrame:
+    """number, cells of a file whose lines are records."""
+    # Spark reads no windows-1252: as Latin-1 only bytes 80 to 9F differ, and those are put right afterwards.
+    wrong, right = zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")), strict=True)
+    cell = lambda k: F.translate(F.col(f"c{k}"), "".join(wrong), "".join(right)) if guess else F.col(f"c{k}")
+    options = {"sep": delimiter, "encoding": "ISO-8859-1" if guess else "UTF-8", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    width = _width(_csv(spark, path, max(map(len, grid), default=1), options, True), max(map(len, grid), default=1), delimiter)
+    rows = _numbered(_csv(spark, path, width, options, False))
+    return rows.select("number", F.array(*(F.coalesce(cell(k), F.lit("")) for k in range(width))).alias("cells"))
+
+
+def _whole(spark: SparkSession, path: str, code: str, delimiter: str) -> DataFrame:
+    """number, cells of a file read by one task."""
+
+    def parsed(frames):
+        csv.field_size_limit(2**31 - 1)
+        for frame in frames:
+            for content in frame["content"]:
+                grid = [r for r in csv.reader(io.StringIO(records.decoded(content, code).lstrip("\ufeff"), newline=""), delimiter=delimiter) if r]
+                yield pd.DataFrame({"number": range(len(grid)), "cells": grid})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, "number long, cells array<string>")
 
 
 def _csv(spark: SparkSession, path: str, width: int, options: dict, broken: bool) -> DataFrame:
@@ -131,15 +156,11 @@ def _csv(spark: SparkSession, path: str, width: int, options: dict, broken: bool
     return rows.select("*", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
 
 
-def _numbered(rows: DataFrame, whole: bool) -> DataFrame:
-    """Adds number, from 0 in the file's order. A file read as a whole has one block, whose places ascend from 0."""
-    if whole:
-        return rows.withColumn("number", F.col("place"))
-    blocks, offset = [], 0
-    for r in rows.groupBy("block").agg(F.min("place").alias("first"), F.count("*").alias("n")).orderBy("block").collect():  # one row a block
-        blocks.append((r.block, offset - r.first))
-        offset += r.n
-    shifts = rows.sparkSession.createDataFrame(blocks, "block long, shift long")
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds number, from 0 in the file's order."""
+    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row a block of the file
+    blocks = rows.groupBy("block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    shifts = blocks.select("block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     return rows.join(F.broadcast(shifts), "block").withColumn("number", F.col("place") + F.col("shift"))
 
 
@@ -152,7 +173,7 @@ def _width(rows: DataFrame, width: int, delimiter: str) -> int:
             found = [len(r) for text in frame["broken"].dropna() for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)]
             yield pd.DataFrame({"width": [max(found, default=0)]})
 
-    cells = [c for c in rows.columns if c not in ("block", "place", "number")]
+    cells = [c for c in rows.columns if c not in ("block", "place")]
     return max(width, rows.select(*cells).mapInPandas(counted, "width long").agg(F.max("width")).first()[0] or 0)
 
 
@@ -161,32 +182,3 @@ def _steadiness(text: str, delimiter: str) -> int:
     widths = [len(r) for r in list(csv.reader(io.StringIO(text), delimiter=delimiter))[: 2 * HEADER_ROWS]]
     wide = [w for w in widths if w > 1]
     return max((wide.count(w) * min(w, 3) for w in set(wide)), default=0)
-
-
-def _workbook_rows(frames, sheet):
-    """number, cells of a workbook's sheet as displayed texts: the named or numbered one, else the first with rows."""
-    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    for frame in frames:
-        for content in frame["content"]:
-            book = zipfile.ZipFile(io.BytesIO(content))
-            shared = []
-            if "xl/sharedStrings.xml" in book.namelist():
-                shared = ["".join(t.text or "" for t in s.iter(f"{space}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{space}si")]
-            named = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{space}sheet")]
-            if isinstance(sheet, str) and sheet not in named or isinstance(sheet, int) and not 1 <= sheet <= len(named):
-                raise ValueError(f"no sheet {sheet}; there are {', '.join(named)}")
-            wanted = [named.index(sheet)] if isinstance(sheet, str) else [sheet - 1] if sheet else range(len(named))
-            for k in wanted:
-                rows = []
-                for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{k + 1}.xml")).iter(f"{space}row"):
-                    cells: dict[int, str] = {}
-                    for c in row.iter(f"{space}c"):
-                        at = 0
-                        for letter in re.match("[A-Z]+", c.get("r", "A"))[0]:
-                            at = 26 * at + ord(letter) - 64
-                        value = c.findtext(f"{space}v") or ""
-                        cells[at - 1] = shared[int(value)] if c.get("t") == "s" and value else "".join(t.text or "" for t in c.iter(f"{space}t")) if c.get("t") == "inlineStr" else value
-                    rows.append([cells.get(j, "") for j in range(max(cells, default=-1) + 1)])
-                if rows:
-                    yield pd.DataFrame({"number": range(len(rows)), "cells": rows})
-                    break

@@ -1,6 +1,9 @@
 """The contact network's operators against small cases, and registered queries against their SQL."""
 
+import csv
+import io
 import os
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -19,7 +22,7 @@ from kinweave.operators.ranks import numbered
 from kinweave.plans import bindings
 from kinweave import api
 from kinweave.schemas import CONNECTIONS, CONTACT_TAGS, CONTACTS, ITEMS, NOTES, TAGS, validate
-from kinweave.sources import catalog, store, tabular
+from kinweave.sources import catalog, store, tabular, workbook
 from kinweave.streaming import imports, index, rates
 
 DATA = "/root/testdata/sf0.001"
@@ -150,13 +153,78 @@ def test_csv_keeps_cells_of_late_wide_rows(spark, tmp_path, quoted):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
     try:
         rows, _ = tabular.read(spark, str(path))
-        assert rows.columns == ["row_number", "First Name", "City", "Spalte 3", "Spalte 4", "Spalte 5"]
-        assert (rows.rdd.getNumPartitions() > 1) == (not quoted)
+        assert rows.columns == ["row_number", "First Name", "City", "Spalte 3", "Spalte 5"]  # the fourth has no name and no value
+        assert rows.rdd.getNumPartitions() > 1
         got = {r[0]: tuple(r)[1:] for r in rows.collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted(got) == list(range(1, 10002 + quoted)) and got[5001] == ("wide", "x", "extra", "", "last")
-    assert got[1][:2] == ("p0", "c0") and got[10001][:2] == ("q4999", "") and (not quoted or got[10002] == ("two\nlines", "y", "z", "", ""))
+    assert sorted(got) == list(range(1, 10002 + quoted)) and got[5001] == ("wide", "x", "extra", "last")
+    assert got[1][:2] == ("p0", "c0") and got[10001][:2] == ("q4999", "") and (not quoted or got[10002] == ("two\nlines", "y", "z", ""))
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16", "utf-16-be", "cp1252"])
+def test_records_in_splits_equal_the_csv_module(spark, tmp_path, encoding):
+    """Random files with quoted line breaks, quotes within cells, empty and blank lines, over blocks of a few hundred bytes."""
+    random = np.random.default_rng(15)
+    signs = ['"', '""', ",", "\n", "\r\n", " ", "a", "Bé", "x y", "\n\n"] + ([] if encoding == "cp1252" else ["\u0a0a", "\u010a", "\u0a00", "\u0d0a", "🙂"])
+    for _ in range(3):
+        cell = lambda: '"' + "".join(random.choice(signs, random.integers(0, 9))).replace('"', '""') + '"' if random.random() < 0.4 else "".join(random.choice(["a", "b ", 'q"', "é", "Z"], random.integers(0, 4)))
+        text = "First Name,City\n" + "".join(",".join(cell() for _ in range(random.integers(1, 4))) + str(random.choice(["\n", "\r\n", "\n\n"])) for _ in range(400))
+        path = tmp_path / f"{encoding}{random.integers(1 << 30)}.csv"
+        path.write_bytes((b"\xfe\xff" if encoding == "utf-16-be" else b"") + text.encode(encoding))
+        grid = [r for r in csv.reader(io.StringIO(text, newline="")) if r][1:]
+        wanted = {k + 1: tuple((r + ["", "", ""])[:3]) for k, r in enumerate(grid) if any(c.strip(" ") for c in r)}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            rows, warnings = tabular.read(spark, str(path))
+            got = {r[0]: tuple(r)[1:] for r in rows.collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == wanted and bool(warnings) == (encoding == "cp1252")
+
+
+def test_late_bytes_decide_the_encoding(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"First Name,City\n" + b"Ann,Rome\n" * 20_000 + "Jörg,Köln €\n".encode("cp1252"))
+    rows, warnings = tabular.read(spark, str(path))
+    assert [tuple(r)[1:] for r in rows.where("row_number > 20000").collect()] == [("Jörg", "Köln €")] and warnings
+
+
+def test_number_formats():
+    cases = [
+        (44999, "General", "44999"), (0.1 + 0.2, "General", "0.3"), (1234567890123, "General", "1.23457E+12"), (-2.5, "General", "-2.5"), (1e-12, "General", "1E-12"),
+        (1234.5, "#,##0.00", "1,234.50"), (-1234.5, "#,##0.00;(#,##0.00)", "(1,234.50)"), (0.256, "0%", "26%"), (0.2565, "0.00%", "25.65%"), (7, "0000", "0007"), (0.5, "#.##", ".5"), (12345, "0.00E+00", "1.23E+04"),
+        (1234567, '0.0,,"M"', "1.2M"), (0, '0;-0;"none"', "none"), (-3, "0.0", "-3.0"), (-0.001, "0.0", "0.0"), (491701234567, '"+"0', "+491701234567"), (5, '[$€-407] 0.00', "€ 5.00"), (2.005, "0.00", "2.01"),
+        (44999, "m/d/yy", "3/14/23"), (44999, "d mmm yyyy", "14 Mar 2023"), (44999, "dddd, mmmm dd", "Tuesday, March 14"), (44999.75, "yyyy-mm-dd hh:mm", "2023-03-14 18:00"), (0.52, "h:mm AM/PM", "12:28 PM"), (1.5, "[h]:mm:ss", "36:00:00"),
+        (60, "yyyy-mm-dd", "1900-02-29"), (61, "yyyy-mm-dd", "1900-03-01"), (59, "yyyy-mm-dd", "1900-02-28"), (1 / 86400 * 61.26, "mm:ss.0", "01:01.3"), (0.999999, "hh:mm:ss", "00:00:00"), (45.5, "@", "45.5"),
+    ]
+    assert [(x, f, workbook.shown(x, f)) for x, f, _ in cases] == cases
+    assert workbook.shown(43537, "d.m.yyyy", epoch_1904=True) == "14.3.2023"
+
+
+def test_workbook_as_displayed(spark, tmp_path):
+    """The first sheet with a header row; dates, percents, kept zeros, rich and inline strings, truth values, rows left out."""
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    parts = {
+        "xl/workbook.xml": f'<workbook {space}><workbookPr date1904="1"/><sheets><sheet name="Notes" r:id="b"/><sheet name="People" r:id="a"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/one.xml"/><Relationship Id="b" Target="/xl/worksheets/two.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {space}><numFmts><numFmt numFmtId="164" formatCode="d mmm yyyy"/></numFmts><cellStyleXfs><xf numFmtId="9"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="10"/></cellXfs></styleSheet>',
+        "xl/sharedStrings.xml": f"<sst {space}><si><t>First Name</t></si><si><r><t>An</t></r><r><t>na</t></r><rPh><t>x</t></rPh></si></sst>",
+        "xl/worksheets/two.xml": f'<worksheet {space}><sheetData><row r="1"><c r="A1"><v>5</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/one.xml": f'<worksheet {space}><sheetData><row r="2"><c r="A2" t="s"><v>0</v></c><c r="B2" t="inlineStr"><is><t>Since</t></is></c><c r="C2" t="str"><v>Share</v></c><c r="E2" t="str"><v>Member</v></c></row>'
+        '<row r="5"><c r="A5" t="s"><v>1</v></c><c r="B5" s="1"><v>43537</v></c><c r="C5" s="2"><v>0.125</v></c><c r="E5" t="b"><v>1</v></c></row></sheetData></worksheet>',
+    }
+    path = tmp_path / "people.xlsx"
+    with zipfile.ZipFile(path, "w") as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    rows, _ = tabular.read(spark, str(path))
+    assert rows.columns == ["row_number", "First Name", "Since", "Share", "Member"] and [tuple(r) for r in rows.collect()] == [(3, "Anna", "14 Mar 2023", "12.50%", "TRUE")]
+    for sheet, fault in (("Notes", "no header row"), (3, "no sheet 3; there are Notes, People")):
+        with pytest.raises(Exception, match=fault):
+            tabular.read(spark, str(path), sheet)
 
 
 def test_rate_limit_matches_brute_force(spark):
