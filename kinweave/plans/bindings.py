@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates as D
+from ..functions import phones
 from ..functions import text as X
 from ..operators import contacts as C
 from ..operators import mapping, matching, mutations, postings, resolve, search
@@ -641,3 +642,17 @@ def q_seed(spark, sf_dir):
 @_query("select doc_id, sha256(text) as checksum from documents where text is not null")
 def q_checksum(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.checksum(F.col("text")).alias("checksum"))
+
+
+_WAITING = """select c_custkey as id, case c_custkey % 9 when 0 then concat(' ', c_name, '@Example.Org ') when 1 then concat('0664/', lpad(cast(c_custkey as string), 7, '1')) when 2 then concat('+43 (0)1 ', lpad(cast(c_custkey as string), 6, '5'))
+    when 3 then concat('0049 30 ', lpad(cast(c_custkey as string), 7, '2')) when 4 then concat('+1 (212) 555-', lpad(cast(c_custkey % 10000 as string), 4, '0')) when 5 then concat('+41 44 ', lpad(cast(c_custkey as string), 6, '3'))
+    when 6 then concat(c_name, '@nowhere') when 7 then concat('call 0664 ', cast(c_custkey as string)) when 8 then '+999 12345678' end as raw from {customer}"""
+
+
+@_query(rf"""with raws as ({_WAITING.replace("{customer}", "customer")}), plain as (select id, trim(raw) as t, regexp_replace(regexp_replace(trim(raw), '\(0\)', ''), '[ ()./-]', '', 'g') as d from raws),
+    made as (select id, t, case when regexp_matches(t, '[A-Za-z]') then null when d like '+%' then d when d like '00%' then '+' || d[3:] else '+43' || regexp_replace(d, '^0', '') end as n from plain)
+    select id, case when regexp_full_match(t, '[^ @]+@[^ @]+\.[^ @]+') then 'email' when regexp_full_match(n, '\+(43[1-9][0-9]{{3,12}}|49[1-9][0-9]{{3,13}}|41[2-9][0-9]{{8}}|1[2-9][0-9]{{2}}[2-9][0-9]{{6}})') then 'phone' end as kind,
+      case when regexp_full_match(t, '[^ @]+@[^ @]+\.[^ @]+') then lower(t) when regexp_full_match(n, '\+(43[1-9][0-9]{{3,12}}|49[1-9][0-9]{{3,13}}|41[2-9][0-9]{{8}}|1[2-9][0-9]{{2}}[2-9][0-9]{{6}})') then n end as value from made""")
+def q_waitlist_entries(spark, sf_dir):
+    entry = phones.waitlist_entry(F.col("raw"))
+    return spark.sql(_WAITING, customer=_table(spark, sf_dir, "customer")).select("id", entry["kind"].alias("kind"), entry["value"].alias("value"))

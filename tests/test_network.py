@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import dates as D
+from kinweave.functions import phones
 from kinweave.functions import text as X
 from kinweave.operators import contacts as C
 from kinweave.operators import mapping, matching, mutations, postings, ranks, resolve, search
@@ -558,3 +559,18 @@ def test_rate_limit_of_a_stream_out_of_order(spark, tmp_path):
     got = {r.id: (r.user, r.at, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     wanted = {r.id: (r.user, r.at, r.accepted) for r in rates.limited(spark.createDataFrame(hot + late, schema), "user", "at", "id", limit=3, window=600).collect()}
     assert {k: v for k, v in got.items() if k != 99_999} == wanted
+
+
+def test_waitlist_entries(spark):
+    """Numbers of several plans in national and international form, addresses, and what is neither."""
+    cases = [
+        ("0664 1234567", "+436641234567"), ("664 1234567", "+436641234567"), ("+43 (0) 664/123 45 67", "+436641234567"), ("0043-1-5880180", "+4315880180"), ("+49 (0)30 901820", "+4930901820"), ("+49 030 901820", "+4930901820"),
+        ("+39 06 6982", "+39066982"), ("+1 (212) 155-0123", None), ("+1 212 555 2123", "+12125552123"), ("+41 44 668 18 00", "+41446681800"), ("+423 236 60 00", "+4232366000"), ("+420 221 714 444", "+420221714444"), ("+36 06 1 234 5678", None),
+        ("+999 123456", None), ("0664", None), ("+43", None), ("++43 664 1234567", None), ("0664 12a4567", None), ("", None), (None, None), ("  ", None), ("(01) 5880180", "+4315880180"), ("+44 20 7946 0958", "+442079460958"),
+    ]
+    rows = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "id int, raw string")
+    got = {r.id: r.n for r in rows.select("id", phones.e164(F.col("raw")).alias("n")).collect()}
+    assert [(x, got[k]) for k, (x, _) in enumerate(cases)] == cases
+    entries = spark.createDataFrame([(" A.b@X.Org ",), ("a@b",), ("0664 1234567",), ("a b@x.org",)], "raw string").select("raw", phones.waitlist_entry(F.col("raw")).alias("e"))
+    assert {r.raw: r.e and tuple(r.e) for r in entries.collect()} == {" A.b@X.Org ": ("email", "a.b@x.org"), "a@b": None, "0664 1234567": ("phone", "+436641234567"), "a b@x.org": None}
+    assert spark.range(1).select(phones.e164(F.lit("030 901820"), "DE").alias("n")).first().n == "+4930901820"
