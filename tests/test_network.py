@@ -3,6 +3,7 @@
 import csv
 import io
 import os
+import sqlite3
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
@@ -23,7 +24,7 @@ from kinweave.operators.ranks import numbered
 from kinweave.plans import bindings
 from kinweave import api
 from kinweave.schemas import CONNECTIONS, CONTACT_TAGS, CONTACTS, ITEMS, NOTES, TAGS, validate
-from kinweave.sources import catalog, store, tabular, workbook
+from kinweave.sources import catalog, database, store, tabular, workbook
 from kinweave.streaming import imports, index, rates
 
 DATA = "/root/testdata/sf0.001"
@@ -574,3 +575,39 @@ def test_waitlist_entries(spark):
     entries = spark.createDataFrame([(" A.b@X.Org ",), ("a@b",), ("0664 1234567",), ("a b@x.org",)], "raw string").select("raw", phones.waitlist_entry(F.col("raw")).alias("e"))
     assert {r.raw: r.e and tuple(r.e) for r in entries.collect()} == {" A.b@X.Org ": ("email", "a.b@x.org"), "a@b": None, "0664 1234567": ("phone", "+436641234567"), "a b@x.org": None}
     assert spark.range(1).select(phones.e164(F.lit("030 901820"), "DE").alias("n")).first().n == "+4930901820"
+
+
+def embedded(url):
+    return sqlite3.connect(url, timeout=60)
+
+
+def test_database_upsert(spark, tmp_path):
+    """New keys are inserted once, known ones return what is stored; a task that ran twice counts once; what failed leaves nothing."""
+    url = str(tmp_path / "list.db")
+    with embedded(url) as c:
+        c.execute("create table waitlist (position integer primary key autoincrement, email text, code text)")
+        c.execute("create unique index by_email on waitlist (lower(email)) where email is not null")
+        c.execute("insert into waitlist (email, code) values ('Old@x.org', 'OLD'), (null, 'NONE')")
+    rows = spark.createDataFrame([(k, None if k == 7 else f"{'N' if k % 2 else 'n'}{k // 2}@x.org" if k < 40 else "OLD@X.ORG", f"C{k}") for k in range(42)], "k long, email string, code string").repartition(5)
+    call = lambda df: database.upsert(spark, df, "tests.test_network:embedded", url, "waitlist", "lower(email)", "k", "position long, email string, code string", where="email is not null")
+    got = {r.k: r for r in call(rows).collect()}
+    assert sorted(got) == [k for k in range(42) if k != 7]
+    assert all(r.duplicate == (k % 2 == 1 or k >= 40) and r.code == ("OLD" if k >= 40 else f"C{k - k % 2}") for k, r in got.items())
+    again = call(rows).collect()
+    assert all(r.duplicate and r.position == got[r.k].position for r in again)
+    with embedded(url) as c:
+        assert c.execute("select count(*) from waitlist").fetchone() == (22,) and [r[0] for r in c.execute("select name from sqlite_master where name like 'stage%'")] == []
+    # Two attempts of one task and one of another: only what the commit names is inserted.
+    options = {"connect": "tests.test_network:embedded", "url": url, "table": "waitlist", "stage": "stage_x", "key": "lower(email)", "where": "email is not null"}
+    writer = database.UpsertSource(options).writer(spark.createDataFrame([], "email string, code string, seq_ long").schema, False)
+    writer.tables.open()
+    writer.write(iter([("twice@x.org", "T1", 1), ("lost@x.org", "L", 2)]))
+    done = [writer.write(iter([("twice@x.org", "T2", 1)])), writer.write(iter([])), None]
+    writer.commit(done)
+    writer.tables.drop()
+    with embedded(url) as c:
+        assert c.execute("select email, code from waitlist where email in ('twice@x.org', 'lost@x.org')").fetchall() == [("twice@x.org", "T2")]
+    with pytest.raises(Exception):
+        call(rows.withColumn("email", F.expr("if(k = 3, raise_error('broken'), 'fresh@x.org')")))
+    with embedded(url) as c:
+        assert c.execute("select count(*) from waitlist where email = 'fresh@x.org'").fetchone() == (0,)
