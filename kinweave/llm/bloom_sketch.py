@@ -116,7 +116,8 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 
 def recovered(rows: DataFrame, prints: DataFrame, full: bool = False) -> DataFrame:
-    """row, pair, n_a, n_b: how many digests only one of two texts has, by peeling; with ``full`` also only_a and only_b, these digests.
+    """row, pair, n_a, n_b: how many digests only one of two texts has, by peeling; with ``full`` also only_a and only_b, these
+    digests, of pair 0.
 
     rows (settled): row and the digests own, edit, next of three texts; pair 0 is own and edit, 1 is own and next. prints: row
     and the cells of each text. The fingerprints are tried first, then larger sketches of those that stall, as often as needed:
@@ -125,7 +126,8 @@ def recovered(rows: DataFrame, prints: DataFrame, full: bool = False) -> DataFra
     side = {0: "edit", 1: "next"}
 
     def told(tables: DataFrame) -> DataFrame:
-        arrays = ["only_a", "only_b"] if full else []
+        # Digests are returned of a text and its edit: those of the next document are counted where they are recovered.
+        arrays = [F.when(F.col("pair") == 0, F.col(c)).alias(c) for c in ("only_a", "only_b")] if full else []
         return peeled(tables).select(*(c for c in tables.columns if c not in ("n", "k")), *(F.when(F.col(c).isNotNull(), F.size(c)).alias(f"n_{c[-1]}") for c in ("only_a", "only_b")), *arrays)
 
     names = ["row", "pair", "n_a", "n_b", *(["only_a", "only_b"] if full else [])]

@@ -40,7 +40,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom_sketch.fingerprints(base.table(spark, sf_dir, "documents"))
+    return bloom_sketch.fingerprints(base.table(spark, sf_dir, "documents"), full=True)
 
 
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
