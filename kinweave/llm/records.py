@@ -115,14 +115,16 @@ def decode(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2) -> None:
     """Encodes each whole text, adds end_id, and writes records in ascending doc_id order (null ids first,
-    equal ids by text) to path/records, and path/index: file, offset, length, doc_id, n_tokens and place.
+    equal ids by a digest of the text, so that many rows of one id are spread over files) to path/records, and path/index: file, offset, length, doc_id, n_tokens and place.
     A null text counts as empty: its record has end_id alone. An empty table writes no record."""
     spark = docs.sparkSession
     base.short_batches(spark)
     docs = base.only(docs, "doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # The range boundaries come from ids alone: texts are encoded after the exchange, once.
-    ranged = docs.repartitionByRange(max(1, -(-size // FILE_BYTES)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The range boundaries come from ids and digests alone: texts are encoded after the exchange, once.
+    order = F.col("doc_id").asc_nulls_first(), F.col("tie")
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    ranged = docs.repartitionByRange(max(1, -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order, "text")
 
     def framed(batches):
         coder = encoder(tokenizer)
@@ -161,8 +163,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Reads every file back, checks every record, and returns doc_id, start (ids of all records before it),
     n_tokens, ids_crc32, file and offset."""
     totals = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    # One row a file: file names ascend with the doc_ids.
-    bases = totals.select("file", (F.sum("total").over(W.orderBy("file")) - F.col("total")).alias("base"))
+    # One row a file: their numbers ascend with the doc_ids. As text, names of more than five digits would not.
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    bases = totals.select("file", (F.sum("total").over(W.orderBy(number)) - F.col("total")).alias("base"))
     return _scan(spark, path).join(bases, "file").selectExpr("doc_id", "base + before as start", "n_tokens", "ids_crc32", "file", "offset")
 
 

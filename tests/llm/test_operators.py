@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import os
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -44,6 +46,16 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_records_of_one_id_are_spread(spark, tmp_path, monkeypatch):
+    """Many rows of one id fill several files, and the starts still add up in the order of the files."""
+    monkeypatch.setattr(records, "FILE_BYTES", 2000)
+    table = spark.createDataFrame([(5 if k < 90 else k, f"{WORDS[k % 20]} {k} " * 20) for k in range(100)], "doc_id long, text string").repartition(4)
+    records.write(table, f"{tmp_path}/r")
+    rows = sorted(records.read(spark, f"{tmp_path}/r").collect(), key=lambda r: r.start)
+    assert len({r.file for r in rows if r.doc_id == 5}) > 5 and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(100)]
+
+
 def test_records_round_trip(spark, docs, empty, tmp_path):
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     records.write(docs, f"{tmp_path}/r")
@@ -55,6 +67,18 @@ def test_records_round_trip(spark, docs, empty, tmp_path):
     rows = [records.shuffled(spark, f"{tmp_path}/r", seed).collect() for seed in (0, 0, 1)]
     assert [r.doc_id for r in rows[0]] == [r.doc_id for r in rows[1]] != [r.doc_id for r in rows[2]] and len(rows[0]) == len(TEXTS)
     assert all(crc(r.ids) == got[r.doc_id].ids_crc32 for r in rows[0])
+    # Files beyond the fifth digit, as a writer of more than 99,999 tasks names them: starts go by number.
+    for folder in ("records", "index"):
+        shutil.copytree(f"{tmp_path}/r/{folder}", f"{tmp_path}/far/{folder}")
+    files = sorted(f for f in os.listdir(f"{tmp_path}/far/records") if f.startswith("part-"))
+    again = {f: f.replace(f[:10], f"part-{99_999 + k}", 1) for k, f in enumerate(files)}
+    for f, new in again.items():
+        os.rename(f"{tmp_path}/far/records/{f}", f"{tmp_path}/far/records/{new}")
+        if os.path.exists(crc_file := f"{tmp_path}/far/records/.{f}.crc"):
+            os.remove(crc_file)
+    renamed = spark.createDataFrame(list(again.items()), "file string, new string")
+    spark.read.parquet(f"{tmp_path}/r/index").join(renamed, "file").withColumn("file", F.col("new")).drop("new").write.mode("overwrite").parquet(f"{tmp_path}/far/index")
+    assert {k: (r.start, r.ids_crc32) for k, r in by_id(records.read(spark, f"{tmp_path}/far")).items()} == {k: (r.start, r.ids_crc32) for k, r in got.items()}
     records.write(empty, f"{tmp_path}/e")
     assert records.read(spark, f"{tmp_path}/e").count() == 0
 
