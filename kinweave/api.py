@@ -92,10 +92,34 @@ def add_offer(net: Network, contact_id: int, text: str, now: str) -> Network:
     return _add_item(net, "offers", contact_id, text, now)
 
 
+def _item(net: Network, table: str, item_id: int) -> DataFrame:
+    """The id as a table; LookupError if there is no such item."""
+    ids = net[table].sparkSession.createDataFrame([(item_id,)], "id long")
+    mutations.require(net[table], ids, table.removesuffix("s"))
+    return ids
+
+
+def set_item_resolved(net: Network, table: str, item_id: int, now: str | None) -> Network:
+    """Resolves a need or an offer (table: needs, offers) at a time, or reopens it (None)."""
+    return net | {table: mutations.set_resolved(net[table], _item(net, table, item_id), now)}
+
+
 def resolve_need(net: Network, need_id: int, now: str) -> Network:
-    ids = net["needs"].sparkSession.createDataFrame([(need_id,)], "id long")
-    mutations.require(net["needs"], ids, "need")
-    return net | {"needs": mutations.set_resolved(net["needs"], ids, now)}
+    return set_item_resolved(net, "needs", need_id, now)
+
+
+def set_item_text(net: Network, table: str, item_id: int, text: str) -> Network:
+    return net | {table: mutations.set_text(net[table], _item(net, table, item_id).withColumn("text", F.lit(_text(text))))}
+
+
+def delete_item(net: Network, table: str, item_id: int) -> Network:
+    """Deletes a need, an offer, a note or a connection (table: needs, offers, notes, connections) by its id."""
+    return net | {table: mutations.delete_rows(net[table], _item(net, table, item_id))}
+
+
+def set_status(net: Network, contact_id: int, status: str, now: str) -> Network:
+    """Sets a contact active, archived or imported."""
+    return update_contact(net, contact_id, now, status=status)
 
 
 def add_note(net: Network, contact_id: int, body: str, now: str, occurred_on: str | None = None) -> Network:
@@ -120,14 +144,51 @@ def connect(net: Network, a: int, b: int, now: str, note: str | None = None) ->
     return net | {"connections": mutations.connect(net["connections"], pair, now)}
 
 
+def untag_contact(net: Network, contact_id: int, tag_id: int) -> Network:
+    """Unties a tag from a contact; the tag stays."""
+    C.require(net["contacts"], contact_id)
+    row = net["contact_tags"].sparkSession.createDataFrame([(contact_id, tag_id)], "contact_id long, tag_id long")
+    return net | {"contact_tags": mutations.unlink_tags(net["contact_tags"], row)}
+
+
+def search_tags(net: Network, prefix: str = "") -> DataFrame:
+    return C.search_tags(net["tags"], prefix)
+
+
+def board(net: Network) -> DataFrame:
+    """Active contacts by stage, with what they need first."""
+    return C.board(net["contacts"], net["needs"])
+
+
+def filter_options(net: Network) -> dict[str, DataFrame]:
+    """The cities and tags that lists can be filtered by."""
+    return {"cities": C.distinct_cities(net["contacts"]), "tags": C.search_tags(net["tags"], "")}
+
+
 def find_matches(net: Network, contact_id: int | None = None, query: str | None = None, limit: int = 10) -> DataFrame:
     if not 1 <= limit <= 10:
         raise ValueError("limit: 1 to 10")
     return matching.find_matches(net["contacts"], net["needs"], net["offers"], net["contact_tags"], net["tags"], contact_id=contact_id, query=query, limit=limit)
 
 
+#: Fixed value: rows that a preview shows.
+PREVIEW_ROWS = 10
+
+
+def preview_import(spark: SparkSession, path: str) -> dict[str, object]:
+    """What a file would be read as, before anything is imported: headers, the first rows as they are and as contacts, the suggested
+    mapping, the number of rows, warnings. ValueError for a file that is no upload (tabular.check_upload) or has no header."""
+    tabular.check_upload(spark, path)
+    rows, warnings = tabular.read(spark, path)
+    headers = [c for c in rows.columns if c != "row_number"]
+    found = mapping.suggest(headers)
+    first = rows.orderBy("row_number").limit(PREVIEW_ROWS)
+    return {"headers": headers, "rows": first, "mapped": mapping.map_rows(first, found.mapping), "suggestion": found, "problems": mapping.problems(found.mapping), "total_rows": rows.count(), "warnings": warnings}
+
+
 def import_file(net: Network, spark: SparkSession, path: str, now: str, columns: dict[str, str] | None = None, source: str | None = None, dry_run: bool = False) -> tuple[Network, DataFrame]:
-    """The network after an import, and each row's outcome; a dry run leaves the network as it is."""
+    """The network after an import, and each row's outcome; a dry run leaves the network as it is. ``resolve.report`` lists an outcome's
+    errors, skipped rows and matches by name."""
     rows, _ = tabular.read(spark, path)
     found = mapping.suggest([c for c in rows.columns if c != "row_number"])
     mapped = mapping.map_rows(rows, columns or found.mapping)

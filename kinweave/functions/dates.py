@@ -93,6 +93,13 @@ def shown(x: Column, absent: str = ABSENT) -> Column:
     return F.coalesce(F.concat(_named(F.dayofmonth(day), F.month(day)), F.lit(" "), F.year(day).cast("string")), F.lit(absent))
 
 
+def shown_time(x: Column, absent: str = ABSENT) -> Column:
+    """A day with its time, in the session's time zone: 14. Mrz 2023, 09:12. A day alone begins at midnight."""
+    value = trim(x)
+    at = F.when(is_iso(value), F.coalesce(F.try_to_timestamp(value), F.try_to_date(value, "yyyy-MM-dd").cast("timestamp")))
+    return F.when(at.isNull(), F.lit(absent)).otherwise(F.concat(shown(x, absent), F.lit(", "), F.date_format(at, "HH:mm")))
+
+
 def shown_birthday(x: Column, absent: str = ABSENT) -> Column:
     """A birthday as text, with its year or without: 14. Mrz."""
     value = trim(x)

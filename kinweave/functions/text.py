@@ -134,3 +134,8 @@ def referral_code(x: Column) -> Column:
     """Eight signs that depend on a value alone, as good as drawn."""
     each = (F.substring(F.lit(CODE_SIGNS), (F.pmod(F.xxhash64(x, F.lit(k)), F.lit(len(CODE_SIGNS))) + 1).cast("int"), F.lit(1)) for k in range(8))
     return F.concat(*each)
+
+
+def fresh_code(x: Column, tries: Column) -> Column:
+    """Another referral code of a value for each number of tries before; none before gives the first."""
+    return F.when(tries == 0, referral_code(x)).otherwise(referral_code(F.concat(x, F.lit("#"), tries.cast("string"))))

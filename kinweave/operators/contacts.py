@@ -177,3 +177,70 @@ def named_pairs(contacts: DataFrame, pairs: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         out = out.join(first.toDF(f"_{end}", end), X.person_name(F.col(f"name_{end}")) == F.col(f"_{end}"))
     return out.select("a", "b", "note")
+
+
+def sorted_items(items: Column) -> Column:
+    """A nested list of items, open ones first, then by time, then id."""
+    key = lambda x: F.struct(x["resolved_at"].isNotNull().alias("closed"), x["created_at"].alias("at"), x["id"].alias("id"), x.alias("item"))
+    return F.transform(F.array_sort(F.transform(items, key)), lambda x: x["item"])
+
+
+def sorted_notes(notes: Column) -> Column:
+    """A nested list of notes, the latest day first, those without a day last."""
+    key = lambda x: F.struct(x["occurred_on"].isNotNull().alias("dated"), x["occurred_on"].alias("day"), x["created_at"].alias("at"), x["note_id"].alias("id"), x.alias("note"))
+    return F.transform(F.sort_array(F.transform(notes, key), asc=False), lambda x: x["note"])
+
+
+def replaced_item(items: Column, item: Column) -> Column:
+    """The list with an item in place of the one of its id, in order again; an id that it lacks changes nothing."""
+    return sorted_items(F.transform(items, lambda x: F.when(x["id"] == item["id"], item).otherwise(x)))
+
+
+def list_rows(details: DataFrame) -> DataFrame:
+    """List rows of details, from their nested lists alone: the open needs counted, tag names kept; offers and notes left out."""
+    opened = F.size(F.filter(F.coalesce("needs", F.array().cast(details.schema["needs"].dataType)), lambda x: x["resolved_at"].isNull()))
+    rest = [c for c in details.columns if c not in ("needs", "offers", "tags", "notes")]
+    return details.select(*rest, opened.alias("open_needs_count"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+
+
+def moved(cards: DataFrame, moves: DataFrame) -> DataFrame:
+    """A board's cards (stage, id, name, position and others) after moves (id, stage): each card leaves its column and is put in the
+    other's order; the last move of a card counts (by ``seq``, where moves have it). Unknown ids and moves to where a card is change nothing."""
+    seq = F.col("seq") if "seq" in moves.columns else F.lit(0)
+    last = moves.dropna(subset=["id", "stage"]).groupBy("id").agg(F.max_by("stage", F.struct(seq, "stage")).alias("_to"))
+    rows = cards.where("id is not null").join(last, "id", "left").withColumn("stage", F.coalesce("_to", "stage")).drop("_to", "position", "ord")
+    return numbered(rows, [X.nocase(F.col("name")), "id"], "position", ["stage"])
+
+
+def options_with(options: DataFrame, needle: str, *columns: str) -> DataFrame:
+    """Rows whose text columns, put together, contain a text, without case; a blank one finds all."""
+    wanted = needle.strip().lower()
+    return options.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(wanted))) if wanted else options
+
+
+def counted_page(rows: DataFrame, limit: int, order: Sequence[Column | str]) -> DataFrame:
+    """The first rows in order with total_matches, returned and truncated, so that a cut list says so."""
+    total = rows.agg(F.count("*").alias("total_matches"))
+    page = rows.orderBy(*order).limit(limit).join(F.broadcast(total))
+    return page.withColumns({"returned": F.least("total_matches", F.lit(limit).cast("long")), "truncated": F.col("total_matches") > limit})
+
+
+# The fields of a contact that calls hand out, and those of a candidate.
+CORE = ("id", "name", "status", "stage", "role", "company", "title", "city", "country", "email", "phone", "linkedin_url", "birthday", "how_we_met", "closeness", "source", "last_contact_at")
+CANDIDATE = ("id", "name", "role", "company", "title", "city", "stage")
+
+
+def shaped(details: DataFrame, notes: bool = False) -> DataFrame:
+    """json of each detail: core fields, needs and offers with ``open``, tag names; notes only if asked for. Nulls are dropped."""
+    item = lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"), x["resolved_at"].isNull().alias("open"), x["resolved_at"].alias("resolved_at"))
+    nested = lambda name: F.coalesce(F.transform(name, item), F.array().cast("array<struct<id:bigint,text:string,open:boolean,resolved_at:string>>")).alias(name)
+    parts = [*CORE, nested("needs"), nested("offers"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags")]
+    if notes:
+        parts.append(F.transform("notes", lambda n: F.struct(n["note_id"].alias("id"), n["occurred_on"].alias("occurred_on"), n["body"].alias("body"))).alias("notes"))
+    return details.select("id", F.to_json(F.struct(*parts)).alias("json"))
+
+
+def shaped_matches(found: DataFrame, contacts: DataFrame) -> DataFrame:
+    """json of each candidate (id, place, matched_on): its contact's short form and the evidence."""
+    rows = found.join(contacts.select(F.col("id"), F.struct(*CANDIDATE).alias("contact")), "id")
+    return rows.select("place", "id", F.to_json(F.struct("contact", "matched_on")).alias("json"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import FILLABLE
+from ..sources.scratch import settle
 from .ranks import numbered
 
 
@@ -192,3 +193,25 @@ def unseed(contacts: DataFrame, people: DataFrame) -> DataFrame:
     """The ids of contacts that seeding these people would add."""
     key = F.concat(X.person_name(F.col("name")), F.lit("::"), X.norm_text(F.coalesce("company", F.lit(""))))
     return contacts.withColumn("_key", key).join(people.select(key.alias("_key")).distinct(), "_key", "left_semi").select("id")
+
+
+def canonical_hosts(contacts: DataFrame) -> DataFrame:
+    """Addresses of the profile network under any of its hosts go to its main host, the rest of the address kept; https ones alone."""
+    url = F.col("linkedin_url")
+    host = F.lower(F.regexp_extract(url, "^https://([^/]*)", 1))
+    own = (host != "www.linkedin.com") & ((host == "linkedin.com") | host.endswith(".linkedin.com"))
+    return contacts.withColumn("linkedin_url", F.when(own, F.concat(F.lit("https://www.linkedin.com"), F.regexp_replace(url, "^https://[^/]*", ""))).otherwise(url))
+
+
+def with_codes(entries: DataFrame, key: str, taken: DataFrame) -> DataFrame:
+    """entries with a referral_code each that no other entry and no row of taken (referral_code) has: whoever comes later by key gets
+    another one, until all differ."""
+    rows = settle(entries.withColumn("_try", F.lit(0)), "codes")
+    while True:
+        coded = rows.withColumn("referral_code", X.fresh_code(F.col(key).cast("string"), F.col("_try")))
+        known = taken.select("referral_code").distinct().withColumn("_known", F.lit(True))
+        first = F.row_number().over(W.partitionBy("referral_code").orderBy("_try", key)) > 1
+        coded = coded.join(known, "referral_code", "left").withColumn("_again", first | F.coalesce("_known", F.lit(False))).drop("_known")
+        if coded.where("_again").isEmpty():
+            return coded.drop("_again", "_try")
+        rows = settle(coded.withColumn("_try", F.col("_try") + F.col("_again").cast("int")).drop("_again", "referral_code"), "codes")

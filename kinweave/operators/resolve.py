@@ -200,3 +200,16 @@ def summary(outcomes: DataFrame) -> DataFrame:
 def histogram(outcomes: DataFrame, column: str = "reason") -> DataFrame:
     """Values of a column with their counts and the first row that has each, in order of appearance."""
     return outcomes.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"), F.min("row_number").alias("first_row")).orderBy("first_row")
+
+
+def report(outcomes: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
+    """section, row_number, text of an import: errors, skipped rows, rows matched by name alone, and dropped values of the mapped rows
+    (row_number, dropped)."""
+    why = F.coalesce("reason", F.lit("no reason given"))
+    by_name = F.when(F.col("outcome") == "enriched", F.concat(F.lit("filled contact "), F.col("contact_id").cast("string"))).otherwise(F.concat(F.lit("skipped: "), why))
+    line = lambda rows, section, text: rows.select(F.lit(section).alias("section"), "row_number", text.alias("text"))
+    out = line(outcomes.where("outcome = 'error'"), "errors", why).unionByName(line(outcomes.where("outcome = 'skipped'"), "skipped", why)).unionByName(line(outcomes.where("matched_by = 'name'"), "name_matches", by_name))
+    if mapped is not None:
+        dropped = mapped.select("row_number", F.explode("dropped").alias("d"))
+        out = out.unionByName(line(dropped, "dropped", F.concat(F.col("d.reason"), F.lit(': "'), F.col("d.value"), F.lit('"'))))
+    return out

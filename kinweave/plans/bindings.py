@@ -656,3 +656,46 @@ _WAITING = """select c_custkey as id, case c_custkey % 9 when 0 then concat(' ',
 def q_waitlist_entries(spark, sf_dir):
     entry = phones.waitlist_entry(F.col("raw"))
     return spark.sql(_WAITING, customer=_table(spark, sf_dir, "customer")).select("id", entry["kind"].alias("kind"), entry["value"].alias("value"))
+
+
+@_query(f"""{_with("contacts", "needs", "tags", "contact_tags")} select c.id, c.name, {_OPEN}::int as open_needs_count,
+    coalesce((select string_agg(t.name, ',' order by t.name) from contact_tags l join tags t on l.tag_id = t.id where l.contact_id = c.id), '') as tags from contacts c""")
+def q_list_rows_of_details(spark, sf_dir):
+    detail = C.detail(*network(spark, sf_dir, "contacts", "needs", "offers", "contact_tags", "tags", "notes"))
+    return C.list_rows(detail).select("id", "name", "open_needs_count", F.array_join("tags", ",").alias("tags"))
+
+
+@_query(f"""{_with("contacts")}, cards as (select id, name, case when id % 4 = 0 then 'close' when id % 9 = 0 then 'new' else stage end as stage from contacts where status = 'active')
+    select stage, id, row_number() over (partition by stage order by lower(name), id)::bigint as position from cards""")
+def q_board_moved(spark, sf_dir):
+    """Cards move to other columns, some twice, some to where they are, some that aren't there."""
+    contacts, needs = network(spark, sf_dir, "contacts", "needs")
+    moves = contacts.selectExpr("id", "1 seq", "if(id % 9 = 0, 'new', null) stage").unionByName(contacts.selectExpr("id", "2 seq", "if(id % 4 = 0, 'close', null) stage")).unionByName(contacts.selectExpr("-1 - id id", "3 seq", "'new' stage"))
+    return C.moved(C.board(contacts, needs), moves).select("stage", "id", "position")
+
+
+@_query(f"""{_with("contacts", "needs")}, r as (select n.contact_id as id, list(struct_pack(closed := n.resolved_at is not null or n.id % 3 = 0, at := n.created_at, id := n.id) order by n.resolved_at is not null or n.id % 3 = 0, n.created_at, n.id) as l from needs n group by 1)
+    select id, array_to_string(list_transform(l, lambda x: x.id), ',') as ids from r""")
+def q_items_replaced(spark, sf_dir):
+    """Every third item of a nested list is replaced by its resolved form, one after another, and each list is in order again."""
+    needs = network(spark, sf_dir, "needs")[0].withColumn("resolved_at", F.when(F.col("id") % 3 == 0, F.coalesce("resolved_at", F.lit("2025-01-01"))).otherwise(F.col("resolved_at")))
+    lists = network(spark, sf_dir, "needs")[0].groupBy(F.col("contact_id").alias("id")).agg(F.collect_list(F.struct("id", "text", "created_at", "resolved_at")).alias("items"))
+    new = needs.where("id % 3 = 0").groupBy(F.col("contact_id").alias("id")).agg(F.collect_list(F.struct("id", "text", "created_at", "resolved_at")).alias("new"))
+    held = lists.join(new, "id", "left").select("id", F.aggregate(F.coalesce("new", F.array().cast(lists.schema["items"].dataType)), C.sorted_items(F.col("items")), lambda l, x: C.replaced_item(l, x)).alias("items"))
+    return held.select("id", F.array_join(F.transform("items", lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
+@_query(f"""{_with("contacts")} select id, total_matches, least(total_matches, 20)::bigint as returned, total_matches > 20 as truncated
+    from (select id, lower(name) as n, count(*) over ()::bigint as total_matches from contacts where lower(coalesce(name, '') || coalesce(' ' || company, '')) like '%auto%') order by n, id limit 20""")
+def q_topk_truncated_counts(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    return C.counted_page(C.options_with(contacts, " AUTO", "name", "company"), 20, [F.lower("name"), "id"]).select("id", "total_matches", "returned", "truncated")
+
+
+_HOSTED = "select c_custkey as id, concat(case c_custkey % 5 when 0 then 'https://linkedin.com' when 1 then 'https://de.LinkedIn.com' when 2 then 'http://linkedin.com' when 3 then 'https://www.linkedin.com' else 'https://notlinkedin.com' end, case when c_custkey % 7 = 0 then '' else concat('/in/', c_name) end) as linkedin_url from {customer}"
+
+
+@_query(f"""with u as ({_HOSTED.replace("{customer}", "customer")}), h as (select *, lower(regexp_extract(linkedin_url, '^https://([^/]*)', 1)) as host from u)
+    select id, case when host = 'linkedin.com' or (host like '%.linkedin.com' and host <> 'www.linkedin.com') then 'https://www.linkedin.com' || substr(linkedin_url, 9 + len(host)) else linkedin_url end as linkedin_url from h""")
+def q_hosts_migrated(spark, sf_dir):
+    return mutations.canonical_hosts(spark.sql(_HOSTED, customer=_table(spark, sf_dir, "customer"))).select("id", "linkedin_url")

@@ -37,6 +37,11 @@ CONNECTIONS = _table("id:long contact_a_id:long contact_b_id:long note:string cr
 FILLABLE = ("role", "company", "title", "city", "country", "email", "phone", "linkedin_url", "birthday", "how_we_met", "closeness", "last_contact_at")
 
 
+def label(x: Column) -> Column:
+    """What a value of a closed set is called; other values stay as they are."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(t) for pair in LABELS.items() for t in pair)), x), x)
+
+
 def utf16_length(x: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
     return F.char_length(x) + F.char_length(F.regexp_replace(x, r"[\x{0}-\x{FFFF}]", ""))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from . import catalog
+from .scratch import settle
 
 
 class Conflict(RuntimeError):
@@ -72,6 +73,11 @@ def append_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def replace_json_lines(rows: DataFrame, path: str) -> None:
+    """Rewrites all lines, also where rows come from these: new files first, then the old ones go."""
+    settle(rows, "lines").write.mode("overwrite").json(path)
+
+
 def read_database(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table behind JDBC; partition options split the read over executors."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()

@@ -16,6 +16,8 @@ from . import records, workbook
 
 #: Lines that decide the delimiter, rows among which a header is looked for, and the largest workbook in bytes.
 HEAD_LINES, HEADER_ROWS, MAX_WORKBOOK = 300, 15, 20_000_000
+#: The extensions of an upload.
+EXTENSIONS = (".csv", ".xlsx", ".xls")
 _DELIMITERS = (",", ";", "\t", "|")
 _number = re.compile(r"^[+-]?\d+(?:[.,]\d+)?$")
 
@@ -125,6 +127,21 @@ def read(spark: SparkSession, path: str, sheet: str | int | None = None) -> tupl
     return filled.select((F.col("number") - start).alias("row_number"), *(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(names[k]) for k in kept)), warnings
 
 
+def check_upload(spark: SparkSession, path: str, most: int = MAX_WORKBOOK) -> int:
+    """The size of an uploaded file in bytes; ValueError for an empty or too large one, or an extension that is not read."""
+    name = path.rsplit("/", 1)[-1]
+    extension = f".{name.rsplit('.', 1)[-1].lower()}" if "." in name else ""
+    if extension not in EXTENSIONS:
+        raise ValueError(f"files with the extension {extension or name} are not read; {', '.join(EXTENSIONS)} are")
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(file).getLen()
+    if not size:
+        raise ValueError("the file is empty")
+    if size > most:
+        raise ValueError(f"the file is larger than {most} bytes")
+    return size
+
+
 def _by_spark(spark: SparkSession, path: str, grid: list, delimiter: str, guess: bool) -> DataFrame:
     """number, cells of a file whose lines are records."""
     # Spark reads no windows-1252: as Latin-1 only bytes 80 to 9F differ, and those are put right afterwards.

@@ -2,9 +2,11 @@
 
 import csv
 import io
+import json
 import os
 import sqlite3
 import zipfile
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -23,7 +25,7 @@ from kinweave.operators import mapping, matching, mutations, postings, ranks, re
 from kinweave.operators.ranks import numbered
 from kinweave.plans import bindings
 from kinweave import api
-from kinweave.schemas import CONNECTIONS, CONTACT_TAGS, CONTACTS, ITEMS, NOTES, TAGS, validate
+from kinweave.schemas import CONNECTIONS, CONTACT_TAGS, CONTACTS, ITEMS, NOTES, TAGS, label, validate
 from kinweave.sources import catalog, database, store, tabular, workbook
 from kinweave.streaming import imports, index, rates
 
@@ -611,3 +613,54 @@ def test_database_upsert(spark, tmp_path):
         call(rows.withColumn("email", F.expr("if(k = 3, raise_error('broken'), 'fresh@x.org')")))
     with embedded(url) as c:
         assert c.execute("select count(*) from waitlist where email = 'fresh@x.org'").fetchone() == (0,)
+
+
+def test_calls_of_a_detail_page(spark, tmp_path):
+    """Reopening, editing and deleting items, status, untagging, disconnecting; what a call hands out; a preview before an import."""
+    names = {"contacts": CONTACTS, "needs": ITEMS, "offers": ITEMS, "notes": NOTES, "tags": TAGS, "contact_tags": CONTACT_TAGS, "connections": CONNECTIONS}
+    net = {k: spark.createDataFrame([], v) for k, v in names.items()}
+    net |= {"contacts": people(spark, [{"id": 1, "name": "Zoe", "stage": "new"}, {"id": 2, "name": "Al", "stage": "close"}]), "needs": items(spark, [(1, 1, "late", "2024-02-01", "2024-03-01"), (2, 1, "open", "2024-01-01", None)]), "offers": items(spark, [(5, 2, "help", "2024-01-01", None)])}
+    net |= {"tags": spark.createDataFrame([(7, "vip")], TAGS), "contact_tags": spark.createDataFrame([(1, 7)], CONTACT_TAGS), "connections": spark.createDataFrame([(3, 1, 2, None, "2024")], CONNECTIONS), "notes": spark.createDataFrame([(9, 1, "secret", "2024-01-05", "2024")], NOTES)}
+    rows = lambda net, table: [tuple(r) for r in net[table].orderBy("id" if "id" in net[table].columns else "tag_id").collect()]
+    assert [r[4] for r in rows(api.set_item_resolved(net, "needs", 1, None), "needs")] == [None, None]
+    assert rows(api.set_item_resolved(net, "offers", 5, "2025"), "offers")[0][4] == "2025" and rows(api.set_item_text(net, "offers", 5, " new "), "offers")[0][2] == "new"
+    for table, k in (("needs", 2), ("offers", 5), ("notes", 9), ("connections", 3)):
+        assert k not in [r[0] for r in rows(api.delete_item(net, table, k), table)]
+        with pytest.raises(LookupError):
+            api.delete_item(net, table, 99)
+    assert api.set_status(net, 1, "archived", "2025")["contacts"].where("status = 'archived'").count() == 1 and rows(api.untag_contact(net, 1, 7), "contact_tags") == []
+    assert [r.name for r in api.search_tags(net, "VI").collect()] == ["vip"] and [(r.stage, r.id) for r in api.board(net).where("id is not null").orderBy("id").collect()] == [("new", 1), ("close", 2)]
+    detail = api.get_contact(net, 1, include_notes=True)
+    plain, noted = (json.loads(C.shaped(detail, notes).first().json) for notes in (False, True))
+    assert plain["needs"] == [{"id": 2, "text": "open", "open": True}, {"id": 1, "text": "late", "open": False, "resolved_at": "2024-03-01"}] and plain["tags"] == ["vip"] and plain["offers"] == [] and "notes" not in plain and "company" not in plain
+    assert noted["notes"] == [{"id": 9, "occurred_on": "2024-01-05", "body": "secret"}]
+    found = spark.createDataFrame([(1, 2, [("offer", "help", "he")])], "place int, id long, matched_on array<struct<kind:string,text:string,term:string>>")
+    assert json.loads(C.shaped_matches(found, net["contacts"]).first().json) == {"contact": {"id": 2, "name": "Al", "stage": "close"}, "matched_on": [{"kind": "offer", "text": "help", "term": "he"}]}
+    path = tmp_path / "new.csv"
+    path.write_text("First Name,E-Mail,Connected On,x\n" + "Al,al@x.org,2024-01-01,1\n" * 12 + ",,,\nZoe,bad,soon,2\n")
+    seen = api.preview_import(spark, str(path))
+    assert seen["headers"] == ["First Name", "E-Mail", "Connected On", "x"] and seen["total_rows"] == 13 and seen["rows"].count() == 10 and not seen["suggestion"].confident and seen["suggestion"].unmapped == ["x"]
+    _, outcomes = api.import_file(net, spark, str(path), "2025", dry_run=True)
+    mapped = mapping.map_rows(tabular.read(spark, str(path))[0], seen["suggestion"].mapping)
+    lines = Counter(r.section for r in resolve.report(outcomes, mapped).collect())
+    assert lines == {"skipped": 13, "name_matches": 13, "dropped": 2}  # a match by name writes no e-mail, so the next row finds none
+    for name, fault in (("a.txt", "extension"), ("none.csv", "empty"), ("new.csv", "larger")):
+        (tmp_path / "none.csv").write_text("")
+        with pytest.raises(ValueError, match=fault):
+            tabular.check_upload(spark, str(tmp_path / name), 10)
+
+
+def test_more_helpers(spark, tmp_path):
+    shown = lambda x: value(spark, D.shown_time(F.lit(x).cast("string")))
+    assert [shown(x) for x in ("2023-03-14T09:12:31Z", "2023-03-14", "2023-02-30", None)] == ["14. Mrz 2023, 09:12", "14. Mrz 2023, 00:00", "–", "–"]
+    assert value(spark, label(F.lit("new"))) == "Neu" and value(spark, label(F.lit("?"))) == "?"
+    store.append_json_lines(spark.range(3), str(tmp_path / "lines"))
+    lines = store.read_json_lines(spark, str(tmp_path / "lines"), "id long")
+    store.replace_json_lines(lines.where("id > 0"), str(tmp_path / "lines"))
+    assert sorted(r.id for r in store.read_json_lines(spark, str(tmp_path / "lines"), "id long").collect()) == [1, 2]
+    entries = spark.createDataFrame([(k, f"e{k % 15}@x.org") for k in range(30)], "k long, email string")
+    taken = entries.where("k = 0").select(X.referral_code(F.col("email")).alias("referral_code"))
+    codes = [r.referral_code for r in mutations.with_codes(entries.select(F.concat("email", F.lit("")).alias("email")).distinct(), "email", taken).collect()]
+    assert len(set(codes)) == 15 and taken.first().referral_code not in codes
+    notes = spark.createDataFrame([([(1, "2024-01-01", "a"), (2, None, "z"), (3, "2024-02-01", "a"), (4, "2024-02-01", "b")],)], "n array<struct<note_id:long,occurred_on:string,created_at:string>>")
+    assert [x.note_id for x in notes.select(C.sorted_notes(F.col("n")).alias("n")).first().n] == [4, 3, 1, 2]
