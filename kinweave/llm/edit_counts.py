@@ -4,7 +4,8 @@ Leaves are blocks of neighbouring pre-tokens with their characters and token cou
 nodes hold sums. An edit finds its block by descending the tree, starts again at a
 pre-token boundary a few characters before the edit, and stops at the first old boundary
 after it: the rule only looks ahead, so all beyond is as before. Only touched leaves and
-their ancestors change.
+their ancestors change. Trees are kept as a table, with the text and the sums of each leaf:
+edits read it, and give it back with the leaves that they changed.
 """
 
 from __future__ import annotations
@@ -54,18 +55,52 @@ def counter(name: str) -> Counter:
 
 
 class Tree:
-    """blocks[k]: the pre-tokens of leaf k. chars and tokens: a binary tree each in an array, leaves from ``width`` on."""
+    """Leaves from ``width`` on, inner nodes below. chars and tokens: a binary tree each in an array. A leaf's pre-tokens are cut out of
+    its stored text only where an edit touches it."""
 
     def __init__(self, text: str, coder: Counter):
         self.coder, self.encoded = coder, 0
         self._build(coder.rule.findall(text))
 
+    @classmethod
+    def stored(cls, leaves: list[dict], coder: Counter) -> Tree:
+        """The tree of stored leaves: sums are taken from them, nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.coder, tree.encoded = coder, 0
+        tree.kept = [(x["text"], np.frombuffer(x["cuts"], "<u4")) for x in leaves] or [("", np.zeros(0, "<u4"))]
+        tree.blocks = [None] * len(tree.kept)
+        tree._sum([len(t) for t, _ in tree.kept], [x["tokens"] for x in leaves] or [0])
+        return tree
+
+    def leaves(self) -> list[dict]:
+        """What ``stored`` takes."""
+        return [{"text": t, "cuts": c.tobytes(), "tokens": self.tokens[self.width + k]} for k, (t, c) in ((k, self._kept(k)) for k in range(len(self.blocks)))]
+
+    def _kept(self, k: int) -> tuple[str, np.ndarray]:
+        return self.kept[k] if self.blocks[k] is None else ("".join(self.blocks[k]), np.array([len(w) for w in self.blocks[k]], "<u4"))
+
+    def block(self, k: int) -> list[str]:
+        """The pre-tokens of a leaf."""
+        if self.blocks[k] is None:
+            text, cuts = self.kept[k]
+            ends = np.cumsum(cuts).tolist()
+            self.blocks[k] = [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        return self.blocks[k]
+
+    @property
+    def pretokens(self) -> int:
+        return sum(len(self.kept[k][1]) if b is None else len(b) for k, b in enumerate(self.blocks))
+
     def _build(self, words: list[str]) -> None:
         self.blocks = [words[k : k + LEAF] for k in range(0, len(words), LEAF)] or [[]]
-        self.width = 1 << (len(self.blocks) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, block in enumerate(self.blocks):
-            self.chars[self.width + k], self.tokens[self.width + k] = self._sums(block)
+        self.kept = [None] * len(self.blocks)
+        sums = [self._sums(b) for b in self.blocks]
+        self._sum([c for c, _ in sums], [t for _, t in sums])
+
+    def _sum(self, chars: list[int], tokens: list[int]) -> None:
+        self.width = 1 << (len(chars) - 1).bit_length()
+        rest = [0] * (self.width - len(chars))
+        self.chars, self.tokens = [0] * self.width + chars + rest, [0] * self.width + tokens + rest
         for k in range(self.width - 1, 0, -1):
             self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
 
@@ -99,17 +134,17 @@ class Tree:
         removed = max(0, min(removed, self.chars[1] - at))
         first, before = self._leaf(max(0, at - BACK))
         keep, place = 0, before
-        while keep < len(self.blocks[first]) and place + len(self.blocks[first][keep]) <= at - BACK:
-            place += len(self.blocks[first][keep])
+        while keep < len(self.block(first)) and place + len(self.block(first)[keep]) <= at - BACK:
+            place += len(self.block(first)[keep])
             keep += 1
         # Old text from the boundary on, as many leaves as it takes until old and new boundaries meet.
-        last, old = first, self.blocks[first][keep:]
+        last, old = first, self.block(first)[keep:]
         while last + 1 < len(self.blocks) and place + sum(map(len, old)) < at + removed:
             last += 1
-            old = old + self.blocks[last]
+            old = old + self.block(last)
         while True:
             ends_here = last + 1 >= len(self.blocks)
-            ahead = "" if ends_here else "".join(self.blocks[last + 1])
+            ahead = "" if ends_here else "".join(self.block(last + 1))
             text = "".join(old)
             new_text = text[: at - place] + inserted + text[at - place + removed :]
             scanned = self.coder.rule.findall(new_text + ahead)
@@ -133,43 +168,85 @@ class Tree:
             if stop is not None:
                 break
             last += 1
-            old = old + self.blocks[last]
+            old = old + self.block(last)
         self.encoded += len(fresh)
-        self._set(first, self.blocks[first][:keep] + fresh + old[stop:])
+        self._set(first, self.block(first)[:keep] + fresh + old[stop:])
         for k in range(first + 1, last + 1):
             self._set(k, [])
         if len(self.blocks[first]) > 16 * LEAF:
-            self._build([w for b in self.blocks for w in b])
+            self._split(first)
+
+    def _split(self, k: int) -> None:
+        """Deals a leaf that has grown over several; the others keep their sums."""
+        words, n = self.blocks[k], len(self.blocks)
+        parts = [words[j : j + LEAF] for j in range(0, len(words), LEAF)]
+        sums = [self._sums(b) for b in parts]
+        chars, tokens = self.chars[self.width : self.width + n], self.tokens[self.width : self.width + n]
+        self.blocks[k : k + 1], self.kept[k : k + 1] = parts, [None] * len(parts)
+        self._sum([*chars[:k], *(c for c, _ in sums), *chars[k + 1 :]], [*tokens[:k], *(t for _, t in sums), *tokens[k + 1 :]])
 
     def text(self) -> str:
-        return "".join(w for b in self.blocks for w in b)
+        return "".join(self._kept(k)[0] for k in range(len(self.blocks)))
 
 
-def count(docs: DataFrame, edits: DataFrame | None = None, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """doc_id, n_before, n_tokens (after its edits), n_pretokens (before), n_reencoded pre-tokens.
+#: A stored tree: each leaf's text, the characters of its pre-tokens (four bytes each), its tokens.
+_LEAVES = "array<struct<text:string,cuts:binary,tokens:int>>"
+_LEAF_TYPE = pa.list_(pa.struct([("text", pa.string()), ("cuts", pa.binary()), ("tokens", pa.int32())]))
+_COUNTS = ("n_before", "n_tokens", "n_pretokens", "n_reencoded")
 
-    edits: doc_id, edits array<struct<at int, removed int, inserted string>>, applied in that order, one row a
-    document; or the column ``edits`` in docs. A null text is empty; null edits are none; fields that are null are 0 or empty.
-    """
+
+def plant(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """docs (text and others) with ``leaves``, a segment tree of each whole text, in place of the text. A null text is empty."""
     base.short_batches(docs.sparkSession)
-    if edits is not None:
-        docs = base.only(docs, "doc_id", "text").join(edits.select("doc_id", "edits"), "doc_id", "left")
 
-    def counted(batches):
+    def planted(batches):
+        coder = counter(tokenizer)
+        for batch in batches:
+            trees = pa.array([Tree(t or "", coder).leaves() for t in batch.column("text").to_pylist()], _LEAF_TYPE)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), trees], names=[*rest, "leaves"])
+        base.give_back()
+
+    rest = [c for c in docs.columns if c not in ("text", "leaves")]
+    kinds = dict(docs.dtypes)
+    return docs.select(*rest, "text").mapInArrow(planted, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"leaves {_LEAVES}"]))
+
+
+def edited(trees: DataFrame, keep: bool = True, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """doc_id, n_before, n_tokens (after its edits), n_pretokens (before), n_reencoded pre-tokens, and with ``keep`` the leaves after the
+    edits, to be stored in place of the old ones.
+
+    trees: doc_id, leaves, edits array<struct<at int, removed int, inserted string>>, applied in that order. What no edit touches is
+    neither cut nor encoded: its sums are those that are stored. Null edits are none; fields that are null are 0 or empty.
+    """
+    base.short_batches(trees.sparkSession)
+
+    def applied(batches):
         coder = counter(tokenizer)
         for batch in batches:
-            rows = []
-            for doc, text, changes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits")), strict=True):
-                tree = Tree(text or "", coder)
-                before, pretokens = tree.total, sum(map(len, tree.blocks))
+            rows, leaves = [], []
+            for doc, held, changes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "leaves", "edits")), strict=True):
+                tree = Tree.stored(held or [], coder)
+                before, pretokens = tree.total, tree.pretokens
                 for e in changes or []:
                     if e is not None:
                         tree.edit(e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
                 rows.append((doc, before, tree.total, pretokens, tree.encoded))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names)
+                if keep:
+                    leaves.append(tree.leaves())
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(leaves, _LEAF_TYPE)] if keep else [])], names=names)
+        base.give_back()
 
-    names = ["doc_id", "n_before", "n_tokens", "n_pretokens", "n_reencoded"]
-    return docs.select("doc_id", "text", "edits").mapInArrow(counted, ", ".join(f"{n} long" for n in names))
+    names = ["doc_id", *_COUNTS, *(["leaves"] if keep else [])]
+    return trees.select("doc_id", "leaves", "edits").mapInArrow(applied, ", ".join([*(f"{n} long" for n in ("doc_id", *_COUNTS)), *([f"leaves {_LEAVES}"] if keep else [])]))
+
+
+def count(docs: DataFrame, edits: DataFrame | None = None, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """doc_id, n_before, n_tokens, n_pretokens, n_reencoded, as ``edited`` gives them: each whole text's tree is planted and stored,
+    then read and edited. edits: doc_id, edits, one row a document; or the column ``edits`` in docs."""
+    if edits is not None:
+        docs = base.only(docs, "doc_id", "text").join(edits.select("doc_id", "edits"), "doc_id", "left")
+    return edited(base.settle(plant(docs.select("doc_id", "text", "edits"), tokenizer), "trees"), False, tokenizer)
 
 
 def sample_edits(docs: DataFrame) -> DataFrame:

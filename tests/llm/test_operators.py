@@ -343,6 +343,31 @@ def test_edit_counts(docs):
         assert r.n_tokens == len(coder.coder.encode_ordinary(text))
 
 
+def test_kept_trees_follow_edits(spark, docs, tmp_path):
+    """Trees are stored, edited, stored again and edited once more: counts are those of the texts, and work follows the edits alone."""
+    coder, deal = edit_counts.counter("byte_bpe_50k.tiktoken"), np.random.default_rng(16)
+    texts = {k: t or "" for k, t in enumerate(TEXTS)}
+    edit_counts.plant(docs.select("doc_id", "text")).write.parquet(f"{tmp_path}/trees0")
+    for step in range(3):
+        made = {}
+        for k, t in texts.items():
+            made[k] = [(int(deal.integers(0, len(t) + 2)), int(deal.integers(0, 30)), str(deal.choice(["", " x", "'ll", "\n\n", "é12 ", "word " * 3000]))) for _ in range(3)]
+            for at, removed, new in made[k]:
+                at = min(at, len(t))
+                t = t[:at] + new + t[at + removed :]
+            texts[k] = t
+        edits = spark.createDataFrame(list(made.items()), "doc_id long, edits array<struct<at int, removed int, inserted string>>")
+        out = edit_counts.edited(spark.read.parquet(f"{tmp_path}/trees{step}").join(edits, "doc_id", "left"))
+        out.write.parquet(f"{tmp_path}/trees{step + 1}")
+        got = by_id(spark.read.parquet(f"{tmp_path}/trees{step + 1}"))
+        for k, t in texts.items():
+            assert got[k].n_tokens == len(coder.coder.encode_ordinary(t)) == sum(x.tokens for x in got[k].leaves) and "".join(x.text for x in got[k].leaves) == t
+            assert got[k].n_reencoded <= 3 * 3000 + 600 * 3
+    tree = edit_counts.Tree.stored(edit_counts.Tree(LONG, coder).leaves(), coder)
+    tree.edit(len(LONG) // 2, 3, "abc")
+    assert sum(b is not None for b in tree.blocks) <= 3 and tree.encoded < 100  # nothing else was cut or encoded
+
+
 def test_vectors(spark):
     random = np.random.default_rng(1)
     centre = random.standard_normal((5, 16))
