@@ -19,7 +19,7 @@ from ..functions import text as X
 from ..operators import contacts as C
 from ..operators import mapping, matching, mutations, postings, resolve, search
 from ..operators.ranks import numbered
-from ..schemas import STAGES, validate
+from ..schemas import STAGES, is_web_email, validate
 from ..sources.scratch import scratch
 from ..sources.tabular import is_header_column
 from ..streaming import rates
@@ -699,3 +699,109 @@ _HOSTED = "select c_custkey as id, concat(case c_custkey % 5 when 0 then 'https:
     select id, case when host = 'linkedin.com' or (host like '%.linkedin.com' and host <> 'www.linkedin.com') then 'https://www.linkedin.com' || substr(linkedin_url, 9 + len(host)) else linkedin_url end as linkedin_url from h""")
 def q_hosts_migrated(spark, sf_dir):
     return mutations.canonical_hosts(spark.sql(_HOSTED, customer=_table(spark, sf_dir, "customer"))).select("id", "linkedin_url")
+
+
+@_query(f"""{_with("contacts", "needs")}, kept as (select id, contact_id, case when text = '1-URGENT' then 'Very urgent' else text end as text, created_at,
+      case text when '5-LOW' then coalesce(resolved_at, '2025-01-01') when '2-HIGH' then null else resolved_at end as resolved_at from needs where text <> '4-NOT SPECIFIED')
+    select * from kept union all select (select max(id) from kept) + row_number() over (order by id), id, 'call back', '2025-01-01', null from contacts""")
+def q_items_changed(spark, sf_dir):
+    """Needs of one priority get another text, others are resolved, reopened or deleted; then each contact gets one more."""
+    contacts, needs = network(spark, sf_dir, "contacts", "needs")
+    of = lambda text: needs.where(F.col("text") == text)
+    changed = mutations.set_text(needs, of("1-URGENT").select("id", F.lit("Very urgent").alias("text")))
+    changed = mutations.set_resolved(mutations.set_resolved(changed, of("5-LOW"), "2025-01-01"), of("2-HIGH"), None)
+    changed = mutations.delete_rows(changed, of("4-NOT SPECIFIED"))
+    return mutations.add_items(changed, contacts.select(F.col("id").alias("contact_id"), F.lit("call back").alias("text")), "2025-01-01")
+
+
+@_query(f"""{_with("contacts", "notes")}, new as (select id as contact_id, case when city is null then '1990-01-01' else '2025-02-03' end as occurred_on from contacts)
+    select c.id, greatest(c.last_contact_at, max(w.occurred_on)) as last_contact_at, (select count(*) from notes n where n.contact_id = c.id)::bigint + count(w.contact_id)::bigint as n_notes,
+      (select max(id) from notes) + row_number() over (order by c.id) as note_id from contacts c join new w on w.contact_id = c.id group by c.id, c.last_contact_at""")
+def q_notes_added(spark, sf_dir):
+    """A note for each contact, of an old day where it has no city and of today elsewhere."""
+    contacts, notes = network(spark, sf_dir, "contacts", "notes")
+    new = contacts.select(F.col("id").alias("contact_id"), F.lit("called").alias("body"), F.when(F.col("city").isNull(), "1990-01-01").alias("occurred_on"))
+    after, people = mutations.add_notes(notes, contacts, new, "2025-02-03T10:00:00")
+    top = after.groupBy(F.col("contact_id").alias("id")).agg(F.count("*").alias("n_notes"), F.max(F.when(F.col("body") == "called", F.col("id"))).alias("note_id"))
+    return people.select("id", "last_contact_at").join(top, "id")
+
+
+@_query(f"""{_with("contacts", "tags", "contact_tags")}, wanted as (select id as contact_id, lower(company) as name from contacts where company is not null),
+    known as (select id, name from tags union all select (select max(id) from tags) + row_number() over (order by name), name from (select distinct name from wanted) where name not in (select name from tags)),
+    linked as (select contact_id, tag_id from contact_tags union select w.contact_id, k.id from wanted w join known k on k.name = w.name)
+    select contact_id, k.name, k.id as tag_id from linked l join known k on k.id = l.tag_id where k.name <> '1-urgent'""")
+def q_tags_changed(spark, sf_dir):
+    """Companies become tags of their contacts; one tag is untied everywhere."""
+    contacts, tags, links = network(spark, sf_dir, "contacts", "tags", "contact_tags")
+    wanted = contacts.where("company is not null").select(F.col("id").alias("contact_id"), F.concat(F.lit(" "), "company", F.lit(" ")).alias("name"))
+    known = mutations.ensure_tags(tags, wanted)
+    named = known.select(F.col("id").alias("tag_id"), "name")
+    linked = mutations.link_tags(links, wanted.withColumn("name", X.tag_name(F.col("name"))).join(named, "name").select("contact_id", "tag_id"))
+    linked = mutations.unlink_tags(linked, linked.join(named.where("name = '1-urgent'"), "tag_id").select("contact_id", "tag_id"))
+    return linked.join(named, "tag_id").select("contact_id", "name", "tag_id")
+
+
+@_query(f"""{_with("contacts", "needs")} select id, case when n then 'archived' else status end as status, case when n then '2025-01-01' else updated_at end as updated_at
+    from (select *, id not in (select contact_id from needs) as n from contacts)""")
+def q_status_set(spark, sf_dir):
+    contacts, needs = network(spark, sf_dir, "contacts", "needs")
+    idle = contacts.join(needs.select(F.col("contact_id").alias("id")), "id", "left_anti")
+    return mutations.set_status(contacts, idle, "archived", "2025-01-01").select("id", "status", "updated_at")
+
+
+_MESSY = "select p_partkey as id, concat(' ', chr(1), p_name, chr(9), p_brand, chr(127), ' ') as raw, case when p_size > 25 then concat(p_brand, '@', p_type) else concat(replace(p_brand, '#', ''), '@x.org') end as mail, p_size from {part}"
+
+
+@_query(rf"""with m as ({_MESSY.replace("{part}", "part")}) select id, regexp_replace(raw, '[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') as stripped, regexp_replace(raw, '[\x00-\x1F\x7F]', '', 'g') as quiet,
+    regexp_replace(lower(regexp_replace(raw, '[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')), '[^a-z0-9]+', '', 'g') as header, trim(regexp_replace(raw, '[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) as cell,
+    lpad(p_size::varchar, 4, '0') as padded, regexp_full_match(mail, '[^@\s]+@[^@\s]+\.[^@\s]+') as web_mail, sha256(mail) as checksum from m""")
+def q_text_rules(spark, sf_dir):
+    rows, raw = spark.sql(_MESSY, part=_table(spark, sf_dir, "part")), F.col("raw")
+    return rows.select("id", X.strip_control(raw).alias("stripped"), X.strip_search_noise(raw).alias("quiet"), X.header_key(raw).alias("header"), X.clean_cell(raw).alias("cell"), X.zero_padded(F.col("p_size")).alias("padded"), is_web_email(F.col("mail")).alias("web_mail"), X.checksum(F.col("mail")).alias("checksum"))
+
+
+_DAYS = "select o_orderkey as id, concat(substring(cast(o_orderdate as string), 1, 8), case when o_orderstatus = 'F' then '31' when o_orderstatus = 'O' then '29' else '07' end) as day, o_orderpriority as kind from {orders}"
+
+
+@_query(f"""with d as ({_DAYS.replace("{orders}", "orders")}) select id, try_cast(day as date) is not null as is_day, try_cast(day as date) is not null and kind <> '5-LOW' as is_iso, case when kind = '5-LOW' then null else strftime(try_cast(day as date), '%Y-%m-%d') end as birthday,
+    case when try_cast(day as date) is null or kind = '5-LOW' then '–' else day(day::date)::varchar || '. ' || list_extract(['Jan', 'Feb', 'Mrz', 'Apr', 'Mai', 'Jun', 'Jul', 'Aug', 'Sep', 'Okt', 'Nov', 'Dez'], month(day::date)::int) || ' ' || year(day::date)::varchar || case when kind = '1-URGENT' then ', 18:05' else ', 00:00' end end as shown from d""")
+def q_day_rules(spark, sf_dir):
+    """Days that some months lack, with and without a time, and with something behind them that is none."""
+    rows = spark.sql(_DAYS, orders=_table(spark, sf_dir, "orders"))
+    text = F.concat("day", F.when(F.col("kind") == "1-URGENT", "T18:05:00").when(F.col("kind") == "5-LOW", ", or so").otherwise(""))
+    return rows.select("id", D.is_day(F.col("day")).alias("is_day"), D.is_iso(text).alias("is_iso"), D.parse_birthday(F.when(F.col("kind") == "5-LOW", text).otherwise(F.col("day"))).alias("birthday"), D.shown_time(text).alias("shown"))
+
+
+@_query(f"""{_with("contacts", "notes")}, n as (select contact_id, string_agg(id, ',' order by occurred_on desc, created_at desc, id desc) as notes from notes group by 1)
+    select c.id, n.notes from contacts c join n on n.contact_id = c.id""")
+def q_notes_ordered(spark, sf_dir):
+    detail = C.detail(*network(spark, sf_dir, "contacts", "needs", "offers", "contact_tags", "tags", "notes"))
+    shuffled = detail.where("notes is not null").withColumn("notes", F.array_sort("notes"))
+    return shuffled.select("id", F.array_join(F.transform(C.sorted_notes(F.col("notes")), lambda n: n["note_id"].cast("string")), ",").alias("notes"))
+
+
+@_query(f"""{_with("contacts", "notes")}, last as (select c.id, c.name, max(n.occurred_on) as day from contacts c left join notes n on n.contact_id = c.id group by 1, 2)
+    select id, row_number() over (order by day desc nulls last, lower(name), id)::int as position from last order by position limit 100""")
+def q_sort_last_contact(spark, sf_dir):
+    return C.listed(mutations.bump_last_contact(*network(spark, sf_dir, "contacts", "notes")), 100, "last_contact_at", True).select("id", "position")
+
+
+@_query(f"{_with('tags')} select id, name, row_number() over (order by lower(name))::bigint as position from tags")
+def q_tags_ordered(spark, sf_dir):
+    (tags,) = network(spark, sf_dir, "tags")
+    return numbered(C.search_tags(tags, ""), [X.nocase(F.col("name"))]).select("id", "name", "position")
+
+
+@_query(f"""{_with("contacts")} select p.s_suppkey as pair, min(a.id) as a, min(b.id) as b from supplier p join contacts a on lower(a.name) = 'customer#' || lpad((p.s_suppkey + 1)::varchar, 9, '0')
+    join contacts b on lower(b.name) = 'customer#' || lpad((p.s_suppkey + 2)::varchar, 9, '0') group by 1""")
+def q_pairs_by_name(spark, sf_dir):
+    (contacts,) = network(spark, sf_dir, "contacts")
+    name = lambda k: F.concat(F.lit("CUSTOMER - "), F.lpad((F.col("s_suppkey") + k).cast("string"), 9, "0"))
+    pairs = _table(spark, sf_dir, "supplier").select(name(1).alias("name_a"), name(2).alias("name_b"), F.col("s_suppkey").alias("note"))
+    return C.named_pairs(contacts, pairs).select(F.col("note").alias("pair"), "a", "b")
+
+
+@_query(r"""with t as (select doc_id as id, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') as t from documents)
+    select id, array_to_string(list_filter(['the', 'eron', 'und', 'que', 'zzz'], lambda p: len(list_filter(t, lambda w: starts_with(w, p))) > 0), ',') as terms from t""")
+def q_text_evidence(spark, sf_dir):
+    return _documents(spark, sf_dir).select("id", F.array_join(matching.text_hits(F.coalesce("text", F.lit("")), ["the", "eron", "und", "que", "zzz"]), ",").alias("terms"))
