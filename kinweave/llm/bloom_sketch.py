@@ -17,8 +17,9 @@ from pyspark.sql import Window as W
 
 from . import base
 
-#: Cells of a table; digests of two texts in a table of a larger sketch, on average, at most; tables that a stalled one is dealt into.
-CELLS, LOAD, FANOUT = 16, 5, 8
+#: Cells of a table; digests of two texts in a table of a larger sketch, on average, at most; tables that a stalled one is dealt into;
+#: rounds of peeling a table.
+CELLS, LOAD, FANOUT, ROUNDS = 16, 5, 8, 8
 #: Documents in a range of ids, about, and the quantiles of ids between which ranges are of equal width.
 RANGE_DOCS, QUANTILES = 2000, 64
 #: Fixed rule: a paragraph ends after a line feed, a mark that ends a sentence in one of several scripts, or a word that ends in this letter.
@@ -33,7 +34,8 @@ def _sealed(low: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """Digests of the distinct paragraphs of a text; an empty text has none."""
     parts = F.array_distinct(F.filter(F.split(text, CUT), lambda p: F.trim(p) != ""))
-    return F.transform(parts, lambda p: _sealed(F.xxhash64(p).bitwiseAND(F.lit((1 << 44) - 1))))
+    lows = F.transform(parts, lambda p: F.xxhash64(p).bitwiseAND(F.lit((1 << 44) - 1)))
+    return F.transform(lows, _sealed)
 
 
 def _position(digest: Column, k: int) -> Column:
@@ -72,27 +74,27 @@ def parsed(text: Column) -> tuple[Column, Column]:
     return number(1, 8), number(9, 16)
 
 
-_STATE = "struct<n:array<int>,k:array<bigint>,only_a:array<bigint>,only_b:array<bigint>,at:int>"
+_STATE = "struct<cells:array<struct<n:int,k:bigint>>,out:array<struct<n:int,k:bigint,at:int>>,ended:boolean>"
 
 
 def peeled(tables: DataFrame) -> DataFrame:
     """tables (with n and k, differences of two) and only_a, only_b: the digests recovered from them; null if cells remain.
 
-    A step takes the digest of a cell that has a single one out of its three cells. ``at`` is the cell that the last step
-    emptied, or -1 once there is none.
+    A round takes the digests of all cells that have a single one out of their three cells each (bits of ``at``). A table that
+    ROUNDS do not clear counts as stalled.
     """
-    none = F.array().cast("array<bigint>")
-    start = F.struct("n", "k", none.alias("only_a"), none.alias("only_b"), F.lit(0).alias("at"))
-    single = "abs(s.n[j]) = 1 and (shiftleft(xxhash64(s.k[j] & 17592186044415L, 'check'), 44) | (s.k[j] & 17592186044415L)) = s.k[j]"
-    step = f"""(s, i) -> if(s.at < 0, s, transform(array(coalesce(get(filter(sequence(0, {CELLS - 1}), j -> {single}), 0), -1)), j -> if(j < 0,
-            named_struct('n', s.n, 'k', s.k, 'only_a', s.only_a, 'only_b', s.only_b, 'at', -1),
-            transform(array(named_struct('n', s.n[j], 'k', s.k[j], 'a', cast(pmod(s.k[j] & 16383, 5) as int), 'b', cast(pmod(shiftrightunsigned(s.k[j], 14) & 16383, 5) as int) + 5, 'c', cast(pmod(shiftrightunsigned(s.k[j], 28) & 16383, 6) as int) + 10)), p -> named_struct(
-                'n', transform(s.n, (x, y) -> if(y = p.a or y = p.b or y = p.c, x - p.n, x)),
-                'k', transform(s.k, (x, y) -> if(y = p.a or y = p.b or y = p.c, x ^ p.k, x)),
-                'only_a', if(p.n = 1, array_append(s.only_a, p.k), s.only_a), 'only_b', if(p.n = -1, array_append(s.only_b, p.k), s.only_b), 'at', j))[0]))[0])"""
-    out = tables.withColumn("start", start).withColumn("s", F.expr(f"aggregate(sequence(1, {2 * CELLS}), cast(start as {_STATE}), {step})"))
-    clear = ~F.exists("s.n", lambda x: x != 0) & ~F.exists("s.k", lambda x: x != 0)
-    return out.withColumns({c: F.when(clear, F.col(f"s.{c}")) for c in ("only_a", "only_b")}).drop("start", "s")
+    start = "named_struct('cells', arrays_zip(n, k), 'out', array(), 'ended', false)"
+    single = "abs(c.n) = 1 and (shiftleft(xxhash64(c.k & 17592186044415L, 'check'), 44) | (c.k & 17592186044415L)) = c.k"
+    at = " | ".join(f"shiftleft({1 << 5 * k}, cast(pmod(shiftrightunsigned(d.k, {14 * k}) & 16383, {(5, 5, 6)[k]}) as int))" for k in range(3))
+    digests = f"transform(array_distinct(filter(s.cells, c -> {single})), d -> named_struct('n', d.n, 'k', d.k, 'at', {at}))"
+    less = "aggregate(found, c, (x, d) -> if(shiftright(d.at, j) & 1 = 1, named_struct('n', x.n - d.n, 'k', x.k ^ d.k), x))"
+    step = f"""(s, i) -> if(s.ended, s, transform(array({digests}), found -> if(size(found) = 0,
+            named_struct('cells', s.cells, 'out', s.out, 'ended', true),
+            named_struct('cells', transform(s.cells, (c, j) -> {less}), 'out', concat(s.out, found), 'ended', false)))[0])"""
+    out = tables.withColumn("s", F.expr(f"aggregate(sequence(1, {ROUNDS}), cast({start} as {_STATE}), {step})"))
+    clear = ~F.exists("s.cells", lambda c: (c["n"] != 0) | (c["k"] != 0))
+    told = {c: F.when(clear, F.transform(F.filter("s.out", lambda d: d["n"] == sign), lambda d: d["k"])) for c, sign in (("only_a", 1), ("only_b", -1))}
+    return out.withColumns(told).drop("s")
 
 
 def _path(digest: Column, tables: Column, level: int) -> Column:
@@ -157,8 +159,8 @@ def recovered(rows: DataFrame, prints: DataFrame, full: bool = False) -> DataFra
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text and (area, place), which name a row: the next document descends by doc_id (equal ids by text,
-    null ids last), and the first follows the last.
+    """doc_id, text, own, next_text, next and (area, place), which name a row: own and next are digests of the two texts. The next
+    document descends by doc_id (equal ids by text, null ids last), and the first follows the last.
 
     Ids are cut into areas at quantiles, and between two of these into equal widths, so ids far apart or crowded don't meet
     in one task. Rows of one id do.
@@ -180,14 +182,16 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     number = F.greatest(F.coalesce(area(0, len(spans)), F.lit(-1)), F.lit(-1)).cast("long")
     number = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.greatest(number, F.lit(0))).cast("long")
-    docs = docs.withColumn("area", number)
+    texts = docs.withColumn("area", number)
+    docs = texts.withColumn("own", paragraphs(F.col("text")))
     within = W.partitionBy("area").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    rows = docs.withColumn("place", F.row_number().over(within)).withColumn("next_text", F.lead("text").over(within))
+    rows = docs.withColumn("place", F.row_number().over(within)).withColumns({"next_text": F.lead("text").over(within), "next": F.lead("own").over(within)})
     # An area's last row is followed by the first of the next area below; one row an area.
-    areas = docs.select("area").distinct()
+    areas = texts.select("area").distinct()
     below = areas.select("area", F.coalesce(F.lead("area").over(W.orderBy(F.desc("area"))), F.max("area").over(W.partitionBy())).alias("below"))
-    firsts = rows.where("place = 1").select(F.col("area").alias("below"), F.col("text").alias("first_text"))
-    return rows.join(below.join(firsts, "below").select("area", "first_text"), "area").withColumn("next_text", F.coalesce("next_text", "first_text")).drop("first_text")
+    firsts = texts.withColumn("place", F.row_number().over(within)).where("place = 1").select(F.col("area").alias("below"), F.col("text").alias("first_text"), paragraphs(F.col("text")).alias("first"))
+    whole = rows.join(below.join(firsts, "below").select("area", "first_text", "first"), "area")
+    return whole.withColumns({"next_text": F.coalesce("next_text", "first_text"), "next": F.coalesce("next", "first")}).drop("first_text", "first")
 
 
 def fingerprints(docs: DataFrame, full: bool = False) -> DataFrame:
@@ -202,7 +206,7 @@ def fingerprints(docs: DataFrame, full: bool = False) -> DataFrame:
     rows = with_next(docs).withColumn("n_chars", n.cast("long"))
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edit"), paragraphs(F.col("next_text")).alias("next"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "own", paragraphs(F.col("edited")).alias("edit"), "next")
     rows = base.settle(rows, "digests")
     names = ["own", "edit", "next"]
 
