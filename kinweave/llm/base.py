@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,12 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+def release(frame: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of steps that are settled: it does when the driver's JVM finds their plans gone."""
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table has; a missing text or label column counts as null."""
     kinds = {"doc_id": "bigint", "vec_id": "bigint", "text": "string", "lang": "string"}

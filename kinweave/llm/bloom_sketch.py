@@ -149,6 +149,7 @@ def recovered(rows: DataFrame, prints: DataFrame, full: bool = False) -> DataFra
 
         digests = held.select("row", F.explode(F.concat(*(dealt(p, x, sign) for p in side for x, sign in (("own", 1), (side[p], -1))))).alias("x")).select("row", "x.*")
         level = base.settle(told(tabled(digests, "row", "pair", "path")), "level")
+        base.release(level)
         found.append(level.where("n_a is not null").select(names))
         stalled = level.where("n_a is null").groupBy("row").agg(*(F.collect_list(F.when(F.col("pair") == p, F.col("path"))).alias(f"path{p}") for p in side))
         step += 1
@@ -208,6 +209,7 @@ def fingerprints(docs: DataFrame, full: bool = False) -> DataFrame:
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "own", paragraphs(F.col("edited")).alias("edit"), "next")
     rows = base.settle(rows, "digests")
+    base.release(rows)
     names = ["own", "edit", "next"]
 
     # A null digest stands in for each text, so that one without paragraphs has a table too.
@@ -217,6 +219,7 @@ def fingerprints(docs: DataFrame, full: bool = False) -> DataFrame:
     each = F.explode(F.concat(*(of(k, x) for k, x in enumerate(names)))).alias("x")
     cells = tabled(rows.select("row", each).select("row", "x.*"), "row", "side")
     prints = base.settle(cells.groupBy("row").agg(*(F.max(F.when(F.col("side") == k, F.struct("n", "k"))).alias(x) for k, x in enumerate(names))), "prints")
+    base.release(prints)
     found = recovered(rows, prints, full).groupBy("row").agg(*(F.sum(F.when(F.col("pair") == p, F.col(c)).otherwise(0)).alias(f"{c}{p}") for p in (0, 1) for c in ("n_a", "n_b")), *([F.flatten(F.collect_list(F.when(F.col("pair") == 0, F.col(c)))).alias(x) for c, x in (("only_a", "only_text"), ("only_b", "only_edited"))] if full else []))
     sizes = rows.select("row", "doc_id", "n_chars", "edited_sha256", F.size("own").cast("long").alias("n_own"))
     texts = prints.select("row", printed(F.col("own.n"), F.col("own.k")).alias("fingerprint"), printed(F.col("edit.n"), F.col("edit.k")).alias("edited_fingerprint"))
