@@ -14,12 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.scratch import settle
+from ..sources.scratch import settle, spread
 from . import contacts as C
 from . import search as S
 
 #: Terms taken from a text, rows of a pool, evidence kept for a candidate, candidates returned at most.
 MAX_TERMS, POOL, MAX_EVIDENCE, MAX_RESULTS = 24, 200, 12, 10
+#: Hits of a task that sums ranks: each takes part in every set of terms that has its term.
+HITS = 100_000
 #: Letters from which a term may stand for a prefix.
 PREFIX_LENGTH = 3
 
@@ -148,34 +150,47 @@ def match_all(contacts: DataFrame, needs: DataFrame, offers: DataFrame, contact_
     """source_id, place, id, name, matched_on: what ``find_matches`` gives for each contact (or each id of sources), in one plan.
 
     Terms of open needs meet the candidates' offers and the other way round; own tags meet tags. Sources with the same set of terms
-    share a pool, so its ranks are summed once. A term's hits in a candidate are kept up to its first twelve items, more than which
-    no evidence can name; of a tag's holders as many as could still be among the results behind both pools. So neither a contact with
-    very many items nor a tag that a third of all contacts have is gathered in one task.
+    share a pool, so its ranks are summed once; sources with the same sets and tags share a profile, whose best candidates and their
+    evidence are found once, with one more than are asked for, as the source itself may be among them. A term's hits in a candidate are
+    kept up to its first twelve items, more than which no evidence can name; of a tag's holders as many as could still be among the
+    results behind both pools. So neither a contact with very many items nor a tag that a third of all contacts have is gathered in one task.
     """
+    limit = min(limit, MAX_RESULTS)
     ids = contacts.select(F.col("id").alias("source_id")) if sources is None else sources.select(F.col("id").alias("source_id")).distinct()
     active = contacts.where("status = 'active'").select("id", "name", X.norm_text(F.col("name")).alias("folded"))
     terms = _first_terms(needs, 0).unionByName(_first_terms(offers, 1)).join(ids, "source_id", "left_semi")
     by_order, by_set = F.array_sort(F.collect_list(F.struct("ord", "term"))), F.array_sort(F.collect_list("term"))  # 24 at most
     lists = terms.groupBy("source_id", "side").agg(F.transform(by_order, lambda x: x["term"]).alias("list"), by_set.alias("set"))
-    lists = settle(lists.select("source_id", "side", F.array_join("list", " ").alias("list"), F.array_join("set", " ").alias("set")), "lists")
-    cut = lambda name: F.posexplode(F.split(name, " ")).alias("ord", "term")
-    in_sets, in_lists = lists.select("side", "set").distinct().select("side", "set", cut("set")), lists.select("side", "list").distinct().select("side", "list", cut("list"))
-    asked = in_lists.select("side", "term").distinct()
+    lists = lists.select("source_id", "side", F.array_join("list", " ").alias("list"), F.array_join("set", " ").alias("set"))
+    own = contact_tags.select("contact_id", "tag_id").distinct()
+    tagged = own.join(ids.withColumnRenamed("source_id", "contact_id"), "contact_id", "left_semi").groupBy(F.col("contact_id").alias("source_id")).agg(F.array_join(F.array_sort(F.collect_list("tag_id")), " ").alias("set"))
+    of = lambda side, column: F.coalesce(F.max(F.when(F.col("side") == side, F.col(column))), F.lit(""))
+    asks = lists.unionByName(tagged.select("source_id", F.lit(2).alias("side"), F.lit("").alias("list"), "set")).groupBy("source_id")
+    asks = settle(asks.agg(of(0, "list").alias("list0"), of(1, "list").alias("list1"), of(0, "set").alias("set0"), of(1, "set").alias("set1"), of(2, "set").alias("tag_set")), "asks")
+    profiles = settle(asks.select("set0", "set1", "tag_set").distinct().withColumn("profile", F.monotonically_increasing_id()), "profiles")
+    sided = profiles.select("profile", F.inline(F.array(*(F.struct(F.lit(k).alias("side"), F.col(f"set{k}").alias("set")) for k in (0, 1))))).where("set <> ''")
+    pooled = settle(sided.select("side", "set").distinct().withColumn("pool", F.monotonically_increasing_id()), "pooled")
+    sided = sided.join(pooled, ["side", "set"]).select("profile", "pool")
+    in_sets = pooled.select("pool", "side", F.explode(F.split("set", " ")).alias("term"))
+    asked = in_sets.select("side", "term").distinct()
     # Words of both sides, and each contact's length over all indexed columns.
     both = offers.select(F.lit(0).alias("side"), "*").unionByName(needs.select(F.lit(1).alias("side"), "*"))
     words = settle(both.select("side", "contact_id", "id", "created_at", "resolved_at", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("side", "contact_id", "id", "created_at", "resolved_at", "token").agg(F.count("*").alias("f")), "words")
-    profile = contacts.select("id", sum(F.size(X.tokens(F.col(c))) for c in ("name", "company", "title", "how_we_met")).alias("n"))
-    sizes = profile.unionByName(words.select(F.col("contact_id").alias("id"), F.col("f").alias("n"))).groupBy("id").agg(F.sum("n").alias("len")).join(contacts.select("id"), "id", "left_semi")
+    names = contacts.select("id", sum(F.size(X.tokens(F.col(c))) for c in ("name", "company", "title", "how_we_met")).alias("n"))
+    sizes = names.unionByName(words.select(F.col("contact_id").alias("id"), F.col("f").alias("n"))).groupBy("id").agg(F.sum("n").alias("len")).join(contacts.select("id"), "id", "left_semi")
+    sizes = settle(sizes, "sizes")
     stats = sizes.agg(F.count("*").alias("rows"), F.avg("len").alias("mean"))
     reach = settle(_reached(words, asked), "reach")
     hits = words.join(reach, ["side", "token"]).groupBy("side", "term", F.col("contact_id").alias("id")).agg(F.sum("f").alias("f")).join(contacts.select("id"), "id", "left_semi")
     hits = settle(hits, "hits")
     idf = hits.groupBy("side", "term").agg(F.count("*").alias("n")).join(F.broadcast(stats)).select("side", "term", "mean", F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))
-    weighed = hits.join(active.select("id"), "id", "left_semi").join(sizes, "id").join(idf, ["side", "term"]).selectExpr("side", "term", "id", "if(raw > 0, raw, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) w")
-    scored = in_sets.join(weighed, ["side", "term"]).groupBy("side", "set", "id").agg(F.round(-F.sum("w"), 9).alias("rank"))
-    place = F.row_number().over(W.partitionBy("side", "set").orderBy("rank", "id"))
-    pools = scored.withColumn("n", place).where(F.col("n") <= POOL).select("side", "set", "id", "rank")
-    ranked = lists.join(pools, ["side", "set"]).select("source_id", "id", "rank")
+    idf = settle(idf, "idf")
+    # A candidate's hits lie in one task, so its ranks in all pools are summed there.
+    weighed = spread(hits, HITS, "id").join(active.select("id"), "id", "left_semi").join(sizes, "id").join(idf, ["side", "term"]).selectExpr("side", "term", "id", "if(raw > 0, raw, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) w")
+    scored = weighed.join(in_sets, ["side", "term"]).groupBy("pool", "id").agg(F.round(-F.sum("w"), 9).alias("rank"))
+    place = F.row_number().over(W.partitionBy("pool").orderBy("rank", "id"))
+    pools = settle(scored.withColumn("n", place).where(F.col("n") <= POOL).select("pool", "id", "rank"), "pools")
+    ranked = sided.join(pools, "pool").select("profile", "id", "rank")
     # Tags: a tag's own name as a term, and the tags that it reaches.
     named = tags.select(F.col("id").alias("tag_id"), "name", X.norm_text(F.col("name")).alias("folded"))
     worded = named.where(F.size(X.tokens(F.col("name"))) > 0)
@@ -183,41 +198,54 @@ def match_all(contacts: DataFrame, needs: DataFrame, offers: DataFrame, contact_
     begins = F.transform(F.sequence(F.lit(1), F.char_length("folded")), lambda n: F.substring(F.col("folded"), F.lit(1), n))
     reached = worded.select(F.col("tag_id").alias("to_id"), F.col("name").alias("tag"), F.col("folded").alias("whole"), F.explode(begins).alias("folded"))
     meets = named.join(reached, "folded").where((F.col("folded") == F.col("whole")) | ~short).select(F.col("tag_id"), F.col("folded").alias("term"), F.col("name").alias("own"), "to_id", "tag")
-    own = contact_tags.select("contact_id", "tag_id").distinct()
-    sets = own.join(ids.withColumnRenamed("source_id", "contact_id"), "contact_id", "left_semi").groupBy(F.col("contact_id").alias("source_id")).agg(F.array_join(F.array_sort(F.collect_list("tag_id")), " ").alias("tag_set"))
-    sets = settle(sets, "tags")
-    in_tags = sets.select("tag_set").distinct().select("tag_set", F.explode(F.split("tag_set", " ").cast("array<long>")).alias("tag_id"))
+    in_tags = profiles.where("tag_set <> ''").select("tag_set").distinct().select("tag_set", F.explode(F.split("tag_set", " ").cast("array<long>")).alias("tag_id"))
     to = settle(in_tags.join(meets, "tag_id").select("tag_set", "to_id", "tag", "term", "own"), "meets")
-    holders = own.select(F.col("contact_id").alias("id"), F.col("tag_id").alias("to_id")).join(active, "id")
+    held = own.select(F.col("contact_id").alias("id"), F.col("tag_id").alias("to_id"))
     first = F.row_number().over(W.partitionBy("to_id").orderBy("folded", "id"))
-    holders = holders.withColumn("n", first).where(F.col("n") <= _HOLDERS).drop("n")
+    holders = held.join(active, "id").withColumn("n", first).where(F.col("n") <= _HOLDERS).drop("n")
     tagged = to.select("tag_set", "to_id").distinct().join(holders, "to_id").select("tag_set", "id", "folded").distinct()
     tagged = tagged.withColumn("n", F.row_number().over(W.partitionBy("tag_set").orderBy("folded", "id"))).where(F.col("n") <= _HOLDERS)
-    by_tag = sets.join(tagged, "tag_set").select("source_id", "id", F.lit(float("inf")).alias("rank"))
-    pairs = settle(ranked.unionByName(by_tag).where("source_id <> id").groupBy("source_id", "id").agg(F.min("rank").alias("rank")), "pairs")
-    # Evidence among open items: the first twelve of a term and a candidate are more than any list can name.
-    opened = words.where("resolved_at is null").join(reach, ["side", "token"]).select("side", "term", F.col("contact_id").alias("id"), "created_at", F.col("id").alias("item")).distinct()
+    by_tag = profiles.join(tagged, "tag_set").select("profile", "id", F.lit(float("inf")).alias("rank"))
+    pairs = settle(ranked.unionByName(by_tag).groupBy("profile", "id").agg(F.min("rank").alias("rank")), "pairs")
+    # Evidence among the candidates' open items: the first twelve of a term and a candidate are more than any list can name.
+    candidates = settle(pairs.select("id").distinct(), "candidates")
+    held = settle(held.join(candidates, "id", "left_semi"), "held")
+    opened = words.where("resolved_at is null").withColumnRenamed("id", "item").withColumnRenamed("contact_id", "id").join(candidates, "id", "left_semi")
+    opened = opened.join(reach, ["side", "token"]).select("side", "term", "id", "created_at", "item").distinct()
     nth = F.row_number().over(W.partitionBy("side", "term", "id").orderBy("created_at", "item"))
     opened = settle(opened.withColumn("n", nth).where(F.col("n") <= MAX_EVIDENCE).drop("n"), "opened")
 
     def proofs(pairs: DataFrame) -> DataFrame:
-        """source_id, id, side, o (order within a side), at, term, item or tag, of the pairs (source_id, id)."""
-        items = pairs.join(lists.select("source_id", "side", "list"), "source_id")
-        items = items.join(in_lists, ["side", "list"]).join(opened, ["side", "term", "id"])
-        items = items.select("source_id", "id", "side", F.concat_ws("|", "created_at", F.lpad(F.col("item").cast("string"), 20, "0")).alias("o"), F.col("ord").cast("string").alias("at"), "term", "item", F.lit(None).cast("string").alias("tag"))
-        tag = pairs.join(sets, "source_id").join(own.select(F.col("contact_id").alias("id"), F.col("tag_id").alias("to_id")), "id").join(to, ["tag_set", "to_id"])
-        return items.unionByName(tag.select("source_id", "id", F.lit(2).alias("side"), X.nocase(F.col("tag")).alias("o"), F.col("own").alias("at"), "term", F.lit(None).cast("long").alias("item"), "tag"))
+        """profile, id, side, o (order within a side), own (tags: what reaches them), term, item or tag, of the pairs (profile, id)."""
+        items = pairs.join(sided, "profile").join(in_sets, "pool").join(opened, ["side", "term", "id"])
+        items = items.select("profile", "id", "side", F.concat_ws("|", "created_at", F.lpad(F.col("item").cast("string"), 20, "0")).alias("o"), F.lit("").alias("own"), "term", "item", F.lit(None).cast("string").alias("tag"))
+        tag = pairs.join(profiles.select("profile", "tag_set"), "profile").join(held, "id").join(to, ["tag_set", "to_id"])
+        return items.unionByName(tag.select("profile", "id", F.lit(2).alias("side"), X.nocase(F.col("tag")).alias("o"), "own", "term", F.lit(None).cast("long").alias("item"), "tag"))
 
     # The best that have any; then these few get their evidence.
-    shown = pairs.join(proofs(pairs.select("source_id", "id")).select("source_id", "id").distinct(), ["source_id", "id"], "left_semi").join(active, "id")
-    best = F.row_number().over(W.partitionBy("source_id").orderBy("rank", "folded", "id"))
-    shown = settle(shown.withColumn("place", best).where(F.col("place") <= min(limit, MAX_RESULTS)).select("source_id", "place", "id", "name"), "shown")
-    order = W.partitionBy("source_id", "id").orderBy("side", "o", F.when(F.col("side") < 2, F.lpad("at", 4, "0")).otherwise(F.col("at")), "term")
-    kept = proofs(shown.select("source_id", "id")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_EVIDENCE)
-    kept = kept.join(both.select("side", F.col("id").alias("item"), F.col("contact_id").alias("id"), "text"), ["side", "item", "id"], "left")
+    shown = pairs.join(proofs(pairs.select("profile", "id")).select("profile", "id").distinct(), ["profile", "id"], "left_semi").join(active, "id")
+    best = F.row_number().over(W.partitionBy("profile").orderBy("rank", "folded", "id"))
+    shown = settle(shown.withColumn("n", best).where(F.col("n") <= limit + 1).select("profile", "n", "id", "name"), "shown")
+    # The order of an item's terms is the source's own: the first twelve items hold the first twelve entries in any order.
+    nth = F.dense_rank().over(W.partitionBy("profile", "id").orderBy("side", "o"))
+    kept = settle(proofs(shown.select("profile", "id")).withColumn("n", nth).where(F.col("n") <= MAX_EVIDENCE).drop("n"), "kept")
+    texts = both.select("side", F.col("id").alias("item"), F.col("contact_id").alias("id"), "text").join(kept.where("side < 2").select("side", "item", "id").distinct(), ["side", "item", "id"], "left_semi")
+    kept = kept.join(settle(texts, "texts"), ["side", "item", "id"], "left")
     kind = F.element_at(F.array(*map(F.lit, ("offer", "need", "tag"))), F.col("side") + 1)
-    listed = kept.groupBy("source_id", "id").agg(F.array_sort(F.collect_list(F.struct("n", kind.alias("kind"), F.coalesce("tag", "text").alias("text"), "term"))).alias("rows"))
-    return shown.join(listed, ["source_id", "id"]).select("source_id", "place", "id", "name", F.transform("rows", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["term"].alias("term"))).alias("matched_on"))
+    rows = kept.groupBy("profile", "id").agg(F.collect_list(F.struct("side", "o", "own", "term", kind.alias("kind"), F.coalesce("tag", "text").alias("text"))).alias("rows"))
+    listed = shown.join(rows, ["profile", "id"]).groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("n", "id", "name", "rows"))).alias("best"))  # one more than the limit
+    # Each source's own: itself left out, and an item's terms in its own order.
+    mine = asks.join(profiles, ["set0", "set1", "tag_set"]).join(settle(listed, "listed"), "profile")
+    mine = mine.select("source_id", "list0", "list1", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("source_id")), 1, limit)).alias("at", "x"))
+    terms_at = F.array(*(F.split(f"list{k}", " ") for k in (0, 1)))
+
+    def in_order(lists: Column) -> Column:
+        at = lambda e: F.when(e["side"] < 2, F.lpad(F.array_position(F.get(lists, e["side"]), e["term"]).cast("string"), 4, "0")).otherwise(e["own"])
+        return F.slice(F.array_sort(F.transform("x.rows", lambda e: F.struct(e["side"].alias("side"), e["o"].alias("o"), at(e).alias("at"), e["term"].alias("term"), e["kind"].alias("kind"), e["text"].alias("text")))), 1, MAX_EVIDENCE)
+
+    entries = F.get(F.transform(F.array(terms_at), in_order), F.lit(0))
+    evidence = F.transform(entries, lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text"), e["term"].alias("term")))
+    return mine.select("source_id", (F.col("at") + 1).alias("place"), F.col("x.id").alias("id"), F.col("x.name").alias("name"), evidence.alias("matched_on"))
 
 
 def match_batch(sources: DataFrame, corpus: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:

@@ -101,6 +101,29 @@ def test_matches_of_all_contacts_equal_those_of_each(spark):
     assert [(r.place, r.id) for r in one.orderBy("place").collect()] == [x[:2] for x in got.get(17, [])]
 
 
+def test_sources_of_one_profile_are_matched_once(spark, monkeypatch):
+    """Pairs grow with the profiles of sources, not with the sources; a source among its profile's best is replaced by the next."""
+    sizes, settle = {}, matching.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(matching, "settle", counted)
+    contacts = people(spark, [{"id": k, "name": f"N{k:02}"} for k in range(1, 31)])
+    needs = items(spark, [(k, k, "robot law" if k % 2 else "law robot", "2024-01-01", None) for k in range(1, 31)])
+    offers = items(spark, [(100 + k, k, "law robot", "2024-01-01", None) for k in range(1, 13)])
+    tags, links = spark.createDataFrame([], TAGS), spark.createDataFrame([], CONTACT_TAGS)
+    got = {}
+    for r in matching.match_all(contacts, needs, offers, links, tags).orderBy("source_id", "place").collect():
+        got.setdefault(r.source_id, []).append((r.id, [e.term for e in r.matched_on if e.kind == "offer"]))
+    for k in (13, 14, 30):
+        assert got[k] == [(n, ["robot", "law"] if k % 2 else ["law", "robot"]) for n in range(1, 11)]
+    assert {k: len(rows) for k, rows in got.items()} == dict.fromkeys(range(1, 31), 10) and all(k not in dict(rows) for k, rows in got.items())
+    assert sizes["profiles"] == 2 and sizes["pairs"] == 12 + 30
+
+
 def test_rules_of_mapping_and_lookup(spark):
     """Line breaks within a company stay, e-mails keep their case, each dropped field has its reason; e-mails are looked up by ASCII case."""
     rows = spark.createDataFrame([(1, " Ann\n Lee ", "Acme\nInc ", " A.B@X.org ", "soon"), (2, "Bo", None, "n/a", "2021-03-03")], "row_number long, n string, c string, e string, d string")
