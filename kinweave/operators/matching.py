@@ -241,7 +241,7 @@ def match_all(contacts: DataFrame, needs: DataFrame, offers: DataFrame, contact_
 
     def in_order(lists: Column) -> Column:
         at = lambda e: F.when(e["side"] < 2, F.lpad(F.array_position(F.get(lists, e["side"]), e["term"]).cast("string"), 4, "0")).otherwise(e["own"])
-        return F.slice(F.array_sort(F.transform("x.rows", lambda e: F.struct(e["side"].alias("side"), e["o"].alias("o"), at(e).alias("at"), e["term"].alias("term"), e["kind"].alias("kind"), e["text"].alias("text")))), 1, MAX_EVIDENCE)
+        return F.slice(F.sort_array(F.transform("x.rows", lambda e: F.struct(e["side"].alias("side"), e["o"].alias("o"), at(e).alias("at"), e["term"].alias("term"), e["kind"].alias("kind"), e["text"].alias("text")))), 1, MAX_EVIDENCE)
 
     entries = F.get(F.transform(F.array(terms_at), in_order), F.lit(0))
     evidence = F.transform(entries, lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text"), e["term"].alias("term")))

@@ -21,8 +21,8 @@ from ..functions import text as X
 from ..sources import catalog
 from ..sources.scratch import drop, settle
 
-#: Keys of a block, segments of one level that are merged, blocks that are ranked first.
-SPAN, FAN, SEEDS = 16_384, 4, 8
+#: Keys of a block, segments of one level that are merged, blocks that are ranked first, postings that a task groups.
+SPAN, FAN, SEEDS, POSTS = 16_384, 4, 8, 500_000
 
 
 def scored(row: DataFrame, phrases: int, any_of: bool, key: str, rows: int | None = None, mean: float | None = None) -> DataFrame:
@@ -84,26 +84,43 @@ class Index:
         return rows.join(taken, "key", "left").where(F.col("_taken").isNull() | (F.col("_taken") <= F.col("seg"))).drop("_taken")
 
 
+def _placed(tokens: Column) -> Column:
+    """array<struct<token, places>> of an array's distinct tokens: token and place are sorted within the row, then cut where the token changes."""
+    pairs = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("place"))))
+
+    def cut(held: Column) -> Column:
+        token = lambda i: F.get(held, i)["token"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (token(i) != token(i - 1)))
+        places = lambda i, end: F.transform(F.slice(held, i + 1, end - i), lambda x: x["place"])
+        runs = lambda at: F.transform(at, lambda i, k: F.struct(token(i).alias("token"), places(i, F.coalesce(F.get(at, k + 1), F.size(held))).alias("places")))
+        return F.when(F.size(held) > 0, F.get(F.transform(F.array(starts), runs), F.lit(0)))
+
+    # Arrays are bound to variables: inlined into the lambdas, they would be made anew for each token.
+    return F.coalesce(F.get(F.transform(F.array(pairs), cut), F.lit(0)), F.array().cast("array<struct<token:string,places:array<int>>>"))
+
+
 def _write(corpus: DataFrame, columns: Sequence[str], key: str, path: str) -> tuple[int, int]:
-    """Writes a segment's postings and rows; gives how many rows and tokens it has."""
-    tokens = F.array(*(F.struct(F.lit(c).alias("column"), X.tokens(F.col(c)).alias("tokens")) for c in columns))
-    cut = corpus.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), tokens.alias("x"))
-    cut = settle(cut.withColumn("len", F.aggregate("x", F.lit(0), lambda n, x: n + F.size(x["tokens"]))), "cut")
-    words = cut.select("key", "len", F.explode("x").alias("x")).select("key", "len", "x.column", F.posexplode("x.tokens").alias("place", "token"))
-    held = words.groupBy("token", "column", "key", "len").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    _blocks(held).write.parquet(f"{path}/postings")
+    """Writes a segment's postings and rows; gives how many rows and tokens it has. A row's postings are made within the row, so only
+    they are shuffled, once, to where they lie in the order of tokens."""
+    each = F.array(*(F.struct(F.lit(c).alias("column"), _placed(X.tokens(F.col(c))).alias("posts")) for c in columns))
+    cut = corpus.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), each.alias("x"))
+    total = lambda of: F.aggregate("x", F.lit(0), lambda n, x: n + of(x["posts"]))
+    cut = settle(cut.withColumn("len", total(lambda posts: F.aggregate(posts, F.lit(0), lambda n, p: n + F.size(p["places"])))), "cut")
+    sums = cut.agg(F.count("*"), F.sum("len"), F.sum(total(F.size))).first()
+    held = cut.select("key", "len", F.explode("x").alias("x")).select("key", "len", "x.column", F.inline("x.posts"))
+    _blocks(held, sums[2] or 0).write.parquet(f"{path}/postings")
     cut.select("key", "len").write.parquet(f"{path}/rows")
-    sums = cut.agg(F.count("*"), F.sum("len")).first()
     drop(cut)
     return sums[0], sums[1] or 0
 
 
-def _blocks(held: DataFrame) -> DataFrame:
-    """token, column, key, len, places in blocks of keys, in files by ranges of tokens."""
-    block = F.floor(F.col("key") / SPAN)
+def _blocks(held: DataFrame, made: int) -> DataFrame:
+    """token, column, key, len, places (made of them, about) in blocks of keys, in files by ranges of tokens."""
+    # What a range of tokens holds is grouped where it lies: one shuffle, and tasks that stay as large when the corpus grows.
+    dealt = held.withColumn("block", F.floor(F.col("key") / SPAN)).repartitionByRange(max(1, -(-made // POSTS)), "token", "block")
     rows = F.sort_array(F.collect_list(F.struct("key", "places", "len"))).alias("rows")  # a block's keys at most
-    grouped = held.groupBy("token", "column", block.alias("block")).agg(rows, F.max(F.size("places")).alias("most"), F.min("len").alias("shortest"))
-    return grouped.select("token", "column", "block", F.col("rows.key").alias("keys"), F.col("rows.places").alias("places"), F.col("rows.len").alias("sizes"), "most", "shortest").repartitionByRange("token", "block").sortWithinPartitions("token", "block")
+    grouped = dealt.groupBy("token", "column", "block").agg(rows, F.max(F.size("places")).alias("most"), F.min("len").alias("shortest"))
+    return grouped.select("token", "column", "block", F.col("rows.key").alias("keys"), F.col("rows.places").alias("places"), F.col("rows.len").alias("sizes"), "most", "shortest").sortWithinPartitions("token", "block")
 
 
 def _content(index: Index) -> dict:
@@ -165,7 +182,7 @@ def merged(index: Index) -> Index:
         run, name = range(start, end), f"{uuid.uuid4().hex}"
         path = f"{index.path}/segments/{name}"
         posts = index.part("postings", run).select("token", "column", "seg", F.explode(F.arrays_zip("keys", "places", "sizes")).alias("r")).select("token", "column", "seg", F.col("r.keys").alias("key"), F.col("r.places").alias("places"), F.col("r.sizes").alias("len"))
-        _blocks(index.alive(posts)).write.parquet(f"{path}/postings")
+        _blocks(index.alive(posts), index.tokens).write.parquet(f"{path}/postings")
         index.alive(index.part("rows", run)).select("key", "len").write.parquet(f"{path}/rows")
         if start:  # what older segments have of these keys stays dead
             index.part("gone", run).select("key").distinct().write.parquet(f"{path}/gone")

@@ -124,6 +124,25 @@ def test_sources_of_one_profile_are_matched_once(spark, monkeypatch):
     assert sizes["profiles"] == 2 and sizes["pairs"] == 12 + 30
 
 
+def test_postings_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """A row's postings are made within the row: the plan that writes them has one exchange, by ranges of as many tasks as there are postings for."""
+    plans, blocks = [], postings._blocks
+
+    def planned(held, made):
+        out = blocks(held, made)
+        plans.append((made, out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(postings, "_blocks", planned)
+    monkeypatch.setattr(postings, "POSTS", 2)
+    corpus = spark.createDataFrame([(1, "b a b", None), (2, "", "a a"), (None, "a", "a")], "id long, s string, t string")
+    index = postings.indexed(corpus, ["s", "t"], str(tmp_path / "index"))
+    ((made, plan),) = plans
+    assert made == 3 and plan.count("Exchange") == 1 and "rangepartitioning" in plan and ", 2)" in plan
+    got = sorted((r.token, r.column, list(r.keys), [list(p) for p in r.places], list(r.sizes)) for r in index.part("postings").selectExpr("token", "column", "keys", "places", "sizes").collect())
+    assert got == [("a", "s", [1], [[1]], [3]), ("a", "t", [2], [[0, 1]], [2]), ("b", "s", [1], [[0, 2]], [3])] and (index.rows, index.tokens) == (2, 5)
+
+
 def test_rules_of_mapping_and_lookup(spark):
     """Line breaks within a company stay, e-mails keep their case, each dropped field has its reason; e-mails are looked up by ASCII case."""
     rows = spark.createDataFrame([(1, " Ann\n Lee ", "Acme\nInc ", " A.B@X.org ", "soon"), (2, "Bo", None, "n/a", "2021-03-03")], "row_number long, n string, c string, e string, d string")
