@@ -14,14 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.scratch import settle, spread
+from ..sources.scratch import drop, settle, spread
 from . import contacts as C
 from . import search as S
 
 #: Terms taken from a text, rows of a pool, evidence kept for a candidate, candidates returned at most.
 MAX_TERMS, POOL, MAX_EVIDENCE, MAX_RESULTS = 24, 200, 12, 10
-#: Hits of a task that sums ranks: each takes part in every set of terms that has its term.
-HITS = 100_000
+#: Hits of a task that sums ranks, where each takes part for every set of terms that has its term; texts of a task that counts them.
+HITS, ROWS = 100_000, 5_000
 #: Letters from which a term may stand for a prefix.
 PREFIX_LENGTH = 3
 
@@ -254,16 +254,20 @@ def match_batch(sources: DataFrame, corpus: DataFrame, limit: int = MAX_RESULTS)
     sources: source_id, text. corpus: id, text, active. Statistics are over the whole corpus, the pool of a source is over
     active rows.
     """
-    terms = sources.select("source_id", F.posexplode(terms_of(F.col("text"))).alias("ord", "term"))
-    tokens = corpus.select("id", "active", X.tokens(F.col("text")).alias("t"))
-    mean = corpus.sparkSession.createDataFrame([tokens.agg(F.count("*").alias("rows"), F.avg(F.size("t")).alias("mean")).first()], "rows long, mean double")
-    postings = tokens.select("id", F.size("t").alias("len"), "active", F.explode("t").alias("token")).groupBy("id", "len", "active", "token").agg(F.count("*").alias("f"))
-    asked = terms.select("term").distinct()
-    reach = F.transform(F.sequence(F.lit(PREFIX_LENGTH), F.char_length("token")), lambda n: F.substring(F.col("token"), F.lit(1), n))
-    vocabulary = postings.select("token").distinct().where(F.char_length("token") >= PREFIX_LENGTH).select("token", F.explode(reach).alias("term")).join(asked, "term", "left_semi")
-    hits = postings.join(vocabulary, "token").groupBy("term", "id", "len", "active").agg(F.sum("f").alias("f"))
-    idf = hits.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(mean)).select("term", "rows", "mean", F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))
-    weighed = hits.where("active").join(idf.withColumn("idf", F.expr("if(raw > 0, raw, 1e-6)")), "term").selectExpr("term", "id", "idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) as w")
-    scored = terms.join(weighed, "term").groupBy("source_id", "id").agg(F.round(-F.sum("w"), 6).alias("rank"), F.count("*").alias("n_terms"), F.min_by("term", "ord").alias("first_term"))
+    terms = settle(sources.select("source_id", F.posexplode(terms_of(F.col("text"))).alias("ord", "term")), "terms")
+    tokens = settle(corpus.select("id", "active", X.tokens(F.col("text")).alias("t")), "tokens")
+    stats = tokens.agg(F.count("*").alias("rows"), F.avg(F.size("t")).alias("mean"))
+    # Texts are dealt, once; only tokens that a term reaches are counted, where their row lies.
+    words = spread(tokens, ROWS, "id").select("id", F.size("t").alias("len"), "active", F.explode("t").alias("token"))
+    reach = settle(_reached(tokens.select(F.lit(0).alias("side"), F.explode("t").alias("token")), terms.select(F.lit(0).alias("side"), "term").distinct()), "reach")
+    hits = words.join(reach.drop("side"), "token").groupBy("id", "len", "active", "term").agg(F.count("*").alias("f"))
+    hits = settle(hits, "hits")
+    idf = hits.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(stats)).select("term", "rows", "mean", F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))
+    idf = settle(idf.withColumn("idf", F.expr("if(raw > 0, raw, 1e-6)")), "idf")
+    drop(tokens)
+    # A candidate's hits lie in one task, so its ranks for all sources are summed there.
+    weighed = spread(hits.where("active"), HITS, "id").join(idf, "term").selectExpr("term", "id", "idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) as w")
+    scored = weighed.join(terms, "term").groupBy("source_id", "id").agg(F.round(-F.sum("w"), 6).alias("rank"), F.count("*").alias("n_terms"), F.min("ord").alias("ord"))
     place = F.row_number().over(W.partitionBy("source_id").orderBy("rank", "id"))
-    return scored.withColumn("place", place).where(F.col("place") <= min(limit, POOL))
+    best = scored.withColumn("place", place).where(F.col("place") <= min(limit, POOL))
+    return best.join(terms, ["source_id", "ord"]).select("source_id", "id", "rank", "n_terms", F.col("term").alias("first_term"), "place")

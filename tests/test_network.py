@@ -143,6 +143,23 @@ def test_postings_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert got == [("a", "s", [1], [[1]], [3]), ("a", "t", [2], [[0, 1]], [2]), ("b", "s", [1], [[0, 2]], [3])] and (index.rows, index.tokens) == (2, 5)
 
 
+def test_batch_counts_only_reached_tokens(spark, monkeypatch):
+    """Rows that are counted grow with the tokens that a term reaches, not with the corpus."""
+    sizes, settle = {}, matching.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(matching, "settle", counted)
+    sources = spark.createDataFrame([(1, "robot law"), (2, "the of"), (3, "lawyer robot")], "source_id long, text string")
+    corpus = spark.createDataFrame([(1, "robots and robot games", True), (2, "a lawyer at law", True), (3, "robot", False), (4, "games " * 50, True), (5, None, True)], "id long, text string, active boolean")
+    got = [(r.source_id, r.place, r.id, r.n_terms, r.first_term) for r in matching.match_batch(sources, corpus, 5).orderBy("source_id", "place").collect()]
+    assert got == [(1, 1, 2, 1, "law"), (1, 2, 1, 1, "robot"), (3, 1, 2, 1, "lawyer"), (3, 2, 1, 1, "robot")]
+    assert sizes["reach"] == 5 and sizes["hits"] == 4
+
+
 def test_rules_of_mapping_and_lookup(spark):
     """Line breaks within a company stay, e-mails keep their case, each dropped field has its reason; e-mails are looked up by ASCII case."""
     rows = spark.createDataFrame([(1, " Ann\n Lee ", "Acme\nInc ", " A.B@X.org ", "soon"), (2, "Bo", None, "n/a", "2021-03-03")], "row_number long, n string, c string, e string, d string")
