@@ -160,6 +160,23 @@ def test_batch_counts_only_reached_tokens(spark, monkeypatch):
     assert sizes["reach"] == 5 and sizes["hits"] == 4
 
 
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
+    """A range holds about as many rows of a large table as of a small one, whatever the session's number of partitions."""
+    parts, settle = {}, ranks.settle
+
+    def counted(df, name):
+        parts[name] = df.rdd.getNumPartitions() if name == "ranges" else None
+        return settle(df, name)
+
+    monkeypatch.setattr(ranks, "settle", counted)
+    monkeypatch.setattr(ranks, "RANGE", 10)
+    rows = spark.range(95).selectExpr("id % 2 k", "id", "95 - id as v")
+    got = ranks.numbered(rows, ["id"], "at", ["k"]).collect()
+    assert parts["ranges"] == 10 and all(r["at"] == r.id // 2 + 1 for r in got) and len(got) == 95
+    least = ranks.running_least(rows, "k", "id", "v").collect()
+    assert parts["ranges"] == 10 and all(r.least == (None if r.id < 2 else 97 - r.id) for r in least) and len(least) == 95
+
+
 def test_rules_of_mapping_and_lookup(spark):
     """Line breaks within a company stay, e-mails keep their case, each dropped field has its reason; e-mails are looked up by ASCII case."""
     rows = spark.createDataFrame([(1, " Ann\n Lee ", "Acme\nInc ", " A.B@X.org ", "soon"), (2, "Bo", None, "n/a", "2021-03-03")], "row_number long, n string, c string, e string, d string")
