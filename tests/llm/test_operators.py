@@ -7,6 +7,7 @@ import re
 import shutil
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kinweave.llm import bloom_sketch, edit_counts, language, neardup, packing, pieces, pitman_yor, records, tokens, toxicity, vectors
+from kinweave.sources import scratch
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 LONG = " ".join(WORDS[(k * k + k // 7) % 20] + str(k % 97) + "." * (k % 11 == 0) for k in range(3000))
@@ -226,6 +228,33 @@ def test_gibbs_sweeps_reach_the_posterior():
     assert np.abs(seen / seen.sum() - exact / exact.sum()).max() < 0.03
 
 
+def test_gibbs_sweeps_of_a_pair_and_a_customer_alone():
+    # Two customers of one dish beside one of another: the pair shares its table with chance (1 - d) / (1 - d + (s + 2 d) p).
+    random, of, size, shared, opened = np.random.default_rng(6), None, None, 0, np.zeros(1, np.int64)
+    for k in range(4000):
+        of, size = pitman_yor.sweep(np.array([2, 1]), of, size, np.array([0.3, 0.1]), np.array([0, 0]), opened, random)
+        assert opened[0] == len(of) and size.sum() == 3 and of.tolist() in ([0, 1], [0, 0, 1])
+        shared += len(of) == 2
+    d, s = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    assert abs(shared / 4000 - (1 - d) / (1 - d + (s + 2 * d) * 0.3)) < 0.03
+
+
+def test_gibbs_sweeps_of_frequent_dishes_keep_all_customers():
+    n, random, of, size, opened = np.array([1000, 300, 128, 5, 3, 2, 2, 1, 0]), np.random.default_rng(7), None, None, np.zeros(2, np.int64)
+    for _ in range(20):
+        context = np.arange(9) % 2
+        of, size = pitman_yor.sweep(n, of, size, np.full(9, 0.05), context, opened, random)
+        assert np.bincount(of, size, 9).astype(int).tolist() == n.tolist() and (np.diff(of) >= 0).all() and size.min() > 0
+        assert np.bincount(context[of], minlength=2).tolist() == opened.tolist()
+
+
+def test_pitman_yor_leaves_only_what_scores_read(docs):
+    folder = Path(scratch.shared_folder(docs.sparkSession).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    assert pitman_yor.evaluate(docs, F.col("doc_id") == 6).count() == len(TEXTS)
+    assert {p.name.split("-")[0] for p in set(folder.glob("*")) - before} == {"coded", "known", "answers"}
+
+
 def test_near_duplicates(docs, empty):
     got = by_id(neardup.classes_of(docs, size=4, percent=80))
     assert [got[k].component_id for k in range(12)] == [0, 1, 2, 3, 4, 5, 6, 6, 6, 9, 9, 11]
