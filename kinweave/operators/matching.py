@@ -118,11 +118,15 @@ def find_matches(contacts: DataFrame, needs: DataFrame, offers: DataFrame, conta
     for k, c in enumerate(("company", "title", "how_we_met")):
         if query_terms:
             proof = proof.unionByName(evidence(active, 3 + k, F.lit("profile"), c, F.lit(""), text_hits(F.col(c), query_terms)))
+    # The best that have any evidence come first; only what these few have is put in order and gathered.
+    proof = settle(proof.join(best.select("id"), "id", "left_semi"), "proof")
+    folded = X.norm_text(F.col("name"))
+    proven = best.join(proof.select("id").distinct(), "id", "left_semi").join(active.select("id", "name"), "id")
+    top = settle(proven.orderBy("rank", folded, "id").limit(min(limit, MAX_RESULTS)), "top")
     order = W.partitionBy("id").orderBy("side", "ord", "at")
-    kept = proof.join(best.select("id"), "id", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_EVIDENCE)
+    kept = proof.join(F.broadcast(top.select("id")), "id", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_EVIDENCE)
     listed = kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "kind", "text", "term"))), lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["term"].alias("term"))).alias("matched_on"))
-    top = best.join(active.select("id", "name"), "id").join(listed, "id").orderBy("rank", X.norm_text(F.col("name")), "id").limit(min(limit, MAX_RESULTS))
-    return top.withColumn("place", F.row_number().over(W.orderBy("rank", X.norm_text(F.col("name")), "id"))).select("place", "id", "name", "matched_on")
+    return top.join(listed, "id").withColumn("place", F.row_number().over(W.orderBy("rank", folded, "id"))).select("place", "id", "name", "matched_on")
 
 
 def _first_terms(items: DataFrame, side: int) -> DataFrame:

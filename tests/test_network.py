@@ -81,6 +81,16 @@ def test_matches_need_open_items_and_evidence(spark):
         matching.find_matches(contacts, needs, offers, links, tags, query="  ")
 
 
+def test_matches_gather_evidence_of_the_shown_alone(spark):
+    contacts = people(spark, [{"id": k, "name": f"P{k:02}"} for k in range(30)])
+    needs, offers = items(spark, [(1, 0, "robotics", "2024-01-01", None)]), items(spark, [(k, k, "robotics", "2024-01-01", None) for k in range(1, 30)])
+    tags, links = spark.createDataFrame([], TAGS), spark.createDataFrame([], CONTACT_TAGS)
+    found = matching.find_matches(contacts, needs, offers, links, tags, contact_id=0, limit=3)
+    assert [(r.place, r.id) for r in found.orderBy("place").collect()] == [(1, 1), (2, 2), (3, 3)]
+    shown = {f.rsplit("/", 1)[0] for f in found.inputFiles() if "/top-" in f}
+    assert len(shown) == 1 and spark.read.parquet(*shown).count() == 3
+
+
 def test_matches_of_all_contacts_equal_those_of_each(spark):
     """Random networks: repeated and resolved items, shared and nested tags, short and stop-word tags, candidates of every status."""
     random = np.random.default_rng(11)
