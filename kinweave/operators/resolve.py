@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import FILLABLE, validate
-from ..sources.scratch import drop, settle
-from .ranks import numbered, running_least
+from ..sources.scratch import drop, settle, spread
+from .ranks import RANGE, numbered, running_least
 
 #: Fields that identify a person: a match by name alone never writes them.
 IDENTITY = ("email", "linkedin_url")
@@ -154,18 +154,21 @@ def replay(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     kept = F.filter("fields", lambda x: (F.coalesce(F.col("way"), F.lit("")) != "name") | ~x["field"].isin(*IDENTITY))
     outcome = F.when(F.col("name_key").isNull(), "skipped").when(F.col("faults") != "", "error").when(F.col("way").isNull(), "created").otherwise("matched")
     matched = settle(matched.select("number", "row_number", "way", "faults", outcome.alias("outcome"), F.when(outcome == "created", F.col("number")).otherwise(F.col("target")).alias("target"), kept.alias("fields"), withheld.alias("withheld")), "matched")
-    # The first row that gives a field which its contact lacks writes it.
-    offers = matched.where("outcome = 'matched'").select("number", "target", F.inline("fields"))
-    first = offers.groupBy("target", "field").agg(F.min(F.struct("number", "value")).alias("first"))
+    # The first row that gives a field which its contact lacks writes it: a row of numbers for each contact, beside the names of what it has.
+    given = F.transform("fields", lambda x: x["field"])
+    offers = spread(matched.where("outcome = 'matched'").select("number", "target", given.alias("names")), RANGE, "number")
+    first = offers.groupBy("target").agg(*(F.min(F.when(F.array_contains("names", f), F.col("number"))).alias(f) for f in FIELDS))
     names = F.array(*map(F.lit, FIELDS))
-    held = known.select(F.col("id").alias("target"), F.explode(F.filter(F.transform("given", lambda x, k: F.when(x.isNotNull(), F.get(names, k))), lambda x: x.isNotNull())).alias("field"))
-    held = held.unionByName(matched.where("outcome = 'created'").select("target", F.explode(F.transform("fields", lambda x: x["field"])).alias("field")))
-    wins = first.join(held, ["target", "field"], "left_anti").select(F.col("first.number").alias("number"), F.struct("field", F.col("first.value").alias("value")).alias("entry"))
-    wins = wins.groupBy("number").agg(F.map_from_entries(F.collect_list("entry")).alias("filled"))  # at most all fields of a row
+    held = known.select(F.col("id").alias("target"), F.filter(F.transform("given", lambda x, k: F.when(x.isNotNull(), F.get(names, k))), lambda x: x.isNotNull()).alias("held"))
+    held = held.unionByName(matched.where("outcome = 'created'").select("target", given.alias("held")))
+    lacking = [F.when(~F.array_contains("held", f), F.struct(F.col(f).alias("number"), F.lit(1 << k).alias("won"))) for k, f in enumerate(FIELDS)]
+    wins = first.join(held, "target").select(F.inline(F.filter(F.array(*lacking), lambda x: x["number"].isNotNull())))
+    wins = wins.groupBy("number").agg(F.bit_or("won").alias("won"))  # a bit for each field
     nothing = F.create_map().cast("map<string,string>")
-    written = F.when(F.col("outcome") == "created", F.map_from_entries("fields")).otherwise(F.coalesce("filled", nothing))
-    ended = F.when(F.col("outcome") != "matched", F.col("outcome")).when(F.col("filled").isNotNull(), "enriched").otherwise("skipped")
-    reason = F.when(F.col("outcome") == "error", F.col("faults")).when(F.col("outcome") == "skipped", "no name").when((F.col("outcome") == "matched") & F.col("filled").isNull(), F.when(F.col("withheld"), "identity withheld").otherwise("nothing new"))
+    filled = F.when(F.col("won").isNotNull(), F.map_from_entries(F.filter("fields", lambda x: F.getbit("won", F.array_position(names, x["field"]) - 1) > 0)))
+    written = F.when(F.col("outcome") == "created", F.map_from_entries("fields")).otherwise(F.coalesce(filled, nothing))
+    ended = F.when(F.col("outcome") != "matched", F.col("outcome")).when(F.col("won").isNotNull(), "enriched").otherwise("skipped")
+    reason = F.when(F.col("outcome") == "error", F.col("faults")).when(F.col("outcome") == "skipped", "no name").when((F.col("outcome") == "matched") & F.col("won").isNull(), F.when(F.col("withheld"), "identity withheld").otherwise("nothing new"))
     done = matched.join(wins, "number", "left").select("row_number", ended.alias("outcome"), F.col("target").alias("contact_id"), F.col("way").alias("matched_by"), reason.alias("reason"), F.when(F.col("outcome").isin("error", "skipped"), nothing).otherwise(written).alias("written"))
     # Final ids: created rows counted in row order; those of later matches follow their creator.
     done = settle(done, "outcomes")

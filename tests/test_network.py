@@ -460,6 +460,25 @@ def test_replay_of_one_name(spark):
     assert all((left[p["id"]][c] or None) == (p.get(c) or None) for p in after for c in ("email", "linkedin_url", "company"))
 
 
+def test_replay_finds_first_givers_by_numbers(spark, monkeypatch):
+    """Who gives a field first is found among row numbers in bounded shares; a task never sorts the values of its share."""
+    plans, settle = {}, resolve.settle
+
+    def told(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return settle(df, name)
+
+    monkeypatch.setattr(resolve, "settle", told)
+    monkeypatch.setattr(resolve, "RANGE", 2, raising=False)
+    rows = [{"row_number": k, "name": "Kim", "email": "kim@x.org", "company": "C" if k > 1 else None, "city": f"T{k}" if k else None} for k in range(6)]
+    rows += [{"row_number": 6 + k, "name": "Lee", "email": "lee@x.org", "company": f"D{k}", "city": None if k < 2 else "T"} for k in range(4)]
+    known = [{"id": 1, "name": "Kim", "email": "kim@x.org"}]
+    outcomes = resolve.replay(people(spark, known), spark.createDataFrame([tuple(r.values()) for r in rows], "row_number long, name string, email string, company string, city string"))
+    wanted = [("skipped", {}), ("enriched", {"city": "T1"}), ("enriched", {"company": "C"}), *[("skipped", {})] * 3, ("created", {"name": "Lee", "email": "lee@x.org", "company": "D0"}), ("skipped", {}), ("enriched", {"city": "T"}), ("skipped", {})]
+    assert [(r.outcome, r.written) for r in outcomes.orderBy("row_number").collect()] == wanted
+    assert "SortAggregate" not in plans["outcomes"]
+
+
 def test_running_least_over_ranges(spark):
     """One key fills several ranges; equal orders do not see each other."""
     random = np.random.default_rng(9)
