@@ -11,8 +11,10 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -248,6 +250,17 @@ def test_gibbs_sweeps_of_frequent_dishes_keep_all_customers():
         assert np.bincount(context[of], minlength=2).tolist() == opened.tolist()
 
 
+def test_pitman_yor_numbers_words_of_a_slice_at_once():
+    # Batches of a slice share one ascending list of words; null, empty and padded texts have their end.
+    batches = [["b A  b", None, " \t"], ["", "a c\n"]]
+    ids, codes, sizes = pitman_yor.tokens([pitman_yor.words_of(pa.array(ts, pa.string())) for ts in batches])
+    known = {xxhash.xxh3_64_intdigest(w): w.decode() for w in (b"a", b"b", b"c")} | {pitman_yor.END: None}
+    assert (np.diff(ids.astype(object)) > 0).all() and sizes.tolist() == [4, 1, 1, 1, 3]
+    assert [known[int(k)] for k in ids[codes]] == [w for ts in batches for t in ts for w in words_of(t)]
+    for kind, x in (("u4", [7, 1 << 31]), ("u8", [0, 1 << 63]), ("i8", [-1, 5, 1 << 40]), ("f4", [0.5]), ("u1", [])):
+        assert pitman_yor.unpack(pitman_yor.pack(np.array(x, kind), kind), kind).tolist() == x
+
+
 def test_pitman_yor_leaves_only_what_scores_read(docs):
     folder = Path(scratch.shared_folder(docs.sparkSession).removeprefix("file:"))
     before = set(folder.glob("*"))
