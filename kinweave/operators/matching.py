@@ -17,6 +17,7 @@ from ..functions import text as X
 from ..sources.scratch import drop, settle, spread
 from . import contacts as C
 from . import search as S
+from .postings import scored
 
 #: Terms taken from a text, rows of a pool, evidence kept for a candidate, candidates returned at most.
 MAX_TERMS, POOL, MAX_EVIDENCE, MAX_RESULTS = 24, 200, 12, 10
@@ -72,57 +73,88 @@ def tag_hits(tag: Column, terms: Sequence[str]) -> Column:
     return hit if terms else F.array().cast("array<string>")
 
 
+def _counted(contacts: DataFrame, needs: DataFrame, offers: DataFrame, tagged: DataFrame, for_offers: Sequence[str], for_needs: Sequence[str], profile: Sequence[str]) -> DataFrame:
+    """id, name, active, tagged, len and how often each term occurs in the columns of its own side: o0, n0, p0 and so on.
+
+    Items are counted where they lie and summed, never put together; of the two sides of the join, as large as the contacts, none is
+    broadcast, however small its files look.
+    """
+    def counts(terms: Sequence[str], *texts: str) -> Column:
+        # How many tokens the texts have, then how many of them begin with each term; the tokens are bound once.
+        count = lambda t: F.array(F.size(t), *(S.occurrences(t, [x]) for x in terms)).cast("array<long>")
+        return F.get(F.transform(F.array(F.concat(*(X.tokens(F.col(c)) for c in texts))), count), F.lit(0))
+
+    sides = {"o": for_offers, "n": for_needs}
+    names = [f"{s}{k}" for s, terms in sides.items() for k in range(len(terms))]
+    zero = F.lit(0).cast("long")
+
+    def side(items: DataFrame, own: str) -> DataFrame:
+        rows = items.select(F.col("contact_id").alias("id"), counts(sides[own], "text").alias("c"))
+        found = {f"{own}{k}": F.get("c", F.lit(k + 1)) for k in range(len(sides[own]))}
+        return rows.select("id", F.get("c", F.lit(0)).alias("len"), F.lit(0).alias("tagged"), *(found.get(n, zero).alias(n) for n in names))
+
+    held = tagged.select("id", zero.alias("len"), F.lit(1).alias("tagged"), *(zero.alias(n) for n in names))
+    sums = side(offers, "o").unionByName(side(needs, "n")).unionByName(held).groupBy("id").agg(F.sum("len").alias("items_len"), F.max("tagged").alias("tagged"), *(F.sum(n).alias(n) for n in names))
+    rows = contacts.select("id", "name", (F.col("status") == "active").alias("active"), X.tokens(F.col("name")).alias("t"), counts(profile, "company", "title", "how_we_met").alias("c"))
+    rows = rows.select("id", "name", "active", (F.size("t") + F.get("c", F.lit(0))).alias("own_len"), *(F.get("c", F.lit(k + 1)).alias(f"p{k}") for k in range(len(profile))))
+    rows = rows.join(sums.hint("merge"), "id", "left").fillna(0, ["items_len", "tagged", *names])
+    return rows.select("id", "name", "active", (F.col("tagged") == 1).alias("tagged"), (F.col("own_len") + F.col("items_len")).alias("len"), *names, *(f"p{k}" for k in range(len(profile))))
+
+
 def find_matches(contacts: DataFrame, needs: DataFrame, offers: DataFrame, contact_tags: DataFrame, tags: DataFrame, *, contact_id: int | None = None, query: str | None = None, limit: int = MAX_RESULTS) -> DataFrame:
     """place, id, name, matched_on array<struct<kind, text, term>> of the best active candidates.
 
     Raises ValueError without a contact or a query, LookupError for an unknown contact. Candidates come from pools of the
     best 200 active rows a side, and from tags; without evidence among open items, tags or (query only) profile
-    texts a candidate is dropped.
+    texts a candidate is dropped. A tag's holder has evidence and stands behind the pools, so of the holders only as many by name are
+    candidates as could still be shown, and only candidates' evidence is looked for.
     """
     query = (query or "").strip()
     if contact_id is None and not query:
         raise ValueError("a contact or a query is needed")
+    limit = min(limit, MAX_RESULTS)
     need_terms, offer_terms, own_tags, query_terms = [], [], [], extract_terms(query[:500])
     if contact_id is not None:
         if contacts.where(F.col("id") == contact_id).isEmpty():
             raise LookupError(f"no contact {contact_id}")
         mine = F.col("contact_id") == contact_id
-        joined = [" ".join(r.text for r in C.open_items(d).where(mine).orderBy("created_at", "id").collect()) for d in (needs, offers)]  # one contact's items
-        need_terms, offer_terms = map(extract_terms, joined)
+        firsts = _first_terms(needs.where(mine), 0).unionByName(_first_terms(offers.where(mine), 1)).orderBy("side", "ord").collect()  # 24 a side
+        need_terms, offer_terms = ([r.term for r in firsts if r.side == side] for side in (0, 1))
         own_tags = [r.name for r in contact_tags.where(mine).join(tags.withColumnRenamed("id", "tag_id"), "tag_id").select("name").orderBy("name").collect()]
     for_offers, for_needs = list(dict.fromkeys(need_terms + query_terms)), list(dict.fromkeys(offer_terms + query_terms))
     tag_terms = list(dict.fromkeys([*map(S.fold, own_tags), *query_terms]))
-    active = contacts.where("status = 'active'").select("id", "name", "company", "title", "how_we_met")
-    corpus = S.indexed_text(contacts, needs, offers)
-    columns = ["name", "company", "title", "how_we_met", "needs_text", "offers_text"]
-    no_rank = F.lit(float("inf"))
-    tag_rows = contact_tags.join(tags.withColumnRenamed("id", "tag_id").withColumnRenamed("name", "tag"), "tag_id").withColumn("hits", tag_hits(F.col("tag"), tag_terms)).where(F.size("hits") > 0)
-    found = tag_rows.select(F.col("contact_id").alias("id"), no_rank.alias("rank"))
-    for terms, allowed in ((for_offers, ["offers_text"]), (for_needs, ["needs_text"]), (query_terms, ["company", "title", "how_we_met"])):
+    hit_tags = tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag"), tag_hits(F.col("name"), tag_terms).alias("hits")).where(F.size("hits") > 0)
+    tag_rows = contact_tags.withColumnRenamed("contact_id", "id").join(hit_tags, "tag_id")
+    counted = settle(_counted(contacts, needs, offers, tag_rows, for_offers, for_needs, query_terms), "frequencies")
+    other = F.col("id") != contact_id if contact_id is not None else F.lit(True)
+    folded = X.norm_text(F.col("name"))
+    # Of the first holders by name at most three pools and the contact itself are not behind the pools.
+    behind = counted.where("active and tagged").orderBy(folded, "id").limit(limit + 3 * POOL + 1)
+    found = behind.select("id", "name", F.lit(float("inf")).alias("rank"))
+    for terms, own in ((for_offers, "o"), (for_needs, "n"), (query_terms, "p")):
         if terms:
-            ranks = S.ranked(corpus, [[t] for t in terms], columns, allowed, any_of=True)
-            found = found.unionByName(ranks.join(active.select("id"), "id").withColumn("rank", F.round("rank", 9)).orderBy("rank", "id").limit(POOL))
-    best = found.groupBy("id").agg(F.min("rank").alias("rank"))
-    if contact_id is not None:
-        best = best.where(F.col("id") != contact_id)
+            row = counted.select(F.struct("id", "name", "active").alias("at"), "len", *(F.col(f"{own}{k}").alias(f"f{k}") for k in range(len(terms))))
+            ranks = scored(row, len(terms), True, "at").where("at.active").select("at.id", "at.name", F.round("rank", 9).alias("rank"))
+            found = found.unionByName(ranks.orderBy("rank", "id").limit(POOL))
+    best = settle(found.where(other).groupBy("id", "name").agg(F.min("rank").alias("rank")), "best")
+    candidates = F.broadcast(best.select("id"))  # three pools and the holders behind them at most
 
-    def evidence(rows: DataFrame, side: int, kind: Column, text: str, order: Column, hits: Column) -> DataFrame:
-        return rows.select(F.col("id"), F.lit(side).alias("side"), order.cast("string").alias("ord"), F.posexplode(hits).alias("at", "term"), kind.alias("kind"), F.col(text).alias("text"))
+    def evidence(rows: DataFrame, side: int, kind: str, text: str, order: Column, hits: Column) -> DataFrame:
+        return rows.join(candidates, "id", "left_semi").select(F.col("id"), F.lit(side).alias("side"), order.cast("string").alias("ord"), F.posexplode(hits).alias("at", "term"), F.lit(kind).alias("kind"), F.col(text).alias("text"))
 
     def items(df: DataFrame) -> DataFrame:
         return C.open_items(df).select(F.col("contact_id").alias("id"), F.concat_ws("|", "created_at", F.lpad(F.col("id").cast("string"), 20, "0")).alias("o"), "text")
 
-    proof = evidence(items(offers), 0, F.lit("offer"), "text", F.col("o"), text_hits(F.col("text"), for_offers))
-    proof = proof.unionByName(evidence(items(needs), 1, F.lit("need"), "text", F.col("o"), text_hits(F.col("text"), for_needs)))
-    proof = proof.unionByName(evidence(tag_rows.withColumnRenamed("contact_id", "id"), 2, F.lit("tag"), "tag", X.nocase(F.col("tag")), F.col("hits")))
+    proof = evidence(items(offers), 0, "offer", "text", F.col("o"), text_hits(F.col("text"), for_offers))
+    proof = proof.unionByName(evidence(items(needs), 1, "need", "text", F.col("o"), text_hits(F.col("text"), for_needs)))
+    proof = proof.unionByName(evidence(tag_rows, 2, "tag", "tag", X.nocase(F.col("tag")), F.col("hits")))
     for k, c in enumerate(("company", "title", "how_we_met")):
         if query_terms:
-            proof = proof.unionByName(evidence(active, 3 + k, F.lit("profile"), c, F.lit(""), text_hits(F.col(c), query_terms)))
+            proof = proof.unionByName(evidence(contacts, 3 + k, "profile", c, F.lit(""), text_hits(F.col(c), query_terms)))
     # The best that have any evidence come first; only what these few have is put in order and gathered.
-    proof = settle(proof.join(best.select("id"), "id", "left_semi"), "proof")
-    folded = X.norm_text(F.col("name"))
-    proven = best.join(proof.select("id").distinct(), "id", "left_semi").join(active.select("id", "name"), "id")
-    top = settle(proven.orderBy("rank", folded, "id").limit(min(limit, MAX_RESULTS)), "top")
+    proof = settle(proof, "proof")
+    proven = best.join(proof.select("id").distinct(), "id", "left_semi")
+    top = settle(proven.orderBy("rank", folded, "id").limit(limit), "top")
     order = W.partitionBy("id").orderBy("side", "ord", "at")
     kept = proof.join(F.broadcast(top.select("id")), "id", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_EVIDENCE)
     listed = kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "kind", "text", "term"))), lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["term"].alias("term"))).alias("matched_on"))

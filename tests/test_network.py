@@ -91,6 +91,39 @@ def test_matches_gather_evidence_of_the_shown_alone(spark):
     assert len(shown) == 1 and spark.read.parquet(*shown).count() == 3
 
 
+def broadcast_rows(spark, run):
+    """What run gives, and the most rows that a plan of it broadcasts."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    seen = store.executionsList().size()
+    out, most = run(), 0
+    bus.waitUntilEmpty()
+    runs = store.executionsList()
+    for e in (runs.apply(k) for k in range(seen, runs.size())):
+        nodes, values = store.planGraph(e.executionId()).allNodes(), store.executionMetrics(e.executionId())
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if node.name() == "BroadcastExchange" and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out, most
+
+
+def test_matches_of_one_contact_broadcast_candidates_alone(spark):
+    """Holders of the contact's tag stand behind a pool without evidence; what is broadcast or proven does not follow their number."""
+    contacts = people(spark, [{"id": k, "name": f"P{2000 - k:04}"} for k in range(1301)])
+    needs = items(spark, [(k, 0, f"robotics {k}", "2024-01-01", None) for k in range(40)])
+    offers = items(spark, [(k, k, "robotics", "2024-01-01", "2024-02-01") for k in range(1, 301)] + [(1300, 1300, "robotics law", "2024-01-02", None)])
+    tags, links = spark.createDataFrame([(1, "ai"), (2, "law")], TAGS), spark.createDataFrame([(k, 1) for k in [0, *range(601, 1301)]] + [(1299, 2)], CONTACT_TAGS)
+    found, most = broadcast_rows(spark, lambda: matching.find_matches(contacts, needs, offers, links, tags, contact_id=0, query="law"))
+    rows, last = broadcast_rows(spark, lambda: found.orderBy("place").collect())
+    tag = ("tag", "ai")
+    assert [(r.id, [(e.kind, e.term) for e in r.matched_on]) for r in rows] == [
+        (1300, [("offer", "robotics"), ("offer", "law"), tag]), (1299, [tag, ("tag", "law")]), *((k, [tag]) for k in range(1298, 1290, -1))]
+    assert 0 < max(most, last) < 1000
+    proofs = {f.rsplit("/", 1)[0] for f in found.inputFiles() if "/proof-" in f}
+    assert spark.read.parquet(*proofs).select("id").distinct().count() <= 10 + 3 * matching.POOL + 1
+
+
 def test_matches_of_all_contacts_equal_those_of_each(spark):
     """Random networks: repeated and resolved items, shared and nested tags, short and stop-word tags, candidates of every status."""
     random = np.random.default_rng(11)
